@@ -5,8 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import contamination
+from .exact_dedup import exact_dedup
+from .line_dedup import dedup_lines
+from .mixing import mix
+from .url_filter import filter_urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +22,24 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(_read(spark, sf_dir, "documents"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_read(spark, sf_dir, "pages"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_lines", "n_removed", "n_spans", F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("kept_sha256")
+    )
+
+
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_read(spark, sf_dir, "documents"))
+
+
 _WORDS = (
     "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',"
     " 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -46,9 +69,89 @@ FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n,
+    regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
+k AS (
+  SELECT *, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS keep_id,
+    count(*) OVER (PARTITION BY norm) AS group_size FROM d)
+SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept,
+  sha256(norm) AS text_sha256 FROM k
+"""
+
+OP5_SQL = r"""
+WITH RECURSIVE p AS (
+  SELECT page_id, html, url, instr(url, '://') > 0 AS ok,
+    CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+q AS (
+  SELECT page_id, html,
+    coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*(/[^?#]*)?', 1), '') AS path,
+    regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail FROM p),
+n AS (SELECT *, CASE WHEN host <> '' THEN host || tail END AS node FROM q),
+t AS (
+  SELECT host, path, node, unnest([
+    regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1),
+    regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?\s*([^"''\s>;]+)', 1)]) AS raw FROM n),
+u AS (
+  SELECT node AS a, CASE WHEN regexp_matches(x, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN substr(x, instr(x, '://') + 3)
+    WHEN x LIKE '//%' THEN substr(x, 3) WHEN x LIKE '/%' THEN host || x
+    ELSE host || regexp_extract(path, '^(.*/)?') || x END AS y
+  FROM (SELECT *, replace(raw, '&amp;', '&') AS x FROM t WHERE raw <> '')),
+e AS (
+  SELECT a, b FROM (SELECT a, translate(regexp_extract(y, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+    || regexp_extract(y, '^[^/?#]*([^#]*)', 1) AS b FROM u) WHERE a IS NOT NULL AND a <> b),
+s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT a, a AS b FROM s UNION SELECT r.a, s.b FROM r JOIN s ON r.b = s.a),
+rules(rh, rp, v) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'block'),
+  ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+nodes AS (SELECT DISTINCT b AS node, regexp_extract(b, '^[^/?#]*') AS host, regexp_extract(b, '^[^/?#]*(/[^?#]*)?', 1) AS path FROM r),
+nv AS (SELECT node, arg_max(v, length(rh || rp)) AS v FROM nodes, rules
+  WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY node),
+alias AS (SELECT r.a AS node FROM r JOIN nv ON nv.node = r.b GROUP BY r.a
+  HAVING bool_or(v = 'block') AND NOT bool_or(v = 'allow')),
+own AS (SELECT host, path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v
+  FROM (SELECT DISTINCT host, path FROM n), rules
+  WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY host, path)
+SELECT page_id, n.host, n.path, rule, coalesce(v, CASE WHEN alias.node IS NOT NULL THEN 'block' END, 'allow') AS verdict
+FROM n LEFT JOIN own ON own.host = n.host AND own.path = n.path LEFT JOIN alias ON alias.node = n.node
+"""
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+w AS (
+  SELECT doc_id, i, array_to_string(l[i:i + 2], chr(10)) AS win FROM (
+    SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM d WHERE len(l) >= 3)),
+later AS (
+  SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS r FROM w) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 3)) AS p FROM later),
+lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS p FROM d),
+kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS kept FROM lines ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+spans AS (
+  SELECT doc_id, count(*) AS n_removed, count(*) FILTER (prev IS NULL OR p > prev + 1) AS n_spans FROM (
+    SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS prev FROM gone) GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN spans USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate}
+    return {
+        "op1_decontaminate": op1_decontaminate,
+        "op4_exact_dedup": op4_exact_dedup,
+        "op5_url_filter": op5_url_filter,
+        "op7_line_dedup": op7_line_dedup,
+        "op10_mix_sources": op10_mix_sources,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL}
+    return {
+        "op1_decontaminate": OP1_SQL,
+        "op4_exact_dedup": OP4_SQL,
+        "op5_url_filter": OP5_SQL,
+        "op7_line_dedup": OP7_SQL,
+    }
