@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
+from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
 from .mixing import mix
+from .suffix_dedup import remove_repeats
+from .toxicity import score_documents
 from .url_filter import filter_urls
+from .warc import archive_pages
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,6 +26,14 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(_read(spark, sf_dir, "pages"))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_read(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"))
 
@@ -36,6 +48,14 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_read(spark, sf_dir, "documents"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents"))
 
@@ -138,12 +158,35 @@ FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN spans USING (doc_id)
 """
 
 
+OP2_SQL = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (
+  SELECT page_id, octet_length(b) AS n, sha1(b) AS hex, max(page_id) OVER (PARTITION BY b) AS keep FROM p),
+bits AS (
+  SELECT page_id, n, keep, list_aggregate(list_transform(range(1, 41), lambda i:
+    lpad(bin(strpos('0123456789abcdef', hex[i]) - 1), 4, '0')), 'string_agg', '') AS s FROM h),
+b32 AS (
+  SELECT page_id, n, keep, list_aggregate(list_transform(range(0, 32), lambda j:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      CAST(list_sum(list_transform(range(1, 6), lambda k: CAST(substr(s, 5 * j + k, 1) AS INTEGER) * (1 << CAST(5 - k AS INTEGER)))) AS BIGINT) + 1, 1)),
+    'string_agg', '') AS digest FROM bits)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> keep THEN keep END AS refers_to FROM b32
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
+        "op2_warc": op2_warc,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_url_filter": op5_url_filter,
         "op7_line_dedup": op7_line_dedup,
+        "op8_toxicity": op8_toxicity,
+        "op9_license_scan": op9_license_scan,
         "op10_mix_sources": op10_mix_sources,
     }
 
@@ -151,6 +194,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontaminate": OP1_SQL,
+        "op2_warc": OP2_SQL,
         "op4_exact_dedup": OP4_SQL,
         "op5_url_filter": OP5_SQL,
         "op7_line_dedup": OP7_SQL,
