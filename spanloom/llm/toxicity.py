@@ -36,8 +36,10 @@ SAYING = "said says say wrote writes claimed quoted called sagte schrieb dit dij
 INSULT_WEIGHT = 3.0
 REACH = 3
 TAPES = ("aimed", "plain", "negated", "reported", "threat")
-#: Coefficients without labels, intercept first; with labels they are where the fit starts and is drawn to.
-PRIOR = np.array([-4.0, 3.0, 2.6, 1.2, 1.2, 2.0])
+#: Coefficients without labels: intercept, tapes, log length of a text with a match. With labels they
+#: are where the fit starts and is drawn to.
+PRIOR = np.array([-4.0, 3.0, 2.6, 1.2, 1.2, 2.0, 0.0])
+INPUTS = (*TAPES, "length")
 PREFIXES = (4, 5, 6)
 TOKEN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+|[.!?;:|\n]")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -56,14 +58,16 @@ class Grammar:
         return max(self.words.get(word, 0.0), *(self.stems.get(word[:n], 0.0) for n in PREFIXES))
 
     def tapes(self, text: str, dull: set[str]) -> list[float]:
-        """Weight matched on each tape. ``dull``: words known to start no match, kept between texts."""
+        """Weight matched on each tape, and the text's length if any is: in a long text a match by
+        chance means less. ``dull``: words known to start no match, kept between texts."""
         text = text.translate(LOWER)
-        new = set(WORD.findall(text)).difference(dull)
+        found = WORD.findall(text)
+        new = set(found).difference(dull)
         hot = {w for w in new if w in _THREATS or self.insult(w)}
         if len(dull) > 300_000:
             dull.clear()
         dull |= new - hot
-        out = [0.0] * len(TAPES)
+        out = [0.0] * len(INPUTS)
         if not hot:
             return out
         clause: list[str] = []
@@ -74,6 +78,8 @@ class Grammar:
             else:
                 clause.append(token)
         self._clause(clause, hot, out)
+        if any(out):
+            out[-1] = len(found)
         return [math.log1p(x) for x in out]
 
     def _clause(self, clause: list[str], hot: set[str], out: list[float]) -> None:
@@ -162,19 +168,25 @@ def fit_grammar(
     )
     odds = F.log((t + 0.5) / (n_t + 1)) - F.log((c + 0.5) / (n_c + 1))
     best = counts.withColumn("g", llr).withColumn("odds", odds).where((F.col("g") >= least_g) & (F.col("odds") >= 2.5))
-    for r in best.orderBy(F.desc("g"), "f").limit(max_entries).collect():
-        (g.stems if r.f.endswith("*") else g.words)[r.f.rstrip("*")] = float(r.odds)
+    found = {r.f: (r.t, float(r.odds)) for r in best.orderBy(F.desc("g"), "f").limit(max_entries).collect()}
+    for f, (t_f, odds_f) in found.items():
+        # A stem counts if it has more to it than one of the longer entries it begins.
+        longer = (t for x, (t, _) in found.items() if x != f and x.rstrip("*").startswith(f[:-1]))
+        if not f.endswith("*"):
+            g.words[f] = odds_f
+        elif t_f * 0.8 > max(longer, default=0.0):
+            g.stems[f[:-1]] = odds_f
 
     def tapes_of(batches):
         dull: set[str] = set()
         for pdf in batches:
-            x = pd.DataFrame([g.tapes(s, dull) for s in pdf["text"]], columns=TAPES)
+            x = pd.DataFrame([g.tapes(s, dull) for s in pdf["text"]], columns=INPUTS)
             yield x.assign(y=(pdf["toxic"] == 1).astype("int32").values, weight=pdf["weight"].values)
 
-    schema = ", ".join(f"{c} double" for c in TAPES) + ", y int, weight double"
+    schema = ", ".join(f"{c} double" for c in INPUTS) + ", y int, weight double"
     # Equal rows combine: most documents match nothing.
-    x = rows.mapInPandas(tapes_of, schema).groupBy(*TAPES, "y").agg(F.sum("weight").alias("weight")).toPandas()
-    g.coef = _logistic(x[list(TAPES)].to_numpy(), x["y"].to_numpy(), x["weight"].to_numpy())
+    x = rows.mapInPandas(tapes_of, schema).groupBy(*INPUTS, "y").agg(F.sum("weight").alias("weight")).toPandas()
+    g.coef = _logistic(x[list(INPUTS)].to_numpy(), x["y"].to_numpy(), x["weight"].to_numpy())
     return g
 
 
@@ -189,7 +201,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.3, s
         hess = (x * (w * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(b))
         step = np.linalg.solve(hess, grad)
         b = b + np.clip(step, -2, 2)
-        b[1:] = np.maximum(b[1:], 0.1)
+        b[1:-1] = np.maximum(b[1:-1], 0.1)
+        b[-1] = min(b[-1], 0.0)
         if np.abs(step).max() < 1e-6:
             break
     return b
@@ -199,7 +212,7 @@ def toxicity_score(text: Column, g: Grammar) -> Column:
     @F.pandas_udf("double")
     def of(batches: pd.Series) -> pd.Series:
         dull = _DULL.setdefault(id(g), set())
-        tapes = np.array([g.tapes(t or "", dull) for t in batches]).reshape(len(batches), len(TAPES))
+        tapes = np.array([g.tapes(t or "", dull) for t in batches]).reshape(len(batches), len(INPUTS))
         return pd.Series(g.score(tapes))
 
     return of(text)
