@@ -67,13 +67,15 @@ def _shared_shingles(docs: DataFrame, hashes: DataFrame, kk: int, window: int) -
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 5, block_shingles: int = 500_000
+    docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 5, block_shingles: int = 500_000,
+    with_key: bool = False,
 ) -> DataFrame:
     """Per document, how much of it stands in benchmark windows.
 
     Returns ``doc_id, n_words, n_hit`` (words inside any occurrence of a window), ``n_items``,
     ``items_sha256`` (of the item ids, sorted as strings and comma-joined) and ``contaminated``
-    (a hit, and at least a twentieth of the words hit).
+    (a hit, and at least a twentieth of the words hit); with ``with_key`` also ``tk``, the key of
+    the text.
 
     Null or wordless texts have no words and are clean; wordless items match nothing; an item
     without id hits but is not listed. Rows of one doc_id with different texts are judged apart,
@@ -144,6 +146,7 @@ def contamination(
         n_hit.alias("n_hit"),
         F.size(ids).cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
+        *(["tk"] if with_key else []),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
         F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
     ).drop("copy")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
+from .jaccard_join import similar_documents
 from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
 from .mixing import mix
@@ -42,6 +43,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_read(spark, sf_dir, "pages"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(_read(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_lines", "n_removed", "n_spans", F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("kept_sha256")
@@ -184,6 +189,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_url_filter": op5_url_filter,
+        "op6_jaccard_join": op6_jaccard_join,
         "op7_line_dedup": op7_line_dedup,
         "op8_toxicity": op8_toxicity,
         "op9_license_scan": op9_license_scan,
