@@ -10,8 +10,10 @@ after the last digit are exactly the repeated strings. Three things keep the pas
 * The second digit is the run's whole reach. Runs that equal others in it repeat throughout, all
   their suffixes at once; they are settled without looking at any of them alone.
 * Only runs that share the first digit but not the second, that is, around edits and ends of
-  copies, are opened, one run for each distinct reach, and their suffixes are ordered by a
-  128-bit hash of all ``length`` bytes.
+  copies, are opened, one run for each distinct reach. They fall into pieces of ``PIECE`` suffixes at
+  fixed offsets from the anchor, and the same two passes settle most pieces: by the bytes that all
+  strings of a piece have, then by its reach. The suffixes of the few pieces that remain are
+  ordered by a 128-bit hash of all ``length`` bytes.
 
 Groups are counted before they are shuffled, so a string that a third of the corpus shares is a
 number by then, never a list.
@@ -31,6 +33,7 @@ from .shared import join_same, materialize, text_key
 
 #: Suffixes looked at in one go, which bounds memory for very long texts.
 SEGMENT = 2_000_000
+PIECE = 16
 _RNG = np.random.default_rng(400)
 _TABLES = _RNG.integers(0, 2**64, (2, 256), dtype=np.uint64)
 _BASES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
@@ -78,8 +81,9 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, length: int, gram: int):
-    """Runs of suffixes with one anchor: arrays lo, hi (first and last suffix), digit, reach hashes."""
-    lows, highs, digits, reach = [], [], [], ([], [])
+    """Runs of suffixes with one anchor: arrays lo, hi (first and last suffix), place of the anchor,
+    digit, reach hashes."""
+    lows, highs, places, digits, reach = [], [], [], [], ([], [])
     for at in range(0, len(data) - length + 1, SEGMENT):
         part = data[at : at + SEGMENT + length - 1]
         h, h2 = Hasher(part, 0), Hasher(part, 1)
@@ -92,10 +96,11 @@ def anchors(data: np.ndarray, length: int, gram: int):
         hi = np.r_[lo[1:] - 1, len(place) - 1]
         lows.append(lo + at)
         highs.append(hi + at)
+        places.append(place[lo] + at)
         digits.append(g[place[lo]])
         for out, x in zip(reach, (h, h2)):
             out.append(x.of(lo, hi + length) + (hi - lo).astype(np.uint64))
-    return [np.concatenate(x) for x in (lows, highs, digits, *reach)]
+    return [np.concatenate(x) for x in (lows, highs, places, digits, *reach)]
 
 
 def _bytes_of(column: pa.Array, i: int) -> np.ndarray:
@@ -110,72 +115,102 @@ def _rows(keys: pa.RecordBatch, index: list[int], counts: list[int], more: dict[
     return pa.RecordBatch.from_arrays(cols, names)
 
 
+def _opened(batches: Iterator[pa.RecordBatch], length: int):
+    """For each text of the batches and segment of it with opened runs: the batch, the text's index, where
+    the segment starts, its hashers and the runs."""
+    for batch in batches:
+        text = batch.column("text")
+        for i, runs in enumerate(batch.column("runs").to_pylist()):
+            data = _bytes_of(text, i)
+            for at in range(0, len(data) - length + 1, SEGMENT):
+                here = [r for r in runs if at <= r["lo"] < at + SEGMENT]
+                if here:
+                    part = data[at : at + SEGMENT + length - 1]
+                    yield batch, i, at, [Hasher(part, j) for j in (0, 1)], here
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    for batch, i, at, (h1, h2), runs in _opened(batches, length):
+        lo, hi, place, is_open = (np.array([r[k] for r in runs]) for k in ("lo", "hi", "place", "open"))
+        first, last = (place - hi) // PIECE, (place - lo) // PIECE
+        n = last - first + 1
+        run = np.repeat(np.arange(len(runs)), n)
+        piece = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first, n)
+        start = place[run] - PIECE * piece  # of the string furthest to the right that the piece may have
+        s = np.maximum(lo[run], start - (PIECE - 1))
+        e = np.minimum(hi[run], start)
+        core = h1.of(start - at, start - (PIECE - 1) + length - at) + piece.astype(np.uint64)
+        more = {"lo": s.astype(np.int32), "hi": e.astype(np.int32), "place": np.zeros(len(s), np.int32), "open": is_open[run]}
+        more["digit"] = core.view(np.int64)
+        for k, h in (("r1", h1), ("r2", h2)):
+            more[k] = (h.of(s - at, e + length - at) + (e - s).astype(np.uint64)).view(np.int64)
+        yield _rows(batch, [i], [len(s)], more)
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    for batch, i, at, hashers, runs in _opened(batches, length):
+        s = np.concatenate([np.arange(r["lo"], r["hi"] + 1) for r in runs])
+        is_open = np.concatenate([np.full(r["hi"] - r["lo"] + 1, r["open"]) for r in runs])
+        more = {"s": s.astype(np.int32), "open": is_open}
+        more |= {f"h{j}": h.of(s - at, s - at + length).view(np.int64) for j, h in enumerate(hashers)}
+        yield _rows(batch, [i], [len(s)], more)
+
+
+KEY = ["doc_id", "tk"]
+
+
+def _settle(runs: DataFrame, length: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """Two digits for runs of suffixes. Returns the stretches of runs that repeat throughout, and by
+    document the runs that need opening: in groups of one first digit with different reaches, one
+    for each reach; ``open`` are those whose reach is unique, the others only show what repeats."""
+    of_digit = runs.groupBy("digit").agg(
+        F.count("*").alias("n"), F.max("open").alias("any"), F.min("r1").alias("a"), F.max("r1").alias("b")
+    )
+    of_digit = of_digit.where("n > 1 and any").select("digit", (F.col("a") == F.col("b")).alias("alike"))
+    left = materialize(runs.join(of_digit, "digit"), name)
+    stretch = [*KEY, F.col("lo").alias("s"), (F.col("hi") + length).alias("e")]
+    mixed = left.where("not alike")
+    of_reach = mixed.groupBy("digit", "r1", "r2").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "lo")).alias("one"))
+    mixed = mixed.join(of_reach, ["digit", "r1", "r2"])
+    whole = left.where("alike").select(*stretch).union(mixed.where("n > 1").select(*stretch))
+    opened = mixed.where(F.struct(*KEY, "lo").eqNullSafe(F.col("one")))
+    run = F.struct("lo", "hi", "place", (F.col("open") & (F.col("n") == 1)).alias("open"))
+    return whole, opened.groupBy(*KEY).agg(F.collect_list(run).alias("runs"))
+
+
 def repeated_stretches(docs: DataFrame, length: int = 400, gram: int = 64) -> DataFrame:
     """``(doc_id, tk, spans)``: for documents with repeated strings of ``length`` bytes, the
     stretches ``(s, e)`` that those cover, unmerged."""
+    if not PIECE <= gram < length:
+        raise ValueError("the first digit must be shorter than the strings, and not shorter than a piece")
     d = docs.select("doc_id", text_key(F.col("text")).alias("tk"), "text").where(F.octet_length("text") >= length)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, index, counts, found = batch.column("text"), [], [], []
-            for i in range(batch.num_rows):
-                x = anchors(_bytes_of(text, i), length, gram)
-                index.append(i)
-                counts.append(len(x[0]))
-                found.append(x)
+            found = [anchors(_bytes_of(batch.column("text"), i), length, gram) for i in range(batch.num_rows)]
             if found:
-                lo, hi, digit, r1, r2 = (np.concatenate(x) for x in zip(*found))
-                more = {"lo": lo.astype(np.int32), "hi": hi.astype(np.int32)}
+                lo, hi, place, digit, r1, r2 = (np.concatenate(x) for x in zip(*found))
+                more = {"lo": lo.astype(np.int32), "hi": hi.astype(np.int32), "place": place.astype(np.int32)}
+                more["open"] = np.ones(len(lo), bool)
                 more |= {k: v.view(np.int64) for k, v in (("digit", digit), ("r1", r1), ("r2", r2))}
-                yield _rows(batch, index, counts, more)
-
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    runs = d.mapInArrow(find, f"doc_id {id_type}, tk long, lo int, hi int, digit long, r1 long, r2 long")
-    runs = materialize(runs, "op3-runs")
-
-    # First digit: groups of one are settled. Where all of a group have one reach, all repeat.
-    of_digit = runs.groupBy("digit").agg(
-        F.count("*").alias("n"), F.min("r1").alias("a1"), F.max("r1").alias("b1"), F.min("r2").alias("a2"), F.max("r2").alias("b2")
-    )
-    of_digit = of_digit.where("n > 1").select("digit", ((F.col("a1") == F.col("b1")) & (F.col("a2") == F.col("b2"))).alias("alike"))
-    left = materialize(runs.join(of_digit, "digit"), "op3-left")
-    key = ["doc_id", "tk"]
-    whole = left.where("alike").select(*key, F.col("lo").alias("s"), (F.col("hi") + length).alias("e"))
-
-    # Second digit, in groups with several reaches.
-    mixed = left.where("not alike")
-    of_reach = mixed.groupBy("digit", "r1", "r2").agg(F.count("*").alias("n"), F.min(F.struct(*key, "lo")).alias("one"))
-    mixed = mixed.join(of_reach, ["digit", "r1", "r2"])
-    whole = whole.union(mixed.where("n > 1").select(*key, F.col("lo").alias("s"), (F.col("hi") + length).alias("e")))
-    opened = mixed.where(F.struct(*key, "lo").eqNullSafe(F.col("one")))
-    opened = opened.groupBy(*key).agg(F.collect_list(F.struct("lo", "hi", (F.col("n") == 1).alias("open"))).alias("runs"))
-
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = batch.column("text")
-            for i, own in enumerate(batch.column("runs").to_pylist()):
-                data, out = _bytes_of(text, i), []
-                for at in range(0, len(data) - length + 1, SEGMENT):
-                    part = data[at : at + SEGMENT + length - 1]
-                    hs = [Hasher(part, j) for j in (0, 1)]
-                    here = [r for r in own if at <= r["lo"] < at + SEGMENT]
-                    if not here:
-                        continue
-                    s = np.concatenate([np.arange(r["lo"], r["hi"] + 1) for r in here]) - at
-                    w = np.concatenate([np.full(r["hi"] - r["lo"] + 1, r["open"]) for r in here])
-                    more = {"s": (s + at).astype(np.int32), "open": w}
-                    more |= {f"h{j}": h.of(s, s + length).view(np.int64) for j, h in enumerate(hs)}
-                    yield _rows(batch, [i], [len(s)], more)
-
-    texts = join_same(opened, d, key, "inner")
-    # Each row of a repeated document is the same document here: one is enough.
+                yield _rows(batch, list(range(batch.num_rows)), [len(x[0]) for x in found], more)
+
+    own = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tk long"
+    schema = f"{own}, lo int, hi int, place int, open boolean, digit long, r1 long, r2 long"
+    runs = materialize(d.mapInArrow(find, schema), "op3-runs")
+    whole, opened = _settle(runs, length, "op3-left")
+    # Rows of one key are the same document here: one is enough.
+    texts = materialize(join_same(d, opened, KEY, "inner").dropDuplicates(KEY), "op3-open-texts")
+    pieces = materialize(texts.select(*KEY, "text", "runs").mapInArrow(lambda b: _pieces(b, length), schema), "op3-pieces")
+    also, opened = _settle(pieces, length, "op3-left-pieces")
+    texts = join_same(texts.select(*KEY, "text"), opened, KEY, "inner")
     single = materialize(
-        texts.dropDuplicates(key).mapInArrow(suffixes, f"doc_id {id_type}, tk long, s int, open boolean, h0 long, h1 long"),
-        "op3-suffixes",
+        texts.mapInArrow(lambda b: _suffixes(b, length), f"{own}, s int, open boolean, h0 long, h1 long"), "op3-suffixes"
     )
     twice = single.groupBy("h0", "h1").agg(F.count("*").alias("n")).where("n > 1").select("h0", "h1")
-    found = single.where("open").join(twice, ["h0", "h1"]).select(*key, "s", (F.col("s") + length).alias("e"))
-    return whole.union(found).groupBy(*key).agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    found = single.where("open").join(twice, ["h0", "h1"]).select(*KEY, "s", (F.col("s") + length).alias("e"))
+    spans = whole.union(also).union(found).groupBy(*KEY).agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    return materialize(spans, "op3-spans")
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 64, with_text: bool = False) -> DataFrame:
@@ -189,7 +224,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 64, with_text
     Other columns are ignored; no rows give no rows.
     """
     d = docs.select("doc_id", text_key(F.col("text")).alias("tk"), F.coalesce("text", F.lit("")).alias("text"))
-    d = join_same(d, repeated_stretches(docs, length, gram), ["doc_id", "tk"])
+    d = join_same(d, repeated_stretches(docs, length, gram), KEY)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
