@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import join_same, text_key
+from .shared import join_same, materialize, text_key
 
 
 def later_windows(docs: DataFrame, size: int = 3) -> DataFrame:
@@ -28,6 +28,8 @@ def later_windows(docs: DataFrame, size: int = 3) -> DataFrame:
     # The first occurrence, combined before the shuffle; only repeated windows are joined.
     place = F.struct("doc_id", "tk", "p")
     first = win.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    # Written first, so that the join is one of plain shuffles, in which a frequent window is split.
+    first = materialize(first.select("h", "first"), "op7-first")
     later = win.join(first, "h").where(~place.eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "tk").agg(F.array_sort(F.collect_list("p")).alias("starts"))
 

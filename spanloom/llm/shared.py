@@ -95,11 +95,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         before = e
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Large-star: each neighbour above the node is tied to the least of the neighbourhood.
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # Written before the join, so that it is one of plain shuffles and a frequent node is split.
+        least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "cc-least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         # Small-star: each node and its smaller neighbours are tied to the least of them.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = materialize(large, "cc-large")
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "cc-least")
         joined = large.join(least, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(
             least.select("a", F.col("m").alias("b"))

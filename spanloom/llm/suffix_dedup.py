@@ -166,12 +166,13 @@ def _settle(runs: DataFrame, length: int, name: str) -> tuple[DataFrame, DataFra
     of_digit = runs.groupBy("digit").agg(
         F.count("*").alias("n"), F.max("open").alias("any"), F.min("r1").alias("a"), F.max("r1").alias("b")
     )
-    of_digit = of_digit.where("n > 1 and any").select("digit", (F.col("a") == F.col("b")).alias("alike"))
+    # Counts are written before they are joined: a join of two plain shuffles splits a frequent digit.
+    of_digit = materialize(of_digit.where("n > 1 and any").select("digit", (F.col("a") == F.col("b")).alias("alike")), "op3-digits")
     left = materialize(runs.join(of_digit, "digit"), name)
     stretch = [*KEY, F.col("lo").alias("s"), (F.col("hi") + length).alias("e")]
     mixed = left.where("not alike")
     of_reach = mixed.groupBy("digit", "r1", "r2").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "lo")).alias("one"))
-    mixed = mixed.join(of_reach, ["digit", "r1", "r2"])
+    mixed = mixed.join(materialize(of_reach, "op3-reaches"), ["digit", "r1", "r2"])
     whole = left.where("alike").select(*stretch).union(mixed.where("n > 1").select(*stretch))
     opened = mixed.where(F.struct(*KEY, "lo").eqNullSafe(F.col("one")))
     run = F.struct("lo", "hi", "place", (F.col("open") & (F.col("n") == 1)).alias("open"))
@@ -208,6 +209,7 @@ def repeated_stretches(docs: DataFrame, length: int = 400, gram: int = 64) -> Da
         texts.mapInArrow(lambda b: _suffixes(b, length), f"{own}, s int, open boolean, h0 long, h1 long"), "op3-suffixes"
     )
     twice = single.groupBy("h0", "h1").agg(F.count("*").alias("n")).where("n > 1").select("h0", "h1")
+    twice = materialize(twice, "op3-twice")
     found = single.where("open").join(twice, ["h0", "h1"]).select(*KEY, "s", (F.col("s") + length).alias("e"))
     spans = whole.union(also).union(found).groupBy(*KEY).agg(F.collect_set(F.struct("s", "e")).alias("spans"))
     return materialize(spans, "op3-spans")

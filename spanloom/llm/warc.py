@@ -39,7 +39,8 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     p = p.withColumn("digest", F.sha1("payload"))
     same = p.select("page_id", "digest", F.octet_length("payload").alias("n")).where(F.col("n") >= least_bytes)
     same = same.groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("rows")).where("rows > 1")
-    p = p.join(same.select("digest", "keep"), "digest", "left")
+    # Written first, so that the join is one of plain shuffles, in which a frequent payload is split.
+    p = p.join(materialize(same.select("digest", "keep"), "op2-same"), "digest", "left")
     return p.select(
         "page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("keep")), F.col("keep")).alias("refers_to")
     )
