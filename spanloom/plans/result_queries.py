@@ -1 +1,268 @@
-"""Queries."""
+"""Scores of two arms over cases and runs: summaries, tests, label axes, grades."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import statistics as st
+from .bindings import RESULTS
+from .registry import query
+
+_T = ", ".join(str(x) for x in st.T_95)
+#: Of a group: number, mean, sd and half interval of a value, as DuckDB says them.
+_SUM = """count({x}) AS {x}_n, round(coalesce(avg({x}), 0), 4) AS {x}_mean, round(coalesce(stddev_samp({x}), 0), 4) AS {x}_sd,
+  round(CASE WHEN count({x}) = 0 THEN 0 WHEN count({x}) > 1 THEN (CASE WHEN count({x}) <= 30 THEN [""" + _T + """][count({x}) - 1]::DOUBLE ELSE 1.96::DOUBLE END) * stddev_samp({x}) / sqrt(count({x})) END, 4) AS {x}_ci"""
+_GOOD = "NOT inconclusive"
+
+
+def _good(t):
+    return t.results.where("not inconclusive")
+
+
+@query("prj_05_metadata_defaults", RESULTS + "SELECT case_id, CASE WHEN lines > 5 THEN 'stress' ELSE purpose END AS purpose, gate FROM results")
+def _(t):
+    return t.results.select("case_id", F.coalesce(F.when(F.col("lines") > 5, F.lit("stress")), F.col("purpose")).alias("purpose"), "gate")
+
+
+_SUITES = """, s AS (SELECT *, list_filter([CASE WHEN purpose = 'regression' THEN 'regression' END, CASE WHEN gate = 'release' THEN 'release' END,
+  CASE WHEN mode = 'paired' THEN 'paired' END, CASE WHEN mode = 'solo' AND gate = 'none' THEN 'parked' END], lambda x: x IS NOT NULL) AS suites FROM results)
+"""
+
+
+def _suites(t):
+    col = F.col
+    kinds = [
+        F.when(col("purpose") == "regression", "regression"), F.when(col("gate") == "release", "release"),
+        F.when(col("mode") == "paired", "paired"), F.when((col("mode") == "solo") & (col("gate") == "none"), "parked"),
+    ]
+    return t.results.withColumn("suites", F.array_compact(F.array(*kinds)))
+
+
+@query("prj_06_suites", RESULTS + _SUITES + "SELECT case_id, array_to_string(suites, ',') AS suites FROM s")
+def _(t):
+    return _suites(t).select("case_id", F.array_join("suites", ",").alias("suites"))
+
+
+@query("flt_06_case_filter", RESULTS + _SUITES + "SELECT case_id FROM s WHERE category <> '5-LOW' AND list_has_any(suites, ['release', 'regression'])")
+def _(t):
+    return _suites(t).where((F.col("category") != "5-LOW") & F.arrays_overlap("suites", F.array(F.lit("release"), F.lit("regression")))).select("case_id")
+
+
+@query("flt_10_conclusive", RESULTS + f"SELECT case_id, a, b FROM results WHERE {_GOOD} AND b > 0")
+def _(t):
+    return _good(t).where("b > 0").select("case_id", "a", "b")
+
+
+@query("jn_14_definition_fallback", RESULTS + "SELECT r.case_id, coalesce(d.gate, r.mode) AS gate FROM results r LEFT JOIN (SELECT * FROM defaults WHERE gate <> 'none') d USING (category)")
+def _(t):
+    current = t.defaults.where("gate <> 'none'").select("category", F.col("gate").alias("current"))
+    return t.results.join(current, "category", "left").select("case_id", F.coalesce("current", "mode").alias("gate"))
+
+
+@query("agg_06_mean", RESULTS + f"SELECT category, round(coalesce(avg(a) FILTER ({_GOOD}), 0), 4) AS mean FROM results GROUP BY category")
+def _(t):
+    return t.results.groupBy("category").agg(F.round(st.mean(F.when(~F.col("inconclusive"), F.col("a"))), 4).alias("mean"))
+
+
+@query("agg_07_sd", RESULTS + "SELECT run, category, round(coalesce(stddev_samp(a), 0), 4) AS sd FROM results GROUP BY run, category")
+def _(t):
+    return t.results.groupBy("run", "category").agg(F.round(st.sd(F.col("a")), 4).alias("sd"))
+
+
+@query("agg_08_confidence_interval", RESULTS + f"SELECT run, category, {_SUM.format(x='a')} FROM results GROUP BY run, category")
+def _(t):
+    return t.results.groupBy("run", "category").agg(*st.summary(F.col("a"), "a"))
+
+
+_VECTORS = RESULTS + f""", v AS (SELECT run, category, CAST(sum(a) AS DOUBLE) / count(*) AS a, CAST(sum(b) AS DOUBLE) / count(*) AS b FROM results WHERE {_GOOD} GROUP BY run, category)
+"""
+
+
+def _vectors(t):
+    return _good(t).groupBy("run", "category").agg((F.sum("a").cast("double") / F.count("*")).alias("a"), (F.sum("b").cast("double") / F.count("*")).alias("b"))
+
+
+@query("agg_09_paired_test", _VECTORS + """, d AS (SELECT category, count(*) AS n, avg(a - b) AS m, stddev_samp(a - b) AS s FROM v GROUP BY category),
+w AS (SELECT *, m / (s / sqrt(n)) AS t, atan(abs(m / (s / sqrt(n))) / sqrt(n - 1)) AS th FROM d),
+y AS (SELECT *, CASE n - 1 WHEN 2 THEN sin(th) WHEN 4 THEN sin(th) * (1 + cos(th) ** 2 / 2) WHEN 6 THEN sin(th) * (1 + cos(th) ** 2 / 2 + 3 * cos(th) ** 4 / 8)
+  WHEN 5 THEN 2 / pi() * (th + sin(th) * (cos(th) + 2 * cos(th) ** 3 / 3)) WHEN 3 THEN 2 / pi() * (th + sin(th) * cos(th)) END AS inside FROM w)
+SELECT category, n, round(m, 4) AS mean_diff, round(s, 4) AS sd_diff, round(t, 4) AS t, round(greatest(0, least(1, 1 - inside)), 6) AS p, 1 - inside < 0.05 AS significant FROM y""")
+def _(t):
+    return _vectors(t).groupBy("category").agg(*st.paired_test(F.col("a"), F.col("b")))
+
+
+@query("agg_10_summary", RESULTS + f"SELECT category, {_SUM.format(x='a')}, {_SUM.format(x='b')} FROM results WHERE {_GOOD} GROUP BY category")
+def _(t):
+    return _good(t).groupBy("category").agg(*st.summary(F.col("a"), "a"), *st.summary(F.col("b"), "b"))
+
+
+@query("agg_11_headline", RESULTS + f"""SELECT count(*) AS n, round(avg(a), 4) AS a_mean, round(avg(b), 4) AS b_mean, round(avg(a) - avg(b), 4) AS delta,
+round(avg(a) FILTER ({_GOOD}), 4) AS a_conclusive, count(*) FILTER (inconclusive) AS inconclusive FROM results""")
+def _(t):
+    return t.results.agg(
+        F.count("*").alias("n"), F.round(F.avg("a"), 4).alias("a_mean"), F.round(F.avg("b"), 4).alias("b_mean"), F.round(F.avg("a") - F.avg("b"), 4).alias("delta"),
+        F.round(F.avg(F.when(~F.col("inconclusive"), F.col("a"))), 4).alias("a_conclusive"), F.count_if("inconclusive").alias("inconclusive"),
+    )
+
+
+@query("agg_12_label_axes", RESULTS + f"""SELECT coalesce(category, purpose, gate) AS label, CASE WHEN category IS NOT NULL THEN 'category' WHEN purpose IS NOT NULL THEN 'purpose' ELSE 'gate' END AS axis,
+count(*) AS n, round(avg(a) FILTER ({_GOOD}), 4) AS a_mean, round(avg(b) FILTER ({_GOOD}), 4) AS b_mean FROM results GROUP BY GROUPING SETS ((category), (purpose), (gate))""")
+def _(t):
+    good = lambda c: F.round(F.avg(F.when(~F.col("inconclusive"), F.col(c))), 4).alias(f"{c}_mean")
+    axes = [[F.col("category")], [F.col("purpose")], [F.col("gate")]]
+    g = t.results.groupingSets(axes, "category", "purpose", "gate").agg(F.count("*").alias("n"), good("a"), good("b"))
+    axis = F.when(F.col("category").isNotNull(), "category").when(F.col("purpose").isNotNull(), "purpose").otherwise("gate")
+    return g.select(F.coalesce("category", "purpose", "gate").alias("label"), axis.alias("axis"), "n", "a_mean", "b_mean")
+
+
+@query("agg_13_by_suite", RESULTS + _SUITES + "SELECT suite, count(*) AS n, round(avg(a), 4) AS a_mean FROM (SELECT unnest(suites) AS suite, a FROM s) GROUP BY suite")
+def _(t):
+    return _suites(t).select(F.explode("suites").alias("suite"), "a").groupBy("suite").agg(F.count("*").alias("n"), F.round(F.avg("a"), 4).alias("a_mean"))
+
+
+@query("agg_14_pass_rate", RESULTS + "SELECT run, round(count(*) FILTER (a >= 50) / count(*), 4) AS a_rate, round(count(*) FILTER (b >= 50 AND NOT inconclusive) / nullif(count(*) FILTER (NOT inconclusive), 0), 4) AS b_rate FROM results GROUP BY run")
+def _(t):
+    good = F.count_if(~F.col("inconclusive"))
+    return t.results.groupBy("run").agg(
+        F.round(F.count_if(F.col("a") >= 50) / F.count("*"), 4).alias("a_rate"),
+        F.round(F.count_if((F.col("b") >= 50) & ~F.col("inconclusive")) / F.nullif(good, F.lit(0)), 4).alias("b_rate"),
+    )
+
+
+_MODE = "CASE WHEN {0} < 20 THEN 'omission' WHEN {0} < 40 THEN 'shallow' ELSE 'none' END"
+
+
+@query("agg_15_failure_modes", RESULTS + f"SELECT arm, mode, count(*) AS n FROM (SELECT 'a' AS arm, {_MODE.format('a')} AS mode FROM results UNION ALL SELECT 'b', {_MODE.format('b')} FROM results) GROUP BY arm, mode")
+def _(t):
+    x = t.results.select(F.expr("stack(2, 'a', a, 'b', b) as (arm, score)"))
+    mode = F.when(F.col("score") < 20, "omission").when(F.col("score") < 40, "shallow").otherwise("none")
+    return x.groupBy("arm", mode.alias("mode")).agg(F.count("*").alias("n"))
+
+
+@query("agg_16_process_metrics", RESULTS + "SELECT run, round(avg(lines), 4) AS mean_lines, round(avg(CASE WHEN outcome = 'P' THEN 1 ELSE 0 END), 4) AS hitl_rate, round(avg(CASE WHEN b > 0 THEN a / b END), 4) AS ratio FROM results GROUP BY run")
+def _(t):
+    return t.results.groupBy("run").agg(
+        F.round(F.avg("lines"), 4).alias("mean_lines"), F.round(F.avg((F.col("outcome") == "P").cast("int")), 4).alias("hitl_rate"),
+        F.round(F.avg(F.when(F.col("b") > 0, F.col("a") / F.col("b"))), 4).alias("ratio"),
+    )
+
+
+@query("agg_19_conclusive_n", RESULTS + f"SELECT gate, count(*) FILTER ({_GOOD}) AS n FROM results GROUP BY gate")
+def _(t):
+    return t.results.groupBy("gate").agg(F.count_if(~F.col("inconclusive")).alias("n"))
+
+
+@query("agg_20_null_rules", RESULTS + f"SELECT category, round(avg(CASE WHEN {_GOOD} THEN a END), 4) AS without, round(avg(coalesce(CASE WHEN {_GOOD} THEN a END, 0)), 4) AS as_zero FROM results GROUP BY category")
+def _(t):
+    x = F.when(~F.col("inconclusive"), F.col("a"))
+    return t.results.groupBy("category").agg(F.round(F.avg(x), 4).alias("without"), F.round(F.avg(F.coalesce(x, F.lit(0))), 4).alias("as_zero"))
+
+
+@query("agg_21_run_vectors", _VECTORS + "SELECT run, category, round(a, 4) AS a, round(b, 4) AS b FROM v")
+def _(t):
+    return _vectors(t).select("run", "category", F.round("a", 4).alias("a"), F.round("b", 4).alias("b"))
+
+
+@query("agg_22_multi_run_summary", _VECTORS + f"SELECT category, {_SUM.format(x='a')}, {_SUM.format(x='b')} FROM v GROUP BY category")
+def _(t):
+    return _vectors(t).groupBy("category").agg(*st.summary(F.col("a"), "a"), *st.summary(F.col("b"), "b"))
+
+
+@query("agg_23_first_run_cardinality", RESULTS + "SELECT category, count(*) AS n FROM results WHERE run = (SELECT min(run) FROM results) GROUP BY category")
+def _(t):
+    first = t.table("orders").agg(F.min(F.year("o_orderdate")).alias("run"))
+    return t.results.join(F.broadcast(first), "run").groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query("agg_31_pair_worst_of", RESULTS + "SELECT category, round(least(avg(CASE WHEN a >= 50 THEN 1 ELSE 0 END), avg(CASE WHEN b < 50 THEN 1 ELSE 0 END)), 4) AS worst FROM results GROUP BY category")
+def _(t):
+    rate = lambda c: F.avg(c.cast("int"))
+    return t.results.groupBy("category").agg(F.round(F.least(rate(F.col("a") >= 50), rate(F.col("b") < 50)), 4).alias("worst"))
+
+
+@query("agg_32_layer_gating", RESULTS + """SELECT category, round(avg(CASE WHEN a >= 30 THEN 1 ELSE 0 END), 4) AS layer1, round(avg(CASE WHEN a >= 30 THEN CASE WHEN b >= 30 THEN 1 ELSE 0 END END), 4) AS layer2,
+round(avg(CASE WHEN a >= 30 AND b >= 30 THEN CASE WHEN lines > 3 THEN 1 ELSE 0 END END), 4) AS layer3, count(*) FILTER (a < 30) AS blocked FROM results GROUP BY category""")
+def _(t):
+    one, two, three = F.col("a") >= 30, F.col("b") >= 30, F.col("lines") > 3
+    rate = lambda c: F.round(F.avg(c), 4)
+    return t.results.groupBy("category").agg(
+        rate(one.cast("int")).alias("layer1"), rate(F.when(one, two.cast("int"))).alias("layer2"),
+        rate(F.when(one & two, three.cast("int"))).alias("layer3"), F.count_if(~one).alias("blocked"),
+    )
+
+
+@query("agg_33_dose_response", RESULTS + ", x AS (SELECT lines AS dose, sum(a) AS s, count(*) AS n FROM results GROUP BY lines) SELECT dose, round(s / n, 4) AS quality, round(s / n - lag(s / n) OVER (ORDER BY dose), 4) AS slope FROM x")
+def _(t):
+    x = t.results.groupBy(F.col("lines").alias("dose")).agg((F.sum("a") / F.count("*")).alias("q"))
+    slope = F.col("q") - F.lag("q").over(Window.orderBy("dose"))
+    return x.select("dose", F.round("q", 4).alias("quality"), F.round(slope, 4).alias("slope"))
+
+
+@query("agg_42_root_cause", RESULTS + """, x AS (SELECT category, purpose, avg(a) >= 45 AS hi, avg(b) >= 38 AS lo FROM results GROUP BY category, purpose)
+SELECT category, CASE WHEN hi AND lo THEN 'healthy' WHEN hi THEN 'baseline' WHEN lo THEN 'treatment' ELSE 'both' END AS cause FROM x""")
+def _(t):
+    x = t.results.groupBy("category", "purpose").agg((F.avg("a") >= 45).alias("hi"), (F.avg("b") >= 38).alias("lo"))
+    cause = F.when(F.col("hi") & F.col("lo"), "healthy").when(F.col("hi"), "baseline").when(F.col("lo"), "treatment").otherwise("both")
+    return x.select("category", cause.alias("cause"))
+
+
+@query("agg_05_rubric_composite", RESULTS + "SELECT case_id, floor((least(a, 90) / 90 * 0.25 + least(b, 90) / 90 * 0.25 + least(lines, 3) / 3 * 0.25 + 0.25) * 1000 + 0.5) / 1000 AS composite FROM results")
+def _(t):
+    parts = F.least("a", F.lit(90)) / 90 * 0.25 + F.least("b", F.lit(90)) / 90 * 0.25 + F.least("lines", F.lit(3)) / 3 * 0.25 + 0.25
+    return t.results.select("case_id", (F.floor(parts * 1000 + 0.5) / 1000).alias("composite"))
+
+
+@query("win_17_position_bias", RESULTS + "SELECT case_id, (a > b AND lines % 2 = 0 AND b + 5 > a) OR (b > a AND lines % 2 = 1 AND a + 5 > b) AS biased FROM results")
+def _(t):
+    """The preference flips when a margin of five goes to the arm that is shown second."""
+    a, b, even = F.col("a"), F.col("b"), F.col("lines") % 2 == 0
+    return t.results.select("case_id", (((a > b) & even & (b + 5 > a)) | ((b > a) & ~even & (a + 5 > b))).alias("biased"))
+
+
+@query("gr_07_regrade", RESULTS + "SELECT case_id, a >= CASE gate WHEN 'release' THEN 50 ELSE 30 END AS a_pass, b >= CASE gate WHEN 'release' THEN 50 ELSE 30 END AS b_pass FROM results")
+def _(t):
+    least = F.when(F.col("gate") == "release", 50).otherwise(30)
+    return t.results.select("case_id", (F.col("a") >= least).alias("a_pass"), (F.col("b") >= least).alias("b_pass"))
+
+
+@query("gr_08_clean_win", RESULTS + "SELECT case_id, a > b AND outcome <> 'F' AS better_but_gated FROM results")
+def _(t):
+    return t.results.select("case_id", ((F.col("a") > F.col("b")) & (F.col("outcome") != "F")).alias("better_but_gated"))
+
+
+@query("gr_09_judge_verdict", RESULTS + "SELECT case_id, CASE WHEN inconclusive THEN 'inconclusive' WHEN a > b THEN 'a' WHEN b > a THEN 'b' ELSE 'tie' END AS verdict, round((a + b) / 2, 1) AS mean FROM results")
+def _(t):
+    a, b = F.col("a"), F.col("b")
+    v = F.when(F.col("inconclusive"), "inconclusive").when(a > b, "a").when(b > a, "b").otherwise("tie")
+    return t.results.select("case_id", v.alias("verdict"), F.round((a + b) / 2, 1).alias("mean"))
+
+
+@query("set_05_identical_task_sets", RESULTS + ", x AS (SELECT run, list_sort(list(DISTINCT category)) AS s FROM results GROUP BY run) SELECT run, s = first_value(s) OVER (ORDER BY run) AS same FROM x")
+def _(t):
+    x = t.results.groupBy("run").agg(F.array_sort(F.collect_set("category")).alias("s"))
+    return x.select("run", (F.col("s") == F.first("s").over(Window.orderBy("run"))).alias("same"))
+
+
+@query("snk_06_report_tables", RESULTS + "SELECT run, case_id, category, a, b, a - b AS delta FROM results")
+def _(t):
+    return t.results.select("run", "case_id", "category", "a", "b", (F.col("a") - F.col("b")).alias("delta"))
+
+
+@query("fn_16_round3", RESULTS + "SELECT case_id, floor(a / 7.0::DOUBLE * 1000 + 0.5) / 1000 AS r FROM results")
+def _(t):
+    return t.results.select("case_id", (F.floor(F.col("a") / F.lit(7.0) * 1000 + 0.5) / 1000).alias("r"))
+
+
+@query("fn_19_failure_mode_merge", RESULTS + f"SELECT case_id, coalesce(nullif({_MODE.format('a')}, 'none'), {_MODE.format('b')}) AS mode FROM results")
+def _(t):
+    mode = lambda c: F.when(F.col(c) < 20, "omission").when(F.col(c) < 40, "shallow").otherwise("none")
+    return t.results.select("case_id", F.coalesce(F.nullif(mode("a"), F.lit("none")), mode("b")).alias("mode"))
+
+
+@query("fn_24_badges", RESULTS + "SELECT case_id, CASE WHEN a - b > 5 THEN 'up' WHEN b - a > 5 THEN 'down' ELSE 'level' END AS delta, CASE WHEN b = 0 THEN 'n/a' WHEN a / b > 1.5 THEN 'high' WHEN a / b < 0.8 THEN 'low' ELSE 'even' END AS pressure FROM results")
+def _(t):
+    a, b = F.col("a"), F.col("b")
+    delta = F.when(a - b > 5, "up").when(b - a > 5, "down").otherwise("level")
+    pressure = F.when(b == 0, "n/a").when(F.try_divide(a, b) > 1.5, "high").when(F.try_divide(a, b) < 0.8, "low").otherwise("even")
+    return t.results.select("case_id", delta.alias("delta"), pressure.alias("pressure"))
