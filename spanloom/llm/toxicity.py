@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -123,7 +124,7 @@ def _training_rows(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFr
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").where("text is not null")
     rows = rows.select("text", "toxic", words(F.col("text")).alias("w"))
     rows = materialize(rows.select("text", "toxic", F.array_min(shingle_hashes("w", 4)).alias("mh")), "op8-train")
-    copies = rows.groupBy("mh").agg(F.count("*").alias("n"))
+    copies = materialize(rows.groupBy("mh").agg(F.count("*").alias("n")), "op8-copies")
     return rows.join(copies, "mh").select("text", "toxic", (1 / F.col("n")).alias("weight"))
 
 
@@ -190,37 +191,45 @@ def fit_grammar(
     return g
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.3, steps: int = 40) -> np.ndarray:
-    """Newton's method on the weighted log-likelihood with a pull to the prior; tapes never count
-    against toxicity."""
+def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.3, steps: int = 60) -> np.ndarray:
+    """Projected Newton steps, halved until the penalised loss falls. The penalty pulls to the prior;
+    tapes never count against toxicity, length never for it."""
     x = np.hstack([np.ones((len(x), 1)), x])
-    b = PRIOR.copy()
+    low = np.array([-np.inf] + [0.1] * len(TAPES) + [-np.inf])
+    high = np.array([np.inf] * (1 + len(TAPES)) + [0.0])
+
+    def loss(b: np.ndarray) -> float:
+        z = x @ b
+        return float(w @ (np.logaddexp(0, z) - y * z)) + ridge / 2 * float((b - PRIOR) @ (b - PRIOR))
+
+    b, now = PRIOR.copy(), loss(PRIOR)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        grad = x.T @ (w * (y - p)) - ridge * (b - PRIOR)
+        grad = x.T @ (w * (p - y)) + ridge * (b - PRIOR)
         hess = (x * (w * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(b))
-        step = np.linalg.solve(hess, grad)
-        b = b + np.clip(step, -2, 2)
-        b[1:-1] = np.maximum(b[1:-1], 0.1)
-        b[-1] = min(b[-1], 0.0)
-        if np.abs(step).max() < 1e-6:
+        free = ~(((b <= low) & (grad > 0)) | ((b >= high) & (grad < 0)))
+        step = np.zeros(len(b))
+        step[free] = np.linalg.solve(hess[np.ix_(free, free)], grad[free])
+        size = 1.0
+        while size > 1e-6 and loss(trial := np.clip(b - size * step, low, high)) > now:
+            size /= 2
+        if size <= 1e-6 or now - loss(trial) < 1e-9:
             break
+        b, now = trial, loss(trial)
     return b
 
 
 def toxicity_score(text: Column, g: Grammar) -> Column:
     @F.pandas_udf("double")
-    def of(batches: pd.Series) -> pd.Series:
-        dull = _DULL.setdefault(id(g), set())
-        tapes = np.array([g.tapes(t or "", dull) for t in batches]).reshape(len(batches), len(INPUTS))
-        return pd.Series(g.score(tapes))
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        dull: set[str] = set()
+        for batch in texts:
+            tapes = np.array([g.tapes(t or "", dull) for t in batch]).reshape(len(batch), len(INPUTS))
+            yield pd.Series(g.score(tapes))
 
     return of(text)
 
 
-_DULL: dict[int, set[str]] = {}
-
-
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **fit) -> DataFrame:
     """Per document: ``doc_id, held_out`` (crc32 of the id as text mod 3 is 1: not learned from),
     ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on).
