@@ -1 +1,303 @@
-"""Queries."""
+"""Texts: scalar functions, facts in outputs, graders, conversations, pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import scalars as sc
+from ..operators import facts as fx
+from .bindings import MESSAGES
+from .registry import query
+
+
+@query("fn_01_estimate_tokens", """WITH x AS (SELECT doc_id, text, length(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')) AS units, substr(text, 1, 512) AS head FROM documents)
+SELECT doc_id, CAST(CASE WHEN length(text) = 0 THEN 0 ELSE ceil(units / CASE WHEN length(regexp_replace(head, '[A-Za-z0-9 ]', '', 'g')) >= 0.3 * length(head) THEN 3 ELSE 4 END) END AS BIGINT) AS tokens FROM x""")
+def _(t):
+    return t.table("documents").select("doc_id", sc.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@query("fn_02_content_hash", "SELECT doc_id, sha256(text) AS hash FROM documents")
+def _(t):
+    return t.table("documents").select("doc_id", sc.content_hash(F.col("text")).alias("hash"))
+
+
+@query("fn_03_normalize_prompt", MESSAGES + r"SELECT run_id, turn, regexp_replace(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), '[?.!,;:]+$', '') AS prompt FROM messages")
+def _(t):
+    return t.messages.select("run_id", "turn", sc.normalize_prompt(F.col("text")).alias("prompt"))
+
+
+@query("fn_04_parse_approval", MESSAGES + """SELECT run_id, turn, CASE WHEN contains(lower(text), 'approve') OR contains(lower(text), 'yes') OR contains(lower(text), 'accept') THEN 'approved'
+WHEN contains(lower(text), 'reject') OR contains(lower(text), 'no') OR contains(lower(text), 'deny') THEN 'rejected' ELSE 'unclear' END AS decision FROM messages""")
+def _(t):
+    return t.messages.select("run_id", "turn", sc.parse_approval(F.col("text")).alias("decision"))
+
+
+@query("fn_05_prompt_and_context", MESSAGES + "SELECT run_id, turn, role || chr(10) || chr(10) || text AS prompt FROM messages")
+def _(t):
+    return t.messages.select("run_id", "turn", F.concat("role", F.lit("\n\n"), "text").alias("prompt"))
+
+
+@query("fn_07_normalize_blanks", r"SELECT doc_id, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS h FROM documents")
+def _(t):
+    return t.table("documents").select("doc_id", F.sha2(sc.normalize_blanks(F.col("text")), 256).alias("h"))
+
+
+@query("fn_08_preview", "SELECT doc_id, CASE WHEN length(text) <= 160 THEN text ELSE substr(text, 1, 157) || '...' END AS preview FROM documents")
+def _(t):
+    return t.table("documents").select("doc_id", sc.preview(F.col("text")).alias("preview"))
+
+
+@query("fn_09_flat_preview", "SELECT doc_id, substr(replace(text, chr(10), ' '), 1, 120) AS preview FROM documents")
+def _(t):
+    return t.table("documents").select("doc_id", sc.flat_preview(F.col("text")).alias("preview"))
+
+
+@query("fn_10_truncate", "SELECT page_id, sha256(CASE WHEN length(html) > 3000 THEN substr(html, 1, 3000) || chr(10) || '[truncated]' ELSE html END) AS h, length(html) > 3000 AS cut FROM pages")
+def _(t):
+    return t.table("pages").select("page_id", sc.truncate(F.col("html"), 3000).alias("x")).select("page_id", F.sha2("x.text", 256).alias("h"), "x.cut")
+
+
+@query("fn_11_truncate_with_length", "SELECT doc_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '... (' || length(text) || ' characters)' ELSE text END AS t FROM documents")
+def _(t):
+    return t.table("documents").select("doc_id", sc.truncate_with_length(F.col("text"), 100).alias("t"))
+
+
+_MIME = "CASE " + " ".join(f"WHEN e = '{k}' THEN '{v}'" for k, v in sc.MIME.items()) + " ELSE 'text/plain' END"
+
+
+@query("fn_12_mime_type", f"""WITH x AS (SELECT page_id, split_part(regexp_extract(url, '^[^?#]*'), '/', -1) AS b FROM pages),
+y AS (SELECT page_id, CASE WHEN contains(b, '.') THEN lower(split_part(b, '.', -1)) END AS e FROM x) SELECT page_id, {_MIME} AS mime FROM y""")
+def _(t):
+    path = F.regexp_extract("url", "^[^?#]*", 0)
+    return t.table("pages").select("page_id", path.alias("path")).select("page_id", sc.mime_type(F.col("path")).alias("mime"))
+
+
+@query("fn_13_base_name", "SELECT page_id, split_part(url, '/', -1) AS name FROM pages")
+def _(t):
+    return t.table("pages").select("page_id", sc.base_name(F.col("url")).alias("name"))
+
+
+@query("fn_17_labelled_ids", MESSAGES + "SELECT run_id, turn, len(regexp_extract_all(text || ' id: a' || turn || ' id: b1', 'id:\\s*([0-9A-Za-z-]+)', 1)) AS n FROM messages")
+def _(t):
+    text = F.concat("text", F.lit(" id: a"), F.col("turn").cast("string"), F.lit(" id: b1"))
+    return t.messages.select("run_id", "turn", F.size(sc.labelled_ids(text)).cast("long").alias("n"))
+
+
+@query("fn_20_bytes_and_json", "SELECT event_id, octet_length(encode(props)) AS bytes, json_valid(props) AS valid FROM events")
+def _(t):
+    return t.table("events").select("event_id", F.octet_length("props").cast("long").alias("bytes"), F.try_parse_json("props").isNotNull().alias("valid"))
+
+
+@query("fn_27_dates", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day FROM events")
+def _(t):
+    return t.table("events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+
+
+@query("fn_28_context_budget", "SELECT user_id AS run_id, least(floor(sum(floor(value * 100)) * 0.4), 40000) AS budget FROM events GROUP BY user_id")
+def _(t):
+    return t.events.groupBy("run_id").agg(F.least(F.floor(F.sum("tokens") * F.lit(0.4)).cast("double"), F.lit(40000.0)).alias("budget"))
+
+
+@query("fn_30_main_text")
+def _(t):
+    """Pages as headed plain text; no SQL twin, the tests compare with hand-written pages."""
+    return t.table("pages").select("page_id", sc.main_text(F.col("html")).alias("text"))
+
+
+@query("src_09_page_ingestion")
+def _(t):
+    """Extract, cut and count tokens of every page; pages without content become rows with an error."""
+    p = t.table("pages").select("page_id", "url", sc.truncate(sc.main_text(F.coalesce("html", F.lit("")))).alias("x"))
+    text = F.col("x.text")
+    error = F.when(F.length(text) == 0, "no content")
+    return p.select("page_id", "url", text.alias("text"), F.col("x.cut").alias("cut"), sc.estimate_tokens(text).alias("tokens"), error.alias("error"))
+
+
+# Facts: a fact belongs to a case and is looked for in that case's outputs. Here a document's case is
+# its number modulo the number of facts, and a fact's text is the first words of a benchmark item.
+
+_FACTS = """WITH f AS (SELECT item_id AS fact_id, item_id % 10 AS case_id, array_to_string(string_split(text, ' ')[1:2], ' ') AS canonical,
+  1 + item_id % 3 AS weight, item_id % 7 <> 0 AS present FROM benchmark),
+o AS (SELECT doc_id, doc_id % 10 AS case_id, lower(text) AS text FROM documents),
+m AS (SELECT doc_id, f.*, contains(o.text, lower(canonical)) AS matched FROM o JOIN f USING (case_id)),
+s AS (SELECT doc_id, CAST(sum(weight) FILTER (present) AS DOUBLE) AS w, CAST(coalesce(sum(weight) FILTER (present AND matched), 0) AS DOUBLE) AS hit,
+  CAST(sum(weight) AS DOUBLE) AS wa, CAST(coalesce(sum(weight) FILTER (matched = present), 0) AS DOUBLE) AS hita FROM m GROUP BY doc_id)
+"""
+
+
+def _matches(t):
+    item = F.col("item_id")
+    canonical = F.array_join(F.slice(F.split("text", " "), 1, 2), " ")
+    facts = t.table("benchmark").select(
+        item.alias("fact_id"), (item % 10).alias("case_id"), canonical.alias("canonical"), (1 + item % 3).alias("weight"), (item % 7 != 0).alias("present")
+    )
+    outputs = t.table("documents").select("doc_id", (F.col("doc_id") % 10).alias("case_id"), "text")
+    return fx.match_facts(outputs, facts)
+
+
+@query("jn_15_fact_matching", _FACTS + "SELECT doc_id, fact_id, matched FROM m")
+def _(t):
+    return _matches(t).select("doc_id", "fact_id", "matched")
+
+
+@query("agg_03_factual_score", _FACTS + "SELECT doc_id, round(coalesce(hit / nullif(w, 0), 0), 4) AS score FROM s")
+def _(t):
+    return fx.factual_score(_matches(t), ["doc_id"]).select("doc_id", F.round("score", 4).alias("score"))
+
+
+@query("agg_04_per_fact_score", _FACTS + "SELECT doc_id, round(coalesce(hita / nullif(wa, 0), 0), 4) AS score FROM s")
+def _(t):
+    return fx.per_fact_score(_matches(t), ["doc_id"]).select("doc_id", F.round("score", 4).alias("score"))
+
+
+@query("agg_26_match_heatmap", _FACTS + "SELECT fact_id, round(avg(CASE WHEN matched THEN 1 ELSE 0 END) FILTER (doc_id % 2 = 0), 4) AS even, round(avg(CASE WHEN matched THEN 1 ELSE 0 END) FILTER (doc_id % 2 = 1), 4) AS odd FROM m GROUP BY fact_id")
+def _(t):
+    m = _matches(t).withColumn("config", F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd"))
+    p = m.groupBy("fact_id").pivot("config", ["even", "odd"]).agg(F.avg(F.col("matched").cast("int")))
+    return p.select("fact_id", F.round("even", 4).alias("even"), F.round("odd", 4).alias("odd"))
+
+
+@query("agg_29_matcher_disagreement", _FACTS + ", x AS (SELECT matched, contains(text, lower(string_split(canonical, ' ')[1])) AS loose FROM m JOIN o USING (doc_id)) SELECT count(*) FILTER (matched AND NOT loose) AS only_strict, count(*) FILTER (loose AND NOT matched) AS only_loose FROM x")
+def _(t):
+    m = _matches(t).withColumn("loose", F.contains(F.lower("text"), F.lower(F.get(F.split("canonical", " "), 0))))
+    return m.agg(F.count_if(F.col("matched") & ~F.col("loose")).alias("only_strict"), F.count_if(F.col("loose") & ~F.col("matched")).alias("only_loose"))
+
+
+@query("agg_30_rescore_means", _FACTS + "SELECT round(avg(coalesce(hit / nullif(w, 0), 0)), 4) AS factual, round(avg(coalesce(hita / nullif(wa, 0), 0)), 4) AS per_fact FROM s")
+def _(t):
+    m = _matches(t)
+    return fx.factual_score(m, ["doc_id"]).agg(F.round(F.avg("score"), 4).alias("factual")).crossJoin(
+        fx.per_fact_score(m, ["doc_id"]).agg(F.round(F.avg("score"), 4).alias("per_fact"))
+    )
+
+
+@query("set_06_required_missing", _FACTS + "SELECT doc_id, array_to_string(list_sort(list(fact_id) FILTER (NOT matched AND present)), ',') AS missing FROM m GROUP BY doc_id")
+def _(t):
+    missing = F.array_sort(F.collect_list(F.when(~F.col("matched") & F.col("present"), F.col("fact_id"))))
+    return _matches(t).groupBy("doc_id").agg(F.when(F.size(missing) > 0, F.array_join(missing, ",")).alias("missing"))
+
+
+@query("set_07_forbidden_matched", _FACTS + "SELECT doc_id, count(*) AS n FROM m WHERE matched AND NOT present GROUP BY doc_id")
+def _(t):
+    return _matches(t).where("matched and not present").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("set_08_facts_lost", _FACTS + "SELECT m.doc_id, m.fact_id FROM m JOIN o USING (doc_id) WHERE matched AND NOT contains(substr(o.text, 1, 300), lower(canonical))")
+def _(t):
+    kept = F.contains(F.lower(F.substring("text", 1, 300)), F.lower("canonical"))
+    return _matches(t).where(F.col("matched") & ~kept).select("doc_id", "fact_id")
+
+
+@query("gr_02_compression_fidelity", _FACTS + "SELECT m.doc_id, CASE WHEN bool_or(matched AND NOT contains(substr(o.text, 1, 300), lower(canonical))) THEN 'warn' ELSE 'pass' END AS severity FROM m JOIN o USING (doc_id) GROUP BY m.doc_id")
+def _(t):
+    lost = F.col("matched") & ~F.contains(F.lower(F.substring("text", 1, 300)), F.lower("canonical"))
+    return _matches(t).groupBy("doc_id").agg(F.when(F.bool_or(lost), "warn").otherwise("pass").alias("severity"))
+
+
+@query("gr_06_pass_fail", _FACTS + """, r AS (SELECT s.doc_id, CASE WHEN coalesce(hit / nullif(w, 0), 0) < 0.1 THEN 'low score' END AS r1, CASE WHEN l.quality = 0 THEN 'low quality' END AS r2, CASE WHEN l.toxic = 1 THEN 'toxic' END AS r3
+FROM s JOIN labels l USING (doc_id)) SELECT doc_id, r1 IS NULL AND r2 IS NULL AND r3 IS NULL AS passed, concat_ws('; ', r1, r2, r3) AS reasons FROM r""")
+def _(t):
+    s = fx.factual_score(_matches(t), ["doc_id"]).join(t.table("labels"), "doc_id")
+    reasons = [F.when(F.col("score") < 0.1, "low score"), F.when(F.col("quality") == 0, "low quality"), F.when(F.col("toxic") == 1, "toxic")]
+    return fx.pass_fail(s, reasons).select("doc_id", "passed", "reasons")
+
+
+@query("ga_13_output_matches_artifact", "SELECT d.doc_id, bool_or(contains(trim(regexp_replace(d.text, '\\s+', ' ', 'g')), trim(regexp_replace(b.text, '\\s+', ' ', 'g')))) AS passed FROM documents d JOIN benchmark b ON b.item_id % 10 = d.doc_id % 10 GROUP BY d.doc_id")
+def _(t):
+    d = t.table("documents").select("doc_id", (F.col("doc_id") % 10).alias("k"), sc.normalize_blanks(F.col("text")).alias("a"))
+    b = t.table("benchmark").select((F.col("item_id") % 10).alias("k"), sc.normalize_blanks(F.col("text")).alias("b"))
+    return d.join(b, "k").groupBy("doc_id").agg(F.bool_or(F.contains("a", "b")).alias("passed"))
+
+
+@query("jn_18_human_and_judge", "SELECT l.doc_id, l.quality, CASE WHEN length(d.text) > 1000 THEN 1 ELSE 0 END AS judge FROM labels l JOIN documents d USING (doc_id)")
+def _(t):
+    j = t.table("labels").join(t.table("documents").select("doc_id", (F.length("text") > 1000).cast("int").alias("judge")), "doc_id")
+    return j.select("doc_id", "quality", "judge")
+
+
+@query("src_08_label_scan", "SELECT doc_id, quality, toxic FROM labels WHERE quality = 1")
+def _(t):
+    return t.table("labels").where("quality = 1").select("doc_id", "quality", "toxic")
+
+
+@query("flt_09_range_checks", "SELECT count(*) FILTER (length(text) <> n_chars) AS bad_length, count(*) FILTER (lang NOT IN ('en', 'de', 'fr', 'es')) AS bad_lang, count(*) FILTER (n_chars < 1) AS short, count(*) AS n FROM documents")
+def _(t):
+    return t.table("documents").agg(
+        F.count_if(F.length("text") != F.col("n_chars")).alias("bad_length"), F.count_if(~F.col("lang").isin("en", "de", "fr", "es")).alias("bad_lang"),
+        F.count_if(F.col("n_chars") < 1).alias("short"), F.count("*").alias("n"),
+    )
+
+
+_CAL = """WITH x AS (SELECT quality AS h, CASE WHEN length(d.text) > 1000 THEN 1 ELSE 0 END AS j FROM labels JOIN documents d USING (doc_id))
+"""
+
+
+def _cal(t):
+    d = t.table("documents").select("doc_id", (F.length("text") > 1000).cast("int").alias("j"))
+    return t.table("labels").select("doc_id", F.col("quality").alias("h")).join(d, "doc_id")
+
+
+@query("agg_28_calibration", _CAL + "SELECT count(*) AS n, round(avg(CASE WHEN h = j THEN 1 ELSE 0 END), 4) AS agreement, round(avg(abs(h - j)), 4) AS mean_delta FROM x")
+def _(t):
+    return _cal(t).agg(F.count("*").alias("n"), F.round(F.avg((F.col("h") == F.col("j")).cast("int")), 4).alias("agreement"), F.round(F.avg(F.abs(F.col("h") - F.col("j"))), 4).alias("mean_delta"))
+
+
+@query("agg_35_kappa", _CAL + ", p AS (SELECT avg(CASE WHEN h = j THEN 1 ELSE 0 END) AS po, avg(h) AS ph, avg(j) AS pj FROM x) SELECT round((po - (ph * pj + (1 - ph) * (1 - pj))) / (1 - (ph * pj + (1 - ph) * (1 - pj))), 4) AS kappa FROM p")
+def _(t):
+    p = _cal(t).agg(F.avg((F.col("h") == F.col("j")).cast("int")).alias("po"), F.avg("h").alias("ph"), F.avg("j").alias("pj"))
+    pe = F.col("ph") * F.col("pj") + (1 - F.col("ph")) * (1 - F.col("pj"))
+    return p.select(F.round((F.col("po") - pe) / (1 - pe), 4).alias("kappa"))
+
+
+# Conversations.
+
+
+@query("win_13_midpoint_split", MESSAGES + """, x AS (SELECT run_id, turn, CAST(floor((row_number() OVER (PARTITION BY run_id ORDER BY turn) - 1) / 2) AS BIGINT) AS pair FROM messages)
+SELECT run_id, turn, pair, pair < (max(pair) OVER (PARTITION BY run_id) + 1) / 2 AS older FROM x""")
+def _(t):
+    by_turn = Window.partitionBy("run_id").orderBy("turn")
+    pair = F.floor((F.row_number().over(by_turn) - 1) / 2)
+    x = t.messages.select("run_id", "turn", pair.alias("pair"))
+    return x.withColumn("older", F.col("pair") < (F.max("pair").over(Window.partitionBy("run_id")) + 1) / 2)
+
+
+@query("win_14_compaction_trigger", MESSAGES + ", x AS (SELECT run_id, turn, sum(length(text)) OVER (PARTITION BY run_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS held FROM messages) SELECT run_id, min(turn) AS turn FROM x WHERE held > 800 GROUP BY run_id")
+def _(t):
+    upto = Window.partitionBy("run_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    x = t.messages.select("run_id", "turn", F.sum(F.length("text")).over(upto).alias("held"))
+    return x.where("held > 800").groupBy("run_id").agg(F.min("turn").alias("turn"))
+
+
+@query("ga_10_compaction_count", MESSAGES + "SELECT run_id, CAST(floor(sum(length(text)) / 800) AS BIGINT) BETWEEN 1 AND 3 AS passed FROM messages GROUP BY run_id")
+def _(t):
+    n = F.floor(F.sum(F.length("text")) / 800)
+    return t.messages.groupBy("run_id").agg(n.between(1, 3).alias("passed"))
+
+
+@query("ctx_10_conversation_split", MESSAGES + """, x AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY run_id) AS n FROM messages)
+SELECT run_id, CAST(count(*) FILTER (k <= n / 2) AS BIGINT) AS older, CAST(count(*) FILTER (k > n / 2) AS BIGINT) AS newer, CAST(coalesce(sum(length(text)) FILTER (k <= n / 2), 0) AS BIGINT) AS older_chars FROM x GROUP BY run_id""")
+def _(t):
+    run = Window.partitionBy("run_id")
+    x = t.messages.withColumn("k", F.row_number().over(run.orderBy("turn"))).withColumn("n", F.count("*").over(run))
+    old = F.col("k") <= F.col("n") / 2
+    chars = F.coalesce(F.sum(F.when(old, F.length("text"))), F.lit(0))
+    return x.groupBy("run_id").agg(F.count_if(old).alias("older"), F.count_if(~old).alias("newer"), chars.alias("older_chars"))
+
+
+@query("set_09_preserved_ids", MESSAGES + "SELECT run_id, array_to_string(list_sort(list(DISTINCT role)), ',') AS ids FROM messages GROUP BY run_id")
+def _(t):
+    return t.messages.groupBy("run_id").agg(F.array_join(F.array_sort(F.collect_set("role")), ",").alias("ids"))
+
+
+@query("fn_23_flatten_messages", MESSAGES + "SELECT run_id, sha256(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS flat FROM messages GROUP BY run_id")
+def _(t):
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    flat = F.array_join(F.transform(ordered, lambda m: F.concat(m["role"], F.lit(": "), m["text"])), "\n")
+    return t.messages.groupBy("run_id").agg(F.sha2(flat, 256).alias("flat"))
+
+
+@query("jn_22_message_to_task", MESSAGES + "SELECT m.run_id, m.turn, o.o_orderkey AS task_id FROM messages m JOIN orders o ON o.o_orderkey = m.run_id")
+def _(t):
+    calls = t.messages.select("run_id", "turn", F.col("run_id").alias("call"))
+    return calls.join(t.table("orders").select(F.col("o_orderkey").alias("task_id")), F.col("call") == F.col("task_id")).select("run_id", "turn", "task_id")
