@@ -39,20 +39,20 @@ def consumption(tasks: DataFrame, produces: DataFrame, consumes: DataFrame) -> D
     return used.join(made, ["run_id", "artifact_id"]).where("consumer <> producer").select("run_id", "consumer", "producer", "artifact_id")
 
 
-def reachable(edges: DataFrame, roots: DataFrame, depth: int, materialize=None) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, depth: int, materialize=DataFrame.persist) -> DataFrame:
     """Nodes within ``depth`` hops of ``roots(run_id, node)`` along ``edges(src, dst)``, with the least
     number of hops. Each level joins the frontier and drops what was seen, so cycles end.
 
-    ``materialize``, if given, is called with each frontier to cut the lineage of deep searches; it
-    must keep the rows where every executor finds them, for instance ``DataFrame.checkpoint``.
+    ``materialize`` is called with the edges and each frontier, which several levels use; deep searches
+    cut the lineage with ``DataFrame.checkpoint``.
     """
-    frontier = roots.select("run_id", "node", F.lit(0).alias("hops")).distinct()
+    edges = materialize(edges)
+    frontier = materialize(roots.select("run_id", "node", F.lit(0).alias("hops")).distinct())
     seen = frontier
     for hop in range(1, depth + 1):
         step = frontier.join(edges, frontier["node"] == edges["src"]).select("run_id", F.col("dst").alias("node")).distinct()
         frontier = step.join(seen.select("run_id", "node"), ["run_id", "node"], "left_anti").withColumn("hops", F.lit(hop))
-        if materialize:
-            frontier = materialize(frontier)
+        frontier = materialize(frontier)
         seen = seen.unionByName(frontier)
     return seen
 

@@ -1 +1,58 @@
-"""Queries."""
+"""Streaming jobs replayed over the events there are, next to their batch twins in SQL."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..streaming import flows
+from .bindings import EVENTS
+from .registry import query
+
+
+def _folder(t) -> str:
+    """A folder for a replay, below the one that executors share."""
+    base = t.spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not t.spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(base or '/tmp/checkpoints').rstrip('/')}/replay-{uuid.uuid4().hex}"
+
+
+def _replay(t, job, mode: str = "append", **more):
+    return flows.replay(job(flows.read_events(t.spark, t.sf_dir), **more), _folder(t), mode)
+
+
+@query("str_03_budget_alerts", EVENTS + """, s AS (SELECT *, sum(tokens) OVER (PARTITION BY run_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS running FROM events_)
+SELECT run_id, event_id, CAST(running AS BIGINT) AS running FROM s WHERE running >= 50000 AND running - tokens < 50000""")
+def _(t):
+    return _replay(t, flows.budget_alerts, limit=50_000)
+
+
+@query("str_04_live_breaker", EVENTS + """, s AS (SELECT *, sum(CASE WHEN kind = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY run_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM events_),
+k AS (SELECT *, row_number() OVER (PARTITION BY run_id, island ORDER BY ts, event_id) AS n FROM s WHERE kind = 'error') SELECT run_id, event_id FROM k WHERE n = 3""")
+def _(t):
+    return _replay(t, flows.breaker_trips)
+
+
+@query("str_06_content_dedup", EVENTS + "SELECT DISTINCT run_id, props FROM events_")
+def _(t):
+    return _replay(t, flows.content_dedup)
+
+
+@query("str_08_orphans", EVENTS + "SELECT run_id FROM events_ GROUP BY run_id HAVING max(ts) < (SELECT max(ts) FROM events_) - INTERVAL 1 HOUR")
+def _(t):
+    """Runs without a sign of life in the hour before the stream's end."""
+    last = _replay(t, flows.last_seen, "complete")
+    end = last.agg(F.max("last").alias("end"))
+    return last.join(F.broadcast(end), F.col("last") < F.col("end") - F.expr("interval 1 hour")).select("run_id")
+
+
+@query("str_07_slow_work")
+def _(t):
+    return _replay(t, flows.reconcile, slow_seconds=600)
+
+
+@query("str_01_approvals")
+def _(t):
+    return _replay(t, flows.approvals, timeout_seconds=3600)
