@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bindings import Tables
 
 _FOUND: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {}
-_MODULES = ("graph_queries", "window_queries", "result_queries", "text_queries", "flow_queries", "more_queries")
+_MODULES = ("graph_queries", "window_queries", "result_queries", "text_queries", "flow_queries", "more_queries", "source_queries")
 
 
 def query(name: str, sql: str | None = None):

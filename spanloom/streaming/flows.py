@@ -6,6 +6,7 @@ run and bounded in size; a run's rows of a trigger are taken in event order.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -98,6 +99,20 @@ def approvals(stream: DataFrame, timeout_seconds: int) -> DataFrame:
     return fold(stream, step, (-1, 0), "pending long, at long", "run_id long, request long, outcome string")
 
 
+def decision_reuse(stream: DataFrame) -> DataFrame:
+    """Requests (``signup``) whose prompt the run has decided (``purchase``) before: the first decision.
+    The state holds one id per distinct prompt of the run."""
+
+    def step(state, e):
+        known = json.loads(state[0])
+        if e.kind == "purchase":
+            known.setdefault(e.props, int(e.event_id))
+            return (json.dumps(known),), []
+        return state, [(int(e.event_id), known[e.props])] if e.kind == "signup" and e.props in known else []
+
+    return fold(stream, step, ("{}",), "known string", "run_id long, event_id long, reused long")
+
+
 def content_dedup(stream: DataFrame, within: str = "3650 days") -> DataFrame:
     """The first event of each run and content."""
     return stream.withWatermark("ts", within).dropDuplicatesWithinWatermark(["run_id", "props"]).select("run_id", "props")
