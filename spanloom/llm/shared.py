@@ -40,7 +40,7 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     spark = df.sparkSession
     path = new_path(spark, name)
     cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(cleanup)
+    before = spark.conf.get(cleanup, "false")
     spark.conf.set(cleanup, "true")
     writer = df.write.option("compression", "zstd")
     if partition_by:
