@@ -18,7 +18,7 @@ def match_facts(outputs: DataFrame, facts: DataFrame) -> DataFrame:
     text = F.col("text")
     found = F.contains(F.lower(text), F.lower("canonical"))
     if has("pattern"):
-        found = F.when(F.col("pattern").isNotNull(), text.rlike(F.concat(F.lit("(?iuU)"), "pattern"))).otherwise(found)
+        found = F.when(F.col("pattern").isNotNull(), F.rlike(text, F.concat(F.lit("(?iuU)"), F.col("pattern")))).otherwise(found)
     if has("required_patterns"):
         every = F.forall("required_patterns", lambda p: F.rlike(text, F.concat(F.lit("(?iuU)"), p)))
         found = F.when(F.size("required_patterns") > 0, every).otherwise(found)
