@@ -50,9 +50,9 @@ def _(t):
 
 @query("str_07_slow_work")
 def _(t):
-    return _replay(t, flows.reconcile, slow_seconds=600)
+    return _replay(t, flows.all_work, slow_seconds=600)
 
 
 @query("str_01_approvals")
 def _(t):
-    return _replay(t, flows.approvals, timeout_seconds=3600)
+    return _replay(t, flows.all_approvals, timeout_seconds=3600)

@@ -82,7 +82,7 @@ def _(t):
 @query("str_02_status")
 def _(t):
     """What became of each request so far: its outcome, or pending."""
-    done = _replay(t, flows.approvals, timeout_seconds=3600)
+    done = _replay(t, flows.all_approvals, timeout_seconds=3600)
     asked = t.events.where("kind = 'signup'").select("run_id", F.col("event_id").alias("request"))
     return asked.join(done, ["run_id", "request"], "left").select("run_id", "request", F.coalesce("outcome", F.lit("pending")).alias("status"))
 

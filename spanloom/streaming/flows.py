@@ -1,13 +1,15 @@
 """Keyed-state jobs over an append-only stream of events ``run_id, event_id, ts, kind, tokens, props``.
 
 Each job is a function of the streaming DataFrame. State is kept per run by Spark, partitioned by
-run and bounded in size; a run's rows of a trigger are taken in event order.
+run; a run's rows of a trigger are taken in event order. It is bounded in size but for what waits: prompts
+that were decided, and requests or work that are open.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -64,8 +66,8 @@ def breaker_trips(stream: DataFrame, least: int = 3) -> DataFrame:
 
 
 def reconcile(stream: DataFrame, slow_seconds: int) -> DataFrame:
-    """Work that began (``view``) and had not ended (``click``) within ``slow_seconds``: in progress
-    at first, completed late if an end comes after all."""
+    """Work that began (``view``) and ended (``click``) later than ``slow_seconds``, one piece at a time:
+    what begins while another is open is passed over. ``all_work`` passes over none."""
 
     def step(state, e):
         began, at = state
@@ -80,8 +82,9 @@ def reconcile(stream: DataFrame, slow_seconds: int) -> DataFrame:
 
 
 def approvals(stream: DataFrame, timeout_seconds: int) -> DataFrame:
-    """Requests (``signup``) and what became of them: resolved by the run's next ``purchase``, or
-    rejected as timed out when the run's clock passes the limit before that."""
+    """Requests (``signup``), one at a time, and what became of them: resolved by the run's next
+    ``purchase``, or timed out when the run's clock passes the limit before that. A request that comes
+    while another is pending is passed over; ``all_approvals`` passes over none."""
 
     def step(state, e):
         pending, at = state
@@ -99,6 +102,77 @@ def approvals(stream: DataFrame, timeout_seconds: int) -> DataFrame:
     return fold(stream, step, (-1, 0), "pending long, at long", "run_id long, request long, outcome string")
 
 
+def fold_open(stream: DataFrame, begins: str, ends: str, seconds: int, rows: Callable, stays: bool, output: str, late: str) -> DataFrame:
+    """Keep all that is open in each run. ``begins`` opens, ``ends`` closes what has been open longest:
+    events name a run, not the task. Event time that goes more than ``seconds`` past a beginning closes
+    it too, or with ``stays`` leaves it open. ``rows(id, by, over)`` gives the rows for what
+    event ``by`` ends, or for what goes over its limit (``by`` is null).
+
+    The timer is the watermark of the whole stream, ``late`` behind its newest event, so that a run
+    without further events is timed out as well. Rows older than the watermark still count.
+    """
+    limit = 1000 * seconds
+
+    def of_run(key, frames: Iterator[pd.DataFrame], held: GroupState):
+        # Heaps of [time, id]: within the limit, and over it.
+        (fresh, over), out = map(json.loads, held.get if held.exists else ("[]", "[]")), []
+
+        def pass_to(now: int) -> None:
+            while fresh and fresh[0][0] + limit < now:
+                gone = heappop(fresh)
+                out.extend(rows(gone[1], None, True))
+                if stays:
+                    heappush(over, gone)
+
+        if not held.hasTimedOut:
+            events = pd.concat(frames).sort_values(["at", "event_id"])
+            for e in events.itertuples(index=False):
+                now = int(e.at)
+                pass_to(now)
+                if e.kind == begins:
+                    heappush(fresh, [now, int(e.event_id)])
+                elif e.kind == ends:
+                    first = min((h for h in (over, fresh) if h), key=lambda h: h[0], default=None)
+                    if first and first[0][0] <= now:
+                        out.extend(rows(heappop(first)[1], int(e.event_id), first is over))
+        clock = held.getCurrentWatermarkMs()
+        pass_to(clock)
+        if fresh or over:
+            held.update((json.dumps(fresh), json.dumps(over)))
+            if fresh:
+                held.setTimeoutTimestamp(max(1, clock, fresh[0][0] + limit))
+        elif held.exists:
+            held.remove()
+        frame = pd.DataFrame([(int(key[0]), *r) for r in out], columns=[c.split()[0] for c in output.split(", ")])
+        yield frame.astype({c.split()[0]: "Int64" for c in output.split(", ") if c.endswith(" long")})
+
+    # The operator drops rows whose watermarked column is late. It sees a null there, which never is; the time
+    # is a plain number besides.
+    mark = F.lit(None).cast("timestamp").alias("mark", metadata={"spark.watermarkDelayMs": 0})
+    events = stream.withWatermark("ts", late).select("run_id", "event_id", "kind", F.unix_millis("ts").alias("at"), mark)
+    return events.groupBy("run_id").applyInPandasWithState(of_run, output, "fresh string, over string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def all_work(stream: DataFrame, slow_seconds: int, late: str = "0 seconds") -> DataFrame:
+    """Work that began (``view``) and had not ended (``click``) within ``slow_seconds``: a row ``in progress``
+    when event time passes the limit, and a row ``completed`` if an end comes after all."""
+
+    def rows(began, ended, over):
+        return [(began, ended, "in progress" if ended is None else "completed")] if over else []
+
+    return fold_open(stream, "view", "click", slow_seconds, rows, True, "run_id long, began long, ended long, status string", late)
+
+
+def all_approvals(stream: DataFrame, timeout_seconds: int, late: str = "0 seconds") -> DataFrame:
+    """Requests (``signup``) and what became of them: resolved by a ``purchase`` of the run, which decides the
+    request pending longest, or rejected as timed out when event time passes the limit before that."""
+
+    def rows(request, by, over):
+        return [(request, "timeout" if over else "resolved")]
+
+    return fold_open(stream, "signup", "purchase", timeout_seconds, rows, False, "run_id long, request long, outcome string", late)
+
+
 def decision_reuse(stream: DataFrame) -> DataFrame:
     """Requests (``signup``) whose prompt the run has decided (``purchase``) before: the first decision.
     The state holds one id per distinct prompt of the run."""
