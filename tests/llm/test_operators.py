@@ -185,6 +185,21 @@ def test_url_filter(spark, duck):
     assert url_filter.filter_urls(df.limit(0)).count() == 0
 
 
+def test_url_filter_takes_all_tags(spark):
+    reload = "<meta http-equiv=refresh content=30>"
+    refresh = lambda u: f'<meta http-equiv="refresh" content="0; url={u}">'
+    canon = lambda u: f'<link rel="canonical" href="{u}">'
+    rows = [
+        (1, "http://a.org/1", reload + refresh("http://x.com/en/1")), (2, "http://a.org/2", "<link rel=canonical>" + canon("http://a.org/ok") + canon("http://x.com/en/2")),
+        (3, "http://a.org/3", canon("http://x.com/en/3") + refresh("http://a.org/3b") + refresh("http://www.example.com/en/7")), (4, "http://a.org/3b", ""), (5, "http://a.org/5", reload),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    links = {tuple(r) for r in url_filter.links_of(df).collect()}
+    assert links == {("a.org/1", "x.com/en/1"), ("a.org/2", "a.org/ok"), ("a.org/2", "x.com/en/2"), ("a.org/3", "x.com/en/3"), ("a.org/3", "a.org/3b"), ("a.org/3", "www.example.com/en/7")}
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(df).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(1, k) for k in range(2, 30)] + [(5, 5), (60, 61), (61, 60)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
