@@ -57,7 +57,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
+    """The mixed corpus is written to the shared folder, as ``mixing.mix_shards`` says; what comes back is how
+    many words of each document it takes."""
     return mix(docs)
 
 

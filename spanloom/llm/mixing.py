@@ -4,12 +4,14 @@ Each source's documents are laid end to end and cut into blocks of ``block`` wor
 are dealt to shards; every shard draws how many of its slots each source gets from a multinomial
 over the targets. A source's slots, in shard order, walk through its blocks along a pseudorandom
 permutation of their indexes, again and again until its target is reached; draws beyond that go to
-sources that are short. Blocks join their slots by index. Nothing depends on the order in which
-tasks run, so reruns agree.
+sources that are short. Blocks, with their words, join their slots by index: that is the mix, in
+rows of shards. Nothing depends on the order in which tasks run, so reruns agree.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,10 +20,19 @@ from .shared import BLANK, materialize, text_key
 
 WEIGHTS = (3, 1, 2)
 ROUNDS = 20
+#: Passes in which the shards are written.
+PASSES = 4
+#: A word: a run of non-blanks.
+RUN = "[^" + BLANK[1:] + "+"
 #: More sources than this are joined by shuffling instead of broadcasting.
 BROADCAST_SOURCES = 10_000
 
 
+def _words(more: int | str) -> str:
+    """Pattern of a word and at most ``more`` others after it."""
+    return f"{RUN}+(?:{BLANK}++{RUN}+){{0,{more}}}+"
+
+
 def swap_or_not(i: Column, back: bool = False) -> Column:
     """Place of index ``i`` below ``n_blocks`` in the permutation that columns ``seed`` and ``shifts``
     (a number below ``n_blocks`` for each round) give. A round pairs the indexes by reflection and
@@ -64,7 +75,23 @@ def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weigh
     return s.select("source", "source_size", target.alias("target"))
 
 
-def mix(
+def mix(docs: DataFrame, **how) -> DataFrame:
+    """Per document: ``doc_id, source, size`` (runs of non-blanks in the text; null has none),
+    ``source_size, target`` (of its source) and ``taken``: how many words the mix takes from it, as
+    counted in the shards that ``mix_shards`` writes.
+
+    The words taken from a source equal its target to the word; no document gives more than
+    ``cap`` times its size. Sources without words have target 0. Repeated rows are documents of
+    their own; a null doc_id or source is a value like others. No rows give no rows.
+    """
+    d, shards = mix_shards(docs, **how)
+    spans = shards.select("sid", F.explode("spans").alias("x")).select("sid", "x.off", "x.n")
+    taken = spans.groupBy("sid", "off").agg(F.sum("n").alias("got"))
+    got = F.when(F.col("size") > 0, F.coalesce("got", F.lit(0))).otherwise(F.lit(0).cast("long"))
+    return d.join(taken, ["sid", "off"], "left").select("doc_id", "source", "size", "source_size", "target", got.alias("taken"))
+
+
+def mix_shards(
     docs: DataFrame,
     share: float = 1.5,
     cap: int = 2,
@@ -73,19 +100,20 @@ def mix(
     shard_slots: int = 4096,
     chunk_docs: int = 5_000,
     seed: int = 17,
-) -> DataFrame:
-    """Per document: ``doc_id, source, size`` (runs of non-blanks in the text; null has none),
-    ``source_size, target`` (of its source) and ``taken``: how many words the mix takes from it.
-
-    The words taken from a source equal its target to the word; no document gives more than
-    ``cap`` times its size. Sources without words have target 0. Repeated rows are documents of
-    their own; a null doc_id or source is a value like others. No rows give no rows.
+) -> tuple[DataFrame, DataFrame]:
+    """The documents, as ``doc_id, source, size, source_size, target, sid, off``, and the mix, written
+    to the shared folder: ``shard, place, source, sid, b, use, text, spans``.
+
+    ``off`` is where a document's words begin among those of its source (number ``sid``). A row of the
+    mix holds the first ``use`` words of block ``b``, with the blanks between them and a new line
+    between documents; ``spans`` lists the documents (by ``off``) and their numbers of words. The rows of a
+    shard are in one file, by ``place``.
     """
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[^" + BLANK[1:] + "+")).cast("long")
-    d = docs.select("doc_id", "source", size.alias("size"), text_key(F.col("text")).alias("tk"))
-    d = materialize(d, "op10-sizes")
-    n = d.count()
-    targets = source_targets(d, share, cap, weights)
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(RUN)).cast("long")
+    whole = docs.select("doc_id", "source", size.alias("size"), text_key(F.col("text")).alias("tk"), "text")
+    sizes = materialize(whole.drop("text"), "op10-sizes")
+    n = sizes.count()
+    targets = source_targets(sizes, share, cap, weights)
     src = materialize(
         targets.withColumn("seed", F.xxhash64("source", F.col("source").isNull(), F.lit(seed)))
         .withColumn("want", F.floor("target").cast("long"))
@@ -94,41 +122,66 @@ def mix(
         "op10-sources",
     )
     small = F.broadcast if src.count() <= BROADCAST_SOURCES else (lambda df: df)
-    d = d.withColumn("key", F.struct(F.col("source").isNull(), F.coalesce("source", F.lit(""))))
 
     # Offsets within the source, in two levels: a frequent source spans many chunks.
     chunks = max(1, -(-n // chunk_docs))
-    d = d.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "tk", F.lit(seed)), F.lit(chunks)))
-    in_chunk = Window.partitionBy("key", "chunk").orderBy("doc_id", "tk")
-    d = d.withColumn("rn", F.row_number().over(in_chunk)).withColumn(
-        "off", F.sum("size").over(in_chunk.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    )
+    key = F.struct(F.col("source").isNull(), F.coalesce("source", F.lit(""))).alias("key")
+    chunk = F.pmod(F.xxhash64("doc_id", "tk", F.lit(seed)), F.lit(chunks)).alias("chunk")
     before = Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    bases = d.groupBy("key", "chunk").agg(F.sum("size").alias("s"))
+    bases = sizes.select(key, chunk, "size").groupBy("key", "chunk").agg(F.sum("size").alias("s"))
     bases = bases.select("key", "chunk", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
-    src_key = F.struct(F.col("source").isNull(), F.coalesce("source", F.lit(""))).alias("key")
-    d = d.join(bases, ["key", "chunk"]).join(small(src.select(src_key, "sid", "source_size", "target")), "key")
-    d = d.withColumn("off", F.col("off") + F.col("base"))
-
-    taken = _taken_of_blocks(src, block, cap, shard_slots, seed, small)
-    first, last = F.floor(F.col("off") / block), F.floor((F.col("off") + F.greatest("size", F.lit(1)) - 1) / block)
-    row = ["doc_id", "source", "size", "source_size", "target", "sid", "off", "chunk", "rn"]
-    pieces = d.select(*row, F.explode_outer(F.sequence(first, last)).alias("b"))
-    lo = F.greatest(F.col("off"), F.col("b") * block) - F.col("b") * block
-    hi = F.least(F.col("off") + F.col("size"), (F.col("b") + 1) * block) - F.col("b") * block
-    got = F.greatest(F.least(F.coalesce("t_last", F.lit(0)), hi) - lo, F.lit(0)) + F.coalesce("full", F.lit(0)) * F.greatest(hi - lo, F.lit(0))
-    return (
-        pieces.join(taken, ["sid", "b"], "left")
-        .withColumn("got", F.coalesce(got, F.lit(0)))
-        .groupBy(*row)
-        .agg(F.sum("got").alias("taken"))
-        .select("doc_id", "source", "size", "source_size", "target", "taken")
-    )
-
-
-def _taken_of_blocks(src: DataFrame, block: int, cap: int, shard_slots: int, seed: int, small) -> DataFrame:
-    """``(sid, b, full, t_last)``: how often block ``b`` is taken whole, and how many of its first
-    words a source's last slot takes (0 if that is another block)."""
+    bases = materialize(bases, "op10-bases")
+
+    def placed(df: DataFrame) -> DataFrame:
+        upto = Window.partitionBy("key", "chunk").orderBy("doc_id", "tk").rowsBetween(Window.unboundedPreceding, 0)
+        d = df.select("*", key, chunk).withColumn("off", F.sum("size").over(upto) - F.col("size"))
+        d = d.join(bases, ["key", "chunk"]).join(small(src.select(key, "sid", "source_size", "target")), "key")
+        return d.withColumn("off", F.col("off") + F.col("base"))
+
+    # A document's words are cut where blocks end: made-up words in front fill its first block.
+    d = placed(whole.where(F.col("text").rlike(RUN[:-1])))
+    pad = F.pmod(F.col("off"), F.lit(block)).cast("int")
+    padded = F.concat(F.repeat(F.lit("x "), pad), F.col("text"))
+    cut = F.regexp_extract_all(padded, F.lit(_words(block - 1)), F.lit(0))
+    pieces = d.select("sid", "off", "size", pad.alias("pad"), F.posexplode(cut).alias("i", "piece"))
+    b = F.floor(F.col("off") / block) + F.col("i")
+    lo, hi = F.greatest("off", b * block), F.least(F.col("off") + F.col("size"), (b + 1) * block)
+    piece = F.when(F.col("i") == 0, F.regexp_replace(F.substr("piece", 2 * F.col("pad") + 1), "^" + BLANK + "+", "")).otherwise(F.col("piece"))
+    pieces = pieces.select("sid", b.alias("b"), F.struct("off", (hi - lo).alias("n"), piece.alias("piece")).alias("x"))
+    blocks = pieces.groupBy("sid", "b").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    span = lambda x: F.struct(x["off"].alias("off"), x["n"].alias("n"))
+    blocks = blocks.select("sid", "b", F.array_join(F.col("x.piece"), "\n").alias("text"), F.transform("x", span).alias("spans"))
+    slots = _slots(src, block, cap, shard_slots, seed, small).groupBy("sid", "b")
+    slots = slots.agg(F.max("length").alias("length"), F.collect_list(F.struct("shard", "place", "use")).alias("slots"))
+    # A block's slots come to where the block is made, so that its text is not dealt out again for the join.
+    blocks = materialize(blocks.join(slots.hint("shuffle_hash"), ["sid", "b"]), "op10-blocks")
+
+    def shards_of(turn: int) -> DataFrame:
+        mine = F.filter("slots", lambda x: F.pmod(x["shard"], F.lit(PASSES)) == turn)
+        rows = blocks.select("sid", "b", "length", "text", "spans", F.explode(mine).alias("x"))
+        rows = rows.select("sid", "b", "length", "text", "spans", "x.*").join(small(src.select("sid", "source")), "sid")
+        return _cut(rows, block).repartition("shard").sortWithinPartitions("shard", "place")
+
+    # In passes, as the shuffle of one is dropped before the next.
+    shards = reduce(DataFrame.union, [materialize(shards_of(i), "op10-shards") for i in range(PASSES)])
+    return placed(sizes).select("doc_id", "source", "size", "source_size", "target", "sid", "off"), shards
+
+
+def _cut(rows: DataFrame, block: int) -> DataFrame:
+    """Rows of the mix with the words they use."""
+    # Only a source's last slot takes part of a block.
+    part = F.col("use") < F.col("length")
+    first = F.regexp_substr("text", F.concat(F.lit(_words("")[:-2]), (F.col("use") - 1).cast("string"), F.lit("}+")))
+    rows = rows.withColumn("text", F.when(part, first).otherwise(F.col("text")))
+    at = lambda x: F.greatest(x["off"] - F.col("b") * block, F.lit(0))
+    kept = F.transform("spans", lambda x: F.struct(x["off"].alias("off"), F.least(x["n"], F.col("use") - at(x)).alias("n")))
+    rows = rows.withColumn("spans", F.when(part, F.filter(kept, lambda x: x["n"] > 0)).otherwise(F.col("spans")))
+    return rows.select("shard", "place", "source", "sid", "b", "use", "text", "spans")
+
+
+def _slots(src: DataFrame, block: int, cap: int, shard_slots: int, seed: int, small) -> DataFrame:
+    """``(shard, place, sid, b, length, use)``: every slot that takes words, the block that comes there, its
+    number of words, and how many of its first words are used (all, but in a source's last slot)."""
     # All blocks of a source are full but the last, whose turn in each round of the permutation is
     # where the permutation puts it. So many slots reach the target in any case:
     quota = F.ceil((F.col("want") + cap * F.col("short")) / block).cast("long")
@@ -148,35 +201,44 @@ def _taken_of_blocks(src: DataFrame, block: int, cap: int, shard_slots: int, see
         "sid", "begin", "end", F.explode(F.sequence(F.floor(F.col("begin") / cell), F.floor((F.col("end") - 1) / cell))).alias("cell")
     )
     slots = src.sparkSession.range(total).select(
+        F.col("id").alias("place"),
         F.floor(F.col("id") / shard_slots).alias("shard"),
         F.pmod(F.xxhash64("id", F.lit(seed), F.lit("slot")), F.lit(max(1, total))).alias("u"),
     )
     drawn = slots.withColumn("cell", F.floor(F.col("u") / cell)).join(small(cells), "cell").where("u >= begin and u < end")
+    # Written, so that counts and slots come from one draw.
+    drawn = materialize(drawn.select("shard", "place", "sid"), "op10-draws")
     per_shard = drawn.groupBy("shard", "sid").agg(F.count("*").alias("n"))
 
-    # A source's slots are numbered along the shards. Draws beyond its quota are dealt to the
-    # sources that are short, so that each ends with its quota: numbers 0 to quota - 1.
+    # A source's slots are numbered along the shards and in them by place.
     earlier = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    per_shard = materialize(
-        per_shard.withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0))), "op10-draws"
-    )
-    # The table of counts is small; its slots are many.
-    spread = per_shard.repartition(max(1, total // 200_000), "shard", "sid")
-    numbers = spread.select("sid", F.explode_outer(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("k"))
+    per_shard = per_shard.withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    per_shard = materialize(per_shard.select("shard", "sid", "start", "n"), "op10-starts")
+    rank = F.row_number().over(Window.partitionBy("shard", "sid").orderBy("place")) - 1
+    numbers = drawn.withColumn("r", rank).join(per_shard, ["shard", "sid"])
+    numbers = numbers.select("shard", "place", "sid", (F.col("start") + F.col("r")).alias("k"))
+
+    # Slots drawn beyond a source's quota are dealt to the sources that are short, one for one, so that
+    # each ends with its quota: numbers 0 to quota - 1.
     drawn_n = per_shard.groupBy("sid").agg(F.sum("n").alias("drawn"))
     lack = plan.join(drawn_n, "sid", "left").select("sid", "quota", F.coalesce("drawn", F.lit(0)).alias("drawn"))
-    extra = lack.where("drawn < quota").select("sid", F.explode_outer(F.sequence(F.col("drawn"), F.col("quota") - 1)).alias("k"))
-    k = numbers.union(extra).join(small(plan), "sid").where("k < quota")
+    past = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
+    over, short = F.greatest(F.col("drawn") - F.col("quota"), F.lit(0)), F.greatest(F.col("quota") - F.col("drawn"), F.lit(0))
+    lack = lack.withColumn("over_base", F.coalesce(F.sum(over).over(past), F.lit(0))).withColumn("short_base", F.coalesce(F.sum(short).over(past), F.lit(0)))
+    lack = materialize(lack, "op10-lack")
+    numbers = materialize(numbers.join(small(lack), "sid"), "op10-numbers")
+    spare = numbers.where("k >= quota").select("shard", "place", (F.col("over_base") + F.col("k") - F.col("quota")).alias("j"))
+    extra = lack.where("drawn < quota").select("sid", "drawn", "short_base", F.explode(F.sequence(F.col("drawn"), F.col("quota") - 1)).alias("k"))
+    extra = extra.select("sid", "k", (F.col("short_base") + F.col("k") - F.col("drawn")).alias("j")).join(spare, "j")
+    columns = ["shard", "place", "sid", "k"]
+    k = numbers.where("k < quota").select(columns).union(extra.select(columns)).join(small(plan), "sid")
 
     k = k.withColumn("turn", F.floor(F.col("k") / F.col("n_blocks"))).withColumn("i", F.pmod("k", "n_blocks"))
     k = k.withColumn("b", swap_or_not(F.col("i")))
     # Written, so that what follows uses the places and doesn't work them out again for each use.
-    k = materialize(k.select("sid", "k", "turn", "i", "b", "short_at", "n_blocks", "want", "short"), "op10-slots")
+    k = materialize(k.select("shard", "place", "sid", "k", "turn", "i", "b", "short_at", "n_blocks", "want", "short"), "op10-slots")
     short_gone = F.col("turn") + F.when(F.col("i") > F.col("short_at"), 1).otherwise(0)
     start = F.col("k") * block - short_gone * F.col("short")
     length = F.when(F.col("b") == F.col("n_blocks") - 1, block - F.col("short")).otherwise(F.lit(block))
     k = k.withColumn("length", length).withColumn("use", F.least(F.col("want") - start, F.col("length"))).where("use > 0")
-    return k.groupBy("sid", "b").agg(
-        F.sum(F.when(F.col("use") == F.col("length"), 1).otherwise(0)).alias("full"),
-        F.sum(F.when(F.col("use") < F.col("length"), F.col("use")).otherwise(0)).alias("t_last"),
-    )
+    return k.select("shard", "place", "sid", "b", "length", "use")

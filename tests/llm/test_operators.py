@@ -368,6 +368,40 @@ def test_mixing(spark, docs, empty, sf_dir):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mix_is_written_in_shards(spark, docs, empty, sf_dir):
+    word = r"[^\x20\x09-\x0D]+"
+    for df in (docs, spark.read.parquet(f"{sf_dir}/documents.parquet")):
+        d, shards = mixing.mix_shards(df, shard_slots=64)
+        texts = defaultdict(list)
+        for r in df.collect():
+            texts[r.doc_id, r.source, len(re.findall(word, r.text or ""))].append(re.findall(word, r.text or ""))
+        laid, taken = defaultdict(dict), Counter()
+        for r in d.collect():
+            if r.size:
+                laid[r.sid][r.off] = [r.doc_id, r.source, r.size]
+        # Rows of one id, source and size differ in words at most: any order is tried by what the mix holds.
+        words_of = {s: [None] * sum(x[2] for x in of.values()) for s, of in laid.items()}
+        mixed, want = shards.collect(), {r.sid: int(r.target + 1e-6) for r in d.collect()}
+        assert len({r.place for r in mixed}) == len(mixed) and all(r.shard == r.place // 64 for r in mixed)
+        for r in mixed:
+            got = re.findall(word, r.text)
+            assert len(got) == r.use == sum(x.n for x in r.spans) <= 64
+            taken[r.sid] += r.use
+            for j, w in enumerate(got, 64 * r.b):
+                assert words_of[r.sid][j] in (None, w)
+                words_of[r.sid][j] = w
+            at = 64 * r.b
+            for x in r.spans:
+                assert x.off == at or (x.off < at == 64 * r.b)
+                at += x.n
+        for s, of in laid.items():
+            for off, (i, source, size) in of.items():
+                seen = words_of[s][off : off + size]
+                assert any(all(a in (None, b) for a, b in zip(seen, t)) for t in texts[i, source, size])
+        assert all(abs(taken[s] - n) <= 1 for s, n in want.items())
+    assert mixing.mix_shards(empty)[1].count() == 0
+
+
 def test_permutation_is_one(spark):
     for n in (1, 2, 7, 1000):
         df = spark.range(n).selectExpr("id as i", f"cast({n} as long) as n_blocks", "5L as seed")
