@@ -1,16 +1,19 @@
 """WARC archives with Zstandard dictionaries.
 
-The writer makes one or more ``.warc.zst`` files per partition. A file begins with a skippable
-frame that holds a dictionary trained on the file's first records; then every record is a frame of
-its own, so that any can be read alone. Payloads that an earlier decision found equal are written
-once as a response and otherwise as revisits of it. The reader takes the dictionary from the
-file's head and streams the records. Both sides hold one record and the training sample at most.
+One dictionary is built from a sample over all records. The writer makes one or more ``.warc.zst``
+files per partition: each begins with a skippable frame that holds the dictionary, then every
+record is a frame of its own, so that any can be read alone. Payloads that are equal byte for byte
+are written once as a response and otherwise as revisits of it. The reader takes the dictionary
+from the file's head and streams the records; both sides hold one record at a time.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import io
+import json
+import re
 import struct
 from collections.abc import Iterator
 
@@ -25,22 +28,35 @@ from .shared import materialize, new_path
 
 #: Skippable frame that a dictionary comes in.
 MAGIC = 0x184D2A5D
+#: Fixed, so that reruns write equal bytes.
+DATE = "2000-01-01T00:00:00Z"
 MANIFEST = "path string, records long, bytes long"
 RECORD = (
     "page_id long, url string, record_type string, refers_to long, payload_bytes long,"
     " payload_digest string, payload binary, intact boolean"
 )
+#: What a header line can't hold as it is: line ends and other controls, and blanks at either end.
+_NOT_IN_A_LINE = re.compile(r"[\x00-\x1f\x7f]|^\s|\s$|^$")
 
 
-def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """``page_id, url, payload, digest`` (SHA-1, hex) and ``refers_to``: for a payload of at least
-    ``least_bytes`` that others share, the largest page_id among them, unless it is the row's own."""
+def payloads_of(pages: DataFrame) -> DataFrame:
+    """``page_id, url, payload`` (UTF-8) and ``digest`` (SHA-1, hex)."""
     p = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    p = p.withColumn("digest", F.sha1("payload"))
-    same = p.select("page_id", "digest", F.octet_length("payload").alias("n")).where(F.col("n") >= least_bytes)
-    same = same.groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("rows")).where("rows > 1")
+    return p.withColumn("digest", F.sha1("payload"))
+
+
+def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """The columns of ``payloads_of`` and ``refers_to``: for a payload of at least
+    ``least_bytes`` that others share, the largest page_id among them, unless it is the row's own.
+    Digests find who may be equal, bytes decide."""
+    p = payloads_of(pages)
+    often = p.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.count("*").alias("rows")).where("rows > 1")
+    often = materialize(often.select("digest"), "op2-digests")
+    # Equal payloads combine before they are shuffled; only those with a digest that repeats are.
+    same = p.join(often, "digest", "left_semi").groupBy("digest", "payload").agg(F.max("page_id").alias("keep"), F.count("*").alias("rows"))
     # Written first, so that the join is one of plain shuffles, in which a frequent payload is split.
-    p = p.join(materialize(same.select("digest", "keep"), "op2-same"), "digest", "left")
+    same = materialize(same.where("rows > 1").select("digest", F.col("payload").alias("shared"), "keep"), "op2-same")
+    p = p.join(same, (p["digest"] == same["digest"]) & (F.col("payload") == F.col("shared")), "left").drop(same["digest"])
     return p.select(
         "page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("keep")), F.col("keep")).alias("refers_to")
     )
@@ -58,12 +74,16 @@ def page_urn(page_id) -> str:
 
 def page_record(page_id, url, payload: bytes, digest: str, refers_to, date: str) -> bytes:
     """The response or, with ``refers_to``, the revisit record of a page. The HTTP head of a
-    revisit still tells the payload's length."""
+    revisit still tells the payload's length. A url that no header line can hold comes as JSON in
+    a header of its own, next to one without blanks and controls."""
     b32 = base64.b32encode(bytes.fromhex(digest)).decode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     headers = [("WARC-Record-ID", page_urn(page_id)), ("WARC-Date", date)]
     if url is not None:
-        headers.append(("WARC-Target-URI", "".join(url.split())))
+        if _NOT_IN_A_LINE.search(url):
+            headers += [("WARC-Target-URI", re.sub(r"[\s\x00-\x1f\x7f]", "", url)), ("X-Target-JSON", json.dumps(url))]
+        else:
+            headers.append(("WARC-Target-URI", url))
     headers += [("WARC-Payload-Digest", f"sha1:{b32}"), ("Content-Type", "application/http; msgtype=response")]
     if refers_to is None or pd.isna(refers_to):
         return _record("response", headers, http + payload)
@@ -71,18 +91,42 @@ def page_record(page_id, url, payload: bytes, digest: str, refers_to, date: str)
     return _record("revisit", [*headers, ("WARC-Profile", profile), ("WARC-Refers-To", page_urn(refers_to))], http)
 
 
+def build_dictionary(
+    pages: DataFrame, samples: int = 1_000, piece_bytes: int = 8_192, dict_bytes: int = 65_536, date: str = DATE
+) -> bytes:
+    """A dictionary of at most ``dict_bytes``, built in one task from records of at most ``samples`` pages of
+    ``payloads_of``, which are drawn by hash from all of them. A payload above ``piece_bytes`` gives one piece from a hashed
+    place. Records that are too few or too alike to train on become a raw-content dictionary."""
+    n = pages.count()
+    order = F.xxhash64("page_id", "url")
+    room = F.greatest(F.octet_length("payload") - piece_bytes, F.lit(0)) + 1
+    piece = F.substr("payload", (F.pmod(F.xxhash64("page_id", F.lit(1)), room) + 1).cast("int"), F.lit(piece_bytes))
+    some = pages.where(F.pmod(order, F.lit(max(n, 1))) < 2 * samples)
+    some = some.select(order.alias("o"), "page_id", "url", piece.alias("payload"), "digest").orderBy("o").limit(samples)
+
+    def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        records = [
+            page_record(*row, None, date) for pdf in batches for row in zip(pdf["page_id"], pdf["url"], pdf["payload"], pdf["digest"])
+        ]
+        if records:
+            try:
+                made = zstandard.train_dictionary(dict_bytes, records).as_bytes()
+            except zstandard.ZstdError:
+                made = b"".join(records)[-dict_bytes:]
+            yield pd.DataFrame({"dictionary": [made]})
+
+    found = some.coalesce(1).mapInPandas(train, "dictionary binary").first()
+    return bytes(found["dictionary"]) if found else b""
+
+
 def write_archives(
-    pages: DataFrame,
-    sample_bytes: int = 2_000_000,
-    dict_bytes: int = 65_536,
-    file_bytes: int = 1 << 30,
-    level: int = 3,
-    date: str = "2000-01-01T00:00:00Z",
+    pages: DataFrame, learned: bytes, file_bytes: int = 1 << 30, level: int = 3, date: str = DATE
 ) -> DataFrame:
-    """Write ``pages`` as archives into the shared folder; returns the manifest ``path, records, bytes``.
+    """Write the pages of ``with_revisits`` as archives with the dictionary ``learned`` into the shared
+    folder; returns the manifest ``path, records, bytes``.
 
     Each task attempt writes under names of its own, and the manifest has those of the attempts
-    that succeeded. ``date`` is fixed so that reruns write equal bytes.
+    that succeeded.
     """
     folder = new_path(pages.sparkSession, "op2-warc")
 
@@ -91,48 +135,40 @@ def write_archives(
         fs.create_dir(base, recursive=True)
         ctx = TaskContext.get()
         stem = f"{base}/part-{ctx.partitionId():06d}-{ctx.taskAttemptId()}"
+        z = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(learned))
+        info = _record("warcinfo", [("WARC-Record-ID", "<urn:info:0>"), ("WARC-Date", date)], b"format: WARC/1.1\r\n")
         rows = (
             page_record(*row, date)
             for pdf in batches
             for row in zip(pdf["page_id"], pdf["url"], pdf["payload"], pdf["digest"], pdf["refers_to"])
         )
         done = []
-        for n in range(1 << 30):
-            sample, held = [], 0
-            for r in rows:
-                sample.append(r)
-                held += len(r)
-                if held >= sample_bytes:
-                    break
-            if not sample:
-                break
-            try:
-                dictionary = zstandard.train_dictionary(dict_bytes, sample)
-            except zstandard.ZstdError:  # too few records to learn from
-                dictionary = None
-            z = zstandard.ZstdCompressor(level=level, dict_data=dictionary)
-            path, count, size = f"{stem}-{n}.warc.zst", 0, 0
-            with fs.open_output_stream(path) as out:
-                if dictionary:
-                    head = dictionary.as_bytes()
-                    size += out.write(struct.pack("<II", MAGIC, len(head)) + head)
-                info = _record("warcinfo", [("WARC-Record-ID", "<urn:info:0>"), ("WARC-Date", date)], b"format: WARC/1.1\r\n")
+        record = next(rows, None)
+        while record is not None:
+            path, count = f"{stem}-{len(done)}.warc.zst", 0
+            # The frames are compressed here: the stream must not guess from the name and do it again.
+            with fs.open_output_stream(path, compression=None) as out:
+                size = out.write(struct.pack("<II", MAGIC, len(learned)) + learned)
                 size += out.write(z.compress(info))
-                for r in sample:
-                    size += out.write(z.compress(r))
-                count = len(sample)
-                if size < file_bytes:
-                    for r in rows:
-                        size += out.write(z.compress(r))
-                        count += 1
-                        if size >= file_bytes:
-                            break
+                while record is not None and (not count or size < file_bytes):
+                    size += out.write(z.compress(record))
+                    count += 1
+                    record = next(rows, None)
             done.append((path, count, size))
         yield pd.DataFrame(done, columns=["path", "records", "bytes"])
 
     return materialize(pages.select("page_id", "url", "payload", "digest", "refers_to").mapInPandas(write, MANIFEST), "op2-manifest")
 
 
+def open_archive(fs: pafs.FileSystem, path: str):
+    """The dictionary at an archive's head, and the stream behind it."""
+    f = fs.open_input_stream(path, compression=None)
+    magic, length = struct.unpack("<II", f.read(8))
+    if magic != MAGIC:
+        raise ValueError(f"{path} doesn't begin with a dictionary")
+    return zstandard.ZstdCompressionDict(f.read(length)), f
+
+
 def records_of(stream) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header and block of each record of an uncompressed stream."""
     f = io.BufferedReader(stream, 1 << 20)
@@ -159,21 +195,16 @@ def _page_of(urn: str | None):
 def read_archives(manifest: DataFrame, payloads: bool = True, batch_bytes: int = 16_000_000) -> DataFrame:
     """The response and revisit records of the archives in ``manifest``: ``page_id, url, record_type,
     refers_to, payload_bytes`` and ``payload_digest`` (of the full payload, also for revisits),
-    ``payload`` (null for revisits, or if not wanted) and ``intact``: the payload has its digest."""
-    import hashlib
-
+    ``payload`` (null for revisits, or if not wanted) and ``intact``: a response's payload has its
+    length and digest, a revisit brings none."""
     folders = max(1, manifest.count())
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in RECORD.split(", ")]
         for path in (p for pdf in batches for p in pdf["path"]):
             fs, base = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-            with fs.open_input_stream(base) as f:
-                magic, length = struct.unpack("<II", f.read(8))
-                dictionary = zstandard.ZstdCompressionDict(f.read(length)) if magic == MAGIC else None
-                if not dictionary:
-                    f.close()
-                    f = fs.open_input_stream(base)
+            dictionary, f = open_archive(fs, base)
+            with f:
                 z = zstandard.ZstdDecompressor(dict_data=dictionary)
                 rows, held = [], 0
                 for head, block in records_of(z.stream_reader(f, read_across_frames=True)):
@@ -183,11 +214,13 @@ def read_archives(manifest: DataFrame, payloads: bool = True, batch_bytes: int =
                     length = int(http.rpartition(b"Content-Length: ")[2])
                     digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
                     revisit = head["WARC-Type"] == "revisit"
-                    good = revisit or (
-                        len(body) == length and base64.b32encode(hashlib.sha1(body).digest()).decode() == digest
-                    )
+                    if revisit:
+                        good = not body
+                    else:
+                        good = len(body) == length and base64.b32encode(hashlib.sha1(body).digest()).decode() == digest
+                    url = json.loads(head["X-Target-JSON"]) if "X-Target-JSON" in head else head.get("WARC-Target-URI")
                     rows.append((
-                        _page_of(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), head["WARC-Type"],
+                        _page_of(head["WARC-Record-ID"]), url, head["WARC-Type"],
                         _page_of(head.get("WARC-Refers-To")), length, digest, body if payloads and not revisit else None, good,
                     ))
                     held += len(body) if payloads else 200
@@ -212,10 +245,15 @@ def archive_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     Null html is an empty payload; equal payloads of at least ``least_bytes`` bytes are stored once,
     by the largest page_id. A null page_id is archived and never referred to unless all of a group
     are null: then they are all responses. Rows that repeat the largest page_id with its payload
-    are responses too. Blanks are taken out of urls; a null url is left out. No rows give no
-    archives and no rows. Other columns are not archived. A record that doesn't have its digest
-    when read back fails the job.
+    are responses too. Urls come back as they were; a null url is left out. No rows give no
+    archives and no rows. Other columns are not archived. A response that doesn't have its digest
+    when read back, or a revisit whose response isn't there with that digest and length, fails the job.
     """
-    back = read_archives(write_archives(with_revisits(pages, least_bytes)), payloads=False)
-    checked = F.when(F.col("intact"), F.col("page_id")).otherwise(F.raise_error(F.lit("a payload lost its digest")).cast("long"))
-    return back.select(checked.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    learned = build_dictionary(payloads_of(pages))
+    back = read_archives(write_archives(with_revisits(pages, least_bytes), learned), payloads=False)
+    back = materialize(back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"), "op2-records")
+    responses = back.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest")
+    lost = back.where("record_type = 'revisit'").join(responses, ["refers_to", "payload_bytes", "payload_digest"], "left_anti")
+    if not back.where("not intact").isEmpty() or not lost.isEmpty():
+        raise ValueError("a payload lost its digest, or a revisit its response")
+    return back.drop("intact")
