@@ -1,12 +1,12 @@
 """Exact dedup over an extendible-hash index on shared files.
 
-A text's key is a 64-bit hash of its characters without blanks. Colliding keys are told apart by
-comparing bytes (the texts themselves are the grouping key next to the hash, combined before the
-shuffle, so that a text that a third of the rows share crosses it once per task) and chained under
-their hash. The directory starts as one bucket and doubles while a bucket holds more than
-``capacity`` chained entries: the bucket splits on its next leading bit. Since entries are
-distinct texts, no split is wasted on a frequent one. Each bucket, a range of keys, is one folder
-of the index, written by the task that owns it; documents then look their entry up by bucket.
+A text's key is a 64-bit hash of its characters without blanks. Equal texts combine before they are
+shuffled, so that a text that a third of the rows share reaches its bucket as one entry. The
+directory begins as one slot and doubles while a bucket holds more than ``capacity`` entries: the
+bucket splits on its next leading bit, a range of keys becomes two. It is a table, as is the
+index, so neither is bounded by one machine. The task that owns a bucket chains the entries of one
+key and compares their bytes along the chain. Documents find their entry through directory slot,
+bucket and key; where a chain has several entries, the bytes decide.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql.window import Window
 
 from .shared import BLANK, materialize
 
-#: The directory never has more slots than this; beyond it buckets grow.
-MAX_SLOTS = 1 << 16
+#: Leading bits that a directory can look at.
+MOST_BITS = 60
 
 
 def _prefix(h: Column, bits: int) -> Column:
@@ -26,43 +26,53 @@ def _prefix(h: Column, bits: int) -> Column:
     return F.shiftrightunsigned(h, 64 - bits) if bits else F.lit(0).cast("long")
 
 
-def directory(entries: DataFrame, capacity: int) -> tuple[int, list[tuple[int, int]]]:
-    """Global depth, and for each slot the (bucket, local depth) it points to.
+def hash_key(norm: Column, bits: int = 64) -> Column:
+    """Key of a text; fewer ``bits`` make keys collide, which tests use."""
+    h = F.xxhash64(norm)
+    return h if bits == 64 else F.shiftleft(F.shiftrightunsigned(h, 64 - bits), 64 - bits)
 
-    Counts the entries under each prefix of the deepest level that doubling could reach, at most
-    ``MAX_SLOTS`` numbers, and replays the doubling over them.
+
+def directory(entries: DataFrame, capacity: int) -> tuple[int, DataFrame]:
+    """Global depth, and the table ``(slot, bucket, local_depth)``: which bucket the keys with a slot's
+    leading bits are in. Slots that no entry of ``entries(h)`` falls into are left out; a bucket is
+    named by its range: local depth and leading bits.
+
+    Splitting from one bucket on ends where each key is in the shallowest range that holds at most
+    ``capacity`` entries, so the ranges of all depths are counted, each entry once, in one pass.
     """
     total = entries.count()
-    capacity = max(capacity, 16 * total // MAX_SLOTS)
-    deepest = min(16, max(0, (total // capacity).bit_length() + 3)) if total > capacity else 0
-    counts = {
-        r.p: r.n
-        for r in entries.groupBy(_prefix(F.col("h"), deepest).alias("p")).agg(F.count("*").alias("n")).collect()
-    }
-    depth, slots = 0, [(0, 0)]  # a bucket is named by the first deepest-level prefix it covers
-
-    def load(bucket: int, local: int) -> int:
-        return sum(counts.get(p, 0) for p in range(bucket, bucket + (1 << (deepest - local))))
-
-    full = [(0, 0)] if load(0, 0) > capacity else []
-    while full:
-        bucket, local = full.pop()
-        if local == deepest:
-            continue
-        if local == depth:
-            slots = [s for s in slots for _ in range(2)]
-            depth += 1
-        halves = [(bucket, local + 1), (bucket + (1 << (deepest - local - 1)), local + 1)]
-        slots = [
-            halves[(i >> (depth - local - 1)) & 1] if s == (bucket, local) else s for i, s in enumerate(slots)
-        ]
-        full += [x for x in halves if load(*x) > capacity]
-    return depth, slots
-
-
-def build_index(docs: DataFrame, capacity: int = 100_000) -> DataFrame:
-    """Write the index of ``docs`` and return it: one row per distinct normalised text,
-    ``bucket, h, chain`` (place among texts of one hash), ``text_sha256, keep_id, group_size``."""
+    deepest = 0 if total <= capacity else min(MOST_BITS, (total // capacity).bit_length() + 2)
+    while True:
+        cells = materialize(entries.groupBy(_prefix(F.col("h"), deepest).alias("p")).agg(F.count("*").alias("n")), "op4-cells")
+        fullest = cells.agg(F.max("n").alias("n")).first()["n"] or 0
+        if fullest <= capacity or deepest == MOST_BITS:
+            break
+        deepest = min(MOST_BITS, deepest + max(2, deepest // 2))
+    depths = F.sequence(F.lit(0), F.lit(deepest))
+    ranges = cells.select("p", "n", F.explode(depths).alias("d")).withColumn("r", _cut("p", deepest, F.col("d")))
+    load = materialize(ranges.groupBy("d", "r").agg(F.sum("n").alias("load")), "op4-ranges")
+    fits = (F.col("load") <= capacity) | (F.col("d") == deepest)
+    own = ranges.join(load, ["d", "r"]).where(fits).groupBy("p").agg(F.min(F.struct("d", "r")).alias("b"))
+    own = materialize(own.select("p", F.col("b.d").alias("local_depth"), F.col("b.r").alias("r")), "op4-own")
+    depth = own.agg(F.max("local_depth").alias("d")).first()["d"] or 0
+    bucket = F.concat_ws(":", F.col("local_depth").cast("string"), F.col("r").cast("string"))
+    # A bucket that is shallower than the directory has several slots.
+    slots = own.select(_cut("p", deepest, F.lit(depth)).alias("slot"), bucket.alias("bucket"), "local_depth").distinct()
+    return depth, materialize(slots, "op4-directory")
+
+
+def _cut(p: str, bits: int, to: Column) -> Column:
+    """The leading ``to`` of the ``bits`` bits in column ``p``."""
+    return F.call_function("shiftright", F.col(p), (F.lit(bits) - to).cast("int"))
+
+
+def build_index(docs: DataFrame, capacity: int = 1_024, key_bits: int = 64) -> tuple[DataFrame, DataFrame, int]:
+    """Write directory and index of ``docs``; returns the index, the directory and its depth.
+
+    The index has one row per distinct normalised text: ``bucket, h, chain`` (place among the texts of
+    one key), ``chained`` (how many there are), ``norm`` (only if several), ``text_sha256, keep_id,
+    keep_n`` and ``group_size``; a bucket's entries are together in one file.
+    """
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     norm = F.regexp_replace("text", BLANK, "")
     # More code points first, then the smaller id; a missing id comes last.
@@ -70,29 +80,24 @@ def build_index(docs: DataFrame, capacity: int = 100_000) -> DataFrame:
         F.col("doc_id").cast("decimal(20,0)"), F.lit("9223372036854775807").cast("decimal(20,0)")
     )
     d = d.select("doc_id", norm.alias("norm"), order.cast("decimal(38,0)").alias("ord"), F.length("text").alias("n"))
-    chained = (
-        d.groupBy(F.xxhash64("norm").alias("h"), "norm")
-        .agg(
-            F.count("*").alias("group_size"),
-            F.max_by("doc_id", "ord").alias("keep_id"),
-            F.max("n").alias("keep_n"),
-        )
-        .select("h", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "keep_n", "group_size")
+    entries = d.groupBy(hash_key(F.col("norm"), key_bits).alias("h"), "norm").agg(
+        F.count("*").alias("group_size"), F.max_by("doc_id", "ord").alias("keep_id"), F.max("n").alias("keep_n")
     )
-    entries = materialize(chained, "op4-entries")
-    entries = entries.withColumn(
-        "chain", F.row_number().over(Window.partitionBy("h").orderBy("text_sha256")) - 1
-    )
-    depth, slots = directory(entries, capacity)
-    spark = docs.sparkSession
-    table = spark.createDataFrame([(i, b) for i, (b, _) in enumerate(slots)], "slot long, bucket int")
-    placed = entries.withColumn("slot", _prefix(F.col("h"), depth)).join(F.broadcast(table), "slot").drop("slot")
-    placed = placed.select("h", "chain", "text_sha256", "keep_id", "keep_n", "group_size", "bucket")
-    buckets = len(set(slots))
-    return materialize(placed.repartition(buckets, "bucket"), "op4-index", ["bucket"])
-
-
-def exact_dedup(docs: DataFrame, capacity: int = 100_000) -> DataFrame:
+    entries = materialize(entries, "op4-entries")
+    depth, slots = directory(entries.select("h"), capacity)
+    placed = entries.withColumn("slot", _prefix(F.col("h"), depth)).join(slots.select("slot", "bucket"), "slot").drop("slot")
+    # The owner of a bucket: chains its keys, tells the texts of a chain apart by their bytes.
+    key = Window.partitionBy("bucket", "h")
+    chain = F.dense_rank().over(key.orderBy("norm")) - 1
+    owned = placed.repartition("bucket").withColumn("chain", chain).withColumn("chained", F.max("chain").over(key) + 1)
+    index = owned.select(
+        "bucket", "h", "chain", "chained", F.when(F.col("chained") > 1, F.col("norm")).alias("norm"),
+        F.sha2("norm", 256).alias("text_sha256"), "keep_id", "keep_n", "group_size",
+    )
+    return materialize(index.sortWithinPartitions("bucket", "h", "chain"), "op4-index"), slots, depth
+
+
+def exact_dedup(docs: DataFrame, capacity: int = 1_024, key_bits: int = 64) -> DataFrame:
     """Per document: ``doc_id, keep_id`` (of the row that stays), ``group_size, kept, text_sha256``.
 
     Texts are equal when identical without blanks (space, tab to carriage return); null counts as
@@ -101,11 +106,23 @@ def exact_dedup(docs: DataFrame, capacity: int = 100_000) -> DataFrame:
     the text of the row that stays are that document again and share its verdict. Other columns
     are ignored; no rows give no rows.
     """
-    index = build_index(docs, capacity)
+    index, slots, depth = build_index(docs, capacity, key_bits)
     text = F.coalesce("text", F.lit(""))
     keys = docs.select("doc_id", F.length(text).alias("n"), F.regexp_replace(text, BLANK, "").alias("norm"))
-    keys = keys.select("doc_id", "n", F.xxhash64("norm").alias("h"), F.sha2("norm", 256).alias("text_sha256"))
-    return keys.join(index, ["h", "text_sha256"]).select(
+    keys = keys.withColumn("h", hash_key(F.col("norm"), key_bits)).withColumn("slot", _prefix(F.col("h"), depth))
+    several = index.where("chained > 1")
+
+    def found(d: DataFrame, entries: DataFrame) -> DataFrame:
+        return d.join(slots.select("slot", "bucket"), "slot").join(entries, ["bucket", "h"])
+
+    # A key with one entry needs no look at bytes: every document with that key is in it.
+    out = found(keys.drop("norm"), index.where("chained = 1").drop("norm"))
+    columns = ["doc_id", "n", "keep_id", "keep_n", "group_size", "text_sha256"]
+    out = out.select(columns)
+    if not several.isEmpty():
+        entries = several.withColumnRenamed("norm", "entry")
+        out = out.union(found(keys, entries).where(F.col("norm") == F.col("entry")).select(columns))
+    return out.select(
         "doc_id",
         "keep_id",
         "group_size",
