@@ -1,23 +1,24 @@
 """Benchmark decontamination: a prefix-filtered set join of documents with benchmark windows.
 
 Every benchmark item is cut into windows of consecutive words; a window occurs in a document only
-if each of its shingles does. So one necessary shingle per window, the rarest in the corpus, is
-joined (for containment the necessary prefix has length one); the shingle's offset in the window
-bounds where the window can lie, the lengths bound whether it fits, and the words are compared.
-
-The corpus is read once. Shingles explode and meet the benchmark's in one fused stage, where
-shingles of no benchmark item end; what is left is written with the words around it, and serves
-both the rarity counts and the join. The benchmark goes to the executors in blocks of at most
-``block_shingles`` hashes, so a larger one costs more passes, not more memory.
+if each of its shingles does, so one of them is necessary and enough to find it (for containment the
+prefix has length one). Shingles are ordered by rarity: in how many windows, then how often the
+words occur, counted over all items. Only each window's rarest meets the corpus. The
+shingle's offset in the window bounds where the window can lie, the lengths bound whether it fits,
+and a hash of the whole stretch ends what doesn't match; the words are compared afterwards.
+
+The corpus is read once. Its shingles explode and meet the prefixes in one fused stage, and only
+stretches that match leave it. The prefixes go to the executors in blocks of at most
+``block_shingles``, so a larger benchmark costs more passes, not more memory.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import join_same, materialize, shingle_hashes, text_key, words
+from .shared import join_same, materialize, text_key, words
 
 #: Hash that stands for "this document exists": each document has it once, after its shingles.
 HERE = -6148914691236517206
@@ -32,42 +33,57 @@ def windows_of(items: DataFrame, window: int = 13) -> DataFrame:
     return cut.select("item_id", F.explode_outer("wins").alias("win")).distinct()
 
 
-def shingles_of(windows: DataFrame, k: int) -> DataFrame:
-    """``(win, kk, o, h)``: hash of the ``kk = min(k, size)`` words at each offset of a window."""
-    parts = []
-    for kk in range(1, k + 1):
-        own = windows.where(F.size("win") >= k if kk == k else F.size("win") == kk).select("win").distinct()
-        hashed = own.select("win", shingle_hashes("win", kk).alias("hs"))
-        parts.append(
-            hashed.select("win", F.lit(kk).alias("kk"), F.posexplode_outer("hs").alias("o", "h"))
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
-
-
-def _shared_shingles(docs: DataFrame, hashes: DataFrame, kk: int, window: int) -> DataFrame:
-    """Places where a document has one of ``hashes``, with the words up to a window's reach."""
+def prefixes_of(windows: DataFrame, k: int) -> DataFrame:
+    """``(h, kk, o, len, stretch)`` for each distinct window: hash and offset of its rarest shingle of
+    ``kk = min(k, len)`` words, and a hash of all its words."""
+    own = windows.select("win").distinct()
+    often = own.select(F.explode("win").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    size = F.size("win")
+    at = own.select("win", F.explode(F.sequence(F.lit(0), F.greatest(size - k, F.lit(0)))).alias("o"))
+    at = at.select("win", "o", F.slice("win", F.col("o") + 1, k).alias("shingle"))
+    # Rarity: windows with the shingle; of equal ones that whose most frequent word is the rarest, then the text.
+    shared = at.groupBy("shingle").agg(F.countDistinct("win").alias("df"))
+    words_of = at.select("shingle").distinct().select("shingle", F.explode("shingle").alias("word"))
+    weight = words_of.join(often, "word").groupBy("shingle").agg(F.min("n").alias("rarest"), F.sum("n").alias("all"))
+    ranked = at.join(shared, "shingle").join(weight, "shingle")
+    first = ranked.groupBy("win").agg(F.min(F.struct("df", "rarest", "all", "shingle", "o")).alias("x"))
+    kk = F.least(size, F.lit(k))
+    return first.select(
+        F.xxhash64("x.shingle").alias("h"), kk.alias("kk"), F.col("x.o").alias("o"), size.alias("len"), F.xxhash64("win").alias("stretch")
+    ).distinct()
+
+
+def _matches(docs: DataFrame, prefixes: DataFrame, k: int, lengths: list[int]) -> DataFrame:
+    """Stretches of documents that hold a prefix and hash like its window, ``(doc_id, tk, n_words, s, cand)``;
+    with a prefix ``HERE`` also one row without stretch for each document."""
     d = docs.select(F.col("doc_id"), text_key(F.col("text")).alias("tk"), words(F.col("text")).alias("w"))
-    d = d.withColumn("hs", F.concat(shingle_hashes("w", kk), F.array(F.lit(HERE))))
-    at = d.select("doc_id", "tk", "w", F.posexplode_outer("hs").alias("p", "h"))
-    lead = F.greatest(F.col("p") - (window - kk), F.lit(0))
-    here = F.col("h") == HERE
-    return at.join(F.broadcast(hashes), "h").select(
+    # Place -1 stands for the document. Hashes are made of the exploded places, which stays in generated code.
+    last = F.greatest(F.size("w") - min(lengths), F.lit(-1))
+    at = d.select("doc_id", "tk", "w", F.explode(F.sequence(F.lit(-1), last)).alias("p"))
+
+    def shingle(n: int) -> Column:
+        return F.when(F.col("p") < 0, F.lit(HERE)).otherwise(F.xxhash64(*[F.get("w", F.col("p") + j) for j in range(n)]))
+
+    if lengths == [k]:
+        at = at.select("*", F.lit(k).alias("kk"), shingle(k).alias("h"))
+    else:
+        each = [F.struct(F.lit(n).alias("kk"), shingle(n).alias("h")) for n in lengths]
+        at = at.select("*", F.inline(F.array(*each)))
+    s = F.col("p") - F.col("o")
+    here = F.col("p") < 0
+    fits = (s >= 0) & (s + F.col("len") <= F.size("w"))
+    same = F.when(fits, F.xxhash64(F.slice("w", s + 1, F.col("len")))) == F.col("stretch")
+    return at.join(F.broadcast(prefixes), ["h", "kk"]).where(here | same).select(
         "doc_id",
         "tk",
-        F.size("w").alias("n_words"),
-        F.lit(kk).alias("kk"),
-        "h",
-        "p",
-        F.when(~here, lead).alias("c0"),
-        F.when(~here, F.slice("w", lead + 1, F.col("p") - lead + window)).alias("ctx"),
+        F.size("w").cast("long").alias("n_words"),
+        F.when(~here, s).alias("s"),
+        F.when(~here, F.slice("w", s + 1, F.col("len"))).alias("cand"),
     )
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 5, block_shingles: int = 500_000,
+    docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 5, block_shingles: int = 250_000,
     with_key: bool = False,
 ) -> DataFrame:
     """Per document, how much of it stands in benchmark windows.
@@ -81,44 +97,23 @@ def contamination(
     without id hits but is not listed. Rows of one doc_id with different texts are judged apart,
     identical rows all come back. An empty benchmark leaves all clean. Other columns are ignored.
     """
+    spark = docs.sparkSession
     wins = materialize(windows_of(benchmark, window), "op1-windows")
-    sh = materialize(shingles_of(wins, k), "op1-shingles")
-    sizes = {r.kk: r.n for r in sh.groupBy("kk").agg(F.countDistinct("h").alias("n")).collect()}
-    lengths = sorted(sizes, reverse=True) or [k]
-    parts = []
-    for kk in lengths:
-        blocks = -(-sizes.get(kk, 1) // block_shingles)
-        own = sh.where(F.col("kk") == kk).select("h").distinct()
-        for b in range(blocks):
-            hashes = own.where(F.pmod("h", F.lit(blocks)) == b) if blocks > 1 else own
-            if kk == lengths[0] and b == 0:
-                hashes = hashes.union(docs.sparkSession.range(1).select(F.lit(HERE).alias("h")))
-            parts.append(_shared_shingles(docs, hashes, kk, window))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
+    prefixes = materialize(prefixes_of(wins, k), "op1-prefixes")
+    lengths = sorted({r.kk for r in prefixes.select("kk").distinct().collect()} | {k})
+    blocks = max(1, -(-prefixes.count() // block_shingles))
+    here = spark.range(1).select(F.lit(HERE).alias("h"), F.lit(k).alias("kk"), F.lit(0).alias("o"), F.lit(0).alias("len"), F.lit(0).cast("long").alias("stretch"))
+    found = None
+    for b in range(blocks):
+        own = prefixes.where(F.pmod("h", F.lit(blocks)) == b) if blocks > 1 else prefixes
+        part = _matches(docs, own.union(here) if b == 0 else own, k, lengths)
+        found = part if found is None else found.union(part)
     found = materialize(found, "op1-found")
     key = ["doc_id", "tk"]
-
-    # The rarest shingle of each window; a window with one that no document has can't occur.
-    seen = found.where(F.col("h") != HERE).groupBy("kk", "h").agg(F.count("*").alias("df"))
-    by_rarity = Window.partitionBy("win").orderBy("df", "o")
-    prefix = (
-        sh.join(seen, ["kk", "h"], "left")
-        .withColumn("df", F.coalesce("df", F.lit(0)))
-        .withColumn("r", F.row_number().over(by_rarity))
-        .where("r = 1 and df > 0")
-        .select("kk", "h", "o", "win", F.size("win").alias("len"))
-    )
-    start = F.col("p") - F.col("o")
-    at = (
-        found.where(F.col("h") != HERE)
-        .join(prefix, ["kk", "h"])
-        .where((start >= 0) & (start + F.col("len") <= F.col("n_words")))
-        .where(F.slice("ctx", start - F.col("c0") + 1, F.col("len")) == F.col("win"))
-        .select(*key, start.alias("s"), (start + F.col("len")).alias("e"), "win")
-        .distinct()
-    )
+    # The words themselves decide; items that share a window are all told.
+    items = wins.withColumnRenamed("win", "cand")
+    at = found.where("cand is not null").join(items, "cand")
+    at = at.select(*key, F.col("s"), (F.col("s") + F.size("cand")).alias("e"), "item_id")
     before = Window.partitionBy(*key).orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
     spans = at.select(*key, "s", "e").distinct()
     hit = (
@@ -126,17 +121,8 @@ def contamination(
         .groupBy(*key)
         .agg(F.sum(F.greatest(F.col("e") - F.greatest("s", "upto"), F.lit(0))).alias("n_hit"))
     )
-    # Windows shared by items: an item counts once for a document.
-    of_items = (
-        at.select(*key, "win")
-        .distinct()
-        .join(wins, "win")
-        .groupBy(*key)
-        .agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
-    )
-    everyone = found.where(F.col("h") == HERE).groupBy(*key).agg(
-        F.first("n_words").cast("long").alias("n_words"), F.count("*").alias("copies")
-    )
+    of_items = at.groupBy(*key).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
+    everyone = found.where("cand is null").groupBy(*key).agg(F.first("n_words").alias("n_words"), F.count("*").alias("copies"))
     out = join_same(join_same(everyone, hit, key), of_items, key)
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
