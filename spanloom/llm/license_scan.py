@@ -3,19 +3,24 @@
 All rolling three-word grams of a document meet the grams of license templates in a join. A match
 at document place p and template place t votes for the diagonal p - t; a copied passage lines its
 votes up on one diagonal, and small insertions or deletions move them to a neighbouring one, so
-diagonals close together merge. What a merged diagonal covers of its template is then verified
-against the template's distinct grams, compared word by word.
+diagonals close together merge. The words around the strongest diagonal of a merged one are then
+aligned with the template's: that gives the span in the document, from its first to its last word, and
+verifies how much of the span and of the template agree.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from difflib import SequenceMatcher
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import shingle_hashes, text_key, words
+from .shared import UPPER, WORD, shingle_hashes, text_key, words
 
 # Phrases of the base labels, and notices and passages of public licenses.
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
@@ -33,16 +38,18 @@ TEMPLATES = [
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 ]
 K = 3
+WORDS = re.compile(WORD)
+LOWER = str.maketrans(UPPER, UPPER.lower())
 HERE = -6148914691236517206
 
 
 def template_grams(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
-    """``(h, tid, t, gram)`` for each place of each template; the list is part of the program, so
+    """``(h, tid, t, gram, len)`` for each place of each template; the list is part of the program, so
     its size is known where it is broadcast."""
     rows = [(i, text) for i, (_, text) in enumerate(templates)]
     w = spark.createDataFrame(rows, "tid int, text string").select("tid", words(F.col("text")).alias("w"))
     at = w.where(F.size("w") >= K).select("tid", "w", F.posexplode_outer(shingle_hashes("w", K)).alias("t", "h"))
-    return at.select("h", "tid", "t", F.slice("w", F.col("t") + 1, K).alias("gram"))
+    return at.select("h", "tid", "t", F.slice("w", F.col("t") + 1, K).alias("gram"), F.size("w").alias("len"))
 
 
 def _places(w: str, p: list[str], label: str) -> Column:
@@ -58,66 +65,113 @@ def _base_places(w: str, phrases) -> Column:
     return F.concat(*[_places(w, phrase.split(), label) for phrase, label in phrases])
 
 
-def scan_licenses(
-    docs: DataFrame, templates=TEMPLATES, phrases=BASE, least_cover: float = 0.8, gap: int = 2
-) -> DataFrame:
-    """Per document: ``doc_id, n_words, n_base`` (places of base phrases), ``first_word`` and
-    ``last_word`` (their smallest and largest start, else null), ``base_labels``, ``labels`` (base
-    ones and those of templates of which a merged diagonal covers ``least_cover``), and ``score``: 1
-    with a base phrase, else the best cover of a template.
-
-    Null has no words, and texts of fewer than three words no grams, but base phrases are found in
-    any. Rows of one doc_id with different texts are judged apart, identical rows all come back.
-    Templates of fewer than three words are ignored. Other columns are ignored.
-    """
-    spark = docs.sparkSession
+def _votes(docs: DataFrame, templates, phrases, pad: int) -> DataFrame:
+    """One row per document, template and diagonal with votes: ``ts`` (template places), ``n`` votes, ``ctx``
+    (the words the diagonal puts the template on and ``pad`` more at each end) and ``ctx_at``, where those
+    begin. Under template -1 each document's own row has ``n_words``, ``base`` and the number of copies ``n``."""
     last = sorted({p.split()[-1] for p, _ in phrases})
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     maybe = F.lower("text").rlike("|".join(last))
     d = d.select("doc_id", text_key(F.col("text")).alias("tk"), maybe.alias("maybe"), words(F.col("text")).alias("w"))
     none = F.array().cast("array<struct<label:string,at:int>>")
-    d = d.select(
-        "doc_id",
-        "tk",
-        "w",
-        F.when(F.col("maybe"), _base_places("w", phrases)).otherwise(none).alias("base"),
-        F.concat(shingle_hashes("w", K), F.array(F.lit(HERE))).alias("hs"),
-    )
-    at = d.select("doc_id", "tk", "w", "base", F.posexplode_outer("hs").alias("p", "h"))
-    grams = template_grams(spark, templates)
-    here = spark.range(1).select(
-        F.lit(HERE).alias("h"), F.lit(-1).alias("tid"), F.lit(0).alias("t"), F.array().cast("array<string>").alias("gram")
+    d = d.select("doc_id", "tk", "w", F.when(F.col("maybe"), _base_places("w", phrases)).otherwise(none).alias("base"))
+    # Place -1 stands for the document. Hashes are made of the exploded places, which stays in generated code.
+    at = d.select("doc_id", "tk", "w", "base", F.explode(F.sequence(F.lit(-1), F.greatest(F.size("w") - K, F.lit(-1)))).alias("p"))
+    is_here = F.col("p") < 0
+    gram = F.xxhash64(*[F.get("w", F.col("p") + j) for j in range(K)])
+    at = at.withColumn("h", F.when(is_here, F.lit(HERE)).otherwise(gram))
+    grams = template_grams(docs.sparkSession, templates)
+    here = docs.sparkSession.range(1).select(
+        F.lit(HERE).alias("h"), F.lit(-1).alias("tid"), F.lit(0).alias("t"), F.array().cast("array<string>").alias("gram"), F.lit(0).alias("len")
     )
-    is_here = F.col("tid") == -1
     hits = at.join(F.broadcast(grams.union(here)), "h").where(is_here | (F.slice("w", F.col("p") + 1, K) == F.col("gram")))
+    diag = F.when(is_here, F.lit(0)).otherwise(F.col("p") - F.col("t"))
+    begin = F.greatest(diag - pad, F.lit(0))
     hits = hits.select(
-        "doc_id", "tk", "tid", (F.col("p") - F.col("t")).alias("diag"), "t",
+        "doc_id", "tk", "tid", diag.alias("diag"), "t", F.when(~is_here, begin).alias("ctx_at"),
+        F.when(~is_here, F.slice("w", begin + 1, diag + F.col("len") + pad - begin)).alias("ctx"),
         F.when(is_here, F.size("w")).alias("n_words"), F.when(is_here, F.col("base")).alias("base"),
-    )
-    # One row per document and diagonal; the documents' own rows come along under template -1.
-    votes = hits.groupBy("doc_id", "tk", "tid", "diag").agg(
-        F.collect_set("t").alias("ts"), F.first("n_words").alias("n_words"), F.first("base").alias("base"), F.count("*").alias("n")
-    )
+    )
+    # A diagonal has one context, whichever of its votes brings it.
+    return hits.groupBy("doc_id", "tk", "tid", "diag").agg(
+        F.collect_set("t").alias("ts"), F.first("ctx").alias("ctx"), F.first("ctx_at").alias("ctx_at"),
+        F.first("n_words").alias("n_words"), F.first("base").alias("base"), F.count("*").alias("n"),
+    )
+
+
+def align(ctx: list[str], template: list[str]) -> tuple[float, int, int]:
+    """How much of a span and of the template agree (twice the words they share in order, by the words of
+    both), and the span: first and last word plus one in ``ctx``."""
+    blocks = [b for b in SequenceMatcher(None, ctx, template, autojunk=False).get_matching_blocks() if b.size]
+    if not blocks:
+        return 0.0, 0, 0
+    first, end = blocks[0].a, blocks[-1].a + blocks[-1].size
+    return 2 * sum(b.size for b in blocks) / (end - first + len(template)), first, end
+
+
+def _verified(templates) -> Column:
+    """Struct (share, first, last) of a row's ``ctx`` aligned with its template ``tid``; null if ``try`` is false."""
+    texts = [WORDS.findall(text.translate(LOWER)) for _, text in templates]
+
+    @F.pandas_udf("share double, first int, last int")
+    def of(rows: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for ctx, tid, wanted in rows:
+            out = [align(list(c), texts[t]) if ok else (None, None, None) for c, t, ok in zip(ctx, tid, wanted)]
+            out = pd.DataFrame(out, columns=["share", "first", "last"])
+            yield out.astype({"share": "float64", "first": "Int32", "last": "Int32"})
+
+    return of("ctx", "tid", "try")
+
+
+def license_spans(
+    docs: DataFrame, templates=TEMPLATES, phrases=BASE, least_votes: float = 0.4, gap: int = 2, pad: int = 8
+) -> DataFrame:
+    """``doc_id, tk, tid, label, votes`` (share of the template's grams on the merged diagonal), ``share``,
+    ``first_word`` and ``last_word`` of each merged diagonal. Diagonals with votes of less than ``least_votes``
+    are not aligned and have no share. Each document's own row, under ``tid`` -1, has ``n_words, base`` and
+    ``copies``."""
+    spark = docs.sparkSession
+    votes = _votes(docs, templates, phrases, pad)
     by_diag = Window.partitionBy("doc_id", "tk", "tid").orderBy("diag")
     votes = votes.withColumn("new", F.coalesce((F.col("diag") - F.lag("diag").over(by_diag) > gap).cast("int"), F.lit(0)))
     votes = votes.withColumn("run", F.sum("new").over(by_diag))
-    sizes = grams.groupBy("tid").agg(F.countDistinct("t").alias("grams"))
-    names = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(templates)], "tid int, label string")
-    about = sizes.join(names, "tid")
     merged = votes.groupBy("doc_id", "tk", "tid", "run").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("ts")))).alias("covered"),
+        F.max_by(F.struct("ctx", "ctx_at"), F.struct(F.size("ts"), -F.col("diag"))).alias("best"),
         F.first("n_words", ignorenulls=True).alias("n_words"),
         F.first("base", ignorenulls=True).alias("base"),
-        F.sum("n").alias("n"),
+        F.sum("n").alias("copies"),
     )
-    merged = merged.join(F.broadcast(about), "tid", "left").withColumn("cover", F.col("covered") / F.col("grams"))
+    sizes = template_grams(spark, templates).groupBy("tid").agg(F.countDistinct("t").alias("grams"))
+    names = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(templates)], "tid int, label string")
+    # Both lists are part of the program.
+    merged = merged.join(F.broadcast(sizes.join(names, "tid")), "tid", "left").withColumn("votes", F.col("covered") / F.col("grams"))
+    merged = merged.select("*", "best.ctx", "best.ctx_at", F.coalesce(F.col("votes") >= least_votes, F.lit(False)).alias("try"))
+    merged = merged.withColumn("x", _verified(templates))
+    return merged.select(
+        "doc_id", "tk", "tid", "label", "votes", F.col("x.share").alias("share"), (F.col("ctx_at") + F.col("x.first")).alias("first_word"),
+        (F.col("ctx_at") + F.col("x.last") - 1).alias("last_word"), "n_words", "base", "copies",
+    )
+
+
+def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=BASE, least_share: float = 0.8, **how) -> DataFrame:
+    """Per document: ``doc_id, n_words, n_base`` (places of base phrases), ``first_word`` and
+    ``last_word`` (their smallest and largest start, else null), ``base_labels``, ``labels`` (base
+    ones and those of templates of which a verified span has a share of ``least_share``), and ``score``: 1
+    with a base phrase, else the best share of a span, or of votes where too few were cast to verify one.
+
+    Null has no words, and texts of fewer than three words no grams, but base phrases are found in
+    any. Rows of one doc_id with different texts are judged apart, identical rows all come back.
+    Templates of fewer than three words are ignored. Other columns are ignored.
+    """
+    spans = license_spans(docs, templates, phrases, **how)
     own = F.col("tid") == -1
-    out = merged.groupBy("doc_id", "tk").agg(
+    out = spans.groupBy("doc_id", "tk").agg(
         F.max(F.when(own, F.col("n_words"))).cast("long").alias("n_words"),
         F.first(F.when(own, F.col("base")), ignorenulls=True).alias("base"),
-        F.max(F.when(own, F.col("n"))).alias("copies"),
-        F.coalesce(F.max(F.when(~own, F.col("cover"))), F.lit(0.0)).alias("cover"),
-        F.collect_set(F.when(~own & (F.col("cover") >= least_cover), F.col("label"))).alias("more"),
+        F.max(F.when(own, F.col("copies"))).alias("copies"),
+        F.coalesce(F.max(F.when(~own, F.coalesce("share", "votes"))), F.lit(0.0)).alias("best"),
+        F.collect_set(F.when(~own & (F.col("share") >= least_share), F.col("label"))).alias("more"),
     )
     labels = F.array_distinct(F.col("base.label"))
     starts = F.col("base.at")
@@ -130,6 +184,6 @@ def scan_licenses(
         F.array_max(starts).cast("long").alias("last_word"),
         F.array_join(F.array_sort(labels), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union(labels, "more")), ",").alias("labels"),
-        F.when(n_base > 0, 1.0).otherwise(F.col("cover")).alias("score"),
+        F.when(n_base > 0, 1.0).otherwise(F.col("best")).alias("score"),
         F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1)).cast("int"))).alias("copy"),
     ).drop("copy")

@@ -182,6 +182,17 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
 """
 
 
+#: The base columns of op9; labels and score of the method are not for SQL.
+OP9_BASE_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+p(phrase, label) AS (VALUES (['mit', 'license'], 'mit'), (['apache', 'license'], 'apache'), (['general', 'public', 'license'], 'gpl')),
+places AS (SELECT doc_id, label, i FROM (SELECT doc_id, w, phrase, label, unnest(range(len(w))) AS i FROM d, p) WHERE w[i + 1:i + len(phrase)] = phrase),
+b AS (SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS z, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM places GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, z AS last_word, coalesce(labels, '') AS base_labels
+FROM d LEFT JOIN b USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
