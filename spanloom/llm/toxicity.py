@@ -1,11 +1,13 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five small transducers read a clause word by word: insults (weighted words and stems), threats,
-targets (who is addressed), negation and reported speech. Composed, they put each insult or threat
-of a clause on one of a few tapes: aimed at a target, plain, negated, or reported; a negation or a
-target reaches a few words, a verb of saying reaches to the end of the clause. A document's score
-is a logistic function of the weights matched on each tape, so a negated or quoted insult may count
-for less than an aimed one, as far as the labels say.
+Words become symbols: insults and threats with weights, targets (who is addressed), negations, verbs
+of saying, others. Over these symbols run small transducers: negation marks insults and threats a
+few words behind it, reported speech those to the end of the clause, a target those a few words from
+it on either side; the insult and the threat transducer read the marks and write each match on a
+tape: aimed, plain, negated, reported or threat. They are composed into two machines, one that reads
+a clause forward and one that reads what the first wrote backward. A clause scores on each tape by
+its strongest match, a document by its clauses' weights through a logistic function, so a negated or
+quoted insult may count for less than an aimed one, as far as the labels say.
 
 Insults and their weights are learned from labelled rows, as are the tapes' coefficients. The rows
 for that are a sample of at most ``max_train`` documents in hash order; near copies share one
@@ -37,9 +39,12 @@ SAYING = "said says say wrote writes claimed quoted called sagte schrieb dit dij
 INSULT_WEIGHT = 3.0
 REACH = 3
 TAPES = ("aimed", "plain", "negated", "reported", "threat")
-#: Coefficients without labels: intercept, tapes, log length of a text with a match. With labels they
-#: are where the fit starts and is drawn to.
-PRIOR = np.array([-4.0, 3.0, 2.6, 1.2, 1.2, 2.0, 0.0])
+#: What a match on a tape counts beside a plain one, before labels say more.
+FACTORS = np.array([1.2, 1.0, 0.5, 0.5, 0.8])
+#: Coefficients without labels: intercept, all tapes by their factors, each tape besides, log length of a
+#: text with a match. With labels they are where the fit starts and is drawn to, by ``RIDGE``.
+PRIOR = np.array([-4.0, 2.6, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0])
+RIDGE = np.array([0.3, 0.03, 0.5, 0.5, 0.5, 0.5, 0.5, 0.3])
 INPUTS = (*TAPES, "length")
 PREFIXES = (4, 5, 6)
 TOKEN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+|[.!?;:|\n]")
@@ -47,9 +52,93 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans(UPPER, UPPER.lower())
 
 
+# Symbols: i insult, t threat, y target, n negation, s saying, o other; a mark is put behind an i or t.
+SYMBOLS = "ityns" + "o"
+NEGATED, REPORTED, AIMED = "-~@"
+
+
+class Transducer:
+    """A sequential transducer: ``table[state][symbol]`` is the next state and the symbol written."""
+
+    def __init__(self, start, step, symbols):
+        """Tabulates ``step(state, symbol)`` over all states that ``symbols`` lead to."""
+        self.start, self.table = start, {}
+        waiting = [start]
+        while waiting:
+            state = waiting.pop()
+            if state not in self.table:
+                self.table[state] = {x: step(state, x) for x in symbols}
+                waiting += [to for to, _ in self.table[state].values()]
+
+    def writes(self) -> set[str]:
+        return {out for arcs in self.table.values() for _, out in arcs.values()}
+
+    def then(self, make) -> Transducer:
+        """Composition with ``make(symbols)``, the transducer that reads what this one writes."""
+        symbols = sorted(next(iter(self.table.values())))
+        other = make(sorted(self.writes()))
+
+        def step(state, x):
+            a, y = self.table[state[0]][x]
+            b, z = other.table[state[1]][y]
+            return (a, b), z
+
+        return Transducer((self.start, other.start), step, symbols)
+
+    def run(self, symbols) -> list[str]:
+        state, table, out = self.start, self.table, []
+        for x in symbols:
+            state, y = table[state][x]
+            out.append(y)
+        return out
+
+
+def _marking(opens: str, mark: str, reach: int | None):
+    """Marks insults and threats up to ``reach`` words behind an ``opens``; with None, all that follow."""
+
+    def step(left: int, x: str) -> tuple[int, str]:
+        out = x + mark if left and x[0] in "it" and mark not in x else x
+        return (reach or 1) if x == opens else max(left - 1, 0) if reach else left, out
+
+    return lambda symbols: Transducer(0, step, symbols)
+
+
+negation = _marking("n", NEGATED, REACH)
+reported_speech = _marking("s", REPORTED, None)
+target = _marking("y", AIMED, REACH)
+
+
+def insult(symbols) -> Transducer:
+    """Insults to tapes: negated before reported before aimed."""
+    tape = lambda x: "negated" if NEGATED in x else "reported" if REPORTED in x else "aimed" if AIMED in x else "plain"
+    return Transducer(0, lambda q, x: (q, tape(x) if x[0] == "i" else x), symbols)
+
+
+def threat(symbols) -> Transducer:
+    """Threats at a target, neither negated nor reported, to their tape; the rest writes nothing."""
+
+    def step(q: int, x: str) -> tuple[int, str]:
+        return q, "threat" if x[0] == "t" and x[1:] == AIMED else x if x in TAPES else ""
+
+    return Transducer(0, step, symbols)
+
+
+FORWARD = negation(list(SYMBOLS)).then(reported_speech).then(target)
+BACKWARD = target(sorted(FORWARD.writes())).then(insult).then(threat)
+_TAPE = {x: i for i, x in enumerate(TAPES)}
+
+
+def tapes_of_clause(symbols: list[str]) -> list[str]:
+    """For each word of a clause the tape it is a match on, or nothing."""
+    return BACKWARD.run(FORWARD.run(symbols)[::-1])[::-1]
+
+
+_CLASS = {w: x for x, ws in (("t", THREATS), ("y", TARGETS), ("n", NEGATIONS), ("s", SAYING)) for w in ws}
+
+
 @dataclass
 class Grammar:
-    """The insult transducer's words and stems with weights, and the tapes' coefficients."""
+    """The insults' words and stems with weights, and the coefficients."""
 
     words: dict[str, float] = field(default_factory=lambda: dict.fromkeys(INSULTS, INSULT_WEIGHT))
     stems: dict[str, float] = field(default_factory=dict)
@@ -64,10 +153,11 @@ class Grammar:
         text = text.translate(LOWER)
         found = WORD.findall(text)
         new = set(found).difference(dull)
-        hot = {w for w in new if w in _THREATS or self.insult(w)}
+        hot = {w: self.insult(w) for w in new}
+        hot = {w: v or 1.0 for w, v in hot.items() if v or _CLASS.get(w) == "t"}
         if len(dull) > 300_000:
             dull.clear()
-        dull |= new - hot
+        dull |= new - hot.keys()
         out = [0.0] * len(INPUTS)
         if not hot:
             return out
@@ -83,33 +173,28 @@ class Grammar:
             out[-1] = len(found)
         return [math.log1p(x) for x in out]
 
-    def _clause(self, clause: list[str], hot: set[str], out: list[float]) -> None:
-        if hot.isdisjoint(clause):
+    def _clause(self, clause: list[str], hot: dict[str, float], out: list[float]) -> None:
+        if hot.keys().isdisjoint(clause):
             return
-        negated = aimed = -99
-        reported = False
-        for i, word in enumerate(clause):
-            if word in hot:
-                near = clause[i + 1 : i + 1 + REACH]
-                at_target = i - aimed <= REACH or not _TARGETS.isdisjoint(near)
-                if word in _THREATS:
-                    if at_target and i - negated > REACH and not reported:
-                        out[4] += 1.0
-                    continue
-                tape = 2 if i - negated <= REACH else 3 if reported else 0 if at_target else 1
-                out[tape] += self.insult(word)
-            elif word in _NEGATIONS:
-                negated = i
-            elif word in _TARGETS:
-                aimed = i
-            elif word in _SAYING:
-                reported = True
+        best = [0.0] * len(TAPES)
+        symbols = [_CLASS.get(w, "i") if w in hot else _CLASS.get(w, "o") for w in clause]
+        for word, tape in zip(clause, tapes_of_clause(symbols)):
+            if tape:
+                best[_TAPE[tape]] = max(best[_TAPE[tape]], hot[word])
+        for i, weight in enumerate(best):
+            out[i] += weight
+
+    def tape_weights(self) -> np.ndarray:
+        """What each tape counts."""
+        return self.coef[1] * FACTORS + self.coef[2:-1]
 
     def score(self, tapes: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.coef[0] + tapes @ self.coef[1:], -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(_inputs(tapes) @ self.coef, -30, 30)))
 
 
-_THREATS, _TARGETS, _NEGATIONS, _SAYING = map(frozenset, (THREATS, TARGETS, NEGATIONS, SAYING))
+def _inputs(tapes: np.ndarray) -> np.ndarray:
+    """Columns of the coefficients: one, all tapes by their factors, each tape, length."""
+    return np.hstack([np.ones((len(tapes), 1)), tapes[:, :-1] @ FACTORS[:, None], tapes])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -117,11 +202,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _training_rows(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFrame:
-    """``text, toxic, weight``: labelled rows not held out, at most ``max_train``. Documents with
-    the same least shingle, mostly near copies, share a weight of 1."""
+    """``text, toxic, weight``: labelled documents not held out, at most ``max_train``; of several texts with
+    one id one is taken. Documents with the same least shingle, mostly near copies, share a weight of 1."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").where("text is not null")
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(known), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
     rows = rows.select("text", "toxic", words(F.col("text")).alias("w"))
     rows = materialize(rows.select("text", "toxic", F.array_min(shingle_hashes("w", 4)).alias("mh")), "op8-train")
     copies = materialize(rows.groupBy("mh").agg(F.count("*").alias("n")), "op8-copies")
@@ -143,13 +229,13 @@ def _count_features(batches):
 
 
 def fit_grammar(
-    docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_entries: int = 2_000, least_g: float = 24.0
+    docs: DataFrame, labels: DataFrame, max_train: int = 20_000, least_g: float = 15.1, least_odds: float = 2.0
 ) -> Grammar:
     """Learn the grammar from labelled rows whose crc32(doc_id) mod 3 is not 1.
 
     A word or stem is an insult if toxic documents have it more than clean ones by a log-likelihood
-    ratio of ``least_g``; of more than ``max_entries``, the size of the model, the clearest
-    are taken. Without both kinds of labels the fixed words and coefficients stay.
+    ratio of ``least_g`` (15.1: one in 10,000 by chance) and by log odds of ``least_odds``. Without both kinds of labels the fixed words and
+    coefficients stay.
     """
     g = Grammar()
     rows = _training_rows(docs, labels, max_train)
@@ -168,11 +254,15 @@ def fit_grammar(
         + part(n_t - t, (1 - of_all) * n_t) + part(n_c - c, (1 - of_all) * n_c)
     )
     odds = F.log((t + 0.5) / (n_t + 1)) - F.log((c + 0.5) / (n_c + 1))
-    best = counts.withColumn("g", llr).withColumn("odds", odds).where((F.col("g") >= least_g) & (F.col("odds") >= 2.5))
-    found = {r.f: (r.t, float(r.odds)) for r in best.orderBy(F.desc("g"), "f").limit(max_entries).collect()}
+    best = counts.withColumn("g", llr).withColumn("odds", odds).where((F.col("g") >= least_g) & (F.col("odds") >= least_odds))
+    found = {r.f: (r.t, float(r.odds)) for r in best.orderBy("f").collect()}
+    begun: dict[str, list[tuple[float, str]]] = {}
+    for f, (t_f, _) in found.items():
+        for n in PREFIXES:
+            begun.setdefault(f.rstrip("*")[:n], []).append((t_f, f))
     for f, (t_f, odds_f) in found.items():
         # A stem counts if it has more to it than one of the longer entries it begins.
-        longer = (t for x, (t, _) in found.items() if x != f and x.rstrip("*").startswith(f[:-1]))
+        longer = (t for t, x in begun[f.rstrip("*")[: PREFIXES[-1]]] if x != f)
         if not f.endswith("*"):
             g.words[f] = odds_f
         elif t_f * 0.8 > max(longer, default=0.0):
@@ -191,22 +281,22 @@ def fit_grammar(
     return g
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.3, steps: int = 60) -> np.ndarray:
+def _logistic(tapes: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 60) -> np.ndarray:
     """Projected Newton steps, halved until the penalised loss falls. The penalty pulls to the prior;
-    tapes never count against toxicity, length never for it."""
-    x = np.hstack([np.ones((len(x), 1)), x])
-    low = np.array([-np.inf] + [0.1] * len(TAPES) + [-np.inf])
-    high = np.array([np.inf] * (1 + len(TAPES)) + [0.0])
+    matches never count against toxicity, length never for it."""
+    x = _inputs(tapes)
+    low = np.array([-np.inf, 0.1] + [-0.04] * len(TAPES) + [-np.inf])
+    high = np.array([np.inf] * (2 + len(TAPES)) + [0.0])
 
     def loss(b: np.ndarray) -> float:
         z = x @ b
-        return float(w @ (np.logaddexp(0, z) - y * z)) + ridge / 2 * float((b - PRIOR) @ (b - PRIOR))
+        return float(w @ (np.logaddexp(0, z) - y * z)) + float(RIDGE @ (b - PRIOR) ** 2) / 2
 
     b, now = PRIOR.copy(), loss(PRIOR)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        grad = x.T @ (w * (p - y)) + ridge * (b - PRIOR)
-        hess = (x * (w * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(b))
+        grad = x.T @ (w * (p - y)) + RIDGE * (b - PRIOR)
+        hess = (x * (w * p * (1 - p))[:, None]).T @ x + np.diag(RIDGE)
         free = ~(((b <= low) & (grad > 0)) | ((b >= high) & (grad < 0)))
         step = np.zeros(len(b))
         step[free] = np.linalg.solve(hess[np.ix_(free, free)], grad[free])
