@@ -22,6 +22,8 @@ WEIGHTS = (3, 1, 2)
 ROUNDS = 20
 #: Passes in which the shards are written.
 PASSES = 4
+#: Shards whose draws are summed in one window.
+SHARD_GROUP = 4096
 #: A word: a run of non-blanks.
 RUN = "[^" + BLANK[1:] + "+"
 #: More sources than this are joined by shuffling instead of broadcasting.
@@ -139,7 +141,8 @@ def mix_shards(
         return d.withColumn("off", F.col("off") + F.col("base"))
 
     # A document's words are cut where blocks end: made-up words in front fill its first block.
-    d = placed(whole.where(F.col("text").rlike(RUN[:-1])))
+    # Written where the offsets are known, so that the shuffle by chunk is gone before that by block.
+    d = materialize(placed(whole.where(F.col("text").rlike(RUN[:-1]))).select("sid", "off", "size", "text"), "op10-placed")
     pad = F.pmod(F.col("off"), F.lit(block)).cast("int")
     padded = F.concat(F.repeat(F.lit("x "), pad), F.col("text"))
     cut = F.regexp_extract_all(padded, F.lit(_words(block - 1)), F.lit(0))
@@ -211,9 +214,14 @@ def _slots(src: DataFrame, block: int, cap: int, shard_slots: int, seed: int, sm
     per_shard = drawn.groupBy("shard", "sid").agg(F.count("*").alias("n"))
 
     # A source's slots are numbered along the shards and in them by place.
-    earlier = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    per_shard = per_shard.withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    per_shard = materialize(per_shard.select("shard", "sid", "start", "n"), "op10-starts")
+    # Summed in two levels, as a source has slots in all shards.
+    per_shard = materialize(per_shard.withColumn("g", F.floor(F.col("shard") / SHARD_GROUP)), "op10-drawn")
+    earlier = Window.partitionBy("sid").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    groups = per_shard.groupBy("sid", "g").agg(F.sum("n").alias("n"))
+    groups = groups.select("sid", "g", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    within = Window.partitionBy("sid", "g").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    per_shard = per_shard.withColumn("start", F.coalesce(F.sum("n").over(within), F.lit(0))).join(groups, ["sid", "g"])
+    per_shard = materialize(per_shard.select("shard", "sid", (F.col("start") + F.col("base")).alias("start"), "n"), "op10-starts")
     rank = F.row_number().over(Window.partitionBy("shard", "sid").orderBy("place")) - 1
     numbers = drawn.withColumn("r", rank).join(per_shard, ["shard", "sid"])
     numbers = numbers.select("shard", "place", "sid", (F.col("start") + F.col("r")).alias("k"))
