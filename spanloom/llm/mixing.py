@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import BLANK, materialize, text_key
+from .shared import BLANK, discard, materialize, text_key
 
 WEIGHTS = (3, 1, 2)
 ROUNDS = 20
@@ -108,14 +108,20 @@ def mix_shards(
 
     ``off`` is where a document's words begin among those of its source (number ``sid``). A row of the
     mix holds the first ``use`` words of block ``b``, with the blanks between them and a new line
-    between documents; ``spans`` lists the documents (by ``off``) and their numbers of words. The rows of a
+    between documents; ``spans`` lists the documents (by ``off`` and ``doc_id``) and their numbers of words. The rows of a
     shard are in one file, by ``place``.
     """
+    # Documents of a source are laid end to end in chunks, in which their offsets are summed; a frequent source
+    # spans many chunks. Written with their words, so that all else reads numbers only.
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(RUN)).cast("long")
-    whole = docs.select("doc_id", "source", size.alias("size"), text_key(F.col("text")).alias("tk"), "text")
-    sizes = materialize(whole.drop("text"), "op10-sizes")
-    n = sizes.count()
-    targets = source_targets(sizes, share, cap, weights)
+    chunks = max(1, -(-docs.count() // chunk_docs))
+    key = F.struct(F.col("source").isNull(), F.coalesce("source", F.lit(""))).alias("key")
+    chunk = F.pmod(F.xxhash64("doc_id", "tk", F.lit(seed)), F.lit(chunks)).alias("chunk")
+    whole = docs.select("doc_id", "source", size.alias("size"), text_key(F.col("text")).alias("tk"), "text").select("*", key, chunk)
+    upto = Window.partitionBy("key", "chunk").orderBy("doc_id", "tk").rowsBetween(Window.unboundedPreceding, 0)
+    placed = whole.select("doc_id", "source", "size", "key", "chunk", (F.sum("size").over(upto) - F.col("size")).alias("within"), "text")
+    placed = materialize(placed, "op10-placed")
+    targets = source_targets(placed, share, cap, weights)
     src = materialize(
         targets.withColumn("seed", F.xxhash64("source", F.col("source").isNull(), F.lit(seed)))
         .withColumn("want", F.floor("target").cast("long"))
@@ -124,40 +130,32 @@ def mix_shards(
         "op10-sources",
     )
     small = F.broadcast if src.count() <= BROADCAST_SOURCES else (lambda df: df)
-
-    # Offsets within the source, in two levels: a frequent source spans many chunks.
-    chunks = max(1, -(-n // chunk_docs))
-    key = F.struct(F.col("source").isNull(), F.coalesce("source", F.lit(""))).alias("key")
-    chunk = F.pmod(F.xxhash64("doc_id", "tk", F.lit(seed)), F.lit(chunks)).alias("chunk")
     before = Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select(key, chunk, "size").groupBy("key", "chunk").agg(F.sum("size").alias("s"))
+    bases = placed.groupBy("key", "chunk").agg(F.sum("size").alias("s"))
     bases = bases.select("key", "chunk", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
     bases = materialize(bases, "op10-bases")
-
-    def placed(df: DataFrame) -> DataFrame:
-        upto = Window.partitionBy("key", "chunk").orderBy("doc_id", "tk").rowsBetween(Window.unboundedPreceding, 0)
-        d = df.select("*", key, chunk).withColumn("off", F.sum("size").over(upto) - F.col("size"))
-        d = d.join(bases, ["key", "chunk"]).join(small(src.select(key, "sid", "source_size", "target")), "key")
-        return d.withColumn("off", F.col("off") + F.col("base"))
+    d = placed.join(bases, ["key", "chunk"]).join(small(src.select(key, "sid", "source_size", "target")), "key")
+    d = d.withColumn("off", F.col("base") + F.col("within"))
+    laid = materialize(d.select("doc_id", "source", "size", "source_size", "target", "sid", "off"), "op10-laid")
+    d = d.where("size > 0")
 
     # A document's words are cut where blocks end: made-up words in front fill its first block.
-    # Written where the offsets are known, so that the shuffle by chunk is gone before that by block.
-    d = materialize(placed(whole.where(F.col("text").rlike(RUN[:-1]))).select("sid", "off", "size", "text"), "op10-placed")
     pad = F.pmod(F.col("off"), F.lit(block)).cast("int")
     padded = F.concat(F.repeat(F.lit("x "), pad), F.col("text"))
     cut = F.regexp_extract_all(padded, F.lit(_words(block - 1)), F.lit(0))
-    pieces = d.select("sid", "off", "size", pad.alias("pad"), F.posexplode(cut).alias("i", "piece"))
+    pieces = d.select("sid", "off", "doc_id", "size", pad.alias("pad"), F.posexplode(cut).alias("i", "piece"))
     b = F.floor(F.col("off") / block) + F.col("i")
     lo, hi = F.greatest("off", b * block), F.least(F.col("off") + F.col("size"), (b + 1) * block)
     piece = F.when(F.col("i") == 0, F.regexp_replace(F.substr("piece", 2 * F.col("pad") + 1), "^" + BLANK + "+", "")).otherwise(F.col("piece"))
-    pieces = pieces.select("sid", b.alias("b"), F.struct("off", (hi - lo).alias("n"), piece.alias("piece")).alias("x"))
+    pieces = pieces.select("sid", b.alias("b"), F.struct("off", "doc_id", (hi - lo).alias("n"), piece.alias("piece")).alias("x"))
     blocks = pieces.groupBy("sid", "b").agg(F.array_sort(F.collect_list("x")).alias("x"))
-    span = lambda x: F.struct(x["off"].alias("off"), x["n"].alias("n"))
+    span = lambda x: F.struct(x["off"].alias("off"), x["doc_id"].alias("doc_id"), x["n"].alias("n"))
     blocks = blocks.select("sid", "b", F.array_join(F.col("x.piece"), "\n").alias("text"), F.transform("x", span).alias("spans"))
-    slots = _slots(src, block, cap, shard_slots, seed, small).groupBy("sid", "b")
-    slots = slots.agg(F.max("length").alias("length"), F.collect_list(F.struct("shard", "place", "use")).alias("slots"))
+    slots, used = _slots(src, block, cap, shard_slots, seed, small)
+    slots = slots.groupBy("sid", "b").agg(F.max("length").alias("length"), F.collect_list(F.struct("shard", "place", "use")).alias("slots"))
     # A block's slots come to where the block is made, so that its text is not dealt out again for the join.
     blocks = materialize(blocks.join(slots.hint("shuffle_hash"), ["sid", "b"]), "op10-blocks")
+    discard(placed, *used)
 
     def shards_of(turn: int) -> DataFrame:
         mine = F.filter("slots", lambda x: F.pmod(x["shard"], F.lit(PASSES)) == turn)
@@ -167,7 +165,8 @@ def mix_shards(
 
     # In passes, as the shuffle of one is dropped before the next.
     shards = reduce(DataFrame.union, [materialize(shards_of(i), "op10-shards") for i in range(PASSES)])
-    return placed(sizes).select("doc_id", "source", "size", "source_size", "target", "sid", "off"), shards
+    discard(blocks)
+    return laid, shards
 
 
 def _cut(rows: DataFrame, block: int) -> DataFrame:
@@ -177,13 +176,13 @@ def _cut(rows: DataFrame, block: int) -> DataFrame:
     first = F.regexp_substr("text", F.concat(F.lit(_words("")[:-2]), (F.col("use") - 1).cast("string"), F.lit("}+")))
     rows = rows.withColumn("text", F.when(part, first).otherwise(F.col("text")))
     at = lambda x: F.greatest(x["off"] - F.col("b") * block, F.lit(0))
-    kept = F.transform("spans", lambda x: F.struct(x["off"].alias("off"), F.least(x["n"], F.col("use") - at(x)).alias("n")))
+    kept = F.transform("spans", lambda x: F.struct(x["off"].alias("off"), x["doc_id"].alias("doc_id"), F.least(x["n"], F.col("use") - at(x)).alias("n")))
     rows = rows.withColumn("spans", F.when(part, F.filter(kept, lambda x: x["n"] > 0)).otherwise(F.col("spans")))
     return rows.select("shard", "place", "source", "sid", "b", "use", "text", "spans")
 
 
-def _slots(src: DataFrame, block: int, cap: int, shard_slots: int, seed: int, small) -> DataFrame:
-    """``(shard, place, sid, b, length, use)``: every slot that takes words, the block that comes there, its
+def _slots(src: DataFrame, block: int, cap: int, shard_slots: int, seed: int, small) -> tuple[DataFrame, list[DataFrame]]:
+    """The tables that it reads, and ``(shard, place, sid, b, length, use)``: every slot that takes words, the block that comes there, its
     number of words, and how many of its first words are used (all, but in a source's last slot)."""
     # All blocks of a source are full but the last, whose turn in each round of the permutation is
     # where the permutation puts it. So many slots reach the target in any case:
@@ -228,6 +227,7 @@ def _slots(src: DataFrame, block: int, cap: int, shard_slots: int, seed: int, sm
 
     # Slots drawn beyond a source's quota are dealt to the sources that are short, one for one, so that
     # each ends with its quota: numbers 0 to quota - 1.
+    firsts = per_shard
     drawn_n = per_shard.groupBy("sid").agg(F.sum("n").alias("drawn"))
     lack = plan.join(drawn_n, "sid", "left").select("sid", "quota", F.coalesce("drawn", F.lit(0)).alias("drawn"))
     past = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
@@ -244,9 +244,11 @@ def _slots(src: DataFrame, block: int, cap: int, shard_slots: int, seed: int, sm
     k = k.withColumn("turn", F.floor(F.col("k") / F.col("n_blocks"))).withColumn("i", F.pmod("k", "n_blocks"))
     k = k.withColumn("b", swap_or_not(F.col("i")))
     # Written, so that what follows uses the places and doesn't work them out again for each use.
-    k = materialize(k.select("shard", "place", "sid", "k", "turn", "i", "b", "short_at", "n_blocks", "want", "short"), "op10-slots")
-    short_gone = F.col("turn") + F.when(F.col("i") > F.col("short_at"), 1).otherwise(0)
+    slots = k.select("shard", "place", "sid", "k", "turn", F.col("i") > F.col("short_at"), F.col("b") == F.col("n_blocks") - 1, "b", "want", "short")
+    k = table = materialize(slots.toDF("shard", "place", "sid", "k", "turn", "passed", "last", "b", "want", "short"), "op10-slots")
+    discard(drawn, numbers, firsts)
+    short_gone = F.col("turn") + F.col("passed").cast("int")
     start = F.col("k") * block - short_gone * F.col("short")
-    length = F.when(F.col("b") == F.col("n_blocks") - 1, block - F.col("short")).otherwise(F.lit(block))
+    length = F.when(F.col("last"), block - F.col("short")).otherwise(F.lit(block))
     k = k.withColumn("length", length).withColumn("use", F.least(F.col("want") - start, F.col("length"))).where("use > 0")
-    return k.select("shard", "place", "sid", "b", "length", "use")
+    return k.select("shard", "place", "sid", "b", "length", "use"), [table]

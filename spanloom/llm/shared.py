@@ -49,7 +49,17 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
         writer.parquet(path)
     finally:
         spark.conf.set(cleanup, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more, once what was made of them is written."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.written_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -101,13 +111,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = large.where("a <> b").distinct()
         # Small-star: each node and its smaller neighbours are tied to the least of them.
         large = materialize(large, "cc-large")
-        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "cc-least")
-        joined = large.join(least, "a")
+        lower = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "cc-lower")
+        joined = large.join(lower, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(
-            least.select("a", F.col("m").alias("b"))
+            lower.select("a", F.col("m").alias("b"))
         )
         e = materialize(small.where("a <> b").distinct(), "cc-edges")
-        if e.exceptAll(before).isEmpty() and before.exceptAll(e).isEmpty():
+        same = e.exceptAll(before).isEmpty() and before.exceptAll(e).isEmpty()
+        discard(before, least, large, lower)
+        if same:
             break
     else:
         if not e.isEmpty():
