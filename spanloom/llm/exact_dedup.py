@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import BLANK, materialize
+from .shared import BLANK, discard, materialize
 
 #: Leading bits that a directory can look at.
 MOST_BITS = 60
@@ -47,6 +47,7 @@ def directory(entries: DataFrame, capacity: int) -> tuple[int, DataFrame]:
         fullest = cells.agg(F.max("n").alias("n")).first()["n"] or 0
         if fullest <= capacity or deepest == MOST_BITS:
             break
+        discard(cells)
         deepest = min(MOST_BITS, deepest + max(2, deepest // 2))
     depths = F.sequence(F.lit(0), F.lit(deepest))
     ranges = cells.select("p", "n", F.explode(depths).alias("d")).withColumn("r", _cut("p", deepest, F.col("d")))
@@ -58,7 +59,9 @@ def directory(entries: DataFrame, capacity: int) -> tuple[int, DataFrame]:
     bucket = F.concat_ws(":", F.col("local_depth").cast("string"), F.col("r").cast("string"))
     # A bucket that is shallower than the directory has several slots.
     slots = own.select(_cut("p", deepest, F.lit(depth)).alias("slot"), bucket.alias("bucket"), "local_depth").distinct()
-    return depth, materialize(slots, "op4-directory")
+    slots = materialize(slots, "op4-directory")
+    discard(cells, load, own)
+    return depth, slots
 
 
 def _cut(p: str, bits: int, to: Column) -> Column:
@@ -94,7 +97,9 @@ def build_index(docs: DataFrame, capacity: int = 1_024, key_bits: int = 64) -> t
         "bucket", "h", "chain", "chained", F.when(F.col("chained") > 1, F.col("norm")).alias("norm"),
         F.sha2("norm", 256).alias("text_sha256"), "keep_id", "keep_n", "group_size",
     )
-    return materialize(index.sortWithinPartitions("bucket", "h", "chain"), "op4-index"), slots, depth
+    index = materialize(index.sortWithinPartitions("bucket", "h", "chain"), "op4-index")
+    discard(entries)
+    return index, slots, depth
 
 
 def exact_dedup(docs: DataFrame, capacity: int = 1_024, key_bits: int = 64) -> DataFrame:

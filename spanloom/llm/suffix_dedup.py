@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import join_same, materialize, text_key
+from .shared import discard, join_same, materialize, text_key
 
 #: Suffixes looked at in one go, which bounds memory for very long texts.
 SEGMENT = 2_000_000
@@ -203,10 +203,11 @@ def _suffixes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
 KEY = ["doc_id", "tk"]
 
 
-def _settle(runs: DataFrame, length: int, name: str) -> tuple[DataFrame, DataFrame]:
+def _settle(runs: DataFrame, length: int, name: str) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """Two digits for runs of suffixes. Returns the stretches of runs that repeat throughout, and by
     document the runs that need opening: in groups of one first digit with different reaches, one
-    for each reach; ``open`` are those whose reach is unique, the others only show what repeats."""
+    for each reach; ``open`` are those whose reach is unique, the others only show what repeats. Last come
+    the tables that both read."""
     of_digit = runs.groupBy("digit").agg(
         F.count("*").alias("n"), F.max("open").alias("any"), F.min(F.struct("r1", "r2")).alias("a"), F.max(F.struct("r1", "r2")).alias("b")
     )
@@ -216,11 +217,13 @@ def _settle(runs: DataFrame, length: int, name: str) -> tuple[DataFrame, DataFra
     stretch = [*KEY, F.col("lo").alias("s"), (F.col("hi") + length).alias("e")]
     mixed = left.where("not alike")
     of_reach = mixed.groupBy("digit", "r1", "r2").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "lo")).alias("one"))
-    mixed = mixed.join(materialize(of_reach, "op3-reaches"), ["digit", "r1", "r2"])
+    of_reach = materialize(of_reach, "op3-reaches")
+    mixed = mixed.join(of_reach, ["digit", "r1", "r2"])
     whole = left.where("alike").select(*stretch).union(mixed.where("n > 1").select(*stretch))
     opened = mixed.where(F.struct(*KEY, "lo").eqNullSafe(F.col("one")))
     run = F.struct("lo", "hi", "place", (F.col("open") & (F.col("n") == 1)).alias("open"))
-    return whole, opened.groupBy(*KEY).agg(F.collect_list(run).alias("runs"))
+    discard(of_digit)
+    return whole, opened.groupBy(*KEY).agg(F.collect_list(run).alias("runs")), [left, of_reach]
 
 
 def repeated_stretches(docs: DataFrame, length: int = 400, gram: int = 64) -> DataFrame:
@@ -244,11 +247,11 @@ def repeated_stretches(docs: DataFrame, length: int = 400, gram: int = 64) -> Da
     schema = f"{own}, lo int, hi int, place int, open boolean, digit long, r1 long, r2 long, sure boolean"
     runs = materialize(d.mapInArrow(find, schema), "op3-runs")
     sure = runs.where("sure").select(*KEY, F.col("lo").alias("s"), (F.col("hi") + length).alias("e"))
-    whole, opened = _settle(runs.where("not sure"), length, "op3-left")
+    whole, opened, read = _settle(runs.where("not sure"), length, "op3-left")
     # Rows of one key are the same document here: one is enough.
-    texts = materialize(join_same(d, opened, KEY, "inner").dropDuplicates(KEY), "op3-open-texts")
+    texts = whole_texts = materialize(join_same(d, opened, KEY, "inner").dropDuplicates(KEY), "op3-open-texts")
     pieces = materialize(texts.select(*KEY, "text", "runs").mapInArrow(lambda b: _pieces(b, length), schema), "op3-pieces")
-    also, opened = _settle(pieces, length, "op3-left-pieces")
+    also, opened, read_pieces = _settle(pieces, length, "op3-left-pieces")
     texts = join_same(texts.select(*KEY, "text"), opened, KEY, "inner")
     single = materialize(
         texts.mapInArrow(lambda b: _suffixes(b, length), f"{own}, s int, open boolean, h0 long, h1 long"), "op3-suffixes"
@@ -257,7 +260,9 @@ def repeated_stretches(docs: DataFrame, length: int = 400, gram: int = 64) -> Da
     twice = materialize(twice, "op3-twice")
     found = single.where("open").join(twice, ["h0", "h1"]).select(*KEY, "s", (F.col("s") + length).alias("e"))
     spans = sure.union(whole).union(also).union(found).groupBy(*KEY).agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    return materialize(spans, "op3-spans")
+    spans = materialize(spans, "op3-spans")
+    discard(runs, whole_texts, pieces, single, twice, *read, *read_pieces)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 64, with_text: bool = False) -> DataFrame:
