@@ -105,28 +105,45 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
   sha256(norm) AS text_sha256 FROM k
 """
 
-OP5_SQL = r"""
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_HOST = _LOW.format("regexp_extract({0}, '^[^/?#]*')")
+_PATH = "regexp_extract({0}, '^[^/?#]*(/[^?#]*)?', 1)"
+
+
+def _plain_path(p: str) -> str:
+    """A path with its dots resolved."""
+    parts = f"string_split({p}, '/')"
+    kept = f"list_reduce(list_transform({parts}, lambda x: [x]), lambda a, x: CASE x[1] WHEN '..' THEN a[:greatest(len(a) - 1, 1)] WHEN '.' THEN a ELSE a || x END)"
+    made = f"array_to_string({kept} || CASE WHEN {parts}[-1] IN ('.', '..') THEN [''] ELSE CAST([] AS VARCHAR[]) END, '/')"
+    return f"CASE WHEN contains({p}, '/.') THEN CASE WHEN {made} = '' THEN '/' ELSE {made} END ELSE {p} END"
+
+
+def _address(rest: str, scheme: str) -> str:
+    """Host without the scheme's port, path without dots, and query of what follows ``://``."""
+    host, query = _HOST.format(rest), rf"regexp_extract({rest}, '^[^?#]*(\?[^#]*)?', 1)"
+    port = f"CASE lower({scheme}) WHEN 'http' THEN ':80$' WHEN 'https' THEN ':443$' ELSE '^$' END"
+    return f"regexp_replace({host}, {port}, '') || {_plain_path(_PATH.format(rest))} || {query}"
+
+
+_SCHEME = "regexp_extract({}, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)"
+OP5_SQL = rf"""
 WITH RECURSIVE p AS (
-  SELECT page_id, html, url, instr(url, '://') > 0 AS ok,
-    CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
-q AS (
-  SELECT page_id, html,
-    coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-    coalesce(regexp_extract(rest, '^[^/?#]*(/[^?#]*)?', 1), '') AS path,
-    regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail FROM p),
-n AS (SELECT *, CASE WHEN host <> '' THEN host || tail END AS node FROM q),
+  SELECT page_id, html, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest, {_SCHEME.format("url")} AS scheme FROM pages),
+n AS (
+  SELECT page_id, html, scheme, coalesce({_HOST.format("rest")}, '') AS host, coalesce({_PATH.format("rest")}, '') AS path,
+    CASE WHEN {_HOST.format("rest")} <> '' THEN {_address("rest", "scheme")} END AS node FROM p),
 t AS (
-  SELECT host, path, node, unnest([
-    regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1),
-    regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?\s*([^"''\s>;]+)', 1)]) AS raw FROM n),
+  SELECT host, path, scheme, node, unnest(
+    list_transform(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), lambda x: regexp_extract(x, '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1))
+    || list_transform(regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), lambda x: regexp_extract(x, '(?is)\burl\s*=\s*["'']?\s*([^"''\s>;]+)', 1))) AS raw FROM n),
 u AS (
-  SELECT node AS a, CASE WHEN regexp_matches(x, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN substr(x, instr(x, '://') + 3)
+  SELECT node AS a, CASE WHEN regexp_matches(x, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {_SCHEME.format("x")} ELSE scheme END AS scheme,
+    CASE WHEN regexp_matches(x, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN substr(x, instr(x, '://') + 3)
     WHEN x LIKE '//%' THEN substr(x, 3) WHEN x LIKE '/%' THEN host || x
     ELSE host || regexp_extract(path, '^(.*/)?') || x END AS y
   FROM (SELECT *, replace(raw, '&amp;', '&') AS x FROM t WHERE raw <> '')),
 e AS (
-  SELECT a, b FROM (SELECT a, translate(regexp_extract(y, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
-    || regexp_extract(y, '^[^/?#]*([^#]*)', 1) AS b FROM u) WHERE a IS NOT NULL AND a <> b),
+  SELECT a, b FROM (SELECT a, CASE WHEN {_HOST.format("y")} <> '' THEN {_address("y", "scheme")} END AS b FROM u) WHERE a IS NOT NULL AND a <> b),
 s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT a, a AS b FROM s UNION SELECT r.a, s.b FROM r JOIN s ON r.b = s.a),
 rules(rh, rp, v) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'block'),
