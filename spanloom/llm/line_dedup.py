@@ -34,18 +34,14 @@ def later_windows(docs: DataFrame, size: int = 3) -> DataFrame:
     return later.groupBy("doc_id", "tk").agg(F.array_sort(F.collect_list("p")).alias("starts"))
 
 
-def dedup_lines(docs: DataFrame, size: int = 3) -> DataFrame:
-    """``docs`` with ``clean_text`` (the lines that stay, newline-joined), ``n_lines, n_removed``
-    and ``n_spans`` (maximal runs of removed lines).
+RESULTS = ("clean_text", "n_lines", "n_removed", "n_spans")
 
-    Lines are split at newlines and compared exactly. Texts of fewer than three lines are left
-    alone; so is null, which has no lines. Rows of one doc_id with one text are one document: they
-    keep or lose the same lines. Columns besides doc_id and text pass through, but those named
-    like the results are replaced.
-    """
-    results = ("clean_text", "n_lines", "n_removed", "n_spans")
-    own = [c for c in docs.columns if c not in (*results, "tk", "starts", "lines", "gone")]
-    d = join_same(docs.select(*own, text_key(F.col("text")).alias("tk")), later_windows(docs, size), ["doc_id", "tk"])
+
+def cleaned(docs: DataFrame, size: int = 3) -> DataFrame:
+    """``row``, the given row as a struct, in which no name can clash, with ``clean_text, n_lines, n_removed``
+    and ``n_spans`` of its text."""
+    d = docs.select(F.struct("*").alias("row"), "doc_id", text_key(F.col("text")).alias("tk"))
+    d = join_same(d, later_windows(docs, size), ["doc_id", "tk"]).withColumn("text", F.col("row")["text"])
     d = d.withColumn("starts", F.coalesce("starts", F.array().cast("array<int>")))
     # Several uses of a column below keep it from being inlined into a lambda and made anew for each element.
     d = d.withColumn("lines", F.split("text", "\n")).withColumn(
@@ -59,7 +55,7 @@ def dedup_lines(docs: DataFrame, size: int = 3) -> DataFrame:
     )
     n_removed = F.size("gone")
     return d.select(
-        *own,
+        "row",
         F.when(n_removed == 0, F.col("text"))
         .otherwise(F.array_join(F.transform(kept, lambda p: F.get("lines", p)), "\n"))
         .alias("clean_text"),
@@ -67,3 +63,16 @@ def dedup_lines(docs: DataFrame, size: int = 3) -> DataFrame:
         n_removed.cast("long").alias("n_removed"),
         F.when(n_removed == 0, 0).otherwise(F.size(heads)).cast("long").alias("n_spans"),
     )
+
+
+def dedup_lines(docs: DataFrame, size: int = 3) -> DataFrame:
+    """``docs`` with ``clean_text`` (the lines that stay, newline-joined), ``n_lines, n_removed``
+    and ``n_spans`` (maximal runs of removed lines).
+
+    Lines are split at newlines and compared exactly. Texts of fewer than three lines are left
+    alone; so is null, which has no lines. Rows of one doc_id with one text are one document: they
+    keep or lose the same lines. Columns besides doc_id and text pass through, but those named
+    like the results, in whatever case, are replaced. No rows give no rows.
+    """
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in RESULTS]
+    return cleaned(docs, size).select(*own, *RESULTS)
