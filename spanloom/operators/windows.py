@@ -1,4 +1,4 @@
-"""Ordered looks at tasks and operations: dedup, version chains, budgets, breakers, tiers."""
+"""Ordered looks at tasks and operations: dedup, version chains, budgets, breakers, compactions."""
 
 from __future__ import annotations
 
@@ -41,24 +41,24 @@ def calls_over_limit(tasks: DataFrame, limit: int) -> DataFrame:
     return tasks.withColumn("before", done).where(F.col("before") >= limit)
 
 
-def greedy_tiers(rows: DataFrame, budget: Column, summary_divisor: int = 4) -> DataFrame:
-    """Rows ``run_id, task_id, score, tokens, always`` to tiers: full while the running total fits in
-    ``budget``, else summary at a quarter of the tokens if that fits, else metadata. ``always`` rows
-    are full and count. The best scores go first; one that doesn't fit is passed over and a later,
-    smaller one may still fit, so this is a fold over each run's ordered rows."""
-    entry = F.struct((~F.col("always")).alias("late"), (-F.col("score")).alias("rank"), "task_id", "tokens", "always")
-    runs = rows.groupBy("run_id").agg(F.array_sort(F.collect_list(entry)).alias("rows"), F.first(budget).alias("budget"))
-    tier = F.struct(F.lit(0).cast("bigint").alias("task_id"), F.lit("").alias("tier"))
-    zero = F.struct(F.lit(0).cast("bigint").alias("used"), F.array(tier).alias("out"))
+def compaction_triggers(pairs: DataFrame, budget: Column) -> DataFrame:
+    """``run_id, pair`` for each pair of messages after which a run's recent messages exceed ``budget`` tokens.
+
+    ``pairs`` has ``run_id, pair, tokens``. A compaction takes the older half of what is recent, one pair at
+    least, out; what is left counts on. So each run is a fold over its ordered pairs, by numbers only.
+    """
+    runs = pairs.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("pair", "tokens"))).alias("pairs"))
+    none = F.array().cast("array<bigint>")
+    zero = F.struct(none.alias("recent"), none.alias("hits"))
 
     def step(acc: Column, x: Column) -> Column:
-        brief = F.ceil(x["tokens"] / summary_divisor).cast("bigint")
-        full = x["always"] | (acc["used"] + x["tokens"] <= F.col("budget"))
-        summary = acc["used"] + brief <= F.col("budget")
-        kind = F.when(full, "full").when(summary, "summary").otherwise("metadata")
-        cost = F.when(full, x["tokens"]).when(summary, brief).otherwise(0)
-        put = F.struct(x["task_id"].alias("task_id"), kind.alias("tier"))
-        return F.struct((acc["used"] + cost).alias("used"), F.concat(acc["out"], F.array(put)).alias("out"))
-
-    packed = runs.select("run_id", F.aggregate("rows", zero, step)["out"].alias("out"))
-    return packed.select("run_id", F.inline("out")).where("tier <> ''")
+        recent = F.array_append(acc["recent"], x["tokens"].cast("bigint"))
+        held = F.aggregate(recent, F.lit(0).cast("bigint"), lambda a, y: a + y)
+        gone = F.greatest(F.lit(1), F.floor(F.size(recent) / 2).cast("int"))
+        hit = held > budget
+        return F.struct(
+            F.when(hit, F.slice(recent, gone + 1, F.greatest(F.size(recent) - gone, F.lit(0)))).otherwise(recent).alias("recent"),
+            F.when(hit, F.array_append(acc["hits"], x["pair"].cast("bigint"))).otherwise(acc["hits"]).alias("hits"),
+        )
+
+    return runs.select("run_id", F.explode(F.aggregate("pairs", zero, step)["hits"]).alias("pair"))

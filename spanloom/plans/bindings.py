@@ -8,6 +8,7 @@ operation logs, messages, outputs and fetched pages.
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,8 @@ LINE = [
     "l_tax", "l_returnflag", "l_linestatus",
 ]
 
+ARTIFACT_TYPES = ("text", "json", "file_reference", "input_document", "hitl_decision", "skill_prompt", "skill_asset")
+
 #: Categories' default labels: purpose, gate, comparison mode.
 DEFAULTS = [
     ("1-URGENT", "capability", "release", "paired"),
@@ -29,6 +32,14 @@ DEFAULTS = [
 ]
 
 
+def shared_folder(t: Tables) -> str:
+    """A new folder below the one that executors share."""
+    base = t.spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not t.spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(base or '/tmp/checkpoints').rstrip('/')}/trace-{uuid.uuid4().hex}"
+
+
 class Tables:
     """The trace tables of one folder, built when first asked for."""
 
@@ -69,7 +80,7 @@ class Tables:
         order = Window.partitionBy("l_orderkey").orderBy(*LINE)
         o = self.table("lineitem").withColumn("op_no", F.row_number().over(order))
         status = F.when(F.col("l_returnflag") == "N", "succeeded").when(F.col("l_returnflag") == "R", "failed").otherwise("abandoned")
-        kind = F.when(F.col("l_linenumber") % 3 == 0, "llm_call").when(F.col("l_linenumber") % 3 == 1, "tool_call").otherwise("hitl_response")
+        kind = F.when(F.col("l_linenumber") == 7, "hitl_response").when(F.col("l_linenumber") % 3 == 0, "llm_call").otherwise("tool_call")
         return o.select(
             F.col("l_orderkey").alias("task_id"), (F.col("l_orderkey") * 1000 + F.col("op_no")).alias("op_id"), "op_no", kind.alias("type"),
             status.alias("status"), F.col("l_quantity").cast("long").alias("tokens"), F.col("l_partkey").alias("artifact_id"),
@@ -87,10 +98,10 @@ class Tables:
     @cached_property
     def artifacts(self) -> DataFrame:
         content = F.concat_ws("|", "p_name", "p_brand", "p_type", F.col("p_size").cast("string"))
-        kind = F.array(*[F.lit(x) for x in ("text", "json", "code", "image", "table")])
+        kind = F.array(*[F.lit(x) for x in ARTIFACT_TYPES])
         return self.table("part").select(
             F.col("p_partkey").alias("artifact_id"), F.col("p_name").alias("name"), content.alias("content"),
-            F.sha2(content, 256).alias("content_hash"), F.get(kind, (F.col("p_partkey") % 5).cast("int")).alias("type"),
+            F.sha2(content, 256).alias("content_hash"), F.get(kind, (F.col("p_partkey") % 7).cast("int")).alias("type"),
         )
 
     @cached_property
@@ -118,6 +129,30 @@ class Tables:
         r = cases.join(lines, "case_id").join(F.broadcast(self.defaults), "category")
         return r.select("case_id", "run", "category", "purpose", "gate", "mode", "outcome", "inconclusive", "lines", score("sa").alias("a"), score("sb").alias("b"))
 
+    @cached_property
+    def judged(self) -> DataFrame:
+        """Composites of both arms in each of two orderings: a case's odd and even lines."""
+        x = self.table("lineitem").select(
+            F.col("l_orderkey").alias("case_id"), (F.col("l_linenumber") % 2).alias("o"),
+            F.round(F.col("l_discount") * 100).cast("long").alias("a"), F.round(F.col("l_tax") * 100).cast("long").alias("b"),
+        )
+        of = lambda c, o: F.floor(F.sum(F.when(F.col("o") == o, F.col(c))) * 10 / F.count_if(F.col("o") == o) + 0.5).cast("long")
+        x = x.groupBy("case_id").agg(of("a", 1).alias("a1"), of("b", 1).alias("b1"), of("a", 0).alias("a2"), of("b", 0).alias("b2"))
+        return x.where("a1 is not null and a2 is not null")
+
+    @cached_property
+    def calls(self) -> DataFrame:
+        """Which task a call id stands for."""
+        return self.tasks.select(F.concat_ws("-", F.col("run_id").cast("string"), F.col("seq").cast("string")).alias("call_id"), "task_id")
+
+    @cached_property
+    def blocks(self) -> DataFrame:
+        """Messages with content blocks: a text, and a tool result with the id of its call."""
+        call = F.concat_ws("-", F.col("run_id").cast("string"), F.col("turn").cast("string"))
+        none = F.lit(None).cast("string")
+        block = lambda kind, text, ident: F.struct(F.lit(kind).alias("type"), text.alias("text"), ident.alias("tool_use_id"))
+        return self.messages.withColumn("blocks", F.array(block("text", F.col("text"), none), block("tool_result", F.col("text"), call)))
+
     @cached_property
     def events(self) -> DataFrame:
         return self.table("events").select(
@@ -130,7 +165,7 @@ class Tables:
         return self.table("conversations").select(F.col("conv_id").alias("run_id"), "turn", "role", "text")
 
 
-GRAPH = """WITH definitions AS (SELECT CAST(n_nationkey AS BIGINT) AS definition_id, n_name AS name FROM nation),
+GRAPH = f"""WITH definitions AS (SELECT CAST(n_nationkey AS BIGINT) AS definition_id, n_name AS name FROM nation),
 runs AS (SELECT c_custkey AS run_id, CAST(c_nationkey AS BIGINT) AS definition_id, c_name AS name FROM customer),
 t0 AS (SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS INTEGER) AS seq FROM orders),
 tasks AS (SELECT o_custkey AS run_id, o_orderkey AS task_id, seq, CASE WHEN seq = 0 THEN 'root' WHEN o_orderpriority = '1-URGENT' THEN 'hitl'
@@ -139,13 +174,13 @@ tasks AS (SELECT o_custkey AS run_id, o_orderkey AS task_id, seq, CASE WHEN seq
 l0 AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice,
   l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) AS INTEGER) AS op_no FROM lineitem),
 operations AS (SELECT l_orderkey AS task_id, l_orderkey * 1000 + op_no AS op_id, op_no,
-  CASE l_linenumber % 3 WHEN 0 THEN 'llm_call' WHEN 1 THEN 'tool_call' ELSE 'hitl_response' END AS type,
+  CASE WHEN l_linenumber = 7 THEN 'hitl_response' WHEN l_linenumber % 3 = 0 THEN 'llm_call' ELSE 'tool_call' END AS type,
   CASE l_returnflag WHEN 'N' THEN 'succeeded' WHEN 'R' THEN 'failed' ELSE 'abandoned' END AS status,
   CAST(l_quantity AS BIGINT) AS tokens, l_partkey AS artifact_id, l_suppkey AS skill_id, l_linestatus AS flow, l_shipdate AS at FROM l0),
 produces AS (SELECT op_id, task_id, artifact_id FROM operations WHERE flow = 'O'),
 consumes AS (SELECT DISTINCT task_id, artifact_id FROM operations WHERE flow = 'F'),
 artifacts AS (SELECT p_partkey AS artifact_id, p_name AS name, concat_ws('|', p_name, p_brand, p_type, p_size) AS content,
-  sha256(concat_ws('|', p_name, p_brand, p_type, p_size)) AS content_hash, ['text', 'json', 'code', 'image', 'table'][p_partkey % 5 + 1] AS type FROM part),
+  sha256(concat_ws('|', p_name, p_brand, p_type, p_size)) AS content_hash, {list(ARTIFACT_TYPES)}[p_partkey % 7 + 1] AS type FROM part),
 skills AS (SELECT s_suppkey AS skill_id, s_name AS name FROM supplier)
 """
 
@@ -163,3 +198,9 @@ EVENTS = """WITH events_ AS (SELECT user_id AS run_id, event_id, ts, event_type
 
 MESSAGES = """WITH messages AS (SELECT conv_id AS run_id, turn, role, text FROM conversations)
 """
+
+JUDGED = """WITH jl AS (SELECT l_orderkey AS case_id, l_linenumber % 2 AS o, CAST(round(l_discount * 100) AS BIGINT) AS a, CAST(round(l_tax * 100) AS BIGINT) AS b FROM lineitem),
+judged AS (SELECT case_id, CAST(floor(sum(a) FILTER (o = 1) * 10 / count(*) FILTER (o = 1) + 0.5) AS BIGINT) AS a1, CAST(floor(sum(b) FILTER (o = 1) * 10 / count(*) FILTER (o = 1) + 0.5) AS BIGINT) AS b1,
+  CAST(floor(sum(a) FILTER (o = 0) * 10 / count(*) FILTER (o = 0) + 0.5) AS BIGINT) AS a2, CAST(floor(sum(b) FILTER (o = 0) * 10 / count(*) FILTER (o = 0) + 0.5) AS BIGINT) AS b2
+  FROM jl GROUP BY case_id HAVING count(*) FILTER (o = 1) > 0 AND count(*) FILTER (o = 0) > 0)
+"""

@@ -135,22 +135,30 @@ def _(t):
     return t.events.groupBy("run_id").agg(latest("props", "view").alias("last_view"), latest("tokens", "purchase").alias("last_tokens"))
 
 
-_DIMS = GRAPH + _FLOW + """, ct AS (SELECT run_id, task_id, seq, role FROM tasks WHERE status = 'completed' AND role <> 'root'),
+_WORTH = " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in rk.TYPE_WORTH.items())
+_SCORED = "recency * {recency}::DOUBLE + downstream * {downstream}::DOUBLE + artifact_type * {artifact_type}::DOUBLE + retry * {retry}::DOUBLE + skill_type * {skill_type}::DOUBLE"
+_DIMS = GRAPH + f""", ct AS (SELECT run_id, task_id, seq, role FROM tasks WHERE status = 'completed' AND role <> 'root'),
 c0 AS (SELECT *, max(seq) OVER (PARTITION BY run_id) AS top, count(*) OVER (PARTITION BY run_id ORDER BY seq RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM ct),
-oc AS (SELECT task_id, count(*) AS ops FROM operations GROUP BY task_id),
-uc AS (SELECT producer AS task_id, count(DISTINCT consumer) AS users FROM links WHERE consumer IN (SELECT task_id FROM ct) GROUP BY producer),
-wc AS (SELECT task_id, max(CASE a.type WHEN 'table' THEN 1.0::DOUBLE WHEN 'json' THEN 0.9::DOUBLE WHEN 'code' THEN 0.8::DOUBLE WHEN 'text' THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END) AS worth FROM produces JOIN artifacts a USING (artifact_id) GROUP BY task_id),
-dims AS (SELECT run_id, task_id, seq, role, CASE WHEN top = 0 THEN 1.0::DOUBLE ELSE seq / top END AS recency,
-  CASE WHEN later = 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE * least(coalesce(users, 0), 1) + 0.5::DOUBLE * least(coalesce(users, 0) / later, 1.0::DOUBLE) END AS downstream,
+oc AS (SELECT task_id, count(*) AS ops, bool_or(type = 'hitl_response') AS human, min(op_no) FILTER (status = 'succeeded') AS first_no FROM operations GROUP BY task_id),
+mk AS (SELECT run_id, artifact_id, arg_max(task_id, (seq, op_id)) AS producer FROM produces JOIN tasks USING (task_id) GROUP BY ALL),
+uc AS (SELECT producer AS task_id, count(DISTINCT c.task_id) AS users FROM consumes c JOIN tasks t ON t.task_id = c.task_id JOIN mk ON mk.run_id = t.run_id AND mk.artifact_id = c.artifact_id GROUP BY producer),
+wc AS (SELECT o.task_id, max(CASE a.type {_WORTH} END) AS worth FROM operations o JOIN oc ON oc.task_id = o.task_id AND oc.first_no = o.op_no JOIN artifacts a ON a.artifact_id = o.artifact_id WHERE o.flow = 'O' GROUP BY o.task_id),
+dims AS (SELECT run_id, task_id, seq, role, coalesce(human, false) AS hitl, CASE WHEN top > 0 THEN seq / top ELSE 1.0::DOUBLE END AS recency,
+  CASE WHEN later = 0 THEN 1.0::DOUBLE ELSE least(coalesce(users, 0), 1) * 0.5::DOUBLE + coalesce(users, 0) / later * 0.5::DOUBLE END AS downstream,
   coalesce(worth, 0.0::DOUBLE) AS artifact_type, least(coalesce(ops, 0) / 3, 1.0::DOUBLE) AS retry,
-  CASE role WHEN 'hitl' THEN 1.0::DOUBLE WHEN 'subagent' THEN 0.7::DOUBLE ELSE 0.4::DOUBLE END AS skill_type
+  CASE WHEN human THEN 1.0::DOUBLE WHEN role = 'subagent' THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END AS skill_type
   FROM c0 LEFT JOIN oc USING (task_id) LEFT JOIN uc USING (task_id) LEFT JOIN wc USING (task_id)),
-scored AS (SELECT *, CAST(floor((0.0::DOUBLE + recency * 0.3::DOUBLE + downstream * 0.35::DOUBLE + artifact_type * 0.2::DOUBLE + retry * 0.05::DOUBLE + skill_type * 0.1::DOUBLE) * 1000 + 0.5) AS BIGINT) AS score FROM dims)
+scored AS (SELECT *, {_SCORED.format(**rk.WEIGHTS)} AS score FROM dims)
 """
+_MILLIONTHS = "CAST(floor({} * 1000000 + 0.5) AS BIGINT)"
 
 
 def _dims(t):
-    return rk.dimensions(t.tasks, t.operations, t.produces, t.artifacts, g.consumption(t.tasks, t.produces, t.consumes))
+    return rk.dimensions(t.tasks.withColumn("described", F.col("role") == "subagent"), t.operations, t.produces, t.artifacts, t.consumes)
+
+
+def _millionths(x):
+    return F.floor(x * 1_000_000 + 0.5).cast("long")
 
 
 @query("win_03_recency", _DIMS + "SELECT task_id, recency FROM dims")
@@ -178,52 +186,64 @@ def _(t):
     return _dims(t).select("task_id", "artifact_type", "skill_type")
 
 
-@query("ctx_01_score", _DIMS + "SELECT run_id, task_id, score FROM scored")
+@query("ctx_01_score", _DIMS + f"SELECT run_id, task_id, {_MILLIONTHS.format('score')} AS score FROM scored")
 def _(t):
-    return rk.score(_dims(t)).select("run_id", "task_id", "score")
+    return rk.score(_dims(t)).select("run_id", "task_id", _millionths(F.col("score")).alias("score"))
+
 
+#: Definitions' own weights; what one leaves open takes the default.
+_OVERRIDES = [(0, 1.0, 0.0, 0.0, 0.0, 0.0), (1, 0.6, None, None, None, None), (2, None, 0.5, None, 0.0, None)]
+_OWN = " + ".join(f"{k} * coalesce(w_{k}, {v}::DOUBLE)" for k, v in rk.WEIGHTS.items())
+_OVERRIDE_SQL = ", ".join("(" + ", ".join("NULL::DOUBLE" if x is None else f"{x}::DOUBLE" if k else str(x) for k, x in enumerate(row)) + ")" for row in _OVERRIDES)
 
-@query("ctx_02_weight_override", _DIMS + """SELECT task_id, CAST(floor((0.0::DOUBLE + recency * 1.0::DOUBLE) * 1000 + 0.5) AS BIGINT) AS score FROM dims JOIN runs USING (run_id) WHERE definition_id = 0
-UNION ALL SELECT task_id, score FROM scored JOIN runs USING (run_id) WHERE definition_id <> 0""")
+
+@query("ctx_02_weight_override", _DIMS + f""", own(definition_id, {', '.join(f'w_{k}' for k in rk.WEIGHTS)}) AS (VALUES {_OVERRIDE_SQL})
+SELECT task_id, {_MILLIONTHS.format(f'({_OWN})')} AS score FROM dims JOIN runs USING (run_id) LEFT JOIN own USING (definition_id)""")
 def _(t):
-    """Runs of one definition weigh recency alone."""
-    j = _dims(t).join(t.runs.select("run_id", "definition_id"), "run_id")
-    special = rk.score(j.where("definition_id = 0"), {"recency": 1.0})
-    return special.unionByName(rk.score(j.where("definition_id <> 0"))).select("task_id", "score")
+    """Weights of the run's definition, field by field, where it has any."""
+    own = t.spark.createDataFrame(_OVERRIDES, "definition_id long, " + ", ".join(f"w_{k} double" for k in rk.WEIGHTS))
+    j = _dims(t).join(t.runs.select("run_id", "definition_id"), "run_id").join(F.broadcast(own), "definition_id", "left")
+    total = None
+    for k, v in rk.WEIGHTS.items():
+        part = F.col(k) * F.coalesce(f"w_{k}", F.lit(v))
+        total = part if total is None else total + part
+    return j.select("task_id", _millionths(total).alias("score"))
 
 
-@query("ctx_03_protected", _DIMS + "SELECT run_id, task_id FROM scored WHERE role = 'hitl' OR score >= 700")
+@query("ctx_03_protected", _DIMS + "SELECT run_id, task_id FROM scored WHERE hitl OR score >= 0.7::DOUBLE")
 def _(t):
-    return rk.score(_dims(t)).where("role = 'hitl' or score >= 700").select("run_id", "task_id")
+    return rk.protected(rk.score(_dims(t))).select("run_id", "task_id")
 
 
-@query("top_06_rank_by_score", _DIMS + "SELECT run_id, task_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY score DESC, task_id) AS INTEGER) AS rank FROM scored")
+@query("top_06_rank_by_score", _DIMS + "SELECT run_id, task_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY score DESC, seq, task_id) AS INTEGER) AS rank FROM scored")
 def _(t):
-    rank = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("score"), "task_id"))
+    rank = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("score"), "seq", "task_id"))
     return rk.score(_dims(t)).select("run_id", "task_id", rank.alias("rank"))
 
 
-_TIERS = "WITH RECURSIVE " + _DIMS[5:] + """, tok AS (SELECT task_id, CAST(sum(tokens) AS BIGINT) AS tokens FROM operations GROUP BY task_id),
-o AS (SELECT run_id, task_id, seq, score, coalesce(tokens, 0) AS tokens, role = 'hitl' AS always, row_number() OVER (PARTITION BY run_id ORDER BY role <> 'hitl', -score, task_id) AS k
-  FROM scored LEFT JOIN tok USING (task_id)),
-f AS (SELECT run_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS used, CAST(NULL AS BIGINT) AS task_id, '' AS tier FROM (SELECT DISTINCT run_id FROM o)
-UNION ALL SELECT f.run_id, o.k, CAST(f.used + CASE WHEN o.always OR f.used + o.tokens <= 300 THEN o.tokens WHEN f.used + ceil(o.tokens / 4) <= 300 THEN ceil(o.tokens / 4) ELSE 0 END AS BIGINT), o.task_id,
-  CASE WHEN o.always OR f.used + o.tokens <= 300 THEN 'full' WHEN f.used + ceil(o.tokens / 4) <= 300 THEN 'summary' ELSE 'metadata' END
-  FROM f JOIN o ON o.run_id = f.run_id AND o.k = f.k + 1),
-tiers AS (SELECT run_id, task_id, tier FROM f WHERE k > 0)
+#: Tokens of a run's context. A task's tokens are those of its first succeeded operation, whose output is shown.
+_BUDGET = 60
+_TOKENS = """, x AS (SELECT s.*, CAST(coalesce(o.tokens, 0) AS BIGINT) AS tokens FROM scored s LEFT JOIN oc ON oc.task_id = s.task_id LEFT JOIN operations o ON o.task_id = s.task_id AND o.op_no = oc.first_no)
+"""
+_TIERS = "WITH RECURSIVE " + _DIMS[5:] + _TOKENS + f""", h AS (SELECT run_id, task_id, tokens, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, seq) AS k FROM x WHERE NOT hitl AND score >= 0.7::DOUBLE),
+f AS (SELECT run_id, CAST(0 AS BIGINT) AS k, CAST(coalesce(sum(tokens) FILTER (hitl), 0) AS BIGINT) AS used, CAST(NULL AS BIGINT) AS task_id, false AS fits FROM x GROUP BY run_id
+UNION ALL SELECT f.run_id, h.k, CASE WHEN f.used + h.tokens <= {_BUDGET} * 0.6::DOUBLE THEN f.used + h.tokens ELSE f.used END, h.task_id, f.used + h.tokens <= {_BUDGET} * 0.6::DOUBLE FROM f JOIN h ON h.run_id = f.run_id AND h.k = f.k + 1),
+tiers AS (SELECT x.*, CASE WHEN hitl OR coalesce(fits, false) THEN 'full' WHEN score >= 0.3::DOUBLE THEN 'summary' ELSE 'metadata' END AS tier FROM x LEFT JOIN f ON f.task_id = x.task_id)
 """
 
 
+def _with_tokens(t):
+    ok = t.operations.where("status = 'succeeded'").groupBy("task_id").agg(F.min_by("tokens", "op_no").alias("tokens"))
+    return rk.score(_dims(t)).join(ok, "task_id", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0).cast("long")))
+
+
 def _tiers(t):
-    tokens = t.operations.groupBy("task_id").agg(F.sum("tokens").alias("tokens"))
-    rows = rk.score(_dims(t)).join(tokens, "task_id", "left")
-    rows = rows.select("run_id", "task_id", "score", F.coalesce("tokens", F.lit(0)).alias("tokens"), (F.col("role") == "hitl").alias("always"))
-    return w.greedy_tiers(rows, F.lit(300))
+    return rk.assign_tiers(_with_tokens(t), F.lit(_BUDGET))
 
 
-@query("win_11_greedy_tiers", _TIERS + "SELECT * FROM tiers")
+@query("win_11_greedy_tiers", _TIERS + "SELECT run_id, task_id, tier FROM tiers")
 def _(t):
-    return _tiers(t)
+    return _tiers(t).select("run_id", "task_id", "tier")
 
 
 @query("ctx_04_tier_counts", _TIERS + "SELECT run_id, count(*) FILTER (tier = 'full') AS full_rows, count(*) FILTER (tier = 'summary') AS summary_rows, count(*) FILTER (tier = 'metadata') AS metadata_rows FROM tiers GROUP BY run_id")
@@ -232,91 +252,125 @@ def _(t):
     return _tiers(t).groupBy("run_id").agg(n("full"), n("summary"), n("metadata"))
 
 
-@query("ctx_05_compress_needed", _TIERS + "SELECT run_id, CAST(coalesce(sum(tokens) FILTER (tier = 'summary'), 0) AS BIGINT) AS tokens, coalesce(sum(tokens) FILTER (tier = 'summary'), 0) > 75 AS compress FROM tiers JOIN tok USING (task_id) GROUP BY run_id")
+@query("ctx_05_compress_needed", _TIERS + f"SELECT run_id, CAST(coalesce(sum(tokens) FILTER (tier = 'summary'), 0) AS BIGINT) AS tokens, coalesce(sum(tokens) FILTER (tier = 'summary'), 0) > {_BUDGET} * 0.25::DOUBLE AS compress FROM tiers GROUP BY run_id")
 def _(t):
-    j = _tiers(t).join(t.operations.groupBy("task_id").agg(F.sum("tokens").alias("tokens")), "task_id")
+    """A quarter of the budget is for summaries."""
     held = F.coalesce(F.sum(F.when(F.col("tier") == "summary", F.col("tokens"))), F.lit(0))
-    return j.groupBy("run_id").agg(held.alias("tokens"), (held > 75).alias("compress"))
+    return _tiers(t).groupBy("run_id").agg(held.alias("tokens"), (held > _BUDGET * 0.25).alias("compress"))
+
+
+_FIRST_OK = " JOIN oc ON oc.task_id = tiers.task_id JOIN operations o ON o.task_id = tiers.task_id AND o.op_no = oc.first_no AND o.flow = 'O'"
 
 
-@query("ctx_06_surfaced_artifacts", _TIERS + "SELECT DISTINCT tiers.run_id, artifact_id FROM tiers JOIN produces USING (task_id) WHERE tier <> 'metadata'")
+@query("ctx_06_surfaced_artifacts", _TIERS + f"SELECT DISTINCT tiers.run_id, o.artifact_id FROM tiers{_FIRST_OK} WHERE tier <> 'metadata'")
 def _(t):
-    return _tiers(t).where("tier <> 'metadata'").join(t.produces.select("task_id", "artifact_id"), "task_id").select("run_id", "artifact_id").distinct()
+    """Artifacts of the operation that is shown."""
+    shown = t.operations.where("status = 'succeeded'").groupBy("task_id").agg(F.min_by(F.struct("artifact_id", "flow"), "op_no").alias("x")).where("x.flow = 'O'")
+    return _tiers(t).where("tier <> 'metadata'").join(shown, "task_id").select("run_id", "x.artifact_id").distinct()
 
 
-@query("ctx_07_context_index", _TIERS + "SELECT tiers.run_id, tier, list(tiers.task_id ORDER BY seq) AS tasks FROM tiers JOIN o USING (run_id, task_id) GROUP BY ALL")
+@query("ctx_07_context_index", _TIERS + "SELECT run_id, tier, list(task_id ORDER BY seq) AS tasks, count(*) AS n, CAST(sum(count(*)) FILTER (tier <> 'metadata') OVER (PARTITION BY run_id) AS BIGINT) AS in_detail FROM tiers GROUP BY run_id, tier")
 def _(t):
-    j = _tiers(t).join(t.tasks.select("task_id", "seq"), "task_id")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "task_id"))), lambda x: x["task_id"])
-    return j.groupBy("run_id", "tier").agg(ordered.alias("tasks"))
+    x = _tiers(t).groupBy("run_id", "tier").agg(ordered.alias("tasks"), F.count("*").alias("n"))
+    detail = F.sum(F.when(F.col("tier") != "metadata", F.col("n"))).over(Window.partitionBy("run_id"))
+    return x.withColumn("in_detail", detail)
+
+
+_DEMOTE = ", e AS (SELECT *, {excess} AS excess, coalesce(sum(CASE WHEN tier = 'full' AND NOT hitl THEN tokens ELSE 0 END) OVER (PARTITION BY run_id ORDER BY score, seq DESC, task_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed FROM {rows})\n"
 
 
-@query("win_12_demotion", _DIMS + """, tok AS (SELECT task_id, CAST(sum(tokens) AS BIGINT) AS tokens FROM operations GROUP BY task_id),
-x AS (SELECT run_id, task_id, score, tokens, sum(tokens) OVER (PARTITION BY run_id) - 400 AS excess,
-  coalesce(sum(tokens) OVER (PARTITION BY run_id ORDER BY score, task_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed FROM scored JOIN tok USING (task_id))
-SELECT run_id, task_id, freed < excess AS demoted FROM x""")
+@query("win_12_demotion", _DIMS + _TOKENS + ", k AS (SELECT *, CASE WHEN hitl OR score >= 0.7::DOUBLE THEN 'full' WHEN score >= 0.3::DOUBLE THEN 'summary' ELSE 'metadata' END AS tier FROM x)"
+       + _DEMOTE.format(excess=f"coalesce(sum(tokens) FILTER (tier = 'full') OVER (PARTITION BY run_id), 0) - {_BUDGET} * 0.6::DOUBLE", rows="k")
+       + "SELECT run_id, task_id, tier = 'full' AND NOT hitl AND freed < excess AS demoted FROM e")
 def _(t):
-    """The lowest scores go first, until the excess over the budget is freed."""
-    rows = rk.score(_dims(t)).join(t.operations.groupBy("task_id").agg(F.sum("tokens").alias("tokens")), "task_id")
-    low = Window.partitionBy("run_id").orderBy("score", "task_id").rowsBetween(Window.unboundedPreceding, -1)
-    freed = F.coalesce(F.sum("tokens").over(low), F.lit(0))
-    excess = F.sum("tokens").over(Window.partitionBy("run_id")) - 400
-    return rows.select("run_id", "task_id", (freed < excess).alias("demoted"))
+    """Of all that scores as full, the lowest go until the rest is within the full tier's share."""
+    rows = _with_tokens(t)
+    was = F.when(F.col("hitl") | (F.col("score") >= rk.FULL_SCORE), "full").when(F.col("score") >= rk.SUMMARY_SCORE, "summary").otherwise("metadata")
+    rows = rows.withColumn("tier", was).withColumn("was", was)
+    held = F.sum(F.when(F.col("tier") == "full", F.col("tokens")).otherwise(0)).over(Window.partitionBy("run_id"))
+    down = rk.demote(rows, held - _BUDGET * rk.FULL_SHARE)
+    return down.select("run_id", "task_id", (F.col("tier") != F.col("was")).alias("demoted"))
 
 
-@query("ctx_08_over_budget", GRAPH + "SELECT run_id, CAST(sum(tokens) AS BIGINT) AS tokens, sum(tokens) > 0.8 * 1000 AS check_exactly, sum(tokens) > 1000 AS over FROM tasks JOIN operations USING (task_id) GROUP BY run_id")
+@query("ctx_08_over_budget", _TIERS + _DEMOTE.format(excess=f"sum(tokens) OVER (PARTITION BY run_id) - {_BUDGET}", rows="tiers")
+       + f"SELECT run_id, CAST(sum(tokens) AS BIGINT) AS tokens, sum(tokens) > {_BUDGET} * 0.8::DOUBLE AS check_exactly, sum(tokens) > {_BUDGET} AS over, count(*) FILTER (tier = 'full' AND NOT hitl AND freed < excess) AS demoted FROM e GROUP BY run_id")
 def _(t):
+    """From four fifths of the budget on the tokens are counted exactly, here as given; above it full rows are demoted."""
+    rows = _tiers(t).withColumn("was", F.col("tier"))
+    down = rk.demote(rows, F.sum("tokens").over(Window.partitionBy("run_id")) - _BUDGET)
     s = F.sum("tokens")
-    j = t.tasks.select("run_id", "task_id").join(t.operations.select("task_id", "tokens"), "task_id")
-    return j.groupBy("run_id").agg(s.alias("tokens"), (s > 800).alias("check_exactly"), (s > 1000).alias("over"))
+    return down.groupBy("run_id").agg(
+        s.alias("tokens"), (s > _BUDGET * 0.8).alias("check_exactly"), (s > _BUDGET).alias("over"), F.count_if(F.col("tier") != F.col("was")).alias("demoted")
+    )
 
 
-@query("ctx_09_compaction_input", GRAPH + """SELECT run_id, string_agg(substr(content, 1, 20), ';' ORDER BY seq, op_no) AS input FROM tasks JOIN operations o USING (task_id) JOIN artifacts a USING (artifact_id)
+@query("ctx_09_compaction_input", GRAPH + """SELECT run_id, string_agg(substr(content, 1, 1000), ';' ORDER BY seq, op_no) AS input FROM tasks JOIN operations o USING (task_id) JOIN artifacts a USING (artifact_id)
 WHERE o.flow = 'O' AND o.status = 'succeeded' GROUP BY run_id""")
 def _(t):
     done = t.operations.where("flow = 'O' and status = 'succeeded'").select("task_id", "op_no", "artifact_id")
-    j = t.tasks.select("run_id", "task_id", "seq").join(done, "task_id").join(t.artifacts.select("artifact_id", F.substring("content", 1, 20).alias("c")), "artifact_id")
+    j = t.tasks.select("run_id", "task_id", "seq").join(done, "task_id").join(t.artifacts.select("artifact_id", F.substring("content", 1, 1000).alias("c")), "artifact_id")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("seq", "op_no", "c"))), lambda x: x["c"])
     return j.groupBy("run_id").agg(F.array_join(parts, ";").alias("input"))
 
 
-@query("jn_20_sweep_grid", _DIMS + """, cfg(config, wr, wd) AS (VALUES ('recency', 1.0::DOUBLE, 0.0::DOUBLE), ('downstream', 0.0::DOUBLE, 1.0::DOUBLE), ('equal', 0.5::DOUBLE, 0.5::DOUBLE))
-SELECT config, task_id, CAST(floor((0.0::DOUBLE + recency * wr + downstream * wd) * 1000 + 0.5) AS BIGINT) AS score FROM dims, cfg""")
-def _(t):
-    return _sweep(t).select("config", "task_id", "score")
+_CONFIGS = ", ".join("('" + k + "', " + ", ".join(f"{x}::DOUBLE" for x in w.values()) + ")" for k, w in rk.SWEEP.items())
+_SWEEP = _DIMS + f""", cfg(config, {', '.join(f'w_{k}' for k in rk.WEIGHTS)}) AS (VALUES {_CONFIGS}),
+sw AS (SELECT config, run_id, task_id, {_MILLIONTHS.format('(' + ' + '.join(f'{k} * w_{k}' for k in rk.WEIGHTS) + ')')} AS score FROM dims, cfg)
+"""
 
 
 def _sweep(t):
     """Every completed task under every configuration of weights: a row's list of scores, laid out."""
-    d = _dims(t)
-    configs = {"recency": (1.0, 0.0), "downstream": (0.0, 1.0), "equal": (0.5, 0.5)}
-    score = lambda r, s: F.floor((F.lit(0.0) + F.col("recency") * r + F.col("downstream") * s) * 1000 + 0.5).cast("long")
-    laid = F.array(*[F.struct(F.lit(k).alias("config"), score(*v).alias("score")) for k, v in configs.items()])
-    return d.select("run_id", "task_id", F.inline(laid))
+    laid = F.array(*[F.struct(F.lit(k).alias("config"), _millionths(rk.weighted(w)).alias("score")) for k, w in rk.SWEEP.items()])
+    return _dims(t).select("run_id", "task_id", F.inline(laid))
+
+
+@query("jn_20_sweep_grid", _SWEEP + "SELECT config, task_id, score FROM sw")
+def _(t):
+    return _sweep(t).select("config", "task_id", "score")
 
 
-_SWEEP = _DIMS + """, cfg(config, wr, wd) AS (VALUES ('recency', 1.0::DOUBLE, 0.0::DOUBLE), ('downstream', 0.0::DOUBLE, 1.0::DOUBLE), ('equal', 0.5::DOUBLE, 0.5::DOUBLE)),
-sw AS (SELECT config, run_id, task_id, CAST(floor((0.0::DOUBLE + recency * wr + downstream * wd) * 1000 + 0.5) AS BIGINT) AS score FROM dims, cfg)
+_PER_RUN = _SWEEP + """, rn AS (SELECT run_id, count(*) FILTER (status <> 'completed') = 0 AS done, CAST(coalesce(sum(k), 0) AS BIGINT) AS tokens FROM tasks
+  LEFT JOIN (SELECT task_id, sum(tokens) AS k FROM operations GROUP BY task_id) USING (task_id) GROUP BY run_id),
+pr AS (SELECT config, run_id, CAST(floor(sum(score) / count(*)) AS BIGINT) AS q FROM sw GROUP BY config, run_id),
+sm AS (SELECT config, count(*) AS n, sum(q) AS sq, avg(q) AS mean, stddev_samp(q) AS sd, avg(CASE WHEN done THEN 1 ELSE 0 END) AS completed, avg(tokens) AS tokens FROM pr JOIN rn USING (run_id) GROUP BY config)
 """
 
 
-@query("agg_24_sweep_summary", _SWEEP + "SELECT config, count(*) AS n, round(avg(score), 4) AS mean, round(stddev_samp(score), 4) AS sd FROM sw GROUP BY config")
+def _per_run(t):
+    """Quality of each run under each configuration, with what the run did."""
+    used = t.operations.groupBy("task_id").agg(F.sum("tokens").alias("k"))
+    runs = t.tasks.select("run_id", "task_id", "status").join(used, "task_id", "left").groupBy("run_id")
+    runs = runs.agg((F.count_if(F.col("status") != "completed") == 0).alias("done"), F.coalesce(F.sum("k"), F.lit(0)).alias("tokens"))
+    q = _sweep(t).groupBy("config", "run_id").agg(F.floor(F.sum("score") / F.count("*")).alias("q"))
+    return q.join(runs, "run_id")
+
+
+@query("agg_24_sweep_summary", _PER_RUN + """SELECT config, n, round(mean, 2) AS mean, round(sd, 2) AS sd, round(CASE WHEN n > 30 THEN 1.96::DOUBLE * sd / sqrt(n) END, 2) AS half, round(completed, 4) AS completed, round(tokens, 2) AS tokens FROM sm""")
 def _(t):
-    return _sweep(t).groupBy("config").agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean"), F.round(F.stddev_samp("score"), 4).alias("sd"))
+    n, sd = F.count("*"), F.stddev_samp("q")
+    half = F.when(n > 30, F.lit(1.96) * sd / F.sqrt(n))
+    return _per_run(t).groupBy("config").agg(
+        n.alias("n"), F.round(F.avg("q"), 2).alias("mean"), F.round(sd, 2).alias("sd"), F.round(half, 2).alias("half"),
+        F.round(F.avg(F.col("done").cast("int")), 4).alias("completed"), F.round(F.avg("tokens"), 2).alias("tokens"),
+    )
 
 
-@query("agg_25_score_matrix", _SWEEP + "SELECT task_id, max(score) FILTER (config = 'recency') AS recency, max(score) FILTER (config = 'downstream') AS downstream, max(score) FILTER (config = 'equal') AS equal FROM sw GROUP BY task_id")
+@query("agg_25_score_matrix", _SWEEP + "SELECT task_id, " + ", ".join(f"max(score) FILTER (config = '{k}') AS \"{k}\"" for k in rk.SWEEP) + " FROM sw GROUP BY task_id")
 def _(t):
-    return _sweep(t).groupBy("task_id").pivot("config", ["recency", "downstream", "equal"]).agg(F.max("score"))
+    return _sweep(t).groupBy("task_id").pivot("config", list(rk.SWEEP)).agg(F.max("score"))
 
 
-@query("agg_27_best_vs_default", _SWEEP + ", m AS (SELECT config, sum(score) AS s FROM sw GROUP BY config) SELECT arg_max(config, s) AS best, CAST(max(s) - max(s) FILTER (config = 'equal') AS BIGINT) AS delta FROM m")
+@query("agg_27_best_vs_default", _PER_RUN + "SELECT arg_max(config, (sq, config)) AS best, CAST(max(sq) - max(sq) FILTER (config = 'defaults') AS BIGINT) AS delta FROM sm")
 def _(t):
-    m = _sweep(t).groupBy("config").agg(F.sum("score").alias("s"))
-    return m.agg(F.max_by("config", "s").alias("best"), (F.max("s") - F.max(F.when(F.col("config") == "equal", F.col("s")))).alias("delta"))
+    m = _per_run(t).groupBy("config").agg(F.sum("q").alias("s"))
+    best = F.max_by("config", F.struct("s", "config"))
+    return m.agg(best.alias("best"), (F.max("s") - F.max(F.when(F.col("config") == "defaults", F.col("s")))).alias("delta"))
 
 
-@query("top_07_rank_configs", _SWEEP + "SELECT config, CAST(row_number() OVER (ORDER BY sum(score) DESC, config) AS INTEGER) AS rank FROM sw GROUP BY config")
+@query("top_07_rank_configs", _PER_RUN + "SELECT config, CAST(row_number() OVER (ORDER BY sq DESC, config) AS INTEGER) AS rank FROM sm")
 def _(t):
-    m = _sweep(t).groupBy("config").agg(F.sum("score").alias("s"))
+    """As all configurations score the same runs, the order of sums is that of means. Configurations are few."""
+    m = _per_run(t).groupBy("config").agg(F.sum("q").alias("s"))
     return m.select("config", F.row_number().over(Window.orderBy(F.desc("s"), "config")).alias("rank"))
