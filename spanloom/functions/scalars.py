@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 # File types by extension.
 MIME = {
-    "txt": "text/plain", "md": "text/markdown", "html": "text/html", "css": "text/css", "csv": "text/csv",
-    "js": "text/javascript", "ts": "text/typescript", "py": "text/x-python", "json": "application/json",
-    "xml": "application/xml", "yaml": "application/yaml", "yml": "application/yaml", "pdf": "application/pdf",
-    "png": "image/png", "jpg": "image/jpeg", "svg": "image/svg+xml", "zip": "application/zip",
+    "json": "application/json", "md": "text/markdown", "csv": "text/csv", "html": "text/html", "htm": "text/html",
+    "xml": "application/xml", "yaml": "application/yaml", "yml": "application/yaml", "toml": "application/toml", "css": "text/css",
+    "js": "text/javascript", "ts": "text/typescript", "py": "text/x-python", "sh": "text/x-shellscript", "sql": "application/sql",
+    "log": "text/plain", "txt": "text/plain",
 }
 
 
@@ -35,10 +35,10 @@ def normalize_prompt(text: Column) -> Column:
 
 
 def parse_approval(text: Column) -> Column:
-    """Approval words go before rejecting ones, and both are found inside other words."""
-    t = F.lower(F.trim(text))
-    has = lambda *ws: F.greatest(*[F.contains(t, F.lit(w)) for w in ws])
-    return F.when(has("approve", "yes", "accept"), "approved").when(has("reject", "no", "deny"), "rejected").otherwise("unclear")
+    """Approval words go before rejecting ones, and both are found inside other words; a bare y or n counts."""
+    t = F.lower(text)
+    has = lambda a, b, c: F.contains(t, F.lit(a)) | F.contains(t, F.lit(b)) | (t == c)
+    return F.when(has("approve", "yes", "y"), "approved").when(has("reject", "no", "n"), "rejected").otherwise("unclear")
 
 
 def normalize_blanks(text: Column) -> Column:
@@ -54,9 +54,9 @@ def flat_preview(text: Column, most: int = 120) -> Column:
 
 
 def truncate(text: Column, most: int = 32_000) -> Column:
-    """Struct of the text, marked if it was cut, and whether it was."""
+    """Struct of the text, marked if it was cut, and whether it was; four characters count as a token."""
     cut = F.length(text) > most
-    marked = F.concat(F.substring(text, 1, most), F.lit("\n[truncated]"))
+    marked = F.concat(F.substring(text, 1, most), F.lit(f"\n\n[Content truncated at {most // 4:,} tokens]"))
     return F.struct(F.when(cut, marked).otherwise(text).alias("text"), cut.alias("cut"))
 
 
@@ -77,8 +77,10 @@ def mime_type(path: Column) -> Column:
 
 
 def content_kind(header: Column) -> Column:
+    """By content type; without one, and for others, a page is taken as HTML."""
     h = F.lower(header)
-    return F.when(F.contains(h, F.lit("html")), "html").when(F.contains(h, F.lit("pdf")), "pdf").otherwise("text")
+    plain = F.contains(h, F.lit("text/plain")) | F.contains(h, F.lit("text/markdown"))
+    return F.when(F.contains(h, F.lit("application/pdf")), "pdf").when(plain, "text").otherwise("html")
 
 
 def interpolate(template: Column, values: Column) -> Column:
@@ -119,14 +121,42 @@ REGISTRY = {
     "mime_type": mime_type, "content_kind": content_kind, "round3": round3, "main_text": main_text,
 }
 
-#: Of these, the ones that plain SQL functions can name.
+_MIME_SQL = "map(" + ", ".join(f"'{k}', '{v}'" for k, v in MIME.items()) + ")"
+_BODY = "h"
+for _tag in ("head", "script", "style", "nav", "footer", "header", "aside", "noscript"):
+    _BODY = f"regexp_replace({_BODY}, r'(?is)<{_tag}\\b[^>]*>.*?</{_tag}>', ' ')"
+_BODY = rf"regexp_replace(regexp_replace({_BODY}, r'(?s)<!--.*?-->', ' '), r'(?s)<[^>]*>', ' ')"
+for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
+    _BODY = f"replace({_BODY}, '{_entity}', '{_char}')"
+_BODY = rf"trim(regexp_replace({_BODY}, r'\s+', ' '))"
+_TITLE = "trim(regexp_extract(h, r'(?is)<title[^>]*>(.*?)</title>', 1))"
+_HEAD = "regexp_replace(substring(t, 1, 512), '[A-Za-z0-9 ]', '')"
+
+#: The same as SQL expressions, which the optimiser sees through.
 SQL_FORMS = {
+    "estimate_tokens": f"(t STRING) RETURNS BIGINT RETURN CASE WHEN length(t) = 0 THEN 0 ELSE CAST(ceil(octet_length(encode(t, 'UTF-16BE')) / 2"
+    f" / CASE WHEN length({_HEAD}) >= 0.3 * length(substring(t, 1, 512)) THEN 3 ELSE 4 END) AS BIGINT) END",
     "content_hash": "(t STRING) RETURNS STRING RETURN sha2(t, 256)",
-    "normalize_prompt": r"(t STRING) RETURNS STRING RETURN regexp_replace(trim(regexp_replace(lower(t), '\\s+', ' ')), '[?.!,;:]+$', '')",
+    "normalize_prompt": r"(t STRING) RETURNS STRING RETURN regexp_replace(trim(regexp_replace(lower(t), r'\s+', ' ')), '[?.!,;:]+$', '')",
+    "parse_approval": "(t STRING) RETURNS STRING RETURN CASE WHEN contains(lower(t), 'approve') OR contains(lower(t), 'yes') OR lower(t) = 'y' THEN 'approved'"
+    " WHEN contains(lower(t), 'reject') OR contains(lower(t), 'no') OR lower(t) = 'n' THEN 'rejected' ELSE 'unclear' END",
+    "normalize_blanks": r"(t STRING) RETURNS STRING RETURN trim(regexp_replace(t, r'\s+', ' '))",
+    "preview": "(t STRING) RETURNS STRING RETURN CASE WHEN length(t) <= 160 THEN t ELSE concat(substring(t, 1, 157), '...') END",
+    "base_name": "(p STRING) RETURNS STRING RETURN element_at(split(p, '/'), -1)",
+    "mime_type": f"(p STRING) RETURNS STRING RETURN coalesce(try_element_at({_MIME_SQL}, CASE WHEN contains(element_at(split(p, '/'), -1), '.')"
+    " THEN lower(element_at(split(element_at(split(p, '/'), -1), '[.]'), -1)) END), 'text/plain')",
+    "content_kind": "(x STRING) RETURNS STRING RETURN CASE WHEN contains(lower(x), 'application/pdf') THEN 'pdf'"
+    " WHEN contains(lower(x), 'text/plain') OR contains(lower(x), 'text/markdown') THEN 'text' ELSE 'html' END",
     "round3": "(x DOUBLE) RETURNS DOUBLE RETURN floor(x * 1000 + 0.5) / 1000",
+    "main_text": rf"(h STRING) RETURNS STRING RETURN CASE WHEN {_TITLE} <> '' THEN concat('# ', {_TITLE}, '\n\n', {_BODY}) ELSE {_BODY} END",
 }
 
 
+def names(*wanted: str) -> list[str]:
+    """Names of the functions there are, or of those among ``wanted``."""
+    return [k for k in sorted(REGISTRY) if not wanted or k in wanted]
+
+
 def resolve(name: str):
     if name not in REGISTRY:
         raise KeyError(f"no function {name!r}; there are {', '.join(sorted(REGISTRY))}")

@@ -6,6 +6,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: So many phrases, of about a hundred words at most, are broadcast.
+BROADCAST_PHRASES = 20_000
+
+
+def tokens(text: Column) -> Column:
+    """Lower-cased words of a text, between blanks."""
+    return F.array_remove(F.split(F.lower(text), r"\s+"), "")
+
+
+def quoting(outputs: DataFrame, phrases: DataFrame, k: int = 5) -> DataFrame:
+    """``(output_id, phrase_id)`` for each output whose words hold all words of a phrase in a row.
+
+    ``outputs(output_id, text)``, ``phrases(phrase_id, words)``. A phrase is found by its rarest ``k`` words in
+    a row, counted over all phrases; words around them are compared next. Only places that share them
+    meet, so neither side is looked at pair by pair. Phrases of fewer than ``k`` words are found by what they
+    have; empty ones by nothing.
+    """
+    p = phrases.where(F.size("words") > 0).select("phrase_id", "words", F.least(F.size("words"), F.lit(k)).alias("n"))
+    at = p.select("*", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("n"))).alias("o"))
+    at = at.withColumn("gram", F.slice("words", F.col("o") + 1, F.col("n")))
+    often = at.groupBy("gram").agg(F.count("*").alias("df"))
+    first = at.join(often, "gram").groupBy("phrase_id").agg(F.min_by(F.struct("words", "gram", "o"), F.struct("df", "gram", "o")).alias("x"))
+    first = first.select("phrase_id", "x.words", "x.o", F.size("x.gram").alias("n"), F.xxhash64("x.gram").alias("h"))
+    counts = {r.n: r["count"] for r in first.groupBy("n").count().collect()}
+    lengths = sorted(counts)
+    w = outputs.select("output_id", tokens(F.col("text")).alias("w"))
+    found = None
+    for n in lengths:
+        gram = F.xxhash64(*[F.get("w", F.col("p") + j) for j in range(n)])
+        places = w.where(F.size("w") >= n).select("output_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("p")).withColumn("h", gram)
+        begin = F.col("p") - F.col("o")
+        stretch = F.when(begin >= 0, F.slice("w", begin + 1, F.size("words")))
+        own = first.where(F.col("n") == n)
+        # Few phrases go to the texts; of many, both sides are shuffled. The texts' places never are the small side.
+        own = F.broadcast(own) if counts[n] <= BROADCAST_PHRASES else own.hint("merge")
+        hits = places.join(own, "h").where(stretch == F.col("words")).select("output_id", "phrase_id")
+        found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        return outputs.select("output_id").crossJoin(phrases.select("phrase_id").limit(0))
+    return found.distinct()
+
+
 def match_facts(outputs: DataFrame, facts: DataFrame) -> DataFrame:
     """Every fact of a case against every output of it, with ``matched``.
 
@@ -29,16 +71,23 @@ def _ratio(part: Column, whole: Column) -> Column:
     return F.coalesce(F.sum(part) / F.nullif(F.sum(whole), F.lit(0)), F.lit(0.0))
 
 
+def both_scores() -> dict[str, Column]:
+    """The factual and the per-fact score as aggregates, for one pass over matches."""
+    w, p, m = F.col("weight"), F.col("present"), F.col("matched")
+    return {
+        "factual": _ratio(F.when(p & m, w).otherwise(0), F.when(p, w).otherwise(0)),
+        "per_fact": _ratio(F.when(m == p, w).otherwise(0), w),
+    }
+
+
 def factual_score(matches: DataFrame, by: list[str]) -> DataFrame:
     """Weight of the facts found among those that should be present; 0 without any weight."""
-    w, p = F.col("weight"), F.col("present")
-    return matches.groupBy(*by).agg(_ratio(F.when(p & F.col("matched"), w).otherwise(0), F.when(p, w).otherwise(0)).alias("score"))
+    return matches.groupBy(*by).agg(both_scores()["factual"].alias("score"))
 
 
 def per_fact_score(matches: DataFrame, by: list[str]) -> DataFrame:
     """Weight of all facts that are as they should be, present or absent."""
-    w = F.col("weight")
-    return matches.groupBy(*by).agg(_ratio(F.when(F.col("matched") == F.col("present"), w).otherwise(0), w).alias("score"))
+    return matches.groupBy(*by).agg(both_scores()["per_fact"].alias("score"))
 
 
 def pass_fail(rows: DataFrame, reasons: list[Column]) -> DataFrame:

@@ -60,15 +60,6 @@ def _(t):
     return names.select("run_id", "name").distinct().join(latest, "name").select("run_id", "name", "prompt")
 
 
-@query("jn_19_matchers_by_fact", "SELECT d.doc_id, b.item_id AS fact_id, contains(d.text, substr(b.text, 1, 12)) AS strict, contains(lower(d.text), lower(substr(b.text, 1, 6))) AS loose FROM documents d JOIN benchmark b ON d.doc_id % 20 = b.item_id % 20")
-def _(t):
-    d = t.table("documents").select("doc_id", "text", (F.col("doc_id") % 20).alias("k"))
-    b = t.table("benchmark").select(F.col("item_id").alias("fact_id"), F.col("text").alias("fact"), (F.col("item_id") % 20).alias("k"))
-    strict = d.join(b, "k").select("doc_id", "fact_id", F.contains("text", F.substring("fact", 1, 12)).alias("strict"))
-    loose = d.join(b, "k").select("doc_id", "fact_id", F.contains(F.lower("text"), F.lower(F.substring("fact", 1, 6))).alias("loose"))
-    return strict.join(loose, ["doc_id", "fact_id"])
-
-
 @query("jn_21_judge_orderings", RESULTS + "SELECT run, category, max(a) FILTER (lines % 2 = 0) AS first_order, max(a) FILTER (lines % 2 = 1) AS second_order FROM results GROUP BY run, category")
 def _(t):
     by = lambda r: F.max(F.when(F.col("lines") % 2 == r, F.col("a")))
@@ -118,11 +109,6 @@ def _(t):
     return t.tasks.select("task_id", F.concat_ws(", ", part("role"), part("name"), F.when(F.col("status") != "running", part("status"))).alias("detail"))
 
 
-@query("fn_14_content_kind", "SELECT page_id, CASE WHEN contains(lower(url), 'html') THEN 'html' WHEN contains(lower(url), 'pdf') THEN 'pdf' ELSE 'text' END AS kind FROM pages")
-def _(t):
-    return t.table("pages").select("page_id", sc.content_kind(F.col("url")).alias("kind"))
-
-
 @query("fn_15_interpolate", MESSAGES + "SELECT run_id, turn, 'In ' || role || ' turn ' || turn || ' of {{who}}' AS prompt FROM messages")
 def _(t):
     values = F.create_map(F.lit("role"), F.col("role"), F.lit("turn"), F.col("turn").cast("string"))

@@ -6,9 +6,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as sc
+from ..operators import conversations as cv
 from ..operators import facts as fx
-from .bindings import MESSAGES
+from ..operators import ranking as rk
+from ..operators import windows as w
+from .bindings import GRAPH, MESSAGES
 from .registry import query
+from .window_queries import _DIMS, _dims
 
 
 @query("fn_01_estimate_tokens", """WITH x AS (SELECT doc_id, text, length(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')) AS units, substr(text, 1, 512) AS head FROM documents)
@@ -27,8 +31,8 @@ def _(t):
     return t.messages.select("run_id", "turn", sc.normalize_prompt(F.col("text")).alias("prompt"))
 
 
-@query("fn_04_parse_approval", MESSAGES + """SELECT run_id, turn, CASE WHEN contains(lower(text), 'approve') OR contains(lower(text), 'yes') OR contains(lower(text), 'accept') THEN 'approved'
-WHEN contains(lower(text), 'reject') OR contains(lower(text), 'no') OR contains(lower(text), 'deny') THEN 'rejected' ELSE 'unclear' END AS decision FROM messages""")
+@query("fn_04_parse_approval", MESSAGES + """SELECT run_id, turn, CASE WHEN contains(lower(text), 'approve') OR contains(lower(text), 'yes') OR lower(text) = 'y' THEN 'approved'
+WHEN contains(lower(text), 'reject') OR contains(lower(text), 'no') OR lower(text) = 'n' THEN 'rejected' ELSE 'unclear' END AS decision FROM messages""")
 def _(t):
     return t.messages.select("run_id", "turn", sc.parse_approval(F.col("text")).alias("decision"))
 
@@ -53,7 +57,7 @@ def _(t):
     return t.table("documents").select("doc_id", sc.flat_preview(F.col("text")).alias("preview"))
 
 
-@query("fn_10_truncate", "SELECT page_id, sha256(CASE WHEN length(html) > 3000 THEN substr(html, 1, 3000) || chr(10) || '[truncated]' ELSE html END) AS h, length(html) > 3000 AS cut FROM pages")
+@query("fn_10_truncate", "SELECT page_id, sha256(CASE WHEN length(html) > 3000 THEN substr(html, 1, 3000) || chr(10) || chr(10) || '[Content truncated at 750 tokens]' ELSE html END) AS h, length(html) > 3000 AS cut FROM pages")
 def _(t):
     return t.table("pages").select("page_id", sc.truncate(F.col("html"), 3000).alias("x")).select("page_id", F.sha2("x.text", 256).alias("h"), "x.cut")
 
@@ -99,40 +103,97 @@ def _(t):
     return t.events.groupBy("run_id").agg(F.least(F.floor(F.sum("tokens") * F.lit(0.4)).cast("double"), F.lit(40000.0)).alias("budget"))
 
 
-@query("fn_30_main_text")
+_PLAIN = "html"
+for _tag in ("head", "script", "style", "nav", "footer", "header", "aside", "noscript"):
+    _PLAIN = rf"regexp_replace({_PLAIN}, '(?is)<{_tag}\b[^>]*>.*?</{_tag}>', ' ', 'g')"
+_PLAIN = rf"regexp_replace(regexp_replace({_PLAIN}, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
+    _PLAIN = f"replace({_PLAIN}, '{_entity}', '{_char}')"
+#: A page as text, its title as a heading.
+_TEXT = rf"""WITH tx AS (SELECT page_id, url, html, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, trim(regexp_replace({_PLAIN}, '\s+', ' ', 'g')) AS body FROM pages),
+mt AS (SELECT page_id, url, html, CASE WHEN title <> '' THEN '# ' || title || chr(10) || chr(10) || body ELSE body END AS main FROM tx)
+"""
+#: What a server would have told: the type of the path's ending, if it has one.
+_KINDS = f""", pt AS (SELECT page_id, split_part(regexp_extract(url, '^[^?#]*'), '/', -1) AS b FROM pages), ex AS (SELECT page_id, CASE WHEN contains(b, '.') THEN lower(split_part(b, '.', -1)) END AS e FROM pt),
+kd AS (SELECT page_id, CASE WHEN e IS NULL THEN 'html' WHEN e = 'pdf' THEN 'pdf' WHEN {_MIME} IN ('text/plain', 'text/markdown') THEN 'text' ELSE 'html' END AS kind FROM ex)
+"""
+
+
+def _kind():
+    path = F.regexp_extract("url", "^[^?#]*", 0)
+    name = sc.base_name(path)
+    header = F.when(F.lower(name).endswith(".pdf"), "application/pdf").when(F.contains(name, F.lit(".")), sc.mime_type(path))
+    return sc.content_kind(header)
+
+
+@query("fn_14_content_kind", _TEXT + _KINDS + "SELECT page_id, kind FROM kd")
+def _(t):
+    return t.table("pages").select("page_id", _kind().alias("kind"))
+
+
+@query("fn_30_main_text", _TEXT + "SELECT page_id, main AS text FROM mt")
 def _(t):
-    """Pages as headed plain text; no SQL twin, the tests compare with hand-written pages."""
+    """Pages as headed plain text."""
     return t.table("pages").select("page_id", sc.main_text(F.col("html")).alias("text"))
 
 
-@query("src_09_page_ingestion")
+#: Fixed value: larger PDF files are refused.
+_MOST_BYTES = 10 * 1024 * 1024
+_INGEST = _TEXT + _KINDS + f""", ct AS (SELECT page_id, url, kind, octet_length(encode(coalesce(html, ''))) AS n, CASE kind WHEN 'html' THEN coalesce(main, '') WHEN 'text' THEN coalesce(html, '') END AS whole FROM mt JOIN kd USING (page_id)),
+cu AS (SELECT page_id, url, kind, n, CASE WHEN length(whole) > 32000 THEN substr(whole, 1, 32000) || chr(10) || chr(10) || '[Content truncated at 8,000 tokens]' ELSE whole END AS text, coalesce(length(whole) > 32000, false) AS cut FROM ct)
+"""
+
+
+@query("src_09_page_ingestion", _INGEST + rf"""SELECT page_id, url, kind, text, cut, CAST(CASE WHEN length(text) = 0 THEN 0 ELSE ceil((length(text) + len(regexp_extract_all(text, '[\x{{10000}}-\x{{10FFFF}}]'))) / CASE WHEN length(regexp_replace(substr(text, 1, 512), '[A-Za-z0-9 ]', '', 'g')) >= 0.3 * length(substr(text, 1, 512)) THEN 3 ELSE 4 END) END AS BIGINT) AS tokens,
+CASE WHEN kind = 'pdf' AND n > {_MOST_BYTES} THEN 'PDF too large' WHEN kind = 'pdf' THEN 'no text of a PDF' WHEN length(text) = 0 THEN 'no content' END AS error FROM cu""")
 def _(t):
-    """Extract, cut and count tokens of every page; pages without content become rows with an error."""
-    p = t.table("pages").select("page_id", "url", sc.truncate(sc.main_text(F.coalesce("html", F.lit("")))).alias("x"))
-    text = F.col("x.text")
-    error = F.when(F.length(text) == 0, "no content")
-    return p.select("page_id", "url", text.alias("text"), F.col("x.cut").alias("cut"), sc.estimate_tokens(text).alias("tokens"), error.alias("error"))
+    """Each page by its content type: HTML is extracted, plain text taken as it is, then cut and its tokens counted.
+    What can't be read becomes a row with an error; a PDF is that here, as it comes without an extractor."""
+    p = t.table("pages").withColumn("kind", _kind())
+    whole = F.when(F.col("kind") == "html", sc.main_text(F.coalesce("html", F.lit("")))).when(F.col("kind") == "text", F.coalesce("html", F.lit("")))
+    p = p.select("page_id", "url", "kind", F.octet_length(F.coalesce("html", F.lit(""))).alias("n"), sc.truncate(whole).alias("x"))
+    text, pdf = F.col("x.text"), F.col("kind") == "pdf"
+    error = F.when(pdf & (F.col("n") > _MOST_BYTES), "PDF too large").when(pdf, "no text of a PDF").when(F.length(text) == 0, "no content")
+    return p.select(
+        "page_id", "url", "kind", text.alias("text"), F.coalesce("x.cut", F.lit(False)).alias("cut"), sc.estimate_tokens(text).alias("tokens"), error.alias("error")
+    )
 
 
-# Facts: a fact belongs to a case and is looked for in that case's outputs. Here a document's case is
-# its number modulo the number of facts, and a fact's text is the first words of a benchmark item.
+# Facts: a benchmark item is a case, its facts are its words, eight by eight, to its end (what is left over
+# goes to the last). An output of the case is a document that quotes one of its facts; all facts of the
+# case are looked for in it, by the whole words of both. Every seventh fact should be absent.
 
-_FACTS = """WITH f AS (SELECT item_id AS fact_id, item_id % 10 AS case_id, array_to_string(string_split(text, ' ')[1:2], ' ') AS canonical,
-  1 + item_id % 3 AS weight, item_id % 7 <> 0 AS present FROM benchmark),
-o AS (SELECT doc_id, doc_id % 10 AS case_id, lower(text) AS text FROM documents),
-m AS (SELECT doc_id, f.*, contains(o.text, lower(canonical)) AS matched FROM o JOIN f USING (case_id)),
-s AS (SELECT doc_id, CAST(sum(weight) FILTER (present) AS DOUBLE) AS w, CAST(coalesce(sum(weight) FILTER (present AND matched), 0) AS DOUBLE) AS hit,
+_FACTS = r"""WITH fw AS (SELECT item_id AS case_id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS w FROM benchmark),
+fn AS (SELECT case_id, w, unnest(range(greatest(len(w) // 8, CASE WHEN len(w) > 0 THEN 1 ELSE 0 END))) AS k, greatest(len(w) // 8, 1) AS ks FROM fw),
+f AS (SELECT case_id, case_id * 10000 + k AS fact_id, w[k * 8 + 1:CASE WHEN k = ks - 1 THEN len(w) ELSE k * 8 + 8 END] AS words, array_to_string(w[k * 8 + 1:CASE WHEN k = ks - 1 THEN len(w) ELSE k * 8 + 8 END], ' ') AS canonical,
+  1 + k % 3 AS weight, k % 7 <> 6 AS present FROM fn),
+ow AS (SELECT doc_id, lang, text AS whole, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents),
+o AS (SELECT doc_id, lang, whole, w, ' ' || array_to_string(w, ' ') || ' ' AS text FROM ow),
+l AS (SELECT DISTINCT doc_id, case_id FROM o, f WHERE contains(text, ' ' || canonical || ' ')),
+m AS (SELECT o.doc_id, o.lang, o.whole, o.w, o.text, f.*, contains(o.text, ' ' || canonical || ' ') AS matched FROM l JOIN o USING (doc_id) JOIN f USING (case_id)),
+s AS (SELECT doc_id, CAST(sum(weight) FILTER (present) AS DOUBLE) AS wt, CAST(coalesce(sum(weight) FILTER (present AND matched), 0) AS DOUBLE) AS hit,
   CAST(sum(weight) AS DOUBLE) AS wa, CAST(coalesce(sum(weight) FILTER (matched = present), 0) AS DOUBLE) AS hita FROM m GROUP BY doc_id)
 """
 
 
+def _case_facts(t):
+    b = t.table("benchmark").select(F.col("item_id").alias("case_id"), fx.tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
+    ks = F.greatest(F.floor(F.size("w") / 8), F.lit(1)).cast("int")
+    b = b.select("case_id", "w", ks.alias("ks"), F.explode(F.sequence(F.lit(0), ks - 1)).alias("k"))
+    words = F.slice("w", F.col("k") * 8 + 1, F.when(F.col("k") == F.col("ks") - 1, F.size("w")).otherwise(8))
+    return b.select(
+        "case_id", (F.col("case_id") * 10_000 + F.col("k")).alias("fact_id"), words.alias("words"), F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")).alias("canonical"),
+        (1 + F.col("k") % 3).alias("weight"), (F.col("k") % 7 != 6).alias("present"),
+    )
+
+
 def _matches(t):
-    item = F.col("item_id")
-    canonical = F.array_join(F.slice(F.split("text", " "), 1, 2), " ")
-    facts = t.table("benchmark").select(
-        item.alias("fact_id"), (item % 10).alias("case_id"), canonical.alias("canonical"), (1 + item % 3).alias("weight"), (item % 7 != 0).alias("present")
-    )
-    outputs = t.table("documents").select("doc_id", (F.col("doc_id") % 10).alias("case_id"), "text")
+    facts = _case_facts(t)
+    docs = t.table("documents")
+    links = fx.quoting(docs.select(F.col("doc_id").alias("output_id"), "text"), facts.select(F.col("fact_id").alias("phrase_id"), "words"))
+    cases = links.select(F.col("output_id").alias("doc_id"), F.floor(F.col("phrase_id") / 10_000).alias("case_id")).distinct()
+    flat = F.concat(F.lit(" "), F.array_join(fx.tokens(F.col("text")), " "), F.lit(" "))
+    outputs = cases.join(docs.select("doc_id", "lang", F.col("text").alias("whole"), flat.alias("text")), "doc_id")
     return fx.match_facts(outputs, facts)
 
 
@@ -141,7 +202,7 @@ def _(t):
     return _matches(t).select("doc_id", "fact_id", "matched")
 
 
-@query("agg_03_factual_score", _FACTS + "SELECT doc_id, round(coalesce(hit / nullif(w, 0), 0), 4) AS score FROM s")
+@query("agg_03_factual_score", _FACTS + "SELECT doc_id, round(coalesce(hit / nullif(wt, 0), 0), 4) AS score FROM s")
 def _(t):
     return fx.factual_score(_matches(t), ["doc_id"]).select("doc_id", F.round("score", 4).alias("score"))
 
@@ -151,25 +212,37 @@ def _(t):
     return fx.per_fact_score(_matches(t), ["doc_id"]).select("doc_id", F.round("score", 4).alias("score"))
 
 
-@query("agg_26_match_heatmap", _FACTS + "SELECT fact_id, round(avg(CASE WHEN matched THEN 1 ELSE 0 END) FILTER (doc_id % 2 = 0), 4) AS even, round(avg(CASE WHEN matched THEN 1 ELSE 0 END) FILTER (doc_id % 2 = 1), 4) AS odd FROM m GROUP BY fact_id")
+@query("agg_26_match_heatmap", _FACTS + "SELECT fact_id, " + ", ".join(f"round(avg(CASE WHEN matched THEN 1 ELSE 0 END) FILTER (lang = '{x}'), 4) AS {x}" for x in ("de", "en", "es", "fr")) + " FROM m GROUP BY fact_id")
 def _(t):
-    m = _matches(t).withColumn("config", F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd"))
-    p = m.groupBy("fact_id").pivot("config", ["even", "odd"]).agg(F.avg(F.col("matched").cast("int")))
-    return p.select("fact_id", F.round("even", 4).alias("even"), F.round("odd", 4).alias("odd"))
+    langs = ["de", "en", "es", "fr"]
+    p = _matches(t).groupBy("fact_id").pivot("lang", langs).agg(F.avg(F.col("matched").cast("int")))
+    return p.select("fact_id", *[F.round(x, 4).alias(x) for x in langs])
 
 
-@query("agg_29_matcher_disagreement", _FACTS + ", x AS (SELECT matched, contains(text, lower(string_split(canonical, ' ')[1])) AS loose FROM m JOIN o USING (doc_id)) SELECT count(*) FILTER (matched AND NOT loose) AS only_strict, count(*) FILTER (loose AND NOT matched) AS only_loose FROM x")
+@query("agg_29_matcher_disagreement", _FACTS + ", x AS (SELECT matched, list_has_all(w, words) AS loose FROM m) SELECT count(*) FILTER (matched AND NOT loose) AS only_strict, count(*) FILTER (loose AND NOT matched) AS only_loose, count(*) AS n FROM x")
 def _(t):
-    m = _matches(t).withColumn("loose", F.contains(F.lower("text"), F.lower(F.get(F.split("canonical", " "), 0))))
-    return m.agg(F.count_if(F.col("matched") & ~F.col("loose")).alias("only_strict"), F.count_if(F.col("loose") & ~F.col("matched")).alias("only_loose"))
+    m = _matches(t).withColumn("loose", _all_words())
+    return m.agg(F.count_if(F.col("matched") & ~F.col("loose")).alias("only_strict"), F.count_if(F.col("loose") & ~F.col("matched")).alias("only_loose"), F.count("*").alias("n"))
 
 
-@query("agg_30_rescore_means", _FACTS + "SELECT round(avg(coalesce(hit / nullif(w, 0), 0)), 4) AS factual, round(avg(coalesce(hita / nullif(wa, 0), 0)), 4) AS per_fact FROM s")
+def _all_words():
+    """A looser matcher: all words of the fact are there, in any order."""
+    return F.size(F.array_except("words", fx.tokens(F.col("whole")))) == 0
+
+
+@query("jn_19_matchers_by_fact", _FACTS + "SELECT doc_id, fact_id, matched AS strict, list_has_all(w, words) AS loose FROM m")
 def _(t):
     m = _matches(t)
-    return fx.factual_score(m, ["doc_id"]).agg(F.round(F.avg("score"), 4).alias("factual")).crossJoin(
-        fx.per_fact_score(m, ["doc_id"]).agg(F.round(F.avg("score"), 4).alias("per_fact"))
-    )
+    strict = m.select("doc_id", "case_id", "fact_id", F.col("matched").alias("strict"))
+    loose = m.select("doc_id", "case_id", "fact_id", _all_words().alias("loose"))
+    return strict.join(loose, ["doc_id", "case_id", "fact_id"]).select("doc_id", "fact_id", "strict", "loose")
+
+
+@query("agg_30_rescore_means", _FACTS + "SELECT round(avg(coalesce(hit / nullif(wt, 0), 0)), 4) AS factual, round(avg(coalesce(hita / nullif(wa, 0), 0)), 4) AS per_fact FROM s")
+def _(t):
+    """Both scores in one pass over the facts."""
+    both = _matches(t).groupBy("doc_id").agg(*[x.alias(k) for k, x in fx.both_scores().items()])
+    return both.agg(F.round(F.avg("factual"), 4).alias("factual"), F.round(F.avg("per_fact"), 4).alias("per_fact"))
 
 
 @query("set_06_required_missing", _FACTS + "SELECT doc_id, array_to_string(list_sort(list(fact_id) FILTER (NOT matched AND present)), ',') AS missing FROM m GROUP BY doc_id")
@@ -183,19 +256,28 @@ def _(t):
     return _matches(t).where("matched and not present").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("set_08_facts_lost", _FACTS + "SELECT m.doc_id, m.fact_id FROM m JOIN o USING (doc_id) WHERE matched AND NOT contains(substr(o.text, 1, 300), lower(canonical))")
+# A summary of an output stands for what a compaction wrote: every second of its lines.
+_LOST = r""", sm AS (SELECT *, ' ' || array_to_string(list_filter(string_split_regex(lower(array_to_string(list_filter(string_split(whole, chr(10)), lambda x, i: i % 2 = 1), chr(10))), '\s+'), lambda x: x <> ''), ' ') || ' ' AS summary FROM m)
+"""
+
+
+def _lost():
+    lines = F.filter(F.split("whole", "\n"), lambda _, i: i % 2 == 0)
+    summary = F.concat(F.lit(" "), F.array_join(fx.tokens(F.array_join(lines, "\n")), " "), F.lit(" "))
+    return F.col("matched") & ~F.contains(summary, F.col("canonical"))
+
+
+@query("set_08_facts_lost", _FACTS + _LOST + "SELECT doc_id, fact_id FROM sm WHERE matched AND NOT contains(summary, ' ' || canonical || ' ')")
 def _(t):
-    kept = F.contains(F.lower(F.substring("text", 1, 300)), F.lower("canonical"))
-    return _matches(t).where(F.col("matched") & ~kept).select("doc_id", "fact_id")
+    return _matches(t).where(_lost()).select("doc_id", "fact_id")
 
 
-@query("gr_02_compression_fidelity", _FACTS + "SELECT m.doc_id, CASE WHEN bool_or(matched AND NOT contains(substr(o.text, 1, 300), lower(canonical))) THEN 'warn' ELSE 'pass' END AS severity FROM m JOIN o USING (doc_id) GROUP BY m.doc_id")
+@query("gr_02_compression_fidelity", _FACTS + _LOST + "SELECT doc_id, CASE WHEN bool_or(matched AND NOT contains(summary, ' ' || canonical || ' ')) THEN 'warn' ELSE 'pass' END AS severity FROM sm GROUP BY doc_id")
 def _(t):
-    lost = F.col("matched") & ~F.contains(F.lower(F.substring("text", 1, 300)), F.lower("canonical"))
-    return _matches(t).groupBy("doc_id").agg(F.when(F.bool_or(lost), "warn").otherwise("pass").alias("severity"))
+    return _matches(t).groupBy("doc_id").agg(F.when(F.bool_or(_lost()), "warn").otherwise("pass").alias("severity"))
 
 
-@query("gr_06_pass_fail", _FACTS + """, r AS (SELECT s.doc_id, CASE WHEN coalesce(hit / nullif(w, 0), 0) < 0.1 THEN 'low score' END AS r1, CASE WHEN l.quality = 0 THEN 'low quality' END AS r2, CASE WHEN l.toxic = 1 THEN 'toxic' END AS r3
+@query("gr_06_pass_fail", _FACTS + """, r AS (SELECT s.doc_id, CASE WHEN coalesce(hit / nullif(wt, 0), 0) < 0.1 THEN 'low score' END AS r1, CASE WHEN l.quality = 0 THEN 'low quality' END AS r2, CASE WHEN l.toxic = 1 THEN 'toxic' END AS r3
 FROM s JOIN labels l USING (doc_id)) SELECT doc_id, r1 IS NULL AND r2 IS NULL AND r3 IS NULL AS passed, concat_ws('; ', r1, r2, r3) AS reasons FROM r""")
 def _(t):
     s = fx.factual_score(_matches(t), ["doc_id"]).join(t.table("labels"), "doc_id")
@@ -203,11 +285,15 @@ def _(t):
     return fx.pass_fail(s, reasons).select("doc_id", "passed", "reasons")
 
 
-@query("ga_13_output_matches_artifact", "SELECT d.doc_id, bool_or(contains(trim(regexp_replace(d.text, '\\s+', ' ', 'g')), trim(regexp_replace(b.text, '\\s+', ' ', 'g')))) AS passed FROM documents d JOIN benchmark b ON b.item_id % 10 = d.doc_id % 10 GROUP BY d.doc_id")
+@query("ga_13_output_matches_artifact", r"""WITH d AS (SELECT doc_id, ' ' || array_to_string(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> ''), ' ') || ' ' AS a FROM documents),
+b AS (SELECT ' ' || array_to_string(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> ''), ' ') || ' ' AS b FROM benchmark)
+SELECT doc_id, bool_or(contains(a, b)) AS passed FROM d, b GROUP BY doc_id""")
 def _(t):
-    d = t.table("documents").select("doc_id", (F.col("doc_id") % 10).alias("k"), sc.normalize_blanks(F.col("text")).alias("a"))
-    b = t.table("benchmark").select((F.col("item_id") % 10).alias("k"), sc.normalize_blanks(F.col("text")).alias("b"))
-    return d.join(b, "k").groupBy("doc_id").agg(F.bool_or(F.contains("a", "b")).alias("passed"))
+    """Documents that hold a whole benchmark item, word by word."""
+    docs = t.table("documents").select(F.col("doc_id").alias("output_id"), "text")
+    items = t.table("benchmark").select(F.col("item_id").alias("phrase_id"), fx.tokens(F.col("text")).alias("words"))
+    good = fx.quoting(docs, items).select(F.col("output_id").alias("doc_id"), F.lit(True).alias("found")).distinct()
+    return docs.select(F.col("output_id").alias("doc_id")).join(good, "doc_id", "left").select("doc_id", F.coalesce("found", F.lit(False)).alias("passed"))
 
 
 @query("jn_18_human_and_judge", "SELECT l.doc_id, l.quality, CASE WHEN length(d.text) > 1000 THEN 1 ELSE 0 END AS judge FROM labels l JOIN documents d USING (doc_id)")
@@ -253,41 +339,87 @@ def _(t):
 # Conversations.
 
 
-@query("win_13_midpoint_split", MESSAGES + """, x AS (SELECT run_id, turn, CAST(floor((row_number() OVER (PARTITION BY run_id ORDER BY turn) - 1) / 2) AS BIGINT) AS pair FROM messages)
-SELECT run_id, turn, pair, pair < (max(pair) OVER (PARTITION BY run_id) + 1) / 2 AS older FROM x""")
+# A turn's message holds the result of the call "run-turn", which stands for the run's task of that number.
+# Pairs of messages are split at the middle; a pair with the result of a protected task stays with the
+# newer ones, unless that leaves nothing to compact.
+_SPLIT = _DIMS + """, messages AS (SELECT conv_id AS run_id, turn, role, text FROM conversations),
+prot AS (SELECT t.run_id || '-' || t.seq AS call_id FROM scored s JOIN tasks t USING (task_id) WHERE s.hitl OR s.score >= 0.7::DOUBLE),
+nm AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY run_id) AS n FROM messages),
+pm AS (SELECT nm.*, CAST(i // 2 AS BIGINT) AS pair, CAST(n // 2 AS BIGINT) AS pairs, greatest(1, n // 4) AS middle, i % 2 = 1 AND (run_id || '-' || turn) IN (SELECT call_id FROM prot) AS hit FROM nm),
+pp AS (SELECT *, bool_or(hit) OVER (PARTITION BY run_id, pair) AS kept FROM pm),
+po AS (SELECT *, pair < pairs AND pair < middle AND NOT kept AS old FROM pp),
+split AS (SELECT run_id, turn, text, i, pair, CASE WHEN bool_or(old) OVER (PARTITION BY run_id) THEN CASE WHEN old THEN 'older' WHEN pair < pairs THEN 'newer' ELSE 'dropped' END
+  WHEN i < 2 * middle THEN 'older' ELSE 'newer' END AS side FROM po)
+"""
+
+
+def _split(t):
+    results = t.blocks.select("run_id", "turn", F.explode("blocks").alias("b")).where("b.type = 'tool_result'").select("run_id", "turn", F.col("b.tool_use_id").alias("call_id"))
+    kept = results.join(t.calls, "call_id").join(rk.protected(rk.score(_dims(t))).select("task_id"), "task_id", "left_semi")
+    kept = kept.select("run_id", "turn", F.lit(True).alias("result")).distinct()
+    return cv.split_messages(t.messages.join(kept, ["run_id", "turn"], "left").withColumn("protected", F.coalesce("result", F.lit(False))))
+
+
+@query("win_13_midpoint_split", _SPLIT + "SELECT run_id, turn, pair, side FROM split")
 def _(t):
-    by_turn = Window.partitionBy("run_id").orderBy("turn")
-    pair = F.floor((F.row_number().over(by_turn) - 1) / 2)
-    x = t.messages.select("run_id", "turn", pair.alias("pair"))
-    return x.withColumn("older", F.col("pair") < (F.max("pair").over(Window.partitionBy("run_id")) + 1) / 2)
+    return _split(t).select("run_id", "turn", "pair", "side")
 
 
-@query("win_14_compaction_trigger", MESSAGES + ", x AS (SELECT run_id, turn, sum(length(text)) OVER (PARTITION BY run_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS held FROM messages) SELECT run_id, min(turn) AS turn FROM x WHERE held > 800 GROUP BY run_id")
+_PAIR_TOKENS = r"""CASE WHEN length(text) = 0 THEN 0 ELSE ceil((length(text) + len(regexp_extract_all(text, '[\x{10000}-\x{10FFFF}]'))) / CASE WHEN length(regexp_replace(substr(text, 1, 512), '[A-Za-z0-9 ]', '', 'g')) >= 0.3 * length(substr(text, 1, 512)) THEN 3 ELSE 4 END) END"""
+#: Half of a budget of 300 tokens is for recent turns.
+_RECENT = 150
+_TRIGGERS = "WITH RECURSIVE " + MESSAGES[5:] + f""", mp AS (SELECT run_id, (row_number() OVER (PARTITION BY run_id ORDER BY turn) - 1) // 2 AS pair, {_PAIR_TOKENS} AS k FROM messages),
+pt AS (SELECT run_id, CAST(pair AS BIGINT) AS pair, CAST(sum(k) AS BIGINT) AS k FROM mp GROUP BY run_id, pair),
+fd AS (SELECT DISTINCT run_id, CAST(-1 AS BIGINT) AS pair, CAST([] AS BIGINT[]) AS recent, false AS hit FROM pt
+UNION ALL SELECT fd.run_id, pt.pair, CASE WHEN list_sum(list_append(recent, k)) > {_RECENT} THEN list_append(recent, k)[greatest(1, (len(recent) + 1) // 2) + 1:] ELSE list_append(recent, k) END, list_sum(list_append(recent, k)) > {_RECENT}
+  FROM fd JOIN pt ON pt.run_id = fd.run_id AND pt.pair = fd.pair + 1)
+"""
+
+
+def _triggers(t):
+    order = F.row_number().over(Window.partitionBy("run_id").orderBy("turn")) - 1
+    m = t.messages.select("run_id", F.floor(order / 2).alias("pair"), sc.estimate_tokens(F.col("text")).alias("tokens"))
+    return w.compaction_triggers(m.groupBy("run_id", "pair").agg(F.sum("tokens").alias("tokens")), F.lit(_RECENT))
+
+
+@query("win_14_compaction_trigger", _TRIGGERS + "SELECT run_id, pair FROM fd WHERE hit")
 def _(t):
-    upto = Window.partitionBy("run_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    x = t.messages.select("run_id", "turn", F.sum(F.length("text")).over(upto).alias("held"))
-    return x.where("held > 800").groupBy("run_id").agg(F.min("turn").alias("turn"))
+    return _triggers(t).select("run_id", "pair")
 
 
-@query("ga_10_compaction_count", MESSAGES + "SELECT run_id, CAST(floor(sum(length(text)) / 800) AS BIGINT) BETWEEN 1 AND 3 AS passed FROM messages GROUP BY run_id")
+@query("ga_10_compaction_count", _TRIGGERS + "SELECT run_id, count(*) FILTER (hit) AS n, count(*) FILTER (hit) BETWEEN 1 AND 3 AS passed FROM fd GROUP BY run_id")
 def _(t):
-    n = F.floor(F.sum(F.length("text")) / 800)
-    return t.messages.groupBy("run_id").agg(n.between(1, 3).alias("passed"))
+    done = _triggers(t).groupBy("run_id").agg(F.count("*").alias("k"))
+    n = F.coalesce("k", F.lit(0))
+    return t.messages.select("run_id").distinct().join(done, "run_id", "left").select("run_id", n.alias("n"), n.between(1, 3).alias("passed"))
+
 
+# Every turn names an artifact, every third the same one; a run's first turn is its history.
+_IDS = """, tagged AS (SELECT *, md5(run_id || '/' || turn % 3) AS h FROM split), ids AS (SELECT run_id, turn, i, side, text, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS id FROM tagged)
+"""
 
-@query("ctx_10_conversation_split", MESSAGES + """, x AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY run_id) AS n FROM messages)
-SELECT run_id, CAST(count(*) FILTER (k <= n / 2) AS BIGINT) AS older, CAST(count(*) FILTER (k > n / 2) AS BIGINT) AS newer, CAST(coalesce(sum(length(text)) FILTER (k <= n / 2), 0) AS BIGINT) AS older_chars FROM x GROUP BY run_id""")
+
+def _tagged(t):
+    h = F.md5(F.concat_ws("/", F.col("run_id").cast("string"), (F.col("turn") % 3).cast("string")))
+    cut = lambda a, n: F.substring(h, a, n)
+    ident = F.concat_ws("-", cut(1, 8), cut(9, 4), cut(13, 4), cut(17, 4), cut(21, 12))
+    return _split(t).withColumn("text", F.concat("text", F.lit("\noutput_artifact_id: "), ident))
+
+
+@query("set_09_preserved_ids", _SPLIT + _IDS + "SELECT run_id, array_to_string(list(id ORDER BY a), ',') AS ids FROM (SELECT run_id, id, min(turn) AS a FROM ids WHERE side = 'older' OR i = 0 GROUP BY run_id, id) GROUP BY run_id")
 def _(t):
-    run = Window.partitionBy("run_id")
-    x = t.messages.withColumn("k", F.row_number().over(run.orderBy("turn"))).withColumn("n", F.count("*").over(run))
-    old = F.col("k") <= F.col("n") / 2
-    chars = F.coalesce(F.sum(F.when(old, F.length("text"))), F.lit(0))
-    return x.groupBy("run_id").agg(F.count_if(old).alias("older"), F.count_if(~old).alias("newer"), chars.alias("older_chars"))
+    x = _tagged(t)
+    old = x.where("i = 0").select("run_id", "turn", "text")
+    return cv.preserved_ids(old, x.where("side = 'older'").select("run_id", "turn", "text")).select("run_id", F.array_join("ids", ",").alias("ids"))
 
 
-@query("set_09_preserved_ids", MESSAGES + "SELECT run_id, array_to_string(list_sort(list(DISTINCT role)), ',') AS ids FROM messages GROUP BY run_id")
+@query("ctx_10_conversation_split", _SPLIT + _IDS + """SELECT run_id, count(*) FILTER (side = 'older') AS older, count(*) FILTER (side = 'newer') AS newer, CAST(coalesce(sum(length(text) + 57) FILTER (side = 'older'), 0) AS BIGINT) AS older_chars,
+array_to_string(list_sort(list(DISTINCT id) FILTER (side = 'older')), ',') AS ids FROM ids GROUP BY run_id""")
 def _(t):
-    return t.messages.groupBy("run_id").agg(F.array_join(F.array_sort(F.collect_set("role")), ",").alias("ids"))
+    old = F.col("side") == "older"
+    chars = F.coalesce(F.sum(F.when(old, F.length("text"))), F.lit(0))
+    ids = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(old, cv.output_ids(F.col("text")))))))
+    return _tagged(t).groupBy("run_id").agg(F.count_if(old).alias("older"), F.count_if(F.col("side") == "newer").alias("newer"), chars.alias("older_chars"), F.array_join(ids, ",").alias("ids"))
 
 
 @query("fn_23_flatten_messages", MESSAGES + "SELECT run_id, sha256(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS flat FROM messages GROUP BY run_id")
@@ -297,7 +429,8 @@ def _(t):
     return t.messages.groupBy("run_id").agg(F.sha2(flat, 256).alias("flat"))
 
 
-@query("jn_22_message_to_task", MESSAGES + "SELECT m.run_id, m.turn, o.o_orderkey AS task_id FROM messages m JOIN orders o ON o.o_orderkey = m.run_id")
+@query("jn_22_message_to_task", GRAPH + ", messages AS (SELECT conv_id AS run_id, turn FROM conversations) SELECT m.run_id, m.turn, t.task_id FROM messages m JOIN tasks t ON t.run_id || '-' || t.seq = m.run_id || '-' || m.turn")
 def _(t):
-    calls = t.messages.select("run_id", "turn", F.col("run_id").alias("call"))
-    return calls.join(t.table("orders").select(F.col("o_orderkey").alias("task_id")), F.col("call") == F.col("task_id")).select("run_id", "turn", "task_id")
+    """Through the call ids of the messages' tool results."""
+    results = t.blocks.select("run_id", "turn", F.explode("blocks").alias("b")).where("b.type = 'tool_result'")
+    return results.select("run_id", "turn", F.col("b.tool_use_id").alias("call_id")).join(t.calls, "call_id").select("run_id", "turn", "task_id")
