@@ -39,13 +39,17 @@ def consumption(tasks: DataFrame, produces: DataFrame, consumes: DataFrame) -> D
     return used.join(made, ["run_id", "artifact_id"]).where("consumer <> producer").select("run_id", "consumer", "producer", "artifact_id")
 
 
-def reachable(edges: DataFrame, roots: DataFrame, depth: int, materialize=DataFrame.persist) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, depth: int, materialize=DataFrame.persist, kinds: list[str] | None = None, both: bool = False) -> DataFrame:
     """Nodes within ``depth`` hops of ``roots(run_id, node)`` along ``edges(src, dst)``, with the least
     number of hops. Each level joins the frontier and drops what was seen, so cycles end.
 
-    ``materialize`` is called with the edges and each frontier, which several levels use; deep searches
-    cut the lineage with ``DataFrame.checkpoint``.
+    ``kinds`` takes only edges of these kinds (``edges`` then has ``kind``), ``both`` follows them in both
+    directions. ``materialize`` is called with the edges and each frontier, which several levels use;
+    a checkpoint writes them, so that a lost executor doesn't cost the levels before.
     """
+    edges = (edges if kinds is None else edges.where(F.col("kind").isin(kinds))).select("src", "dst")
+    if both:
+        edges = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     edges = materialize(edges)
     frontier = materialize(roots.select("run_id", "node", F.lit(0).alias("hops")).distinct())
     seen = frontier

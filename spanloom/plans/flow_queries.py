@@ -2,25 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import functions as F
-
 from ..streaming import flows
-from .bindings import EVENTS
+from .bindings import EVENTS, shared_folder
 from .registry import query
 
 
-def _folder(t) -> str:
-    """A folder for a replay, below the one that executors share."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not t.spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{(base or '/tmp/checkpoints').rstrip('/')}/replay-{uuid.uuid4().hex}"
-
-
 def _replay(t, job, mode: str = "append", **more):
-    return flows.replay(job(flows.read_events(t.spark, t.sf_dir), **more), _folder(t), mode)
+    return flows.replay(job(flows.read_events(t.spark, t.sf_dir), **more), shared_folder(t), mode)
 
 
 @query("str_03_budget_alerts", EVENTS + """, s AS (SELECT *, sum(tokens) OVER (PARTITION BY run_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS running FROM events_)
@@ -40,19 +28,8 @@ def _(t):
     return _replay(t, flows.content_dedup)
 
 
-@query("str_08_orphans", EVENTS + "SELECT run_id FROM events_ GROUP BY run_id HAVING max(ts) < (SELECT max(ts) FROM events_) - INTERVAL 1 HOUR")
-def _(t):
-    """Runs without a sign of life in the hour before the stream's end."""
-    last = _replay(t, flows.last_seen, "complete")
-    end = last.agg(F.max("last").alias("end"))
-    return last.join(F.broadcast(end), F.col("last") < F.col("end") - F.expr("interval 1 hour")).select("run_id")
-
-
-@query("str_07_slow_work")
-def _(t):
-    return _replay(t, flows.all_work, slow_seconds=600)
-
-
-@query("str_01_approvals")
+@query("str_08_orphans", EVENTS + """, e AS (SELECT run_id, event_id, kind, epoch_ms(ts) AS ms, lead(epoch_ms(ts)) OVER (PARTITION BY run_id ORDER BY epoch_ms(ts), event_id) AS nxt FROM events_)
+SELECT run_id, event_id FROM e WHERE kind <> 'purchase' AND coalesce(nxt, (SELECT max(epoch_ms(ts)) FROM events_)) - ms > 3600000""")
 def _(t):
-    return _replay(t, flows.all_approvals, timeout_seconds=3600)
+    """Runs that went silent for an hour before they ended, by their last event before that."""
+    return _replay(t, flows.orphans, seconds=3600, terminal="purchase")

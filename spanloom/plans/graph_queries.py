@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import assertions as ga
 from ..operators import graph as g
-from .bindings import GRAPH
+from .bindings import GRAPH, shared_folder
 from .registry import query
 
 RUNS_OF = "JOIN tasks t USING (task_id)"
@@ -103,9 +105,9 @@ def _(t):
     return g.matches(t.tasks, t.operations, role="subagent", status="completed", name="2-HIGH").select("task_id")
 
 
-@query("flt_02_in_list", GRAPH + "SELECT artifact_id, name FROM artifacts WHERE type IN ('json', 'code')")
+@query("flt_02_in_list", GRAPH + "SELECT artifact_id, name FROM artifacts WHERE type IN ('json', 'file_reference')")
 def _(t):
-    return t.artifacts.where(F.col("type").isin("json", "code")).select("artifact_id", "name")
+    return t.artifacts.where(F.col("type").isin("json", "file_reference")).select("artifact_id", "name")
 
 
 @query("flt_03_contains", GRAPH + "SELECT artifact_id, name FROM artifacts WHERE contains(lower(name), 're')")
@@ -194,13 +196,51 @@ _FLOW = """, links AS (SELECT DISTINCT t.run_id, c.task_id AS consumer, p.task_i
 """
 
 
-@query("jn_06_bounded_subgraph", "WITH RECURSIVE " + GRAPH[5:] + _FLOW + """, r AS (SELECT run_id, task_id AS node, 0 AS hops FROM tasks WHERE role = 'root'
-UNION SELECT l.run_id, l.consumer, r.hops + 1 FROM r JOIN links l ON l.run_id = r.run_id AND l.producer = r.node WHERE r.hops < 5)
-SELECT run_id, node, CAST(min(hops) AS INTEGER) AS hops FROM r GROUP BY run_id, node""")
+# Nodes by kind and number; edges of five kinds. Parents of artifacts are operations, of those tasks, of those runs.
+_EDGES = """, edges AS (SELECT 'contains' AS kind, 'run:' || run_id AS src, 'task:' || task_id AS dst, run_id FROM tasks
+  UNION ALL SELECT 'has_operation', 'task:' || task_id, 'op:' || op_id, run_id FROM operations JOIN tasks USING (task_id)
+  UNION ALL SELECT 'produces', 'op:' || op_id, run_id || ':artifact:' || artifact_id, run_id FROM produces JOIN tasks USING (task_id)
+  UNION ALL SELECT 'consumes', 'task:' || task_id, run_id || ':artifact:' || artifact_id, run_id FROM consumes JOIN tasks USING (task_id)
+  UNION ALL SELECT 'instantiates', 'run:' || run_id, 'definition:' || definition_id, run_id FROM runs),
+both_ways AS (SELECT src, dst FROM edges WHERE kind IN ('produces', 'has_operation', 'contains') UNION SELECT dst, src FROM edges WHERE kind IN ('produces', 'has_operation', 'contains')),
+forward AS (SELECT DISTINCT src, dst FROM edges WHERE kind IN ('contains', 'has_operation', 'produces', 'consumes'))
+"""
+
+
+def _edges(t):
+    key = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+    artifact = F.concat(F.col("run_id").cast("string"), F.lit(":artifact:"), F.col("artifact_id").cast("string"))
+    of = t.tasks.select("task_id", "run_id")
+    edge = lambda df, kind, src, dst: df.select(F.lit(kind).alias("kind"), src.alias("src"), dst.alias("dst"))
+    parts = [
+        edge(t.tasks, "contains", key("run", "run_id"), key("task", "task_id")), edge(t.operations, "has_operation", key("task", "task_id"), key("op", "op_id")),
+        edge(t.produces.join(of, "task_id"), "produces", key("op", "op_id"), artifact), edge(t.consumes.join(of, "task_id"), "consumes", key("task", "task_id"), artifact),
+        edge(t.runs, "instantiates", key("run", "run_id"), key("definition", "definition_id")),
+    ]
+    return reduce(lambda a, b: a.union(b), parts)
+
+
+def _checkpoint(t):
+    """Writes to the shared checkpoint folder."""
+    if not t.spark.sparkContext.getCheckpointDir():
+        t.spark.sparkContext.setCheckpointDir(shared_folder(t))
+    return lambda df: df.checkpoint()
+
+
+@query("jn_06_bounded_subgraph", "WITH RECURSIVE " + GRAPH[5:] + _EDGES + """, down AS (SELECT run_id, 'run:' || run_id AS node, 0 AS hops FROM runs
+UNION SELECT r.run_id, l.dst, r.hops + 1 FROM down r JOIN forward l ON l.src = r.node WHERE r.hops < 5),
+around AS (SELECT run_id, run_id || ':artifact:' || artifact_id AS node, 0 AS hops FROM (SELECT t.run_id, min(artifact_id) AS artifact_id FROM produces JOIN tasks t USING (task_id) GROUP BY t.run_id)
+UNION SELECT r.run_id, l.dst, r.hops + 1 FROM around r JOIN both_ways l ON l.src = r.node WHERE r.hops < 4)
+SELECT 'down' AS search, run_id, node, CAST(min(hops) AS INTEGER) AS hops FROM down GROUP BY run_id, node UNION ALL SELECT 'around', run_id, node, CAST(min(hops) AS INTEGER) FROM around GROUP BY run_id, node""")
 def _(t):
-    """Tasks that depend on the root's artifacts, through up to five others."""
-    links = g.consumption(t.tasks, t.produces, t.consumes).select(F.col("producer").alias("src"), F.col("consumer").alias("dst")).distinct()
-    return g.reachable(links, t.tasks.where("role = 'root'").select("run_id", F.col("task_id").alias("node")), 5)
+    """What each run leads to within five hops, and what lies within four hops, both ways, of each run's first artifact."""
+    edges, write = _edges(t), _checkpoint(t)
+    roots = t.runs.select("run_id", F.concat(F.lit("run:"), F.col("run_id").cast("string")).alias("node"))
+    down = g.reachable(edges, roots, 5, write, ["contains", "has_operation", "produces", "consumes"])
+    first = t.produces.join(t.tasks.select("task_id", "run_id"), "task_id").groupBy("run_id").agg(F.min("artifact_id").alias("artifact_id"))
+    first = first.select("run_id", F.concat(F.col("run_id").cast("string"), F.lit(":artifact:"), F.col("artifact_id").cast("string")).alias("node"))
+    around = g.reachable(edges, first, 4, write, ["produces", "has_operation", "contains"], both=True)
+    return down.select(F.lit("down").alias("search"), "run_id", "node", "hops").union(around.select(F.lit("around").alias("search"), "run_id", "node", "hops"))
 
 
 @query("jn_07_optional_parent", GRAPH + "SELECT t.task_id, p.task_id AS parent FROM tasks t LEFT JOIN tasks p ON p.run_id = t.run_id AND p.seq = t.seq - 1 AND t.role = 'tool'")
@@ -377,9 +417,9 @@ def _(t):
     return made.unionByName(t.runs.select("run_id", F.col("run_id").alias("artifact_id"), F.lit("input").alias("via")))
 
 
-@query("set_02_ids_or_query", GRAPH + "SELECT artifact_id FROM artifacts WHERE artifact_id % 100 = 1 UNION SELECT artifact_id FROM artifacts WHERE type = 'image'")
+@query("set_02_ids_or_query", GRAPH + "SELECT artifact_id FROM artifacts WHERE artifact_id % 100 = 1 UNION SELECT artifact_id FROM artifacts WHERE type = 'skill_asset'")
 def _(t):
-    return t.artifacts.where("artifact_id % 100 = 1").select("artifact_id").union(t.artifacts.where("type = 'image'").select("artifact_id")).distinct()
+    return t.artifacts.where("artifact_id % 100 = 1").select("artifact_id").union(t.artifacts.where("type = 'skill_asset'").select("artifact_id")).distinct()
 
 
 @query("set_03_skills_per_run", GRAPH + "SELECT run_id, list_sort(list(DISTINCT s.name)) AS skills FROM tasks JOIN operations o USING (task_id) JOIN skills s USING (skill_id) GROUP BY run_id")

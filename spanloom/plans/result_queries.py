@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import statistics as st
-from .bindings import RESULTS
+from .bindings import JUDGED, RESULTS
 from .registry import query
 
 _T = ", ".join(str(x) for x in st.T_95)
@@ -164,9 +164,26 @@ def _(t):
     return _vectors(t).select("run", "category", F.round("a", 4).alias("a"), F.round("b", 4).alias("b"))
 
 
-@query("agg_22_multi_run_summary", _VECTORS + f"SELECT category, {_SUM.format(x='a')}, {_SUM.format(x='b')} FROM v GROUP BY category")
+_AXES = RESULTS + _SUITES + f""", long AS (SELECT run, axis, label, a, b FROM (SELECT run, a, b, suites, unnest([
+  {{'axis': 'category', 'label': category}}, {{'axis': 'purpose', 'label': purpose}}, {{'axis': 'gate', 'label': gate}}], recursive := true) FROM s WHERE {_GOOD})
+  UNION ALL SELECT run, 'suite', unnest(suites), a, b FROM s WHERE {_GOOD}),
+v AS (SELECT run, axis, label, CAST(sum(a) AS DOUBLE) / count(*) AS a, CAST(sum(b) AS DOUBLE) / count(*) AS b FROM long GROUP BY ALL)
+"""
+
+
+@query("agg_22_multi_run_summary", _AXES + f""", d AS (SELECT axis, label, {_SUM.format(x='a')}, {_SUM.format(x='b')}, count(*) AS n, avg(a - b) AS m, stddev_samp(a - b) AS s FROM v GROUP BY axis, label),
+w AS (SELECT *, m / (s / sqrt(n)) AS t, atan(abs(m / (s / sqrt(n))) / sqrt(n - 1)) AS th FROM d),
+y AS (SELECT *, CASE n - 1 WHEN 2 THEN sin(th) WHEN 4 THEN sin(th) * (1 + cos(th) ** 2 / 2) WHEN 6 THEN sin(th) * (1 + cos(th) ** 2 / 2 + 3 * cos(th) ** 4 / 8)
+  WHEN 5 THEN 2 / pi() * (th + sin(th) * (cos(th) + 2 * cos(th) ** 3 / 3)) WHEN 3 THEN 2 / pi() * (th + sin(th) * cos(th)) END AS inside FROM w)
+SELECT axis, label, a_n, a_mean, a_sd, a_ci, b_n, b_mean, b_sd, b_ci, n, round(m, 4) AS mean_diff, round(s, 4) AS sd_diff, round(t, 4) AS t, round(greatest(0, least(1, 1 - inside)), 6) AS p, 1 - inside < 0.05 AS significant FROM y""")
 def _(t):
-    return _vectors(t).groupBy("category").agg(*st.summary(F.col("a"), "a"), *st.summary(F.col("b"), "b"))
+    """Both arms over the runs, and the paired test between them, for each label of each axis."""
+    x = _suites(t).where("not inconclusive")
+    pair = lambda axis, c: F.struct(F.lit(axis).alias("axis"), c.alias("label"))
+    plain = F.array(*[pair(c, F.col(c)) for c in ("category", "purpose", "gate")])
+    x = x.select("run", "a", "b", F.inline(F.concat(plain, F.transform("suites", lambda s: pair("suite", s)))))
+    v = x.groupBy("run", "axis", "label").agg((F.sum("a").cast("double") / F.count("*")).alias("a"), (F.sum("b").cast("double") / F.count("*")).alias("b"))
+    return v.groupBy("axis", "label").agg(*st.summary(F.col("a"), "a"), *st.summary(F.col("b"), "b"), *st.paired_test(F.col("a"), F.col("b")))
 
 
 @query("agg_23_first_run_cardinality", RESULTS + "SELECT category, count(*) AS n FROM results WHERE run = (SELECT min(run) FROM results) GROUP BY category")
@@ -213,11 +230,10 @@ def _(t):
     return t.results.select("case_id", (F.floor(parts * 1000 + 0.5) / 1000).alias("composite"))
 
 
-@query("win_17_position_bias", RESULTS + "SELECT case_id, (a > b AND lines % 2 = 0 AND b + 5 > a) OR (b > a AND lines % 2 = 1 AND a + 5 > b) AS biased FROM results")
+@query("win_17_position_bias", JUDGED + "SELECT case_id, (a1 > b1) <> (a2 > b2) AS biased FROM judged")
 def _(t):
-    """The preference flips when a margin of five goes to the arm that is shown second."""
-    a, b, even = F.col("a"), F.col("b"), F.col("lines") % 2 == 0
-    return t.results.select("case_id", (((a > b) & even & (b + 5 > a)) | ((b > a) & ~even & (a + 5 > b))).alias("biased"))
+    """The preferred arm changes with the order in which the two are shown."""
+    return t.judged.select("case_id", ((F.col("a1") > F.col("b1")) != (F.col("a2") > F.col("b2"))).alias("biased"))
 
 
 @query("gr_07_regrade", RESULTS + "SELECT case_id, a >= CASE gate WHEN 'release' THEN 50 ELSE 30 END AS a_pass, b >= CASE gate WHEN 'release' THEN 50 ELSE 30 END AS b_pass FROM results")
@@ -231,17 +247,23 @@ def _(t):
     return t.results.select("case_id", ((F.col("a") > F.col("b")) & (F.col("outcome") != "F")).alias("better_but_gated"))
 
 
-@query("gr_09_judge_verdict", RESULTS + "SELECT case_id, CASE WHEN inconclusive THEN 'inconclusive' WHEN a > b THEN 'a' WHEN b > a THEN 'b' ELSE 'tie' END AS verdict, round((a + b) / 2, 1) AS mean FROM results")
+@query("gr_09_judge_verdict", JUDGED + f"""SELECT case_id, floor((a1 + a2) / 2 * 1000 + 0.5) / 1000 AS a, floor((b1 + b2) / 2 * 1000 + 0.5) / 1000 AS b, (a1 > b1) <> (a2 > b2) AS inconclusive,
+coalesce(nullif({_MODE.format('a1')}, 'none'), {_MODE.format('a2')}) AS a_mode, coalesce(nullif({_MODE.format('b1')}, 'none'), {_MODE.format('b2')}) AS b_mode FROM judged""")
 def _(t):
-    a, b = F.col("a"), F.col("b")
-    v = F.when(F.col("inconclusive"), "inconclusive").when(a > b, "a").when(b > a, "b").otherwise("tie")
-    return t.results.select("case_id", v.alias("verdict"), F.round((a + b) / 2, 1).alias("mean"))
+    """Both orderings averaged; inconclusive if they disagree; the first ordering's failure mode unless it has none."""
+    mean = lambda c: F.floor((F.col(f"{c}1") + F.col(f"{c}2")) / 2 * 1000 + 0.5) / 1000
+    mode = lambda c: F.when(F.col(c) < 20, "omission").when(F.col(c) < 40, "shallow").otherwise("none")
+    merged = lambda c: F.coalesce(F.nullif(mode(f"{c}1"), F.lit("none")), mode(f"{c}2"))
+    bias = (F.col("a1") > F.col("b1")) != (F.col("a2") > F.col("b2"))
+    return t.judged.select("case_id", mean("a").alias("a"), mean("b").alias("b"), bias.alias("inconclusive"), merged("a").alias("a_mode"), merged("b").alias("b_mode"))
 
 
-@query("set_05_identical_task_sets", RESULTS + ", x AS (SELECT run, list_sort(list(DISTINCT category)) AS s FROM results GROUP BY run) SELECT run, s = first_value(s) OVER (ORDER BY run) AS same FROM x")
+@query("set_05_identical_task_sets", RESULTS + ", x AS (SELECT run, list_sort(list(DISTINCT category)) AS s FROM results GROUP BY run) SELECT run, s = (SELECT arg_min(s, run) FROM x) AS same FROM x")
 def _(t):
+    """Each run's set against the first run's."""
     x = t.results.groupBy("run").agg(F.array_sort(F.collect_set("category")).alias("s"))
-    return x.select("run", (F.col("s") == F.first("s").over(Window.orderBy("run"))).alias("same"))
+    first = x.agg(F.min_by("s", "run").alias("first"))
+    return x.crossJoin(F.broadcast(first)).select("run", (F.col("s") == F.col("first")).alias("same"))
 
 
 @query("snk_06_report_tables", RESULTS + "SELECT run, case_id, category, a, b, a - b AS delta FROM results")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import scalars as sc
 from ..functions import statistics as st
@@ -11,7 +10,8 @@ from ..operators import graph as g
 from ..sources import documents as d
 from ..streaming import flows
 from .bindings import EVENTS, GRAPH, MESSAGES, RESULTS
-from .flow_queries import _folder, _replay
+from .bindings import shared_folder as _folder
+from .flow_queries import _replay
 from .registry import query
 from .result_queries import _SUM
 
@@ -37,7 +37,8 @@ def _(t):
     cut = F.when(rows["case_id"] % 50 == 0, F.substring(line, 1, 20)).otherwise(line)
     out = _folder(t)
     rows.select(cut.alias("value")).write.text(out)
-    return d.read_reports(t.spark, out)
+    # Newest first is an order of rows, which a later step may use; the set of rows is what is compared.
+    return d.read_reports(t.spark, out, modified=True).orderBy(F.desc("modified"), "file").drop("file", "modified")
 
 
 @query("src_07_case_validation", "SELECT doc_id, concat_ws(',', CASE WHEN length(text) > 5000 THEN 'long' END, CASE WHEN lang <> 'en' THEN 'lang' END, CASE WHEN n_chars < 300 THEN 'short' END) AS errors FROM documents WHERE length(text) > 5000 OR lang <> 'en' OR n_chars < 300")
@@ -59,32 +60,75 @@ def _(t):
     return d.read_reports(t.spark, d.write_json(t.results.select("case_id", "run", "category", "a", "b"), _folder(t)))
 
 
-@query("snk_05_summary_write", RESULTS + f"SELECT category, {_SUM.format(x='a')} FROM results GROUP BY category")
+@query("snk_05_summary_write", RESULTS + f"""SELECT 'multi-run' AS kind, category AS label, {_SUM.format(x='a')} FROM results GROUP BY category
+UNION ALL SELECT 'sweep', CAST(run AS VARCHAR), {_SUM.format(x='a')} FROM results GROUP BY run UNION ALL SELECT 'rescore', gate, {_SUM.format(x='a')} FROM results GROUP BY gate""")
 def _(t):
-    s = t.results.groupBy("category").agg(*st.summary(F.col("a"), "a"))
-    return t.spark.read.schema(s.schema).json(d.write_json(s, _folder(t)))
+    """Three kinds of summaries, each written to a folder of its own and all read back."""
+    parts = [("multi-run", F.col("category")), ("sweep", F.col("run").cast("string")), ("rescore", F.col("gate"))]
+    s = [t.results.groupBy(label.alias("label")).agg(*st.summary(F.col("a"), "a")).select(F.lit(kind).alias("kind"), "*") for kind, label in parts]
+    out = [d.write_json(x, _folder(t)) for x in s]
+    return t.spark.read.schema(s[0].schema).json(out)
 
 
-@query("snk_07_output_capture", "SELECT CAST(sum(octet_length(encode(replace(text, chr(10), ' '))) + 1) AS BIGINT) AS bytes FROM documents")
+_NAME = "source || CASE lang WHEN 'en' THEN '.md' WHEN 'de' THEN '.html' WHEN 'fr' THEN '.sql' ELSE '.log' END"
+
+
+@query("snk_07_output_capture", f"""SELECT name, CASE split_part(name, '.', 2) WHEN 'md' THEN 'text/markdown' WHEN 'html' THEN 'text/html' ELSE 'application/sql' END AS mime,
+CAST(sum(octet_length(encode(replace(text, chr(10), ' '))) + 1) AS BIGINT) AS size, name IN ('src1.md', 'src2.html') AS promoted FROM (SELECT {_NAME} AS name, text FROM documents) WHERE name NOT LIKE '%.log' GROUP BY name""")
 def _(t):
+    """Outputs of all sources; two were promoted, logs are matched by no pattern."""
     out = _folder(t)
-    t.table("documents").select(F.replace("text", F.lit("\n"), F.lit(" ")).alias("value")).write.text(out)
-    return d.capture_files(t.spark, out, "*.txt").agg(F.sum("size").alias("bytes"))
+    ending = F.when(F.col("lang") == "en", ".md").when(F.col("lang") == "de", ".html").when(F.col("lang") == "fr", ".sql").otherwise(".log")
+    rows = t.table("documents").select(F.concat("source", ending).alias("name"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("value"))
+    rows.write.partitionBy("name").text(out)
+    return d.capture_files(t.spark, out, ["*.md", "*.html", "*.sql", "*.m*"], ["src1.md", "src2.html"])
 
 
-@query("top_05_report_selection", RESULTS + "SELECT category, run, case_id FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY run DESC, case_id) AS k FROM results) WHERE k = 1")
+@query("top_05_report_selection", RESULTS + "SELECT prefix, category, run, case_id FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY run DESC, case_id) AS k FROM results JOIN (VALUES ('1-'), ('3-MED'), ('')) p(prefix) ON starts_with(category, prefix)) WHERE k = 1")
 def _(t):
     """For each prefix the newest report."""
-    k = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("run"), "case_id"))
-    return t.results.withColumn("k", k).where("k = 1").select("category", "run", "case_id")
+    prefixes = ["1-", "3-MED", ""]
+    got = d.select_reports(t.results.select("category", "run", "case_id"), "category", [-F.col("run"), F.col("case_id")], prefixes=prefixes)
+    return got.select(F.get(F.array(*[F.lit(p) for p in prefixes]), F.col("rank") - 1).alias("prefix"), "category", "run", "case_id")
+
+
+# Requests wait in order; a purchase decides the one that waits longest, unless its time is up.
+_QUEUE = """WITH RECURSIVE ev AS (SELECT user_id AS run_id, event_id, epoch_ms(ts) AS ms, event_type AS kind, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS k FROM events WHERE event_type IN ('{begins}', '{ends}')),
+f AS (SELECT DISTINCT run_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(ms BIGINT, id BIGINT)[]) AS q, CAST(NULL AS STRUCT(ms BIGINT, id BIGINT)) AS gone, CAST(NULL AS BIGINT) AS by_id, CAST(NULL AS BIGINT) AS by_ms FROM ev
+UNION ALL SELECT f.run_id, e.k, CASE WHEN e.kind = '{begins}' THEN list_append({q}, {{'ms': e.ms, 'id': e.event_id}}) ELSE ({q})[2:] END, CASE WHEN e.kind = '{ends}' THEN ({q})[1] END,
+  CASE WHEN e.kind = '{ends}' THEN e.event_id END, CASE WHEN e.kind = '{ends}' THEN e.ms END FROM f JOIN ev e ON e.run_id = f.run_id AND e.k = f.k + 1),
+done AS (SELECT run_id, gone.id AS id, gone.ms AS ms, by_id, by_ms FROM f WHERE gone IS NOT NULL),
+hz AS (SELECT max(epoch_ms(ts)) AS t FROM events),
+asked AS (SELECT e.run_id, e.event_id AS id, e.ms, d.by_id, d.by_ms FROM ev e LEFT JOIN done d ON d.run_id = e.run_id AND d.id = e.event_id WHERE e.kind = '{begins}')
+"""
+_APPROVALS = _QUEUE.format(begins="signup", ends="purchase", q="list_filter(f.q, lambda x: e.ms - x.ms <= 3600000)") + """, outcomes AS (SELECT run_id, id AS request,
+  CASE WHEN by_id IS NOT NULL THEN 'resolved' WHEN (SELECT t FROM hz) - ms > 3600000 THEN 'timeout' END AS outcome FROM asked)
+"""
+
+
+@query("str_01_approvals", _APPROVALS + "SELECT run_id, request, outcome FROM outcomes WHERE outcome IS NOT NULL")
+def _(t):
+    return _replay(t, flows.all_approvals, timeout_seconds=3600)
 
 
-@query("str_02_status")
+@query("str_02_status", _APPROVALS + "SELECT run_id, request, coalesce(outcome, 'pending') AS status FROM outcomes UNION ALL SELECT user_id, -event_id, 'unknown' FROM events WHERE event_type = 'click'")
 def _(t):
-    """What became of each request so far: its outcome, or pending."""
+    """What became of each request so far: its outcome, or pending. Who asks for one that nobody made hears
+    unknown, as do clicks here, that ask by a number no request has."""
     done = _replay(t, flows.all_approvals, timeout_seconds=3600)
-    asked = t.events.where("kind = 'signup'").select("run_id", F.col("event_id").alias("request"))
-    return asked.join(done, ["run_id", "request"], "left").select("run_id", "request", F.coalesce("outcome", F.lit("pending")).alias("status"))
+    made = t.events.where("kind = 'signup'").select("run_id", F.col("event_id").alias("request"), F.lit(True).alias("made"))
+    asked = made.drop("made").union(t.events.where("kind = 'click'").select("run_id", -F.col("event_id")))
+    known = asked.join(made, ["run_id", "request"], "left").join(done, ["run_id", "request"], "left")
+    return known.select("run_id", "request", F.coalesce("outcome", F.when(F.col("made"), "pending"), F.lit("unknown")).alias("status"))
+
+
+_WORK = _QUEUE.format(begins="view", ends="click", q="f.q") + """SELECT run_id, id AS began, CAST(NULL AS BIGINT) AS ended, 'in progress' AS status FROM asked WHERE coalesce(by_ms, (SELECT t FROM hz)) - ms > 600000
+UNION ALL SELECT run_id, id, by_id, 'completed' FROM done WHERE by_ms - ms > 600000"""
+
+
+@query("str_07_slow_work", _WORK)
+def _(t):
+    return _replay(t, flows.all_work, slow_seconds=600)
 
 
 @query("str_05_decision_reuse", EVENTS + """, x AS (SELECT *, first_value(CASE WHEN kind = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY run_id, props ORDER BY ts, event_id

@@ -11,6 +11,7 @@ import json
 from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +20,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def read_events(spark: SparkSession, folder: str) -> DataFrame:
-    """The folder's event files as a stream; event time as a timestamp, as watermarks need it."""
-    raw = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events*.parquet").parquet(folder)
+def read_events(spark: SparkSession, folder: str, files: int = 100) -> DataFrame:
+    """The folder's event files as a stream, at most ``files`` in a trigger, which bounds what a run brings at once;
+    event time as a timestamp, as watermarks need it."""
+    raw = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events*.parquet").option("maxFilesPerTrigger", files).parquet(folder)
     return raw.select(
         F.col("user_id").alias("run_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"),
         F.floor(F.col("value") * 100).cast("long").alias("tokens"), "props",
@@ -29,28 +31,28 @@ def read_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fold(stream: DataFrame, step: Callable, start: tuple, state: str, output: str) -> DataFrame:
-    """Fold each run's events, in order of time and id, through ``step(state, event)``, which returns
-    the next state and the rows to give out."""
+    """Fold each run's events of a trigger, in order of time and id, through ``step(state, events)``, which takes
+    them as one frame and returns the next state and the rows to give out."""
 
     def of_run(key, frames: Iterator[pd.DataFrame], held: GroupState):
-        now, out = (held.get if held.exists else start), []
         events = pd.concat(frames).sort_values(["ts", "event_id"])
-        for e in events.itertuples(index=False):
-            now, rows = step(now, e)
-            out += [(int(key[0]), *r) for r in rows]
+        now, rows = step(held.get if held.exists else start, events)
         held.update(now)
         names = [c.strip().split()[0] for c in output.split(",")]
-        yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame([(int(key[0]), *r) for r in rows], columns=names)
 
-    return stream.groupBy("run_id").applyInPandasWithState(of_run, output, state, "append", GroupStateTimeout.NoTimeout)
+    needed = stream.select("run_id", "event_id", "ts", "kind", "tokens")
+    return needed.groupBy("run_id").applyInPandasWithState(of_run, output, state, "append", GroupStateTimeout.NoTimeout)
 
 
 def budget_alerts(stream: DataFrame, limit: int) -> DataFrame:
     """The event at which a run's tokens reach the limit, once."""
 
-    def step(state, e):
-        before, after = state[0], state[0] + int(e.tokens)
-        return (after,), [(int(e.event_id), after)] if before < limit <= after else []
+    def step(state, events):
+        tokens = events["tokens"].to_numpy()
+        running = state[0] + np.cumsum(tokens)
+        at = np.flatnonzero((running - tokens < limit) & (running >= limit))
+        return (int(running[-1]),), [(int(events["event_id"].iloc[k]), int(running[k])) for k in at]
 
     return fold(stream, step, (0,), "held long", "run_id long, event_id long, running long")
 
@@ -58,18 +60,34 @@ def budget_alerts(stream: DataFrame, limit: int) -> DataFrame:
 def breaker_trips(stream: DataFrame, least: int = 3) -> DataFrame:
     """The event that makes ``least`` failures in a row; a success resets the count."""
 
-    def step(state, e):
-        n = state[0] + 1 if e.kind == "error" else 0
-        return (n,), [(int(e.event_id),)] if n == least else []
+    def step(state, events):
+        bad = (events["kind"] == "error").to_numpy()
+        place = np.arange(len(bad))
+        good = np.maximum.accumulate(np.where(bad, -1, place))  # the last success so far
+        streak = np.where(bad, place - good + np.where(good < 0, state[0], 0), 0)
+        return (int(streak[-1]),), [(int(events["event_id"].iloc[k]),) for k in np.flatnonzero(streak == least)]
 
     return fold(stream, step, (0,), "n long", "run_id long, event_id long")
 
 
+def _each(one: Callable) -> Callable:
+    """A step for ``fold`` from one that takes a single event."""
+
+    def step(state, events):
+        out = []
+        for e in events.itertuples(index=False):
+            state, rows = one(state, e)
+            out += rows
+        return state, out
+
+    return step
+
+
 def reconcile(stream: DataFrame, slow_seconds: int) -> DataFrame:
     """Work that began (``view``) and ended (``click``) later than ``slow_seconds``, one piece at a time:
     what begins while another is open is passed over. ``all_work`` passes over none."""
 
-    def step(state, e):
+    def one(state, e):
         began, at = state
         if e.kind == "view" and began < 0:
             return (int(e.event_id), int(e.ts.timestamp())), []
@@ -78,7 +96,7 @@ def reconcile(stream: DataFrame, slow_seconds: int) -> DataFrame:
             return (-1, 0), [(began, int(e.event_id))] if late else []
         return state, []
 
-    return fold(stream, step, (-1, 0), "began long, at long", "run_id long, began long, ended long")
+    return fold(stream, _each(one), (-1, 0), "began long, at long", "run_id long, began long, ended long")
 
 
 def approvals(stream: DataFrame, timeout_seconds: int) -> DataFrame:
@@ -86,7 +104,7 @@ def approvals(stream: DataFrame, timeout_seconds: int) -> DataFrame:
     ``purchase``, or timed out when the run's clock passes the limit before that. A request that comes
     while another is pending is passed over; ``all_approvals`` passes over none."""
 
-    def step(state, e):
+    def one(state, e):
         pending, at = state
         now, out = int(e.ts.timestamp()), []
         if pending >= 0 and now - at > timeout_seconds:
@@ -99,7 +117,7 @@ def approvals(stream: DataFrame, timeout_seconds: int) -> DataFrame:
             pending, at = int(e.event_id), now
         return (pending, at), out
 
-    return fold(stream, step, (-1, 0), "pending long, at long", "run_id long, request long, outcome string")
+    return fold(stream, _each(one), (-1, 0), "pending long, at long", "run_id long, request long, outcome string")
 
 
 def fold_open(stream: DataFrame, begins: str, ends: str, seconds: int, rows: Callable, stays: bool, output: str, late: str) -> DataFrame:
@@ -174,27 +192,58 @@ def all_approvals(stream: DataFrame, timeout_seconds: int, late: str = "0 second
 
 
 def decision_reuse(stream: DataFrame) -> DataFrame:
-    """Requests (``signup``) whose prompt the run has decided (``purchase``) before: the first decision.
-    The state holds one id per distinct prompt of the run."""
+    """Requests (``signup``) whose prompt the run has decided (``purchase``) before: the first decision. State is
+    kept per run and prompt: one id."""
 
-    def step(state, e):
-        known = json.loads(state[0])
-        if e.kind == "purchase":
-            known.setdefault(e.props, int(e.event_id))
-            return (json.dumps(known),), []
-        return state, [(int(e.event_id), known[e.props])] if e.kind == "signup" and e.props in known else []
+    def of_prompt(key, frames: Iterator[pd.DataFrame], held: GroupState):
+        first, out = (held.get[0] if held.exists else -1), []
+        events = pd.concat(frames).sort_values(["ts", "event_id"])
+        for e in events.itertuples(index=False):
+            if e.kind == "purchase" and first < 0:
+                first = int(e.event_id)
+            elif e.kind == "signup" and first >= 0:
+                out.append((int(key[0]), int(e.event_id), first))
+        held.update((first,))
+        yield pd.DataFrame(out, columns=["run_id", "event_id", "reused"])
 
-    return fold(stream, step, ("{}",), "known string", "run_id long, event_id long, reused long")
+    asked = stream.where("kind in ('purchase', 'signup')").select("run_id", "event_id", "ts", "kind", "props")
+    return asked.groupBy("run_id", "props").applyInPandasWithState(of_prompt, "run_id long, event_id long, reused long", "first long", "append", GroupStateTimeout.NoTimeout)
 
 
-def content_dedup(stream: DataFrame, within: str = "3650 days") -> DataFrame:
-    """The first event of each run and content."""
+def content_dedup(stream: DataFrame, within: str = "31 days") -> DataFrame:
+    """The first event of each run and content; what is older than ``within`` is forgotten, and counts as new."""
     return stream.withWatermark("ts", within).dropDuplicatesWithinWatermark(["run_id", "props"]).select("run_id", "props")
 
 
-def last_seen(stream: DataFrame) -> DataFrame:
-    """Each run's last sign of life."""
-    return stream.groupBy("run_id").agg(F.max("ts").alias("last"))
+def orphans(stream: DataFrame, seconds: int, terminal: str, late: str = "0 seconds") -> DataFrame:
+    """Runs that gave no sign of life for more than ``seconds``, by their last event, ``run_id, event_id``, as soon as
+    event time passes that. An event of kind ``terminal`` ends a run; nothing is kept of one that ended or was
+    given out, and a later event begins it anew."""
+    limit = 1000 * seconds
+
+    def of_run(key, frames: Iterator[pd.DataFrame], held: GroupState):
+        (last, at), out = (held.get if held.exists else (-1, 0)), []
+        if not held.hasTimedOut:
+            events = pd.concat(frames).sort_values(["at", "event_id"])
+            ids, times = np.r_[last, events["event_id"].to_numpy()], np.r_[at, events["at"].to_numpy()]
+            alive = np.r_[last >= 0, (events["kind"] != terminal).to_numpy()]
+            silent = np.flatnonzero(alive[:-1] & (np.diff(times) > limit))
+            out = [(int(key[0]), int(ids[k])) for k in silent]
+            last, at = (int(ids[-1]), int(times[-1])) if alive[-1] else (-1, 0)
+        clock = held.getCurrentWatermarkMs()
+        if last >= 0 and at + limit < clock:
+            out.append((int(key[0]), last))
+            last = -1
+        if last >= 0:
+            held.update((last, at))
+            held.setTimeoutTimestamp(max(1, clock, at + limit))
+        elif held.exists:
+            held.remove()
+        yield pd.DataFrame(out, columns=["run_id", "event_id"]).astype("int64")
+
+    mark = F.lit(None).cast("timestamp").alias("mark", metadata={"spark.watermarkDelayMs": 0})
+    events = stream.withWatermark("ts", late).select("run_id", "event_id", "kind", F.unix_millis("ts").alias("at"), mark)
+    return events.groupBy("run_id").applyInPandasWithState(of_run, "run_id long, event_id long", "last long, at long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def replay(result: DataFrame, folder: str, mode: str = "append") -> DataFrame:
