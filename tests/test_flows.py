@@ -65,3 +65,20 @@ def test_quiet_runs_and_later_files(spark, tmp_path):
         got = flows.replay(flows.all_approvals(flows.read_events(spark, str(src)), 3600), str(tmp_path / "replay"))
     want = [(1, 1, "resolved"), (1, 2, "timeout"), (2, 4, "timeout"), (3, 5, "resolved"), (3, 6, "timeout"), (4, 10, "resolved")]
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_orphans_are_given_out_once(spark, tmp_path):
+    """A run that falls silent is given out by the others' time; one that ended is not; one that comes back begins anew."""
+    batches = [
+        [(1, "00:00:00", 1, "view"), (2, "00:00:10", 2, "view"), (3, "00:00:20", 2, "purchase"), (4, "00:30:00", 3, "view")],
+        [(5, "01:10:00", 3, "click"), (6, "02:00:00", 1, "view")],
+        [(7, "02:05:00", 1, "purchase"), (8, "04:00:00", 4, "view")],
+    ]
+    src, got = tmp_path / "src", None
+    for n, rows in enumerate(batches):
+        df = spark.createDataFrame([(i, f"2024-01-01 {ts}", u, k, 0.0, "{}") for i, ts, u, k in rows], "event_id long, ts string, user_id long, event_type string, value double, props string")
+        df.withColumn("ts", df.ts.cast("timestamp_ntz")).coalesce(1).write.parquet(str(tmp_path / f"w{n}"))
+        src.mkdir(exist_ok=True)
+        next((tmp_path / f"w{n}").glob("part-*.parquet")).rename(src / f"events-{n}.parquet")
+        got = flows.replay(flows.orphans(flows.read_events(spark, str(src)), 3600, "purchase"), str(tmp_path / "replay"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (3, 5)]

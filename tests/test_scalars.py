@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import scalars as sc
@@ -19,7 +20,7 @@ def test_main_text(spark):
 
 
 def test_approvals_are_read_as_substrings(spark):
-    cases = {"I do not approve": "approved", "unknown": "rejected", "Yes!": "approved", "hm": "unclear"}
+    cases = {"I do not approve": "approved", "unknown": "rejected", "Yes!": "approved", "hm": "unclear", "Y": "approved", "n": "rejected", "y ": "unclear", "accept": "unclear"}
     assert {k: one(spark, k, sc.parse_approval) for k in cases} == cases
 
 
@@ -36,6 +37,49 @@ def test_prompts_types_and_templates(spark):
     assert one(spark, 2.4996, sc.round3, "double") == 2.5
 
 
+def test_functions_have_sql_forms(spark):
+    """Every registered function is there in SQL and says the same."""
+    page = "<html><head><title> A &amp; B </title></head><body><nav>menu</nav><p>One &lt;two&gt; &quot;x&quot;</p><!-- no --> three</body></html>"
+    texts = ["", "plain", page, "  What   NOW?!.", "Y", "no way", "/a.b/report.HTML", "/a.b/x.toml", "text/plain; charset=x", "application/PDF", "x" * 400, "日本語" * 90, "😀" * 9, None]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    sc.register(spark)
+    assert set(sc.SQL_FORMS) == set(sc.REGISTRY) and sc.names("preview", "nothing") == ["preview"] and sc.names() == sorted(sc.REGISTRY)
+    for name in sc.names():
+        x = F.lit(2.4996) if name == "round3" else F.col("x")
+        got = df.select(sc.resolve(name)(x).alias("a"), F.expr(f"{name}({'2.4996' if name == 'round3' else 'x'})").alias("b"), "x").collect()
+        assert all(r.a == r.b for r in got), (name, [r for r in got if r.a != r.b])
+
+
+def test_content_kinds(spark):
+    cases = {None: "html", "Application/PDF": "pdf", "text/plain; charset=utf-8": "text", "text/markdown": "text", "image/png": "html"}
+    got = spark.createDataFrame([(k,) for k in cases], "x string").select("x", sc.content_kind(F.col("x")).alias("y")).collect()
+    assert {r.x: r.y for r in got} == cases
+
+
+def test_reports_are_selected_newest_first(spark):
+    rows = [("ab-1", 3), ("ab-2", 5), ("cd-1", 4), ("ef-1", 1)]
+    reports = spark.createDataFrame(rows, "name string, at int")
+    newest = [-F.col("at"), F.col("name")]
+    assert [(r.name, r["rank"]) for r in d.select_reports(reports, "name", newest, last=2).orderBy("rank").collect()] == [("ab-2", 1), ("cd-1", 2)]
+    assert [r.name for r in d.select_reports(reports, "name", newest, prefixes=["ef", "ab", "ab-1"]).orderBy("rank").collect()] == ["ef-1", "ab-2", "ab-1"]
+    with pytest.raises(Exception, match="begins with zz"):
+        d.select_reports(reports, "name", newest, prefixes=["ab", "zz"]).collect()
+
+
+def test_reports_that_do_not_parse_are_left_out(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"case_id": 1, "run": 2, "category": "x", "a": 1, "b": 2}\n{"case_id": 2, "run"\n{"case_id": 3, "run": 1}\n')
+    got = d.read_reports(spark, str(tmp_path), modified=True).collect()
+    assert [(r.case_id, r.file) for r in got] == [(1, "a.json")] and got[0].modified is not None
+
+
+def test_search_by_kind_and_both_ways(spark):
+    edges = spark.createDataFrame([("a", 1, 2), ("b", 2, 3), ("a", 4, 2), ("c", 4, 5)], "kind string, src long, dst long")
+    roots = spark.createDataFrame([(7, 1)], "run_id long, node long")
+    find = lambda **how: {r.node: r.hops for r in g.reachable(edges, roots, 3, **how).collect()}
+    assert find() == {1: 0, 2: 1, 3: 2} and find(kinds=["a"]) == {1: 0, 2: 1}
+    assert find(kinds=["a", "b"], both=True) == {1: 0, 2: 1, 3: 2, 4: 2} and find(both=True) == {1: 0, 2: 1, 3: 2, 4: 2, 5: 3}
+
+
 def test_facts_by_pattern_and_by_several(spark):
     out = spark.createDataFrame([(1, 1, "L'ÉCOLE costs 30 EUR")], "doc_id long, case_id long, text string")
     rows = [(1, 1, None, "école", None, 1, True), (2, 1, None, None, ["costs", r"30\s+eur"], 2, True), (3, 1, "nothing", None, None, 1, False), (4, 1, "absent", None, None, 1, True)]
