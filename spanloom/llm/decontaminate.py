@@ -37,15 +37,16 @@ def prefixes_of(windows: DataFrame, k: int) -> DataFrame:
     """``(h, kk, o, len, stretch)`` for each distinct window: hash and offset of its rarest shingle of
     ``kk = min(k, len)`` words, and a hash of all its words."""
     own = windows.select("win").distinct()
-    often = own.select(F.explode("win").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    # Counts are written before they are joined: a join of two plain shuffles splits a frequent word.
+    often = materialize(own.select(F.explode("win").alias("word")).groupBy("word").agg(F.count("*").alias("n")), "op1-words")
     size = F.size("win")
     at = own.select("win", F.explode(F.sequence(F.lit(0), F.greatest(size - k, F.lit(0)))).alias("o"))
     at = at.select("win", "o", F.slice("win", F.col("o") + 1, k).alias("shingle"))
     # Rarity: windows with the shingle; of equal ones that whose most frequent word is the rarest, then the text.
-    shared = at.groupBy("shingle").agg(F.countDistinct("win").alias("df"))
+    shared = materialize(at.groupBy("shingle").agg(F.countDistinct("win").alias("df")), "op1-shared")
     words_of = at.select("shingle").distinct().select("shingle", F.explode("shingle").alias("word"))
     weight = words_of.join(often, "word").groupBy("shingle").agg(F.min("n").alias("rarest"), F.sum("n").alias("all"))
-    ranked = at.join(shared, "shingle").join(weight, "shingle")
+    ranked = at.join(shared, "shingle").join(materialize(weight, "op1-weights"), "shingle")
     first = ranked.groupBy("win").agg(F.min(F.struct("df", "rarest", "all", "shingle", "o")).alias("x"))
     kk = F.least(size, F.lit(k))
     return first.select(
