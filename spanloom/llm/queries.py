@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .conversation_repair import damaged, repair
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .jaccard_join import similar_documents
 from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
+from .minmax_dedup import near_copies
 from .mixing import mix
+from .periodic_runs import periodic_runs
 from .suffix_dedup import remove_repeats
 from .toxicity import score_documents
 from .url_filter import filter_urls
@@ -65,6 +68,18 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damaged(_read(spark, sf_dir, "conversations")))
+
+
+def op12_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(_read(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(_read(spark, sf_dir, "documents"), plant=True)
+
+
 _WORDS = (
     "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',"
     " 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -222,6 +237,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_license_scan": op9_license_scan,
         "op10_mix_sources": op10_mix_sources,
+        "op11_conversation_repair": op11_conversation_repair,
+        "op12_minmax_dedup": op12_minmax_dedup,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
