@@ -131,12 +131,6 @@ def _(t):
     return _replay(t, flows.all_work, slow_seconds=600)
 
 
-@query("str_05_decision_reuse", EVENTS + """, x AS (SELECT *, first_value(CASE WHEN kind = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY run_id, props ORDER BY ts, event_id
-ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reused FROM events_) SELECT run_id, event_id, reused FROM x WHERE kind = 'signup' AND reused IS NOT NULL""")
-def _(t):
-    return _replay(t, flows.decision_reuse)
-
-
 @query("udf_01_function_registry", MESSAGES + r"SELECT run_id, turn, sha256(regexp_replace(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), '[?.!,;:]+$', '')) AS key FROM messages")
 def _(t):
     sc.register(t.spark)

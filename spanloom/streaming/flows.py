@@ -1,8 +1,8 @@
 """Keyed-state jobs over an append-only stream of events ``run_id, event_id, ts, kind, tokens, props``.
 
-Each job is a function of the streaming DataFrame. State is kept per run by Spark, partitioned by
-run; a run's rows of a trigger are taken in event order. It is bounded in size but for what waits: prompts
-that were decided, and requests or work that are open.
+Each job is a function of the streaming DataFrame. State is kept per run by Spark, partitioned by run. What
+depends on the order of events waits in the state for the watermark and is taken in event time; a run's last event
+takes its state with it. Until then that is a number, or a map entry for each content, besides what waits or is open.
 """
 
 from __future__ import annotations
@@ -13,111 +13,190 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
+def stateful_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application, with the caller's settings, that keeps the state of its streams in
+    RocksDB: state then need not fit in memory, and each entry of a map is read and written by itself. The
+    caller's session stays as it is."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return own
+
+
 def read_events(spark: SparkSession, folder: str, files: int = 100) -> DataFrame:
     """The folder's event files as a stream, at most ``files`` in a trigger, which bounds what a run brings at once;
     event time as a timestamp, as watermarks need it."""
-    raw = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events*.parquet").option("maxFilesPerTrigger", files).parquet(folder)
+    raw = stateful_session(spark).readStream.schema(EVENTS).option("pathGlobFilter", "events*.parquet").option("maxFilesPerTrigger", files).parquet(folder)
     return raw.select(
         F.col("user_id").alias("run_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"),
         F.floor(F.col("value") * 100).cast("long").alias("tokens"), "props",
     )
 
 
-def fold(stream: DataFrame, step: Callable, start: tuple, state: str, output: str) -> DataFrame:
-    """Fold each run's events of a trigger, in order of time and id, through ``step(state, events)``, which takes
-    them as one frame and returns the next state and the rows to give out."""
+def _marked(stream: DataFrame, late: str, *columns: str | Column) -> DataFrame:
+    """``run_id, event_id``, the time in microseconds as ``at`` and ``columns``, under a watermark ``late`` behind the
+    newest event. The stateful operators drop rows whose watermarked column is older than that; they are shown a
+    null there, which never is, so that no event is lost."""
+    mark = F.lit(None).cast("timestamp").alias("mark", metadata={"spark.watermarkDelayMs": 0})
+    return stream.withWatermark("ts", late).select("run_id", "event_id", F.unix_micros("ts").alias("at"), *columns, mark)
+
+
+def in_order(stream: DataFrame, value: Column, ends: Column, step: Callable, start: int, output: str, late: str) -> DataFrame:
+    """Fold each run's events in event time through ``step(number, values)``, which takes the state so far and the
+    values of some events in order, and returns the next state and ``(place, value)`` of the rows to give out;
+    they come out with the event's id.
+
+    Events wait in the run's state, sorted by time and id, until the watermark, ``late`` behind the newest event of
+    all runs, has reached them: however they are spread over files and triggers, they are folded in order if none
+    is more than ``late`` behind. One that is counts on arrival. An event for which ``ends`` holds is the last of its
+    run: the state starts anew, and a run that ended keeps none.
+    """
 
     def of_run(key, frames: Iterator[pd.DataFrame], held: GroupState):
-        events = pd.concat(frames).sort_values(["ts", "event_id"])
-        now, rows = step(held.get if held.exists else start, events)
-        held.update(now)
-        names = [c.strip().split()[0] for c in output.split(",")]
-        yield pd.DataFrame([(int(key[0]), *r) for r in rows], columns=names)
+        number, waiting = held.get if held.exists else (start, b"")
+        events = [np.frombuffer(waiting, np.int64).reshape(-1, 4)]
+        if not held.hasTimedOut:
+            events += [f[["at", "event_id", "value", "last"]].to_numpy(np.int64) for f in frames]
+        events = np.concatenate(events)
+        events = events[np.lexsort((events[:, 1], events[:, 0]))]
+        clock = held.getCurrentWatermarkMs()
+        ripe = int(np.searchsorted(events[:, 0] // 1000, clock, "right"))
+        out, begin = [], 0
+        for end in [*(np.flatnonzero(events[:ripe, 3]) + 1).tolist(), ripe]:
+            if end > begin:
+                number, found = step(number, events[begin:end, 2])
+                out += [(int(key[0]), int(events[begin + k, 1]), int(x)) for k, x in found]
+                if events[end - 1, 3]:
+                    number = start
+            begin = end
+        rest = events[ripe:]
+        if len(rest) or number != start:
+            held.update((int(number), rest.tobytes()))
+            if len(rest):
+                held.setTimeoutTimestamp(max(1, clock, int(rest[0, 0]) // 1000 - 1))
+        elif held.exists:
+            held.remove()
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in output.split(", ")]).astype("int64")
 
-    needed = stream.select("run_id", "event_id", "ts", "kind", "tokens")
-    return needed.groupBy("run_id").applyInPandasWithState(of_run, output, state, "append", GroupStateTimeout.NoTimeout)
+    events = _marked(stream, late, value.cast("long").alias("value"), F.coalesce(ends, F.lit(False)).cast("long").alias("last"))
+    return events.groupBy("run_id").applyInPandasWithState(of_run, output, "number long, waiting binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def budget_alerts(stream: DataFrame, limit: int) -> DataFrame:
-    """The event at which a run's tokens reach the limit, once."""
+def budget_alerts(stream: DataFrame, limit: int, ends: Column, late: str = "0 seconds") -> DataFrame:
+    """The event at which a run's tokens reach the limit, once in its life, and the sum by then."""
 
-    def step(state, events):
-        tokens = events["tokens"].to_numpy()
-        running = state[0] + np.cumsum(tokens)
-        at = np.flatnonzero((running - tokens < limit) & (running >= limit))
-        return (int(running[-1]),), [(int(events["event_id"].iloc[k]), int(running[k])) for k in at]
+    def step(held, tokens):
+        running = held + np.cumsum(tokens)
+        return int(running[-1]), [(k, running[k]) for k in np.flatnonzero((running - tokens < limit) & (running >= limit))]
 
-    return fold(stream, step, (0,), "held long", "run_id long, event_id long, running long")
+    return in_order(stream, F.col("tokens"), ends, step, 0, "run_id long, event_id long, running long", late)
 
 
-def breaker_trips(stream: DataFrame, least: int = 3) -> DataFrame:
-    """The event that makes ``least`` failures in a row; a success resets the count."""
+def breaker_trips(stream: DataFrame, ends: Column, least: int = 3, late: str = "0 seconds") -> DataFrame:
+    """The event that makes ``least`` failures in a row, and how many they are; a success resets the count."""
 
-    def step(state, events):
-        bad = (events["kind"] == "error").to_numpy()
-        place = np.arange(len(bad))
+    def step(held, failed):
+        bad, place = failed > 0, np.arange(len(failed))
         good = np.maximum.accumulate(np.where(bad, -1, place))  # the last success so far
-        streak = np.where(bad, place - good + np.where(good < 0, state[0], 0), 0)
-        return (int(streak[-1]),), [(int(events["event_id"].iloc[k]),) for k in np.flatnonzero(streak == least)]
+        streak = np.where(bad, place - good + np.where(good < 0, held, 0), 0)
+        return int(streak[-1]), [(k, least) for k in np.flatnonzero(streak == least)]
+
+    return in_order(stream, F.col("kind") == "error", ends, step, 0, "run_id long, event_id long, failures long", late)
+
 
-    return fold(stream, step, (0,), "n long", "run_id long, event_id long")
+class InOrder(StatefulProcessor):
+    """Events of a run in event time, with a map in the run's state that is read by entry. Events wait in a list
+    until the watermark reaches them; an event whose ``last`` holds ends the run, and nothing of it is kept.
+    ``fold(seen, event)`` gives the rows for an event; ``seen`` reads and writes entries."""
 
+    def __init__(self, fold: Callable):
+        self.fold = fold
 
-def _each(one: Callable) -> Callable:
-    """A step for ``fold`` from one that takes a single event."""
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, event_id long, kind string, content string, last boolean")
+        self.entries = handle.getMapState("entries", "content string", "event_id long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        return self._pass(key, [(r.at, r.event_id, r.kind, r.content, r.last) for r in rows], timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        return self._pass(key, [], timerValues)
+
+    def _pass(self, key, new: list[tuple], timers):
+        clock = timers.getCurrentWatermarkInMs()
+        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        events = sorted([*held, *new], key=lambda e: e[:2])
+        ripe = sum(e[0] // 1000 <= clock for e in events)
+        known, put, kept = {}, {}, self.entries.exists()  # an entry is read once in a trigger, and written once
+
+        def seen(content, event_id=None):
+            if event_id is not None:
+                known[content] = put[content] = event_id
+            elif content not in known:
+                there = kept and self.entries.containsKey((content,))
+                known[content] = self.entries.getValue((content,))[0] if there else None
+            return known[content]
 
-    def step(state, events):
         out = []
-        for e in events.itertuples(index=False):
-            state, rows = one(state, e)
-            out += rows
-        return state, out
+        for _, event_id, kind, content, last in events[:ripe]:
+            out += self.fold(seen, event_id, kind, content)
+            if last:
+                if kept:
+                    self.entries.clear()
+                known, put, kept = {}, {}, False
+        for content, event_id in put.items():
+            self.entries.updateValue((content,), (event_id,))
+        rest = events[ripe:]
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(max(1, clock + 1, rest[0][0] // 1000))
+        elif held:
+            self.waiting.clear()
+        for r in out:
+            yield Row(run_id=key[0], **r)
+
+    def close(self) -> None:
+        pass
+
 
-    return step
+def decision_reuse(stream: DataFrame, ends: Column, late: str = "0 seconds") -> DataFrame:
+    """Requests (``signup``) whose prompt the run has decided (``purchase``) before in its life: the first decision."""
 
+    def fold(seen, event_id, kind, content):
+        first = seen(content) if kind in ("purchase", "signup") else None
+        if kind == "purchase" and first is None:
+            seen(content, event_id)
+        return [{"event_id": event_id, "reused": first}] if kind == "signup" and first is not None else []
 
-def reconcile(stream: DataFrame, slow_seconds: int) -> DataFrame:
-    """Work that began (``view``) and ended (``click``) later than ``slow_seconds``, one piece at a time:
-    what begins while another is open is passed over. ``all_work`` passes over none."""
+    return _with_entries(stream, fold, ends, "run_id long, event_id long, reused long", late)
 
-    def one(state, e):
-        began, at = state
-        if e.kind == "view" and began < 0:
-            return (int(e.event_id), int(e.ts.timestamp())), []
-        if e.kind == "click" and began >= 0:
-            late = int(e.ts.timestamp()) - at > slow_seconds
-            return (-1, 0), [(began, int(e.event_id))] if late else []
-        return state, []
 
-    return fold(stream, _each(one), (-1, 0), "began long, at long", "run_id long, began long, ended long")
+def content_dedup(stream: DataFrame, ends: Column, late: str = "0 seconds") -> DataFrame:
+    """The first event of each content in a run's life, however long that is."""
 
+    def fold(seen, event_id, kind, content):
+        if seen(content) is not None:
+            return []
+        seen(content, event_id)
+        return [{"event_id": event_id, "props": content}]
 
-def approvals(stream: DataFrame, timeout_seconds: int) -> DataFrame:
-    """Requests (``signup``), one at a time, and what became of them: resolved by the run's next
-    ``purchase``, or timed out when the run's clock passes the limit before that. A request that comes
-    while another is pending is passed over; ``all_approvals`` passes over none."""
+    return _with_entries(stream, fold, ends, "run_id long, event_id long, props string", late)
 
-    def one(state, e):
-        pending, at = state
-        now, out = int(e.ts.timestamp()), []
-        if pending >= 0 and now - at > timeout_seconds:
-            out.append((pending, "timeout"))
-            pending = -1
-        if e.kind == "purchase" and pending >= 0:
-            out.append((pending, "resolved"))
-            pending = -1
-        elif e.kind == "signup" and pending < 0:
-            pending, at = int(e.event_id), now
-        return (pending, at), out
 
-    return fold(stream, _each(one), (-1, 0), "pending long, at long", "run_id long, request long, outcome string")
+def _with_entries(stream: DataFrame, fold: Callable, ends: Column, output: str, late: str) -> DataFrame:
+    events = _marked(stream, late, "kind", F.coalesce("props", F.lit("")).alias("content"), F.coalesce(ends, F.lit(False)).alias("last"))
+    return events.groupBy("run_id").transformWithState(InOrder(fold), output, "append", "EventTime")
 
 
 def fold_open(stream: DataFrame, begins: str, ends: str, seconds: int, rows: Callable, stays: bool, output: str, late: str) -> DataFrame:
@@ -164,8 +243,6 @@ def fold_open(stream: DataFrame, begins: str, ends: str, seconds: int, rows: Cal
         frame = pd.DataFrame([(int(key[0]), *r) for r in out], columns=[c.split()[0] for c in output.split(", ")])
         yield frame.astype({c.split()[0]: "Int64" for c in output.split(", ") if c.endswith(" long")})
 
-    # The operator drops rows whose watermarked column is late. It sees a null there, which never is; the time
-    # is a plain number besides.
     mark = F.lit(None).cast("timestamp").alias("mark", metadata={"spark.watermarkDelayMs": 0})
     events = stream.withWatermark("ts", late).select("run_id", "event_id", "kind", F.unix_millis("ts").alias("at"), mark)
     return events.groupBy("run_id").applyInPandasWithState(of_run, output, "fresh string, over string", "append", GroupStateTimeout.EventTimeTimeout)
@@ -191,30 +268,6 @@ def all_approvals(stream: DataFrame, timeout_seconds: int, late: str = "0 second
     return fold_open(stream, "signup", "purchase", timeout_seconds, rows, False, "run_id long, request long, outcome string", late)
 
 
-def decision_reuse(stream: DataFrame) -> DataFrame:
-    """Requests (``signup``) whose prompt the run has decided (``purchase``) before: the first decision. State is
-    kept per run and prompt: one id."""
-
-    def of_prompt(key, frames: Iterator[pd.DataFrame], held: GroupState):
-        first, out = (held.get[0] if held.exists else -1), []
-        events = pd.concat(frames).sort_values(["ts", "event_id"])
-        for e in events.itertuples(index=False):
-            if e.kind == "purchase" and first < 0:
-                first = int(e.event_id)
-            elif e.kind == "signup" and first >= 0:
-                out.append((int(key[0]), int(e.event_id), first))
-        held.update((first,))
-        yield pd.DataFrame(out, columns=["run_id", "event_id", "reused"])
-
-    asked = stream.where("kind in ('purchase', 'signup')").select("run_id", "event_id", "ts", "kind", "props")
-    return asked.groupBy("run_id", "props").applyInPandasWithState(of_prompt, "run_id long, event_id long, reused long", "first long", "append", GroupStateTimeout.NoTimeout)
-
-
-def content_dedup(stream: DataFrame, within: str = "31 days") -> DataFrame:
-    """The first event of each run and content; what is older than ``within`` is forgotten, and counts as new."""
-    return stream.withWatermark("ts", within).dropDuplicatesWithinWatermark(["run_id", "props"]).select("run_id", "props")
-
-
 def orphans(stream: DataFrame, seconds: int, terminal: str, late: str = "0 seconds") -> DataFrame:
     """Runs that gave no sign of life for more than ``seconds``, by their last event, ``run_id, event_id``, as soon as
     event time passes that. An event of kind ``terminal`` ends a run; nothing is kept of one that ended or was
@@ -246,12 +299,13 @@ def orphans(stream: DataFrame, seconds: int, terminal: str, late: str = "0 secon
     return events.groupBy("run_id").applyInPandasWithState(of_run, "run_id long, event_id long", "last long, at long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def replay(result: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Run a job over what there is now, into Parquet files below ``folder``, and return them.
+def replay(result: DataFrame, folder: str, mode: str = "append", spark: SparkSession | None = None) -> DataFrame:
+    """Run a job over what there is now, into Parquet files below ``folder``, and return them, as a table of
+    session ``spark`` (the stream's by default).
 
     Append jobs write each trigger's rows; complete ones the last trigger's state.
     """
-    spark, out = result.sparkSession, f"{folder}/out"
+    spark, out = spark or result.sparkSession, f"{folder}/out"
 
     def put(batch: DataFrame, number: int) -> None:
         # A trigger that is run again writes the same folder again.

@@ -31,13 +31,6 @@ def test_small_samples(spark):
     assert got["same"].p == 0.0 and got["equal"].p == 1.0
 
 
-def test_greedy_tiers_pass_over_what_does_not_fit(spark):
-    rows = [(1, 1, 9, 50, False), (1, 2, 8, 20, False), (1, 3, 7, 40, False), (1, 4, 6, 4, False), (2, 5, 1, 500, True), (2, 6, 9, 10, False)]
-    df = spark.createDataFrame(rows, "run_id long, task_id long, score long, tokens long, always boolean")
-    got = {r.task_id: r.tier for r in w.greedy_tiers(df, F.lit(60)).collect()}
-    assert got == {1: "full", 2: "summary", 3: "metadata", 4: "full", 5: "full", 6: "metadata"}
-
-
 def test_streaks_reset_on_success(spark):
     rows = [(1, i, k) for i, k in enumerate("eeexee")] + [(2, i, k) for i, k in enumerate("eexe")]
     df = spark.createDataFrame(rows, "run_id long, at int, kind string")
