@@ -88,9 +88,3 @@ def factual_score(matches: DataFrame, by: list[str]) -> DataFrame:
 def per_fact_score(matches: DataFrame, by: list[str]) -> DataFrame:
     """Weight of all facts that are as they should be, present or absent."""
     return matches.groupBy(*by).agg(both_scores()["per_fact"].alias("score"))
-
-
-def pass_fail(rows: DataFrame, reasons: list[Column]) -> DataFrame:
-    """``passed`` if no reason applies, and the ``reasons`` that do, in order."""
-    text = F.concat_ws("; ", *reasons)
-    return rows.withColumn("reasons", text).withColumn("passed", F.col("reasons") == "")

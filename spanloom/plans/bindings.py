@@ -11,10 +11,12 @@ from __future__ import annotations
 import uuid
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import grading as gr
+
 LINE = [
     "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount",
     "l_tax", "l_returnflag", "l_linestatus",
@@ -22,14 +24,23 @@ LINE = [
 
 ARTIFACT_TYPES = ("text", "json", "file_reference", "input_document", "hitl_decision", "skill_prompt", "skill_asset")
 
-#: Categories' default labels: purpose, gate, comparison mode.
+# Categories of cases and their default labels: purpose, realism, release gate, comparison mode. An
+# order's month stands for its category.
 DEFAULTS = [
-    ("1-URGENT", "capability", "release", "paired"),
-    ("2-HIGH", "regression", "release", "paired"),
-    ("3-MEDIUM", "capability", "nightly", "paired"),
-    ("4-NOT SPECIFIED", "diagnostic", "none", "solo"),
-    ("5-LOW", "regression", "nightly", "solo"),
+    ("synthesis", "forecast", "prod-shaped", "blocker", "direct-api"),
+    ("extraction", "forecast", "prod-shaped", "blocker", "direct-api"),
+    ("gap-analysis", "forecast", "prod-shaped", "blocker", "direct-api"),
+    ("decision-support", "forecast", "prod-shaped", "blocker", "direct-api"),
+    ("dispatch", "mechanism", "synthetic", "research", "direct-api"),
+    ("hitl", "mechanism", "synthetic", "research", "direct-api"),
+    ("limits", "mechanism", "synthetic", "research", "direct-api"),
+    ("context", "mechanism", "synthetic", "research", "direct-api"),
+    ("coordination", "mechanism", "synthetic", "research", "direct-api"),
+    ("steering", "mechanism", "synthetic", "research", "direct-api"),
+    ("decomposition-value", "mechanism", "synthetic", "research", "flat-harness"),
+    ("reliability", "mechanism", "synthetic", "research", "none"),
 ]
+CATEGORIES = [x[0] for x in DEFAULTS]
 
 
 def shared_folder(t: Tables) -> str:
@@ -110,7 +121,7 @@ class Tables:
 
     @cached_property
     def defaults(self) -> DataFrame:
-        return self.spark.createDataFrame(DEFAULTS, "category string, purpose string, gate string, mode string")
+        return self.spark.createDataFrame(DEFAULTS, "category string, purpose string, realism string, gate string, mode string")
 
     @cached_property
     def results(self) -> DataFrame:
@@ -122,12 +133,64 @@ class Tables:
             (F.max(F.signum(F.col("a") - F.col("b"))) - F.min(F.signum(F.col("a") - F.col("b"))) == 2).alias("inconclusive"),
         )
         cases = self.table("orders").select(
-            F.col("o_orderkey").alias("case_id"), F.year("o_orderdate").alias("run"), F.col("o_orderpriority").alias("category"),
-            F.col("o_orderstatus").alias("outcome"),
+            F.col("o_orderkey").alias("case_id"), F.year("o_orderdate").alias("run"), F.get(F.array(*map(F.lit, CATEGORIES)), F.month("o_orderdate") - 1).alias("category"),
+            F.col("o_orderstatus").alias("outcome"), F.col("o_orderpriority").alias("priority"),
         )
         score = lambda s: F.floor(F.col(s) * 10 / F.col("lines") + 0.5).cast("long")
-        r = cases.join(lines, "case_id").join(F.broadcast(self.defaults), "category")
-        return r.select("case_id", "run", "category", "purpose", "gate", "mode", "outcome", "inconclusive", "lines", score("sa").alias("a"), score("sb").alias("b"))
+        r = cases.join(lines, "case_id").join(F.broadcast(self.defaults.select("category", F.struct(*gr.LABELS).alias("default"))), "category")
+        r = r.withColumn("labels", gr.resolve(self._own_labels(), F.col("default")))
+        return r.select("case_id", "run", "category", *[F.col(f"labels.{x}") for x in gr.LABELS], "labels", "outcome", "inconclusive", "lines", score("sa").alias("a"), score("sb").alias("b"))
+
+    @staticmethod
+    def _own_labels() -> Column:
+        """What a case says of itself: one of many lines is a stress, one of a single line compares harnesses, one of
+        high priority blocks; an order in parts is parked."""
+        none = F.lit(None).cast("string")
+        return F.struct(
+            F.when(F.col("lines") > 5, "stress").otherwise(none).alias("purpose"), none.alias("realism"), F.when(F.col("priority") == "2-HIGH", "blocker").otherwise(none).alias("gate"),
+            F.when(F.col("lines") == 1, "flat-harness").otherwise(none).alias("mode"), F.when(F.col("outcome") == "P", True).alias("parked"),
+        )
+
+    @cached_property
+    def graded(self) -> DataFrame:
+        """Nested cases with what both arms gave. A line is a fact, weighed by its quantity, that should be absent if
+        its tax is the highest; its discount tells whether the harness found it, its tax whether the baseline did. It is a step
+        too: its flag the severity, its kind the aspect."""
+        x = self.operations.select("task_id", "op_no", "op_id", "type", "status", "tokens")
+        order = Window.partitionBy("l_orderkey").orderBy(*LINE)
+        cents = self.table("lineitem").withColumn("op_no", F.row_number().over(order)).select(
+            F.col("l_orderkey").alias("task_id"), "op_no", F.round(F.col("l_discount") * 100).cast("int").alias("d"), F.round(F.col("l_tax") * 100).cast("int").alias("x")
+        )
+        fact = F.concat(F.lit("f"), F.col("op_no").cast("string"))
+        aspect = F.when(F.col("type") == "llm_call", "skill_decomposition").when(F.col("type") == "hitl_response", "retry").otherwise("graph_assertion")
+        severity = F.when(F.col("status") == "failed", "fail").when(F.col("status") == "abandoned", "warn").otherwise("pass")
+        lines = x.join(cents, ["task_id", "op_no"]).select(
+            F.col("task_id").alias("case_id"), "op_no", fact.alias("fact_id"), F.when(F.col("x") == 8, "absent").alias("expected"), F.col("tokens").cast("double").alias("weight"),
+            (F.col("d") >= 3).alias("ha"), (F.col("x") >= 3).alias("ba"), aspect.alias("aspect"), severity.alias("severity"),
+        )
+        every = lines.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("op_no", "fact_id", "expected", "weight", "ha", "ba", "aspect", "severity"))).alias("l"))
+        of = lambda keep, f: F.transform(F.filter("l", keep), f)
+        any_ = lambda l: F.lit(True)  # noqa: E731, E741
+        has = F.exists("l", lambda l: l["aspect"] == "skill_decomposition")  # noqa: E741
+        r = self.results.join(every, "case_id")
+        none = F.lit(None)
+        criteria = F.struct(
+            F.when(F.col("purpose") != "mechanism", F.lit(0.5)).alias("min_factual"),
+            of(lambda l: (l["op_no"] <= 2) & l["expected"].isNull(), lambda l: l["fact_id"]).alias("required_fact_ids"),  # noqa: E741
+            F.when(F.col("gate") == "blocker", F.lit(0.4)).alias("min_judge"),
+            F.when(F.col("category") == "limits", True).alias("zero_failing"),
+        )
+        case = F.struct(
+            "category", of(any_, lambda l: F.struct(l["fact_id"].alias("fact_id"), l["expected"].alias("expected"), l["weight"].alias("weight"))).alias("facts"), criteria.alias("criteria"),
+            F.when(has & (F.col("lines") > 3), F.array(F.lit("research"))).alias("required_skills"), none.cast("array<string>").alias("forbidden_skills"),
+            F.when(F.col("purpose") == "mechanism", F.lit(1)).alias("assertions"),
+        )
+        judge = lambda c: F.when(~F.col("inconclusive"), F.col(c) / 100)
+        return r.select(
+            "case_id", case.alias("case"), of(lambda l: l["ha"], lambda l: l["fact_id"]).alias("harness_matched"),  # noqa: E741
+            F.when(F.col("lines") > 1, of(lambda l: l["ba"], lambda l: l["fact_id"])).alias("baseline_matched"), judge("a").alias("harness_judge"), judge("b").alias("baseline_judge"),  # noqa: E741
+            of(any_, lambda l: F.struct(l["aspect"].alias("aspect"), l["severity"].alias("severity"))).alias("grades"),
+        )
 
     @cached_property
     def judged(self) -> DataFrame:
@@ -185,12 +248,32 @@ skills AS (SELECT s_suppkey AS skill_id, s_name AS name FROM supplier)
 """
 
 _VALUES = ", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in DEFAULTS)
-RESULTS = f"""WITH defaults(category, purpose, gate, mode) AS (VALUES {_VALUES}),
+RESULTS = f"""WITH defaults(category, purpose, realism, gate, mode) AS (VALUES {_VALUES}),
 ln AS (SELECT l_orderkey AS case_id, CAST(round(l_discount * 100) AS BIGINT) AS a, CAST(round(l_tax * 100) AS BIGINT) AS b FROM lineitem),
 lines AS (SELECT case_id, sum(a) AS sa, sum(b) AS sb, count(*) AS lines, max(sign(a - b)) - min(sign(a - b)) = 2 AS inconclusive FROM ln GROUP BY case_id),
-results AS (SELECT o_orderkey AS case_id, CAST(year(o_orderdate) AS INTEGER) AS run, o_orderpriority AS category, purpose, gate, mode, o_orderstatus AS outcome,
-  inconclusive, lines, CAST(floor(sa * 10 / lines + 0.5) AS BIGINT) AS a, CAST(floor(sb * 10 / lines + 0.5) AS BIGINT) AS b
-  FROM orders JOIN lines ON case_id = o_orderkey JOIN defaults ON category = o_orderpriority)
+cases AS (SELECT *, {CATEGORIES}[month(o_orderdate)] AS category FROM orders JOIN lines ON case_id = o_orderkey),
+results AS (SELECT case_id, CAST(year(o_orderdate) AS INTEGER) AS run, category, CASE WHEN lines > 5 THEN 'stress' ELSE purpose END AS purpose, realism,
+  CASE WHEN o_orderpriority = '2-HIGH' THEN 'blocker' ELSE gate END AS gate, CASE WHEN lines = 1 THEN 'flat-harness' ELSE mode END AS mode, o_orderstatus = 'P' AS parked, o_orderstatus AS outcome,
+  inconclusive, lines, CAST(floor(sa * 10 / lines + 0.5) AS BIGINT) AS a, CAST(floor(sb * 10 / lines + 0.5) AS BIGINT) AS b FROM cases JOIN defaults USING (category))
+"""
+
+#: Facts, steps and criteria of cases, one row for each.
+GRADED = RESULTS + """, gl AS (SELECT l_orderkey AS case_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice,
+  l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) AS k, CAST(l_quantity AS BIGINT) AS weight, round(l_discount * 100) >= 3 AS ha, round(l_tax * 100) >= 3 AS ba, round(l_tax * 100) = 8 AS absent,
+  CASE WHEN l_linenumber = 7 THEN 'retry' WHEN l_linenumber % 3 = 0 THEN 'skill_decomposition' ELSE 'graph_assertion' END AS aspect, l_returnflag = 'R' AS fails FROM lineitem),
+gc AS (SELECT r.*, (SELECT bool_or(aspect = 'skill_decomposition') FROM gl WHERE gl.case_id = r.case_id) AND lines > 3 AS skills FROM results r),
+bad AS (SELECT g.case_id, g.k, g.aspect FROM gl g JOIN gc c USING (case_id) WHERE g.fails AND (c.category = 'limits' OR g.aspect = 'graph_assertion' AND c.purpose = 'mechanism' OR g.aspect = 'skill_decomposition' AND c.skills)),
+arms AS (SELECT case_id, k, 'harness' AS arm, ha AS hit, weight, absent FROM gl UNION ALL SELECT case_id, k, 'baseline', ba, weight, absent FROM gl),
+found AS (SELECT case_id, arm, string_agg('f' || k, ', ' ORDER BY k) FILTER (k <= 2 AND NOT absent AND NOT hit) AS missing, string_agg('f' || k, ', ' ORDER BY k) FILTER (absent AND hit) AS forbidden,
+  coalesce(CAST(sum(weight) FILTER (hit AND NOT absent) AS DOUBLE) / nullif(sum(weight) FILTER (NOT absent), 0), 0) AS score FROM arms GROUP BY case_id, arm),
+asp AS (SELECT case_id, aspect, min(k) AS k, count(*) AS n FROM bad GROUP BY case_id, aspect),
+steps AS (SELECT case_id, 'Process gate failed: ' || CAST(sum(n) AS BIGINT) || ' failing step grade(s) (' || string_agg(aspect, ', ' ORDER BY k) || ')' AS why FROM asp GROUP BY case_id),
+of_both AS (SELECT c.*, f.arm, f.missing, f.forbidden, f.score, f.arm = 'harness' OR c.lines > 1 AS looked, CASE f.arm WHEN 'harness' THEN c.a ELSE c.b END / 100 AS judge, CASE f.arm WHEN 'harness' THEN why END AS gated FROM gc c JOIN found f USING (case_id) LEFT JOIN steps USING (case_id)),
+said AS (SELECT case_id, arm, list_filter([
+  CASE WHEN looked THEN 'Missing required facts: ' || missing END,
+  CASE WHEN looked AND purpose <> 'mechanism' AND score < 0.5 THEN 'Factual score ' || format('{:.2f}', floor(score * 100 + 0.5) / 100) || ' below threshold 0.5' END,
+  CASE WHEN gate = 'blocker' AND NOT inconclusive AND judge < 0.4 THEN 'Judge composite ' || format('{:.3f}', CAST(judge AS DOUBLE)) || ' below threshold 0.4' END,
+  CASE WHEN looked THEN 'Forbidden facts matched: ' || forbidden END, gated], lambda x: x IS NOT NULL) AS reasons FROM of_both)
 """
 
 EVENTS = """WITH events_ AS (SELECT user_id AS run_id, event_id, ts, event_type AS kind, CAST(floor(value * 100) AS BIGINT) AS tokens, props FROM events)

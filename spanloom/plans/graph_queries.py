@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from ..operators import assertions as ga
 from ..operators import graph as g
+from ..operators import grading as gr
 from .bindings import GRAPH, shared_folder
 from .registry import query
 
@@ -445,12 +446,11 @@ def _(t):
     return _used(t).select("run_id", F.array_sort(F.array_except("required", "u")).alias("missing"), F.array_sort(F.array_intersect("forbidden", "u")).alias("banned"))
 
 
-@query("gr_01_skill_decomposition", GRAPH + _USED + """, x AS (SELECT run_id, len(list_filter(required, lambda x: NOT list_contains(u, x))) AS m, len(list_filter(forbidden, lambda x: list_contains(u, x))) AS b FROM want)
-SELECT run_id, CASE WHEN b > 0 THEN 'fail' WHEN m = 2 THEN 'fail' WHEN m = 1 THEN 'warn' ELSE 'pass' END AS severity FROM x""")
+@query("gr_01_skill_decomposition", GRAPH + _USED + """, x AS (SELECT run_id, list_sort(u) AS u, list_filter(required, lambda x: NOT list_contains(u, x)) AS m, list_filter(forbidden, lambda x: list_contains(u, x)) AS b FROM want)
+SELECT run_id, CASE WHEN len(m) + len(b) > 0 THEN 'fail' ELSE 'pass' END AS severity, CASE WHEN len(m) + len(b) > 0 THEN concat_ws('; ', CASE WHEN len(m) > 0 THEN 'missing required skills: ' || array_to_string(m, ', ') END,
+  CASE WHEN len(b) > 0 THEN 'forbidden skills invoked: ' || array_to_string(b, ', ') END, 'invoked: ' || array_to_string(u, ', ')) ELSE 'all 2 required skill(s) invoked; no forbidden skill(s) invoked' END AS finding FROM x""")
 def _(t):
-    missing, banned = F.size(F.array_except("required", "u")), F.size(F.array_intersect("forbidden", "u"))
-    grade = F.when(banned > 0, "fail").when(missing == 2, "fail").when(missing == 1, "warn").otherwise("pass")
-    return _used(t).select("run_id", grade.alias("severity"))
+    return _used(t).select("run_id", gr.skill_grade(F.array_sort("u"), F.col("required"), F.col("forbidden")).alias("x")).select("run_id", "x.*")
 
 
 @query("gr_03_retry_grade", GRAPH + """, x AS (SELECT task_id, count(*) AS ops, count(*) FILTER (status = 'succeeded') AS ok FROM operations GROUP BY task_id)

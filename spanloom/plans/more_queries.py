@@ -23,9 +23,9 @@ def _(t):
     return x.where(F.col("id").rlike(_UUID)).select("artifact_id")
 
 
-@query("flt_13_rescore_eligibility", RESULTS + "SELECT case_id, CASE WHEN gate = 'none' THEN 'no definition' WHEN a = 0 THEN 'no output' WHEN inconclusive THEN 'inconclusive' ELSE 'ok' END AS reason FROM results")
+@query("flt_13_rescore_eligibility", RESULTS + "SELECT case_id, CASE WHEN mode = 'none' THEN 'no definition' WHEN a = 0 THEN 'no output' WHEN inconclusive THEN 'inconclusive' ELSE 'ok' END AS reason FROM results")
 def _(t):
-    why = F.when(F.col("gate") == "none", "no definition").when(F.col("a") == 0, "no output").when(F.col("inconclusive"), "inconclusive").otherwise("ok")
+    why = F.when(F.col("mode") == "none", "no definition").when(F.col("a") == 0, "no output").when(F.col("inconclusive"), "inconclusive").otherwise("ok")
     return t.results.select("case_id", why.alias("reason"))
 
 
@@ -83,11 +83,6 @@ def _(t):
     return _grades(t)
 
 
-@query("gr_05_failing_gated", _GRADES + "SELECT run_id, aspect FROM g WHERE aspect = 'tools' AND severity = 'fail'")
-def _(t):
-    return _grades(t).where(F.array_contains(F.array(F.lit("tools")), F.col("aspect")) & (F.col("severity") == "fail")).select("run_id", "aspect")
-
-
 @query("fn_21_open_ranges", GRAPH + _HAS.format("count(*) >= 5"))
 def _(t):
     return t.tasks.groupBy("run_id").agg(ga.in_range(F.count("*"), 5, None).alias("passed"))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import statistics as st
-from .bindings import JUDGED, RESULTS
+from ..operators import grading as gr
+from .bindings import GRADED, JUDGED, RESULTS
 from .registry import query
 
 _T = ", ".join(str(x) for x in st.T_95)
@@ -20,23 +21,18 @@ def _good(t):
     return t.results.where("not inconclusive")
 
 
-@query("prj_05_metadata_defaults", RESULTS + "SELECT case_id, CASE WHEN lines > 5 THEN 'stress' ELSE purpose END AS purpose, gate FROM results")
+@query("prj_05_metadata_defaults", RESULTS + "SELECT case_id, purpose, realism, gate, mode, parked FROM results")
 def _(t):
-    return t.results.select("case_id", F.coalesce(F.when(F.col("lines") > 5, F.lit("stress")), F.col("purpose")).alias("purpose"), "gate")
+    return t.results.select("case_id", "labels.*")
 
 
-_SUITES = """, s AS (SELECT *, list_filter([CASE WHEN purpose = 'regression' THEN 'regression' END, CASE WHEN gate = 'release' THEN 'release' END,
-  CASE WHEN mode = 'paired' THEN 'paired' END, CASE WHEN mode = 'solo' AND gate = 'none' THEN 'parked' END], lambda x: x IS NOT NULL) AS suites FROM results)
+_SUITES = """, s AS (SELECT *, CASE WHEN parked THEN [] ELSE list_filter([CASE WHEN purpose = 'forecast' AND gate = 'blocker' THEN 'prod-gate' END, CASE WHEN purpose IN ('forecast', 'stress') THEN 'preprod-headroom' END,
+  CASE WHEN purpose = 'mechanism' THEN 'research' END, CASE WHEN purpose = 'mechanism' AND mode = 'flat-harness' THEN 'decomposition-research' END], lambda x: x IS NOT NULL) END AS suites FROM results)
 """
 
 
 def _suites(t):
-    col = F.col
-    kinds = [
-        F.when(col("purpose") == "regression", "regression"), F.when(col("gate") == "release", "release"),
-        F.when(col("mode") == "paired", "paired"), F.when((col("mode") == "solo") & (col("gate") == "none"), "parked"),
-    ]
-    return t.results.withColumn("suites", F.array_compact(F.array(*kinds)))
+    return t.results.withColumn("suites", gr.suites(F.col("labels")))
 
 
 @query("prj_06_suites", RESULTS + _SUITES + "SELECT case_id, array_to_string(suites, ',') AS suites FROM s")
@@ -44,9 +40,13 @@ def _(t):
     return _suites(t).select("case_id", F.array_join("suites", ",").alias("suites"))
 
 
-@query("flt_06_case_filter", RESULTS + _SUITES + "SELECT case_id FROM s WHERE category <> '5-LOW' AND list_has_any(suites, ['release', 'regression'])")
+@query("flt_06_case_filter", RESULTS + _SUITES + """SELECT 'suites' AS asked, case_id FROM s WHERE NOT parked AND list_has_any(suites, ['prod-gate', 'research'])
+UNION ALL SELECT 'categories', case_id FROM s WHERE category IN ('hitl', 'synthesis') UNION ALL SELECT 'nothing', case_id FROM s WHERE NOT parked""")
 def _(t):
-    return _suites(t).where((F.col("category") != "5-LOW") & F.arrays_overlap("suites", F.array(F.lit("release"), F.lit("regression")))).select("case_id")
+    """Three filters: by suite, by category, which takes parked cases too, and none."""
+    asked = {"suites": {"of_suites": ["prod-gate", "research"]}, "categories": {"categories": ["hitl", "synthesis"]}, "nothing": {}}
+    taken = [F.when(gr.selected(F.col("case_id"), F.col("category"), F.col("labels"), **how), name) for name, how in asked.items()]
+    return t.results.select(F.explode(F.array_compact(F.array(*taken))).alias("asked"), "case_id")
 
 
 @query("flt_10_conclusive", RESULTS + f"SELECT case_id, a, b FROM results WHERE {_GOOD} AND b > 0")
@@ -54,9 +54,9 @@ def _(t):
     return _good(t).where("b > 0").select("case_id", "a", "b")
 
 
-@query("jn_14_definition_fallback", RESULTS + "SELECT r.case_id, coalesce(d.gate, r.mode) AS gate FROM results r LEFT JOIN (SELECT * FROM defaults WHERE gate <> 'none') d USING (category)")
+@query("jn_14_definition_fallback", RESULTS + "SELECT r.case_id, coalesce(d.gate, r.mode) AS gate FROM results r LEFT JOIN (SELECT * FROM defaults WHERE mode <> 'none') d USING (category)")
 def _(t):
-    current = t.defaults.where("gate <> 'none'").select("category", F.col("gate").alias("current"))
+    current = t.defaults.where("mode <> 'none'").select("category", F.col("gate").alias("current"))
     return t.results.join(current, "category", "left").select("case_id", F.coalesce("current", "mode").alias("gate"))
 
 
@@ -236,10 +236,26 @@ def _(t):
     return t.judged.select("case_id", ((F.col("a1") > F.col("b1")) != (F.col("a2") > F.col("b2"))).alias("biased"))
 
 
-@query("gr_07_regrade", RESULTS + "SELECT case_id, a >= CASE gate WHEN 'release' THEN 50 ELSE 30 END AS a_pass, b >= CASE gate WHEN 'release' THEN 50 ELSE 30 END AS b_pass FROM results")
+@query("gr_05_failing_gated", GRADED + "SELECT case_id, 'f' || k AS step, aspect FROM bad")
 def _(t):
-    least = F.when(F.col("gate") == "release", 50).otherwise(30)
-    return t.results.select("case_id", (F.col("a") >= least).alias("a_pass"), (F.col("b") >= least).alias("b_pass"))
+    """Failing steps of aspects that the case gates: all of them, or those that its assertions and skills name."""
+    numbered = F.transform("grades", lambda g, i: F.struct(g["aspect"].alias("aspect"), g["severity"].alias("severity"), F.concat(F.lit("f"), (i + 1).cast("string")).alias("step")))
+    x = t.graded.select("case_id", F.inline(gr.failing(F.col("case"), numbered)))
+    return x.select("case_id", "step", "aspect")
+
+
+@query("gr_06_pass_fail", GRADED + "SELECT case_id, len(reasons) = 0 AS passed, CASE WHEN len(reasons) = 0 THEN 'All criteria met' ELSE array_to_string(reasons, '; ') END AS reason FROM said WHERE arm = 'harness'")
+def _(t):
+    return t.graded.select("case_id", gr.grade(F.col("case"), F.col("harness_matched"), F.col("harness_judge"), F.col("grades")).alias("x")).select("case_id", "x.*")
+
+
+@query("gr_07_regrade", GRADED + """, p AS (SELECT case_id, arm, len(reasons) = 0 AS passed, CASE WHEN len(reasons) = 0 THEN 'All criteria met' ELSE array_to_string(reasons, '; ') END AS reason FROM said)
+SELECT h.case_id, h.passed AS harness_pass, b.passed AS baseline_pass, h.reason AS harness_reason, b.reason AS baseline_reason FROM p h JOIN p b USING (case_id) WHERE h.arm = 'harness' AND b.arm = 'baseline'""")
+def _(t):
+    """Both arms graded anew by the case's criteria."""
+    output = {c: F.col(c) for c in ("harness_matched", "baseline_matched", "harness_judge", "baseline_judge", "grades")}
+    x = t.graded.select("case_id", gr.grade_both(F.col("case"), output).alias("x"))
+    return x.select("case_id", *[F.col(f"x.{arm}.{k}").alias(f"{arm}_{as_}") for k, as_ in (("passed", "pass"), ("reason", "reason")) for arm in ("harness", "baseline")])
 
 
 @query("gr_08_clean_win", RESULTS + "SELECT case_id, a > b AND outcome <> 'F' AS better_but_gated FROM results")

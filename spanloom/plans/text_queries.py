@@ -277,14 +277,6 @@ def _(t):
     return _matches(t).groupBy("doc_id").agg(F.when(F.bool_or(_lost()), "warn").otherwise("pass").alias("severity"))
 
 
-@query("gr_06_pass_fail", _FACTS + """, r AS (SELECT s.doc_id, CASE WHEN coalesce(hit / nullif(wt, 0), 0) < 0.1 THEN 'low score' END AS r1, CASE WHEN l.quality = 0 THEN 'low quality' END AS r2, CASE WHEN l.toxic = 1 THEN 'toxic' END AS r3
-FROM s JOIN labels l USING (doc_id)) SELECT doc_id, r1 IS NULL AND r2 IS NULL AND r3 IS NULL AS passed, concat_ws('; ', r1, r2, r3) AS reasons FROM r""")
-def _(t):
-    s = fx.factual_score(_matches(t), ["doc_id"]).join(t.table("labels"), "doc_id")
-    reasons = [F.when(F.col("score") < 0.1, "low score"), F.when(F.col("quality") == 0, "low quality"), F.when(F.col("toxic") == 1, "toxic")]
-    return fx.pass_fail(s, reasons).select("doc_id", "passed", "reasons")
-
-
 @query("ga_13_output_matches_artifact", r"""WITH d AS (SELECT doc_id, ' ' || array_to_string(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> ''), ' ') || ' ' AS a FROM documents),
 b AS (SELECT ' ' || array_to_string(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> ''), ' ') || ' ' AS b FROM benchmark)
 SELECT doc_id, bool_or(contains(a, b)) AS passed FROM d, b GROUP BY doc_id""")
