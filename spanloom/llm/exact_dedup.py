@@ -1,24 +1,27 @@
 """Exact dedup over an extendible-hash index on shared files.
 
-A text's key is a 64-bit hash of its characters without blanks. Equal texts combine before they are
-shuffled, so that a text that a third of the rows share reaches its bucket as one entry. The
-directory begins as one slot and doubles while a bucket holds more than ``capacity`` entries: the
+A text's key is a 64-bit hash of its characters without blanks. Equal texts combine within parts of the
+input, so that a text that a third of the rows share reaches its bucket as a few entries. The
+directory begins as one slot and doubles while a bucket holds more than ``capacity`` keys: the
 bucket splits on its next leading bit, a range of keys becomes two. It is a table, as is the
-index, so neither is bounded by one machine. The task that owns a bucket chains the entries of one
-key and compares their bytes along the chain. Documents find their entry through directory slot,
-bucket and key; where a chain has several entries, the bytes decide.
+index, so neither is bounded by one machine. The task that owns a bucket puts its entries into the chain of
+their key, comparing bytes along it; which document stays, and how many there are, comes from there. Documents
+find their entry through directory slot, bucket and key; where a chain has several entries, the bytes decide.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .shared import BLANK, discard, materialize
 
 #: Leading bits that a directory can look at.
 MOST_BITS = 60
+#: A text comes to its bucket as so many entries at most, besides those of missing ids.
+PARTS = 16
 
 
 def _prefix(h: Column, bits: int) -> Column:
@@ -37,8 +40,10 @@ def directory(entries: DataFrame, capacity: int) -> tuple[int, DataFrame]:
     leading bits are in. Slots that no entry of ``entries(h)`` falls into are left out; a bucket is
     named by its range: local depth and leading bits.
 
-    Splitting from one bucket on ends where each key is in the shallowest range that holds at most
-    ``capacity`` entries, so the ranges of all depths are counted, each entry once, in one pass.
+    It begins as one bucket. While buckets hold more than ``capacity`` entries, each of them splits on its
+    next bit, and the directory doubles with the first that gets deeper than it. Entries are counted once,
+    by more bits than will be needed; splitting deals out these counts. A split that more bits can't
+    bring about, of one key, ends.
     """
     total = entries.count()
     deepest = 0 if total <= capacity else min(MOST_BITS, (total // capacity).bit_length() + 2)
@@ -49,32 +54,53 @@ def directory(entries: DataFrame, capacity: int) -> tuple[int, DataFrame]:
             break
         discard(cells)
         deepest = min(MOST_BITS, deepest + max(2, deepest // 2))
-    depths = F.sequence(F.lit(0), F.lit(deepest))
-    ranges = cells.select("p", "n", F.explode(depths).alias("d")).withColumn("r", _cut("p", deepest, F.col("d")))
-    load = materialize(ranges.groupBy("d", "r").agg(F.sum("n").alias("load")), "op4-ranges")
-    fits = (F.col("load") <= capacity) | (F.col("d") == deepest)
-    own = ranges.join(load, ["d", "r"]).where(fits).groupBy("p").agg(F.min(F.struct("d", "r")).alias("b"))
-    own = materialize(own.select("p", F.col("b.d").alias("local_depth"), F.col("b.r").alias("r")), "op4-own")
-    depth = own.agg(F.max("local_depth").alias("d")).first()["d"] or 0
-    bucket = F.concat_ws(":", F.col("local_depth").cast("string"), F.col("r").cast("string"))
-    # A bucket that is shallower than the directory has several slots.
-    slots = own.select(_cut("p", deepest, F.lit(depth)).alias("slot"), bucket.alias("bucket"), "local_depth").distinct()
+    depth, unsettled, settled, used = 0, cells, [], []
+    while True:
+        bucket = F.shiftright("p", deepest - depth)
+        load = materialize(unsettled.groupBy(bucket.alias("r")).agg(F.sum("n").alias("load")), "op4-buckets")
+        over = load.where(F.col("load") > capacity) if depth < deepest else load.limit(0)
+        settled.append(load.join(over, "r", "left_anti").select(F.lit(depth).alias("local_depth"), "r"))
+        used += [load]
+        if over.isEmpty():
+            break
+        # The full buckets split: their entries go by one more bit.
+        unsettled = materialize(unsettled.withColumn("r", bucket).join(over.select("r"), "r", "left_semi").select("p", "n"), "op4-split")
+        used += [unsettled]
+        depth += 1
+    name = F.concat_ws(":", F.col("local_depth").cast("string"), F.col("r").cast("string"))
+    # A bucket that is shallower than the directory has several slots: those that its entries fall into.
+    owned = [cells.join(b, F.shiftright("p", deepest - d) == F.col("r")).select("p", name.alias("bucket"), "local_depth") for d, b in enumerate(settled)]
+    slots = reduce(DataFrame.union, owned).select(F.shiftright("p", deepest - depth).alias("slot"), "bucket", "local_depth").distinct()
     slots = materialize(slots, "op4-directory")
-    discard(cells, load, own)
+    discard(cells, *used)
     return depth, slots
 
 
-def _cut(p: str, bits: int, to: Column) -> Column:
-    """The leading ``to`` of the ``bits`` bits in column ``p``."""
-    return F.call_function("shiftright", F.col(p), (F.lit(bits) - to).cast("int"))
+def _same(a: Column, b: Column) -> Column:
+    """Whether two texts of one key are the same text: by their bytes."""
+    return a == b
+
+
+def _link(chain: Column, x: Column) -> Column:
+    """A bucket's chain of one key with entry ``x`` put in: added to the entry of the same text, which then keeps the
+    better of both documents, or hung on at the end."""
+
+    def merged(e: Column) -> Column:
+        better = F.when(x["ord"] > e["ord"], x).otherwise(e)
+        one = F.struct(e["norm"].alias("norm"), (e["group_size"] + x["group_size"]).alias("group_size"), *[better[c].alias(c) for c in ("ord", "keep_id", "keep_n")])
+        return F.when(_same(e["norm"], x["norm"]), one).otherwise(e)
+
+    there = F.exists(chain, lambda e: _same(e["norm"], x["norm"]))
+    return F.when(there, F.transform(chain, merged)).otherwise(F.array_append(chain, x))
 
 
 def build_index(docs: DataFrame, capacity: int = 1_024, key_bits: int = 64) -> tuple[DataFrame, DataFrame, int]:
     """Write directory and index of ``docs``; returns the index, the directory and its depth.
 
-    The index has one row per distinct normalised text: ``bucket, h, chain`` (place among the texts of
-    one key), ``chained`` (how many there are), ``norm`` (only if several), ``text_sha256, keep_id,
-    keep_n`` and ``group_size``; a bucket's entries are together in one file.
+    Each part of the input brings a text as one entry, however often it has it; what is one text over all
+    parts is for the owner of its bucket to find. The index has one row per distinct normalised text:
+    ``bucket, h, chain`` (place among the texts of one key), ``chained`` (how many there are), ``norm`` (only if
+    several), ``text_sha256, keep_id, keep_n`` and ``group_size``; a bucket's entries are together in one file.
     """
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     norm = F.regexp_replace("text", BLANK, "")
@@ -83,19 +109,22 @@ def build_index(docs: DataFrame, capacity: int = 1_024, key_bits: int = 64) -> t
         F.col("doc_id").cast("decimal(20,0)"), F.lit("9223372036854775807").cast("decimal(20,0)")
     )
     d = d.select("doc_id", norm.alias("norm"), order.cast("decimal(38,0)").alias("ord"), F.length("text").alias("n"))
-    entries = d.groupBy(hash_key(F.col("norm"), key_bits).alias("h"), "norm").agg(
-        F.count("*").alias("group_size"), F.max_by("doc_id", "ord").alias("keep_id"), F.max("n").alias("keep_n")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).alias("part")
+    entries = d.groupBy(hash_key(F.col("norm"), key_bits).alias("h"), part, "norm").agg(
+        F.count("*").alias("group_size"), F.max("ord").alias("ord"), F.max_by("doc_id", "ord").alias("keep_id"), F.max("n").alias("keep_n")
     )
-    entries = materialize(entries, "op4-entries")
-    depth, slots = directory(entries.select("h"), capacity)
+    entries = materialize(entries.drop("part"), "op4-entries")
+    depth, slots = directory(entries.select("h").distinct(), capacity)
     placed = entries.withColumn("slot", _prefix(F.col("h"), depth)).join(slots.select("slot", "bucket"), "slot").drop("slot")
-    # The owner of a bucket: chains its keys, tells the texts of a chain apart by their bytes.
-    key = Window.partitionBy("bucket", "h")
-    chain = F.dense_rank().over(key.orderBy("norm")) - 1
-    owned = placed.repartition("bucket").withColumn("chain", chain).withColumn("chained", F.max("chain").over(key) + 1)
-    index = owned.select(
-        "bucket", "h", "chain", "chained", F.when(F.col("chained") > 1, F.col("norm")).alias("norm"),
-        F.sha2("norm", 256).alias("text_sha256"), "keep_id", "keep_n", "group_size",
+    # The owner of a bucket puts its entries into the chains of their keys.
+    entry = F.struct("norm", "group_size", "ord", "keep_id", "keep_n")
+    owned = placed.repartition("bucket").groupBy("bucket", "h").agg(F.array_sort(F.collect_list(entry)).alias("x"))
+    none = F.filter("x", lambda _: F.lit(False))
+    owned = owned.select("bucket", "h", F.aggregate("x", none, _link).alias("chain"))
+    index = owned.select("bucket", "h", F.size("chain").alias("chained"), F.posexplode("chain").alias("chain", "e"))
+    index = index.select(
+        "bucket", "h", "chain", "chained", F.when(F.col("chained") > 1, F.col("e.norm")).alias("norm"),
+        F.sha2("e.norm", 256).alias("text_sha256"), "e.keep_id", "e.keep_n", "e.group_size",
     )
     index = materialize(index.sortWithinPartitions("bucket", "h", "chain"), "op4-index")
     discard(entries)

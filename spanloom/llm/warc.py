@@ -134,7 +134,7 @@ def write_archives(
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
         ctx = TaskContext.get()
-        stem = f"{base}/part-{ctx.partitionId():06d}-{ctx.taskAttemptId()}"
+        stem = f"part-{ctx.partitionId():06d}-{ctx.taskAttemptId()}"
         z = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(learned))
         info = _record("warcinfo", [("WARC-Record-ID", "<urn:info:0>"), ("WARC-Date", date)], b"format: WARC/1.1\r\n")
         rows = (
@@ -145,16 +145,17 @@ def write_archives(
         done = []
         record = next(rows, None)
         while record is not None:
-            path, count = f"{stem}-{len(done)}.warc.zst", 0
+            name, count = f"{stem}-{len(done)}.warc.zst", 0
             # The frames are compressed here: the stream must not guess from the name and do it again.
-            with fs.open_output_stream(path, compression=None) as out:
+            with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
                 size = out.write(struct.pack("<II", MAGIC, len(learned)) + learned)
                 size += out.write(z.compress(info))
                 while record is not None and (not count or size < file_bytes):
                     size += out.write(z.compress(record))
                     count += 1
                     record = next(rows, None)
-            done.append((path, count, size))
+            # With the folder's scheme and host, by which a reader finds the same store.
+            done.append((f"{folder}/{name}", count, size))
         yield pd.DataFrame(done, columns=["path", "records", "bytes"])
 
     return materialize(pages.select("page_id", "url", "payload", "digest", "refers_to").mapInPandas(write, MANIFEST), "op2-manifest")
@@ -202,7 +203,7 @@ def read_archives(manifest: DataFrame, payloads: bool = True, batch_bytes: int =
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in RECORD.split(", ")]
         for path in (p for pdf in batches for p in pdf["path"]):
-            fs, base = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+            fs, base = pafs.FileSystem.from_uri(path)
             dictionary, f = open_archive(fs, base)
             with f:
                 z = zstandard.ZstdDecompressor(dict_data=dictionary)

@@ -95,6 +95,15 @@ def test_index_is_by_bucket(spark, docs):
     assert "bucket" in plan and "slot" in plan
 
 
+def test_the_owner_of_a_bucket_decides(spark, docs, monkeypatch):
+    """What stays and how many there are comes from the chains: one that takes texts of a key for the same gives
+    another answer."""
+    right = sorted(map(tuple, exact_dedup.exact_dedup(docs, key_bits=3).collect()), key=str)
+    monkeypatch.setattr(exact_dedup, "_same", lambda a, b: F.lit(True))
+    wrong = sorted(map(tuple, exact_dedup.exact_dedup(docs, key_bits=3).collect()), key=str)
+    assert max(r[2] for r in wrong) > max(r[2] for r in right)
+
+
 def test_directory_doubles(spark):
     entries = spark.range(5000).select(F.xxhash64("id").alias("h"))
     depth, slots = exact_dedup.directory(entries, 300)
@@ -136,6 +145,15 @@ def test_archives_of_many_files_have_a_dictionary(spark, sf_dir):
     assert back.join(pages, (back.page_id == pages.page_id) & (back.payload.cast("string") == pages.html)).count() == pages.count()
 
 
+def test_archives_are_read_by_the_address_they_were_written_to(spark, tmp_path, sf_dir, monkeypatch):
+    """Scheme and host stay in the manifest."""
+    monkeypatch.setattr(warc, "new_path", lambda spark, name: f"file://{tmp_path}/{name}")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    manifest = warc.write_archives(warc.with_revisits(pages), b"")
+    assert all(f.path.startswith(f"file://{tmp_path}/") for f in manifest.collect())
+    assert warc.read_archives(manifest).where("intact").count() == pages.count()
+
+
 def frames(raw):
     """The places in the bytes of an archive where a frame begins, its dictionary's apart."""
     import zstandard
@@ -542,6 +560,72 @@ def test_license_spans_are_verified(spark):
     assert good.pop(1) == [(3, 22, 1.0)] and good.pop(2) == [(1, 20, 0.95)] and sorted(good.pop(5)) == [(0, 19, 1.0), (22, 41, 1.0)] and not good
 
 
+@pytest.mark.parametrize("at", range(0, len(license_scan.NOTICES), 9))
+def test_each_notice_is_one_license(spark, at):
+    """Its own text gives its label only; with its telling words changed it gives none."""
+    notices = license_scan.NOTICES[at : at + 9]
+    rows = [(k, f"some words before. {text}. And others after it") for k, (_, text) in enumerate(notices)]
+    other = {"4.0": "9.0", "3.0": "9.0", "2.0": "9.0", "1.0": "9.0", "1.1": "9.1", "2.1": "9.1", "1.2": "9.2", "1.3": "9.3", "3.01": "9.01", "version 3": "version 9", "version 2": "version 9", "Version 2": "Version 9", "v1.0": "v9.0"}
+    for k, (_, text) in enumerate(notices):
+        for a in sorted(other, key=len, reverse=True):
+            if text.endswith(a):
+                rows.append((100 + k, f"some words before. {text.removesuffix(a)}{other[a]}. And others after it"))
+                break
+    got = {r.doc_id: set(r.labels.split(",")) - {"", *r.base_labels.split(",")} for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (label, _) in enumerate(notices):
+        assert got[k] == {label} - {"mit"} or got[k] == {label}, (k, label)
+    assert not any(v for k, v in got.items() if k >= 100)
+
+
+def test_a_license_that_is_not_listed(spark):
+    texts = ["Licensed under CC BY-NC-XX 4.0.", "Licensed under the Foo Public License 2.0", "Licensed under CC BY 2.5", "Licensed under CC BY-NC 4.0. Licensed under CC BY-ND 4.0", "it is licensed under a license"]
+    got = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.labels for r in got} == {0: "", 1: "", 2: "", 3: "cc-by-nc-4.0,cc-by-nd-4.0", 4: ""}
+    assert all(r.score < 1 for r in got if r.doc_id != 3)
+
+
+def plain_licenses(text):
+    """Labels and score without a join: every template against every place, diagonals by hand."""
+    from difflib import SequenceMatcher
+
+    w = words(text)
+    base = [x for p, x in license_scan.BASE for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+    spans, best = [], 0.0
+    for tid, (label, t, asked) in enumerate(license_scan.TEMPLATES):
+        t = words(t)
+        votes = defaultdict(set)
+        for j in range(len(t) - 2):
+            for k in range(len(w) - 2):
+                if w[k : k + 3] == t[j : j + 3]:
+                    votes[k - j].add(j)
+        runs = []
+        for d in sorted(votes):
+            if not runs or d - runs[-1][-1] > 2:
+                runs.append([])
+            runs[-1].append(d)
+        for run in runs:
+            share = len(set().union(*(votes[d] for d in run))) / (len(t) - 2)
+            d = min(run, key=lambda x: (-len(votes[x]), x))
+            if share >= 0.4:
+                begin = max(d - 8, 0)
+                m = [b for b in SequenceMatcher(None, w[begin : d + len(t) + 8], t, autojunk=False).get_matching_blocks() if b.size]
+                a, z = m[0].a, m[-1].a + m[-1].size
+                share = 2 * sum(b.size for b in m) / (z - a + len(t))
+                if share >= asked:
+                    spans.append(((share, len(t), -tid, begin + a), range(begin + a, begin + z), label))
+            best = max(best, share)
+    won = {x for r, at, x in spans if not any(set(at) & set(o) and q_ > r for q_, o, _ in spans)}
+    return ",".join(sorted(won | set(base))), 1.0 if base else best
+
+
+def test_licenses_of_given_documents(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: (r.labels, round(r.score, 9)) for r in q.queries()["op9_license_scan"](spark, sf_dir).collect()}
+    want = {r.doc_id: plain_licenses(r.text) for r in d.collect()}
+    assert got == {k: (a, round(b, 9)) for k, (a, b) in want.items()}
+    assert any(a for a, _ in want.values())
+
+
 def test_license_base_matches_sql(spark, duck, sf_dir):
     cols = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"]
     got = q.queries()["op9_license_scan"](spark, sf_dir).select(cols).collect()
