@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+# The characters that count as blanks in prompts and texts.
+BLANK = r"[\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+
 # File types by extension.
 MIME = {
     "json": "application/json", "md": "text/markdown", "csv": "text/csv", "html": "text/html", "htm": "text/html",
@@ -30,7 +33,7 @@ def content_hash(text: Column) -> Column:
 
 def normalize_prompt(text: Column) -> Column:
     """Lower case, blanks collapsed, trimmed, closing punctuation off."""
-    one = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    one = F.trim(F.regexp_replace(F.lower(text), BLANK + "+", " "))
     return F.regexp_replace(one, r"[?.!,;:]+$", "")
 
 
@@ -42,7 +45,7 @@ def parse_approval(text: Column) -> Column:
 
 
 def normalize_blanks(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, BLANK + "+", " "))
 
 
 def preview(text: Column, most: int = 160) -> Column:
@@ -137,10 +140,10 @@ SQL_FORMS = {
     "estimate_tokens": f"(t STRING) RETURNS BIGINT RETURN CASE WHEN length(t) = 0 THEN 0 ELSE CAST(ceil(octet_length(encode(t, 'UTF-16BE')) / 2"
     f" / CASE WHEN length({_HEAD}) >= 0.3 * length(substring(t, 1, 512)) THEN 3 ELSE 4 END) AS BIGINT) END",
     "content_hash": "(t STRING) RETURNS STRING RETURN sha2(t, 256)",
-    "normalize_prompt": r"(t STRING) RETURNS STRING RETURN regexp_replace(trim(regexp_replace(lower(t), r'\s+', ' ')), '[?.!,;:]+$', '')",
+    "normalize_prompt": r"(t STRING) RETURNS STRING RETURN regexp_replace(trim(regexp_replace(lower(t), r'" + BLANK + r"+', ' ')), '[?.!,;:]+$', '')",
     "parse_approval": "(t STRING) RETURNS STRING RETURN CASE WHEN contains(lower(t), 'approve') OR contains(lower(t), 'yes') OR lower(t) = 'y' THEN 'approved'"
     " WHEN contains(lower(t), 'reject') OR contains(lower(t), 'no') OR lower(t) = 'n' THEN 'rejected' ELSE 'unclear' END",
-    "normalize_blanks": r"(t STRING) RETURNS STRING RETURN trim(regexp_replace(t, r'\s+', ' '))",
+    "normalize_blanks": r"(t STRING) RETURNS STRING RETURN trim(regexp_replace(t, r'" + BLANK + r"+', ' '))",
     "preview": "(t STRING) RETURNS STRING RETURN CASE WHEN length(t) <= 160 THEN t ELSE concat(substring(t, 1, 157), '...') END",
     "base_name": "(p STRING) RETURNS STRING RETURN element_at(split(p, '/'), -1)",
     "mime_type": f"(p STRING) RETURNS STRING RETURN coalesce(try_element_at({_MIME_SQL}, CASE WHEN contains(element_at(split(p, '/'), -1), '.')"

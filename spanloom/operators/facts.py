@@ -1,51 +1,172 @@
-"""Facts in outputs: matching, scores, pass and fail."""
+"""Facts in outputs: phrases and patterns found in a whole corpus, matching by case, scores."""
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import BLANK
 
-#: So many phrases, of about a hundred words at most, are broadcast.
-BROADCAST_PHRASES = 20_000
+#: A list of hashes and numbers of up to so many bytes is broadcast.
+BROADCAST_BYTES = 10_000_000
+#: Trigrams are told apart by so many bits when those that no pattern asks for are sorted out.
+SIEVE_BITS = 16
+#: Patterns that no text can be spared go to the texts in blocks of so many.
+BLOCK = 64
 
 
 def tokens(text: Column) -> Column:
     """Lower-cased words of a text, between blanks."""
-    return F.array_remove(F.split(F.lower(text), r"\s+"), "")
+    return F.array_remove(F.split(F.lower(text), BLANK + "+"), "")
 
 
-def quoting(outputs: DataFrame, phrases: DataFrame, k: int = 5) -> DataFrame:
+def quoting(outputs: DataFrame, phrases: DataFrame, k: int = 5, write: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> DataFrame:
     """``(output_id, phrase_id)`` for each output whose words hold all words of a phrase in a row.
 
     ``outputs(output_id, text)``, ``phrases(phrase_id, words)``. A phrase is found by its rarest ``k`` words in
-    a row, counted over all phrases; words around them are compared next. Only places that share them
-    meet, so neither side is looked at pair by pair. Phrases of fewer than ``k`` words are found by what they
-    have; empty ones by nothing.
+    a row, counted over all phrases. Only hashes and numbers of places meet; where they do, the words of the output
+    and of the phrase are fetched and compared. So neither side is looked at pair by pair. Phrases of fewer than
+    ``k`` words are found by what they have; empty ones by nothing. ``write`` keeps what is used several times.
     """
     p = phrases.where(F.size("words") > 0).select("phrase_id", "words", F.least(F.size("words"), F.lit(k)).alias("n"))
-    at = p.select("*", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("n"))).alias("o"))
-    at = at.withColumn("gram", F.slice("words", F.col("o") + 1, F.col("n")))
+    at = p.select("phrase_id", "n", "words", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("n"))).alias("o"))
+    at = at.select("phrase_id", "n", "o", F.slice("words", F.col("o") + 1, F.col("n")).alias("gram"))
     often = at.groupBy("gram").agg(F.count("*").alias("df"))
-    first = at.join(often, "gram").groupBy("phrase_id").agg(F.min_by(F.struct("words", "gram", "o"), F.struct("df", "gram", "o")).alias("x"))
-    first = first.select("phrase_id", "x.words", "x.o", F.size("x.gram").alias("n"), F.xxhash64("x.gram").alias("h"))
+    first = at.join(often, "gram").groupBy("phrase_id").agg(F.min_by(F.struct("n", "o", F.xxhash64("gram").alias("h")), F.struct("df", "gram", "o")).alias("x"))
+    first = write(first.select("phrase_id", "x.*"))
     counts = {r.n: r["count"] for r in first.groupBy("n").count().collect()}
-    lengths = sorted(counts)
     w = outputs.select("output_id", tokens(F.col("text")).alias("w"))
-    found = None
-    for n in lengths:
+    hits = None
+    for n in sorted(counts):
         gram = F.xxhash64(*[F.get("w", F.col("p") + j) for j in range(n)])
-        places = w.where(F.size("w") >= n).select("output_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("p")).withColumn("h", gram)
-        begin = F.col("p") - F.col("o")
-        stretch = F.when(begin >= 0, F.slice("w", begin + 1, F.size("words")))
-        own = first.where(F.col("n") == n)
+        places = w.where(F.size("w") >= n).select("output_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("p"))
+        places = places.select("output_id", "p", gram.alias("h"))
+        own = first.where(F.col("n") == n).select("h", "o", "phrase_id")
         # Few phrases go to the texts; of many, both sides are shuffled. The texts' places never are the small side.
-        own = F.broadcast(own) if counts[n] <= BROADCAST_PHRASES else own.hint("merge")
-        hits = places.join(own, "h").where(stretch == F.col("words")).select("output_id", "phrase_id")
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        return outputs.select("output_id").crossJoin(phrases.select("phrase_id").limit(0))
-    return found.distinct()
+        own = F.broadcast(own) if 32 * counts[n] <= BROADCAST_BYTES else own.hint("merge")
+        met = places.join(own, "h").select("output_id", "phrase_id", (F.col("p") - F.col("o")).alias("begin")).where("begin >= 0")
+        hits = met if hits is None else hits.unionByName(met)
+    if hits is None:
+        return outputs.select("output_id").limit(0).join(phrases.select("phrase_id").limit(0), F.lit(True))
+    met = hits.join(w, "output_id").join(phrases.select("phrase_id", "words"), "phrase_id")
+    return met.where(F.slice("w", F.col("begin") + 1, F.size("words")) == F.col("words")).select("output_id", "phrase_id").distinct()
+
+
+def needed_literals(pattern: str | None) -> list[str] | None:
+    """Literals of three characters or more of which any text that the pattern matches, in any case, has one; null if
+    that can't be told. The best such set of a sequence will do; alternatives need one each."""
+    from re import _constants as c
+    from re import _parser as parser
+
+    def of(items) -> list[str] | None:
+        found, run = [], ""
+        for op, arg in [*items, (None, None)]:
+            if op is c.LITERAL:
+                run += chr(arg)
+                continue
+            if len(run) >= 3:
+                found.append([run])
+            run = ""
+            if op is c.SUBPATTERN:
+                found.append(of(arg[3]))
+            elif op is c.ATOMIC_GROUP:
+                found.append(of(arg))
+            elif op in (c.MAX_REPEAT, c.MIN_REPEAT, c.POSSESSIVE_REPEAT) and arg[0] > 0:
+                found.append(of(arg[2]))
+            elif op is c.BRANCH:
+                each = [of(x) for x in arg[1]]
+                found.append(None if None in each else [x for e in each for x in e])
+        return max((f for f in found if f), key=lambda f: (min(map(len, f)), -len(f)), default=None)
+
+    if pattern is None or r"\Q" in pattern or "&&" in pattern:
+        return None
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("error")  # what Python may read otherwise than Java
+            tree = parser.parse(pattern)
+    except Exception:  # not a pattern to Python: every text is tried
+        return None
+    return None if tree.state.flags & 64 else of(tree)  # with (?x) blanks are none
+
+
+def _literals(canonical: str, pattern: str, several: str) -> Column:
+    """For each fact, for each of its patterns of which that can be told, the literals it needs."""
+
+    def of(canonical, pattern, several):
+        if several is not None and len(several):
+            return [x for x in map(needed_literals, several) if x] or None
+        if pattern is not None:
+            found = needed_literals(pattern)
+            return [found] if found else None
+        return [[canonical]] if canonical and len(canonical) >= 3 else None
+
+    def each(canonical: pd.Series, pattern: pd.Series, several: pd.Series) -> pd.Series:
+        return pd.Series([of(*x) for x in zip(canonical, pattern, several)], dtype=object)
+
+    return F.pandas_udf(each, "array<array<string>>")(canonical, pattern, several)
+
+
+def _folded(text: Column) -> Column:
+    """The characters of a text, folded one by one, so that what a pattern takes as equal without regard to case is
+    equal here."""
+    return F.transform(F.filter(F.split(text, ""), lambda x: x != ""), lambda x: F.lower(F.concat(F.upper(x), F.lit(""))))
+
+
+def _trigrams(chars: str) -> Column:
+    """Hashes of the trigrams of a column of characters, each once. It takes a column, so that these are made once."""
+    at = F.sequence(F.lit(0), F.greatest(F.size(chars) - 3, F.lit(0)))
+    return F.when(F.size(chars) >= 3, F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2)))))
+
+
+def _found(text: Column) -> Column:
+    """Whether the fact of the row is in ``text``: all of its patterns, or its one, or its canonical words."""
+    every = F.forall("required_patterns", lambda p: F.rlike(text, F.concat(F.lit("(?iuU)"), p)))
+    one = F.rlike(text, F.concat(F.lit("(?iuU)"), F.col("pattern")))
+    plain = F.contains(F.lower(text), F.lower("canonical"))
+    return F.coalesce(F.when(F.size("required_patterns") > 0, every).when(F.col("pattern").isNotNull(), one).otherwise(plain), F.lit(False))
+
+
+def search(outputs: DataFrame, facts: DataFrame, write: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> DataFrame:
+    """``(output_id, fact_id)`` for each fact found in any output, whichever case either belongs to.
+
+    ``outputs(output_id, text)``; ``facts(fact_id, canonical, pattern, required_patterns)`` as in ``match_facts``. A
+    fact waits at one trigram of each literal of which a matching text must have one: that which fewest facts share.
+    Texts meet it there, through their own trigrams, of which a sieve of 8 KB has sorted out
+    what no fact waits for; then the patterns are tried. Facts of which no literal is known are tried on every text, in blocks.
+    """
+    f = facts.select("fact_id", "canonical", "pattern", "required_patterns")
+    f = write(f.withColumn("sets", _literals("canonical", "pattern", "required_patterns")))
+    at = f.where("sets is not null").select("fact_id", F.posexplode("sets").alias("s", "literals"))
+    at = at.select("fact_id", "s", F.posexplode("literals").alias("l", "literal")).select("fact_id", "s", "l", _folded(F.col("literal")).alias("c"))
+    at = at.select("fact_id", "s", "l", F.explode(_trigrams("c")).alias("h"))
+    often = at.groupBy("h").agg(F.countDistinct("fact_id").alias("df"))
+    # Of each literal its rarest trigram, of each fact the set whose literals are rarest.
+    one = at.join(often, "h").groupBy("fact_id", "s", "l").agg(F.min(F.struct("df", "h")).alias("x"))
+    sets = one.groupBy("fact_id", "s").agg(F.sum("x.df").alias("df"), F.collect_set("x.h").alias("hs")).groupBy("fact_id").agg(F.min_by("hs", F.struct("df", "s")).alias("hs"))
+    waits = write(sets.select("fact_id", F.explode("hs").alias("h")))
+    bits = F.pmod("h", F.lit(1 << SIEVE_BITS))
+    sieve = [0] * (1 << SIEVE_BITS >> 6)
+    for r in waits.select((bits / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bits, F.lit(64)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect():
+        sieve[r.w] = r.b
+    words = F.array(*[F.lit(x).cast("long") for x in sieve]) if any(sieve) else None
+    texts = outputs.select("output_id", "text")
+    met = None
+    if words is not None:
+        bit = lambda h: F.pmod(h, F.lit(1 << SIEVE_BITS))
+        wanted = F.filter(_trigrams("c"), lambda h: F.call_function("shiftrightunsigned", F.get(words, (bit(h) / 64).cast("int")), F.pmod(bit(h), F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1)
+        met = texts.select("output_id", _folded(F.col("text")).alias("c")).select("output_id", F.explode(wanted).alias("h")).join(waits, "h").select("output_id", "fact_id").distinct()
+        met = met.join(texts, "output_id").join(f.drop("sets"), "fact_id").where(_found(F.col("text"))).select("output_id", "fact_id")
+    loose = f.where("sets is null").drop("sets")
+    n = loose.count()
+    if n:
+        blocks = loose.groupBy(F.pmod(F.xxhash64("fact_id"), F.lit(-(-n // BLOCK))).alias("block")).agg(F.collect_list(F.struct("fact_id", "canonical", "pattern", "required_patterns")).alias("facts"))
+        tried = texts.join(blocks, F.lit(True)).select("output_id", "text", F.inline("facts")).where(_found(F.col("text"))).select("output_id", "fact_id")
+        met = tried if met is None else met.union(tried)
+    return met if met is not None else texts.select("output_id").limit(0).join(f.select("fact_id").limit(0), F.lit(True))
 
 
 def match_facts(outputs: DataFrame, facts: DataFrame) -> DataFrame:

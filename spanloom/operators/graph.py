@@ -39,26 +39,52 @@ def consumption(tasks: DataFrame, produces: DataFrame, consumes: DataFrame) -> D
     return used.join(made, ["run_id", "artifact_id"]).where("consumer <> producer").select("run_id", "consumer", "producer", "artifact_id")
 
 
-def reachable(edges: DataFrame, roots: DataFrame, depth: int, materialize=DataFrame.persist, kinds: list[str] | None = None, both: bool = False) -> DataFrame:
-    """Nodes within ``depth`` hops of ``roots(run_id, node)`` along ``edges(src, dst)``, with the least
-    number of hops. Each level joins the frontier and drops what was seen, so cycles end.
+# The kinds of edges that lead from a run to all that belongs to it.
+RUN_EDGES = ("instantiates", "uses", "contains", "spawns", "invokes", "has_operation", "produces", "consumes", "has_input", "has_compaction")
+#: Columns of an edge: its kind, and the kind and number of the nodes it leads from and to.
+EDGE = ("kind", "src_kind", "src", "dst_kind", "dst")
+_NODE = ["node_kind", "node"]
+
+
+def write_adjacency(edges: DataFrame, folder: str, name: str, both: bool = False, buckets: int | None = None) -> DataFrame:
+    """Write ``edges`` as a table bucketed and sorted by the node they lead from, so that a search shuffles
+    what it looks up and never the edges. With ``both`` each edge is there in both directions."""
+    spark = edges.sparkSession
+    e = edges.select(*EDGE)
+    if both:
+        turned = e.select("kind", F.col("dst_kind").alias("src_kind"), F.col("dst").alias("src"), F.col("src_kind").alias("dst_kind"), F.col("src").alias("dst"))
+        e = e.union(turned)
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # One file for each bucket, not one for each bucket and task.
+    e.repartition(n, "src_kind", "src").write.bucketBy(n, "src_kind", "src").sortBy("src_kind", "src").option("path", f"{folder}/{name}").saveAsTable(name)
+    return spark.table(name)
+
 
-    ``kinds`` takes only edges of these kinds (``edges`` then has ``kind``), ``both`` follows them in both
-    directions. ``materialize`` is called with the edges and each frontier, which several levels use;
-    a checkpoint writes them, so that a lost executor doesn't cost the levels before.
+def reachable(adjacency: DataFrame, roots: DataFrame, depth: int, folder: str, kinds: list[str] | tuple[str, ...] | None = None, both: bool = False) -> DataFrame:
+    """``run_id, node_kind, node, hops``: nodes within ``depth`` hops of ``roots(run_id, node_kind, node)`` over the
+    edges of ``write_adjacency``, with the least number of hops. ``kinds`` follows edges of these kinds only.
+
+    Each level looks its frontier up in the edges, takes nodes once, drops those of earlier levels, so cycles end, and is
+    written below ``folder``, which cuts the lineage. Over edges in ``both`` directions a step leads back to the
+    level itself or the one before it, so only these are looked at.
     """
-    edges = (edges if kinds is None else edges.where(F.col("kind").isin(kinds))).select("src", "dst")
-    if both:
-        edges = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    edges = materialize(edges)
-    frontier = materialize(roots.select("run_id", "node", F.lit(0).alias("hops")).distinct())
-    seen = frontier
-    for hop in range(1, depth + 1):
-        step = frontier.join(edges, frontier["node"] == edges["src"]).select("run_id", F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen.select("run_id", "node"), ["run_id", "node"], "left_anti").withColumn("hops", F.lit(hop))
-        frontier = materialize(frontier)
-        seen = seen.unionByName(frontier)
-    return seen
+    spark = roots.sparkSession
+    e = adjacency if kinds is None else adjacency.where(F.col("kind").isin(list(kinds)))
+    e = e.select("src_kind", "src", "dst_kind", "dst")
+    levels: list[DataFrame] = []
+
+    def put(frontier: DataFrame) -> None:
+        path = f"{folder}/level-{len(levels)}"
+        frontier.write.parquet(path)
+        levels.append(spark.read.schema(frontier.schema).parquet(path))
+
+    put(roots.select("run_id", *_NODE).distinct())
+    for _ in range(depth):
+        last = levels[-1]
+        step = last.join(e, (last["node_kind"] == e["src_kind"]) & (last["node"] == e["src"])).select("run_id", F.col("dst_kind").alias("node_kind"), F.col("dst").alias("node"))
+        before = reduce(DataFrame.union, levels[-2:] if both else levels)
+        put(step.distinct().join(before, ["run_id", *_NODE], "left_anti"))
+    return reduce(DataFrame.union, [x.withColumn("hops", F.lit(k)) for k, x in enumerate(levels)])
 
 
 def nested_lineage(runs: DataFrame, tasks: DataFrame, operations: DataFrame, produces: DataFrame) -> DataFrame:

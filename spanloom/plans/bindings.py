@@ -60,6 +60,12 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def write(self, df: DataFrame) -> DataFrame:
+        """``df`` as a table in the shared folder: made once, used often, and there still when an executor is lost."""
+        path = shared_folder(self)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     @cached_property
     def definitions(self) -> DataFrame:
         return self.table("nation").select(F.col("n_nationkey").cast("long").alias("definition_id"), F.col("n_name").alias("name"))

@@ -197,51 +197,71 @@ _FLOW = """, links AS (SELECT DISTINCT t.run_id, c.task_id AS consumer, p.task_i
 """
 
 
-# Nodes by kind and number; edges of five kinds. Parents of artifacts are operations, of those tasks, of those runs.
-_EDGES = """, edges AS (SELECT 'contains' AS kind, 'run:' || run_id AS src, 'task:' || task_id AS dst, run_id FROM tasks
-  UNION ALL SELECT 'has_operation', 'task:' || task_id, 'op:' || op_id, run_id FROM operations JOIN tasks USING (task_id)
-  UNION ALL SELECT 'produces', 'op:' || op_id, run_id || ':artifact:' || artifact_id, run_id FROM produces JOIN tasks USING (task_id)
-  UNION ALL SELECT 'consumes', 'task:' || task_id, run_id || ':artifact:' || artifact_id, run_id FROM consumes JOIN tasks USING (task_id)
-  UNION ALL SELECT 'instantiates', 'run:' || run_id, 'definition:' || definition_id, run_id FROM runs),
-both_ways AS (SELECT src, dst FROM edges WHERE kind IN ('produces', 'has_operation', 'contains') UNION SELECT dst, src FROM edges WHERE kind IN ('produces', 'has_operation', 'contains')),
-forward AS (SELECT DISTINCT src, dst FROM edges WHERE kind IN ('contains', 'has_operation', 'produces', 'consumes'))
+# Edges of the ten kinds between nodes by kind and number. Artifacts belong to a run: what several runs have is a node
+# in each. A nation's suppliers are the skills that its definition uses; a task invokes the skill of its first
+# operation; a tool is spawned by the task before it; what a run consumes and never made came in as input; a system message
+# stands for the summary of a compaction.
+RUN, DEFINITION, SKILL, TASK, OPERATION, ARTIFACT, COMPACTION = range(7)
+_ART = "run_id * 2147483648 + artifact_id"
+_EDGES = f""", of_run AS (SELECT task_id, run_id FROM tasks),
+made AS (SELECT DISTINCT run_id, artifact_id FROM produces JOIN of_run USING (task_id)), used AS (SELECT DISTINCT run_id, artifact_id FROM consumes JOIN of_run USING (task_id)),
+edges AS (SELECT 'instantiates' AS kind, {RUN} AS src_kind, run_id AS src, {DEFINITION} AS dst_kind, definition_id AS dst FROM runs
+  UNION ALL SELECT 'uses', {DEFINITION}, s_nationkey, {SKILL}, s_suppkey FROM supplier
+  UNION ALL SELECT 'contains', {RUN}, run_id, {TASK}, task_id FROM tasks
+  UNION ALL SELECT 'spawns', {TASK}, p.task_id, {TASK}, t.task_id FROM tasks t JOIN tasks p ON p.run_id = t.run_id AND p.seq = t.seq - 1 WHERE t.role = 'tool'
+  UNION ALL SELECT 'invokes', {TASK}, task_id, {SKILL}, skill_id FROM operations WHERE op_no = 1
+  UNION ALL SELECT 'has_operation', {TASK}, task_id, {OPERATION}, op_id FROM operations
+  UNION ALL SELECT 'produces', {OPERATION}, op_id, {ARTIFACT}, {_ART} FROM produces JOIN of_run USING (task_id)
+  UNION ALL SELECT 'consumes', {TASK}, task_id, {ARTIFACT}, {_ART} FROM consumes JOIN of_run USING (task_id)
+  UNION ALL SELECT 'has_input', {RUN}, run_id, {ARTIFACT}, {_ART} FROM used ANTI JOIN made USING (run_id, artifact_id)
+  UNION ALL SELECT 'has_compaction', {RUN}, conv_id, {COMPACTION}, conv_id * 1000000 + turn FROM conversations WHERE role = 'system'),
+up AS (SELECT * FROM edges WHERE kind IN ('produces', 'has_operation', 'contains')), both_ways AS (SELECT src_kind, src, dst_kind, dst FROM up UNION SELECT dst_kind, dst, src_kind, src FROM up)
 """
 
 
 def _edges(t):
-    key = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
-    artifact = F.concat(F.col("run_id").cast("string"), F.lit(":artifact:"), F.col("artifact_id").cast("string"))
+    edge = lambda df, kind, a, src, b, dst: df.select(F.lit(kind).alias("kind"), F.lit(a).alias("src_kind"), F.col(src).cast("long").alias("src"), F.lit(b).alias("dst_kind"), dst.cast("long").alias("dst"))
     of = t.tasks.select("task_id", "run_id")
-    edge = lambda df, kind, src, dst: df.select(F.lit(kind).alias("kind"), src.alias("src"), dst.alias("dst"))
+    made, used = t.produces.select("op_id", "task_id", "artifact_id").join(of, "task_id"), t.consumes.join(of, "task_id")
+    came = used.select("run_id", "artifact_id").distinct().join(made, ["run_id", "artifact_id"], "left_anti")
+    parent = t.tasks.select("run_id", (F.col("seq") + 1).alias("seq"), F.col("task_id").alias("parent"))
+    spawned = t.tasks.where("role = 'tool'").select("run_id", "seq", "task_id").join(parent, ["run_id", "seq"])
+    artifact, task = F.expr(_ART), F.col("task_id")
     parts = [
-        edge(t.tasks, "contains", key("run", "run_id"), key("task", "task_id")), edge(t.operations, "has_operation", key("task", "task_id"), key("op", "op_id")),
-        edge(t.produces.join(of, "task_id"), "produces", key("op", "op_id"), artifact), edge(t.consumes.join(of, "task_id"), "consumes", key("task", "task_id"), artifact),
-        edge(t.runs, "instantiates", key("run", "run_id"), key("definition", "definition_id")),
+        edge(t.runs, "instantiates", RUN, "run_id", DEFINITION, F.col("definition_id")),
+        edge(t.table("supplier"), "uses", DEFINITION, "s_nationkey", SKILL, F.col("s_suppkey")),
+        edge(t.tasks, "contains", RUN, "run_id", TASK, task), edge(spawned, "spawns", TASK, "parent", TASK, task),
+        edge(t.operations.where("op_no = 1"), "invokes", TASK, "task_id", SKILL, F.col("skill_id")),
+        edge(t.operations, "has_operation", TASK, "task_id", OPERATION, F.col("op_id")),
+        edge(made, "produces", OPERATION, "op_id", ARTIFACT, artifact), edge(used, "consumes", TASK, "task_id", ARTIFACT, artifact),
+        edge(came, "has_input", RUN, "run_id", ARTIFACT, artifact),
+        edge(t.messages.where("role = 'system'"), "has_compaction", RUN, "run_id", COMPACTION, F.expr("run_id * 1000000 + turn")),
     ]
     return reduce(lambda a, b: a.union(b), parts)
 
 
-def _checkpoint(t):
-    """Writes to the shared checkpoint folder."""
-    if not t.spark.sparkContext.getCheckpointDir():
-        t.spark.sparkContext.setCheckpointDir(shared_folder(t))
-    return lambda df: df.checkpoint()
-
-
-@query("jn_06_bounded_subgraph", "WITH RECURSIVE " + GRAPH[5:] + _EDGES + """, down AS (SELECT run_id, 'run:' || run_id AS node, 0 AS hops FROM runs
-UNION SELECT r.run_id, l.dst, r.hops + 1 FROM down r JOIN forward l ON l.src = r.node WHERE r.hops < 5),
-around AS (SELECT run_id, run_id || ':artifact:' || artifact_id AS node, 0 AS hops FROM (SELECT t.run_id, min(artifact_id) AS artifact_id FROM produces JOIN tasks t USING (task_id) GROUP BY t.run_id)
-UNION SELECT r.run_id, l.dst, r.hops + 1 FROM around r JOIN both_ways l ON l.src = r.node WHERE r.hops < 4)
-SELECT 'down' AS search, run_id, node, CAST(min(hops) AS INTEGER) AS hops FROM down GROUP BY run_id, node UNION ALL SELECT 'around', run_id, node, CAST(min(hops) AS INTEGER) FROM around GROUP BY run_id, node""")
-def _(t):
-    """What each run leads to within five hops, and what lies within four hops, both ways, of each run's first artifact."""
-    edges, write = _edges(t), _checkpoint(t)
-    roots = t.runs.select("run_id", F.concat(F.lit("run:"), F.col("run_id").cast("string")).alias("node"))
-    down = g.reachable(edges, roots, 5, write, ["contains", "has_operation", "produces", "consumes"])
+@query("jn_06_bounded_subgraph", "WITH RECURSIVE " + GRAPH[5:] + _EDGES + f""", down AS (SELECT run_id, {RUN} AS node_kind, run_id AS node, 0 AS hops FROM runs
+UNION SELECT r.run_id, l.dst_kind, l.dst, r.hops + 1 FROM down r JOIN edges l ON l.src_kind = r.node_kind AND l.src = r.node WHERE r.hops < 5),
+around AS (SELECT run_id, {ARTIFACT} AS node_kind, min({_ART}) AS node, 0 AS hops FROM made GROUP BY run_id
+UNION SELECT r.run_id, l.dst_kind, l.dst, r.hops + 1 FROM around r JOIN both_ways l ON l.src_kind = r.node_kind AND l.src = r.node WHERE r.hops < 4)
+SELECT 'down' AS search, run_id, node_kind, node, CAST(min(hops) AS INTEGER) AS hops FROM down GROUP BY ALL UNION ALL SELECT 'around', run_id, node_kind, node, CAST(min(hops) AS INTEGER) FROM around GROUP BY ALL""")
+def _(t):
+    """What each run leads to over all kinds of edges within five hops, and what lies within four hops, both ways, of
+    each run's first artifact, over what made it."""
+    folder, edges = shared_folder(t), _edges(t)
+    name = "edges_" + folder.rpartition("-")[2]
+    forward = g.write_adjacency(edges, folder, name)
+    roots = t.runs.select("run_id", F.lit(RUN).alias("node_kind"), F.col("run_id").cast("long").alias("node"))
+    down = g.reachable(forward, roots, 5, f"{folder}/down", g.RUN_EDGES)
+    up = ["produces", "has_operation", "contains"]
+    either = g.write_adjacency(forward.where(F.col("kind").isin(up)), folder, f"{name}_both", both=True)
     first = t.produces.join(t.tasks.select("task_id", "run_id"), "task_id").groupBy("run_id").agg(F.min("artifact_id").alias("artifact_id"))
-    first = first.select("run_id", F.concat(F.col("run_id").cast("string"), F.lit(":artifact:"), F.col("artifact_id").cast("string")).alias("node"))
-    around = g.reachable(edges, first, 4, write, ["produces", "has_operation", "contains"], both=True)
-    return down.select(F.lit("down").alias("search"), "run_id", "node", "hops").union(around.select(F.lit("around").alias("search"), "run_id", "node", "hops"))
+    first = first.select("run_id", F.lit(ARTIFACT).alias("node_kind"), F.expr(_ART).alias("node"))
+    around = g.reachable(either, first, 4, f"{folder}/around", both=True)
+    for table in (name, f"{name}_both"):
+        t.spark.sql(f"DROP TABLE {table}")
+    columns = ["run_id", "node_kind", "node", "hops"]
+    return down.select(F.lit("down").alias("search"), *columns).union(around.select(F.lit("around").alias("search"), *columns))
 
 
 @query("jn_07_optional_parent", GRAPH + "SELECT t.task_id, p.task_id AS parent FROM tasks t LEFT JOIN tasks p ON p.run_id = t.run_id AND p.seq = t.seq - 1 AND t.role = 'tool'")

@@ -131,7 +131,7 @@ def _(t):
     return _replay(t, flows.all_work, slow_seconds=600)
 
 
-@query("udf_01_function_registry", MESSAGES + r"SELECT run_id, turn, sha256(regexp_replace(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), '[?.!,;:]+$', '')) AS key FROM messages")
+@query("udf_01_function_registry", MESSAGES + rf"SELECT run_id, turn, sha256(regexp_replace(trim(regexp_replace(lower(text), '{sc.BLANK}+', ' ', 'g')), '[?.!,;:]+$', '')) AS key FROM messages")
 def _(t):
     sc.register(t.spark)
     t.messages.createOrReplaceTempView("trace_messages")

@@ -26,7 +26,7 @@ def _(t):
     return t.table("documents").select("doc_id", sc.content_hash(F.col("text")).alias("hash"))
 
 
-@query("fn_03_normalize_prompt", MESSAGES + r"SELECT run_id, turn, regexp_replace(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), '[?.!,;:]+$', '') AS prompt FROM messages")
+@query("fn_03_normalize_prompt", MESSAGES + rf"SELECT run_id, turn, regexp_replace(trim(regexp_replace(lower(text), '{sc.BLANK}+', ' ', 'g')), '[?.!,;:]+$', '') AS prompt FROM messages")
 def _(t):
     return t.messages.select("run_id", "turn", sc.normalize_prompt(F.col("text")).alias("prompt"))
 
@@ -42,7 +42,7 @@ def _(t):
     return t.messages.select("run_id", "turn", F.concat("role", F.lit("\n\n"), "text").alias("prompt"))
 
 
-@query("fn_07_normalize_blanks", r"SELECT doc_id, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS h FROM documents")
+@query("fn_07_normalize_blanks", rf"SELECT doc_id, sha256(trim(regexp_replace(text, '{sc.BLANK}+', ' ', 'g'))) AS h FROM documents")
 def _(t):
     return t.table("documents").select("doc_id", F.sha2(sc.normalize_blanks(F.col("text")), 256).alias("h"))
 
@@ -173,7 +173,7 @@ l AS (SELECT DISTINCT doc_id, case_id FROM o, f WHERE contains(text, ' ' || cano
 m AS (SELECT o.doc_id, o.lang, o.whole, o.w, o.text, f.*, contains(o.text, ' ' || canonical || ' ') AS matched FROM l JOIN o USING (doc_id) JOIN f USING (case_id)),
 s AS (SELECT doc_id, CAST(sum(weight) FILTER (present) AS DOUBLE) AS wt, CAST(coalesce(sum(weight) FILTER (present AND matched), 0) AS DOUBLE) AS hit,
   CAST(sum(weight) AS DOUBLE) AS wa, CAST(coalesce(sum(weight) FILTER (matched = present), 0) AS DOUBLE) AS hita FROM m GROUP BY doc_id)
-"""
+""".replace(r"\s+", sc.BLANK + "+")
 
 
 def _case_facts(t):
@@ -190,7 +190,7 @@ def _case_facts(t):
 def _matches(t):
     facts = _case_facts(t)
     docs = t.table("documents")
-    links = fx.quoting(docs.select(F.col("doc_id").alias("output_id"), "text"), facts.select(F.col("fact_id").alias("phrase_id"), "words"))
+    links = fx.quoting(docs.select(F.col("doc_id").alias("output_id"), "text"), facts.select(F.col("fact_id").alias("phrase_id"), "words"), write=t.write)
     cases = links.select(F.col("output_id").alias("doc_id"), F.floor(F.col("phrase_id") / 10_000).alias("case_id")).distinct()
     flat = F.concat(F.lit(" "), F.array_join(fx.tokens(F.col("text")), " "), F.lit(" "))
     outputs = cases.join(docs.select("doc_id", "lang", F.col("text").alias("whole"), flat.alias("text")), "doc_id")
@@ -202,6 +202,33 @@ def _(t):
     return _matches(t).select("doc_id", "fact_id", "matched")
 
 
+# Patterns over the whole corpus: of each benchmark item, three words on from its eighth as alternatives of a pattern, two
+# pairs that must both be there, a plain phrase, and its number, which has no literal to be found by.
+_PATTERNS = (r"""WITH bw AS (SELECT item_id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: regexp_full_match(x, '[a-z]{2,}')) AS w FROM benchmark),
+p AS (SELECT item_id * 10 AS fact_id, [w[8] || '\s+(?:' || w[9] || '|' || w[10] || ')'] AS need FROM bw WHERE len(w) >= 12
+  UNION ALL SELECT item_id * 10 + 1, [w[1] || '[^a-z]{1,3}' || w[2], w[3] || '.{1,3}' || w[4]] FROM bw WHERE len(w) >= 12
+  UNION ALL SELECT item_id * 10 + 2, ['\Q' || w[5] || ' ' || w[6] || '\E'] FROM bw WHERE len(w) >= 12
+  UNION ALL SELECT item_id * 10 + 3, ['[' || item_id % 10 || '][0-7]\.'] FROM bw WHERE len(w) >= 12)
+SELECT doc_id AS output_id, fact_id FROM documents, p WHERE text IS NOT NULL AND len(list_filter(need, lambda x: NOT regexp_matches(text, '(?i)' || x))) = 0""").replace(r"\s+", sc.BLANK + "+")
+
+
+@query("jn_15_pattern_search", _PATTERNS)
+def _(t):
+    """Facts by pattern, by several patterns and by words in all documents, whichever item they are of."""
+    w = F.filter(fx.tokens(F.col("text")), lambda x: F.rlike(x, F.lit("^[a-z]{2,}$")))
+    b = t.table("benchmark").select("item_id", w.alias("w")).where(F.size("w") >= 12)
+    at, none, no_list = lambda i: F.get("w", F.lit(i - 1)), F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    blank = F.lit(sc.BLANK + "+(?:")
+    kinds = [
+        (none, F.concat(at(8), blank, at(9), F.lit("|"), at(10), F.lit(")")), no_list),
+        (none, none, F.array(F.concat(at(1), F.lit("[^a-z]{1,3}"), at(2)), F.concat(at(3), F.lit(".{1,3}"), at(4)))),
+        (F.concat(at(5), F.lit(" "), at(6)), none, no_list),
+        (none, F.concat(F.lit("["), (F.col("item_id") % 10).cast("string"), F.lit(r"][0-7]\.")), no_list),
+    ]
+    rows = F.array(*[F.struct((F.col("item_id") * 10 + k).alias("fact_id"), c.alias("canonical"), p.alias("pattern"), r.alias("required_patterns")) for k, (c, p, r) in enumerate(kinds)])
+    return fx.search(t.table("documents").select(F.col("doc_id").alias("output_id"), "text"), b.select(F.inline(rows)), t.write)
+
+
 @query("agg_03_factual_score", _FACTS + "SELECT doc_id, round(coalesce(hit / nullif(wt, 0), 0), 4) AS score FROM s")
 def _(t):
     return fx.factual_score(_matches(t), ["doc_id"]).select("doc_id", F.round("score", 4).alias("score"))
@@ -258,7 +285,7 @@ def _(t):
 
 # A summary of an output stands for what a compaction wrote: every second of its lines.
 _LOST = r""", sm AS (SELECT *, ' ' || array_to_string(list_filter(string_split_regex(lower(array_to_string(list_filter(string_split(whole, chr(10)), lambda x, i: i % 2 = 1), chr(10))), '\s+'), lambda x: x <> ''), ' ') || ' ' AS summary FROM m)
-"""
+""".replace(r"\s+", sc.BLANK + "+")
 
 
 def _lost():
@@ -279,12 +306,12 @@ def _(t):
 
 @query("ga_13_output_matches_artifact", r"""WITH d AS (SELECT doc_id, ' ' || array_to_string(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> ''), ' ') || ' ' AS a FROM documents),
 b AS (SELECT ' ' || array_to_string(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> ''), ' ') || ' ' AS b FROM benchmark)
-SELECT doc_id, bool_or(contains(a, b)) AS passed FROM d, b GROUP BY doc_id""")
+SELECT doc_id, bool_or(contains(a, b)) AS passed FROM d, b GROUP BY doc_id""".replace(r"\s+", sc.BLANK + "+"))
 def _(t):
     """Documents that hold a whole benchmark item, word by word."""
     docs = t.table("documents").select(F.col("doc_id").alias("output_id"), "text")
     items = t.table("benchmark").select(F.col("item_id").alias("phrase_id"), fx.tokens(F.col("text")).alias("words"))
-    good = fx.quoting(docs, items).select(F.col("output_id").alias("doc_id"), F.lit(True).alias("found")).distinct()
+    good = fx.quoting(docs, items, write=t.write).select(F.col("output_id").alias("doc_id"), F.lit(True).alias("found")).distinct()
     return docs.select(F.col("output_id").alias("doc_id")).join(good, "doc_id", "left").select("doc_id", F.coalesce("found", F.lit(False)).alias("passed"))
 
 

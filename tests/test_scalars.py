@@ -1,12 +1,13 @@
+import random
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import scalars as sc
 from spanloom.operators import facts as fx
 from spanloom.operators import graph as g
-from spanloom.plans.bindings import Tables
 from spanloom.sources import documents as d
-from spanloom.streaming import flows
 
 
 def one(spark, value, f, kind="string"):
@@ -72,12 +73,31 @@ def test_reports_that_do_not_parse_are_left_out(spark, tmp_path):
     assert [(r.case_id, r.file) for r in got] == [(1, "a.json")] and got[0].modified is not None
 
 
-def test_search_by_kind_and_both_ways(spark):
-    edges = spark.createDataFrame([("a", 1, 2), ("b", 2, 3), ("a", 4, 2), ("c", 4, 5)], "kind string, src long, dst long")
-    roots = spark.createDataFrame([(7, 1)], "run_id long, node long")
-    find = lambda **how: {r.node: r.hops for r in g.reachable(edges, roots, 3, **how).collect()}
-    assert find() == {1: 0, 2: 1, 3: 2} and find(kinds=["a"]) == {1: 0, 2: 1}
-    assert find(kinds=["a", "b"], both=True) == {1: 0, 2: 1, 3: 2, 4: 2} and find(both=True) == {1: 0, 2: 1, 3: 2, 4: 2, 5: 3}
+def adjacency(spark, folder, edges, **how):
+    e = spark.createDataFrame([(k, 0, a, 0, b) for k, a, b in edges], "kind string, src_kind int, src long, dst_kind int, dst long")
+    return g.write_adjacency(e, str(folder), f"edges_{uuid.uuid4().hex}", buckets=3, **how)
+
+
+def test_search_by_kind_and_both_ways(spark, tmp_path):
+    edges = [("a", 1, 2), ("b", 2, 3), ("a", 4, 2), ("c", 4, 5)]
+    roots = spark.createDataFrame([(7, 0, 1)], "run_id long, node_kind int, node long")
+    one_way, either = adjacency(spark, tmp_path, edges), adjacency(spark, tmp_path, edges, both=True)
+
+    def find(e, **how):
+        return {r.node: r.hops for r in g.reachable(e, roots, 3, str(tmp_path / uuid.uuid4().hex), **how).collect()}
+
+    assert find(one_way) == {1: 0, 2: 1, 3: 2} and find(one_way, kinds=["a"]) == {1: 0, 2: 1}
+    assert find(either, kinds=["a", "b"], both=True) == {1: 0, 2: 1, 3: 2, 4: 2} and find(either, both=True) == {1: 0, 2: 1, 3: 2, 4: 2, 5: 3}
+
+
+def test_levels_do_not_shuffle_the_edges(spark, tmp_path):
+    """The side of the edges comes from its buckets; only the frontier is dealt out."""
+    e = adjacency(spark, tmp_path, [("a", k, k + 1) for k in range(50)])
+    roots = spark.range(40).selectExpr("id AS run_id", "CAST(id % 1 AS INT) AS node_kind", "id AS node")
+    step = roots.join(e.hint("merge"), (roots.node_kind == e.src_kind) & (roots.node == e.src))
+    plan = step._jdf.queryExecution().toString().split("Physical Plan")[1]
+    scan = plan.index("FileScan")
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") <= 1 and "Exchange" not in plan[plan.rindex("Sort", 0, scan) : scan]
 
 
 def test_facts_by_pattern_and_by_several(spark):
@@ -90,10 +110,43 @@ def test_facts_by_pattern_and_by_several(spark):
     assert fx.per_fact_score(m, ["doc_id"]).first().score == 0.8
 
 
-def test_search_ends_on_cycles(spark):
-    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "src long, dst long")
-    roots = spark.createDataFrame([(7, 1)], "run_id long, node long")
-    assert {r.node: r.hops for r in g.reachable(edges, roots, 9).collect()} == {1: 0, 2: 1, 3: 2, 4: 3}
+def test_search_ends_on_cycles(spark, tmp_path):
+    e = adjacency(spark, tmp_path, [("a", 1, 2), ("a", 2, 3), ("a", 3, 1), ("a", 3, 4)])
+    roots = spark.createDataFrame([(7, 0, 1)], "run_id long, node_kind int, node long")
+    assert {r.node: r.hops for r in g.reachable(e, roots, 9, str(tmp_path / "levels")).collect()} == {1: 0, 2: 1, 3: 2, 4: 3}
+
+
+@pytest.mark.parametrize(
+    ("pattern", "want"),
+    [
+        ("abc", ["abc"]), ("ab", None), ("abc|def", ["abc", "def"]), ("abc|d", None), ("(?:abcd|xyz)+q", ["abcd", "xyz"]), ("(?:abcd)?", None), ("ab(?:cde)", ["abcde"]), ("ab(cde)", ["cde"]),
+        (r"\d{3}", None), (r"total:\s+\d+ eur", ["total:"]), ("[abc]def", ["def"]), ("a(?=bcd)", None), ("(", None), (r"\Qabc\E", None), ("x(abc){2,}", ["abc"]), ("[a&&[b]]cdef", None), ("(?x)a b c d", None),
+    ],
+)
+def test_literals_that_a_pattern_needs(pattern, want):
+    assert fx.needed_literals(pattern) == want
+
+
+def test_patterns_over_a_corpus_equal_a_plain_loop(spark):
+    rng = random.Random(15)
+    words = ["Straße", "STRASSE", "Kelvin", "\u212aelvin", "ΟΔΟΣ", "οδος", "total", "12 eur", "Total:\u00a07 EUR", "abc", "ABD", "ſtone", "stone", "x"]
+    texts = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(0, 8)))) for k in range(120)] + [(500, None), (501, "")]
+    rows = [
+        (1, "straße", None, None), (2, None, "kelvin", None), (3, None, "οδοσ", None), (4, None, r"total:?\s+(?:12|7) eur", None), (5, None, None, ["stone", "ab[cd]"]), (6, None, r"\d+", None),
+        (7, None, "abc|abd", None), (8, "no such", None, None), (9, None, None, None), (10, None, None, ["x", "kelvin|stone"]), (11, "x", None, None), (12, None, r"\Qabc\E", None),
+    ]
+    out = spark.createDataFrame(texts, "output_id long, text string")
+    facts = spark.createDataFrame(rows, "fact_id long, canonical string, pattern string, required_patterns array<string>")
+    got = sorted(map(tuple, fx.search(out, facts).collect()))
+    want = sorted(map(tuple, out.crossJoin(facts).where(fx._found(F.col("text"))).select("output_id", "fact_id").collect()))
+    assert got == want and len({f for _, f in got}) >= 9
+
+
+def test_blanks_of_any_alphabet_collapse(spark):
+    texts = ["  Is\u00a0it\u2003\u3000OK ?! ", "a\ufeffb\u2028c", "plain"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [tuple(r) for r in df.select(sc.normalize_prompt(F.col("t")), sc.normalize_blanks(F.col("t")), fx.tokens(F.col("t"))).collect()]
+    assert got == [("is it ok ", "Is it OK ?!", ["is", "it", "ok", "?!"]), ("a b c", "a b c", ["a", "b", "c"]), ("plain", "plain", ["plain"])]
 
 
 def test_upsert_fills_blanks_only(spark):
@@ -101,26 +154,3 @@ def test_upsert_fills_blanks_only(spark):
     new = spark.createDataFrame([(1, "filled", True), (2, "other", True), (3, "new", False)], "id long, about string, flag boolean")
     got = sorted(map(tuple, d.upsert(old, new, ["id"], ["about"], ["flag"]).collect()))
     assert got == [(1, "filled", True), (2, "kept", True), (3, "new", False)]
-
-
-def test_approvals_and_slow_work_match_plain_folds(spark, sf_dir, tmp_path):
-    events = sorted(Tables(spark, sf_dir).events.collect(), key=lambda e: (e.ts, e.event_id))
-    resolved, late, pending, began = [], [], {}, {}
-    for e in events:
-        now, r = int(e.ts.timestamp()), e.run_id
-        if r in pending and now - pending[r][1] > 3600:
-            resolved.append((r, pending.pop(r)[0], "timeout"))
-        if e.kind == "purchase" and r in pending:
-            resolved.append((r, pending.pop(r)[0], "resolved"))
-        elif e.kind == "signup" and r not in pending:
-            pending[r] = (e.event_id, now)
-        if e.kind == "view" and r not in began:
-            began[r] = (e.event_id, now)
-        elif e.kind == "click" and r in began:
-            start, at = began.pop(r)
-            if now - at > 600:
-                late.append((r, start, e.event_id))
-    got = flows.replay(flows.approvals(flows.read_events(spark, sf_dir), 3600), str(tmp_path / "a"))
-    assert sorted(map(tuple, got.collect())) == sorted(resolved)
-    got = flows.replay(flows.reconcile(flows.read_events(spark, sf_dir), 600), str(tmp_path / "b"))
-    assert sorted(map(tuple, got.collect())) == sorted(late)
