@@ -333,13 +333,6 @@ def _(t):
     return g.lineage_metrics(t.tasks, t.operations)
 
 
-@query("agg_18_severity_totals", GRAPH + "SELECT run_id, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'running') AS running FROM tasks GROUP BY run_id")
-def _(t):
-    kinds = ["completed", "failed", "running"]
-    p = t.tasks.groupBy("run_id").pivot("status", kinds).agg(F.count("status"))
-    return p.select("run_id", *[F.coalesce(k, F.lit(0)).alias(k) for k in kinds])
-
-
 @query("agg_34_reliability", GRAPH + """, d AS (SELECT run_id, max(seq) AS depth, bool_and(status = 'completed') AS whole, bool_or(status = 'completed') AS any_done FROM tasks GROUP BY run_id)
 SELECT depth, count(*) AS runs, count(*) FILTER (any_done) AS structural, count(*) FILTER (whole) AS end_to_end FROM d GROUP BY depth""")
 def _(t):

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..operators import assertions as ga
+from ..operators import graph as g
+from ..operators import grading as gr
 from .bindings import EVENTS, GRAPH, MESSAGES, RESULTS
-from .graph_queries import _HAS
+from .graph_queries import _FLOW, _HAS, _USED, _used
 from .registry import query
 
 _UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
@@ -66,21 +68,100 @@ def _(t):
     return t.results.groupBy("run", "category").agg(by(0).alias("first_order"), by(1).alias("second_order"))
 
 
-_GRADES = GRAPH + """, a AS (SELECT run_id, count(*) FILTER (role = 'hitl' AND status = 'completed') > 0 AS x1, count(*) FILTER (role = 'tool') BETWEEN 2 AND 4 AS x2 FROM tasks GROUP BY run_id),
-g AS (SELECT run_id, 'approval' AS aspect, CASE WHEN x1 THEN 'pass' ELSE 'fail' END AS severity FROM a UNION ALL SELECT run_id, 'tools', CASE WHEN x2 THEN 'pass' ELSE 'fail' END FROM a)
+# A specification of all thirteen types. A run's output is what its last operation made, its error the name of its root,
+# a system message the summary of a compaction, an even supplier the skill "even".
+_NO = {k: None for k in ("role", "name", "status", "op_type", "role2", "name2", "status2", "op_type2", "kind", "least", "most", "run_status", "pattern", "mode", "skill", "version")}
+_SPEC = [
+    {"type": "task_exists", "role": "hitl", "status": "completed"},
+    {"type": "task_absent", "name": "1-URGENT", "status": "failed"},
+    {"type": "task_order", "role": "subagent", "role2": "tool"},
+    {"type": "task_count", "role": "tool", "least": 2, "most": 4},
+    {"type": "run_status", "run_status": "completed"},
+    {"type": "artifact_content", "role": "subagent", "pattern": "steel|[0-9]5$"},
+    {"type": "consumes", "role": "tool", "role2": "subagent"},
+    {"type": "consumes_absent", "role": "tool", "role2": "subagent"},
+    {"type": "operation_count", "kind": "llm_call", "least": 10},
+    {"type": "compaction_count", "least": 1, "most": 3},
+    {"type": "run_error", "pattern": "urgent|high"},
+    {"type": "skill_invoked", "role": "hitl", "skill": "even"},
+    {"type": "run_output_matches_artifact", "role": "tool", "mode": "exact"},
+    {"type": "run_output_matches_artifact", "op_type": "llm_call", "mode": "contains"},
+    {"type": "task_absent", "role": "root", "op_type": "hitl_response"},
+    {"type": "operation_count", "role": "nobody", "most": 0},
+    {"type": "consumes_absent", "role": "nobody", "role2": "subagent"},
+    {"type": "skill_invoked", "role": "nobody"},
+]
+_RUN_TASKS = "(SELECT count(*) FROM tasks t WHERE t.run_id = r.run_id AND {0})"
+_LINKED = "EXISTS (SELECT 1 FROM links l JOIN tasks c ON c.task_id = l.consumer JOIN tasks p ON p.task_id = l.producer WHERE l.run_id = r.run_id AND c.role = '{0}' AND p.role = 'subagent')"
+_HAS_OP = "EXISTS (SELECT 1 FROM operations o WHERE o.task_id = t.task_id AND o.type = '{0}')"
+_SAME = "coalesce((SELECT bool_or({1}) FROM tasks t JOIN produces p USING (task_id) JOIN artifacts a USING (artifact_id) WHERE t.run_id = r.run_id AND {0}), false)"
+_SEQ = "(SELECT min(seq) FROM tasks t WHERE t.run_id = r.run_id AND t.role = '{0}')"
+_ASSERTED = [
+    _RUN_TASKS.format("role = 'hitl' AND status = 'completed'") + " > 0",
+    _RUN_TASKS.format("name = '1-URGENT' AND status = 'failed'") + " = 0",
+    f"coalesce({_SEQ.format('subagent')} < {_SEQ.format('tool')}, false)",
+    _RUN_TASKS.format("role = 'tool'") + " BETWEEN 2 AND 4",
+    _RUN_TASKS.format("role = 'root' AND status = 'completed'") + " > 0",
+    _SAME.format("t.role = 'subagent'", "regexp_matches(a.content, '(?i)steel|[0-9]5$')"),
+    _LINKED.format("tool"),
+    "NOT " + _LINKED.format("tool"),
+    "(SELECT count(*) FROM tasks t JOIN operations o USING (task_id) WHERE t.run_id = r.run_id AND o.type = 'llm_call') >= 10",
+    "(SELECT count(*) FROM conversations c WHERE c.conv_id = r.run_id AND c.role = 'system') BETWEEN 1 AND 3",
+    _RUN_TASKS.format("role = 'root' AND status = 'failed' AND regexp_matches(name, '(?i)urgent|high')") + " > 0",
+    _RUN_TASKS.format("role = 'hitl'") + " > 0 AND " + _RUN_TASKS.format("role = 'hitl' AND NOT EXISTS (SELECT 1 FROM operations o WHERE o.task_id = t.task_id AND o.skill_id % 2 = 0)") + " = 0",
+    _SAME.format("t.role = 'tool'", "r.output = a.content"),
+    _SAME.format(_HAS_OP.format("llm_call"), "contains(r.output, a.content)"),
+    _RUN_TASKS.format("role = 'root' AND " + _HAS_OP.format("hitl_response")) + " = 0",
+    "true",
+    "true",
+    "false",
+]
+_ASSERTIONS = GRAPH + _FLOW + """, last AS (SELECT t.run_id, arg_max(a.content, p.op_id) AS output FROM tasks t JOIN produces p USING (task_id) JOIN artifacts a USING (artifact_id) GROUP BY t.run_id),
+rr AS (SELECT run_id, output FROM runs LEFT JOIN last USING (run_id)),
+asserted AS (""" + " UNION ALL ".join(f"SELECT run_id, {i} AS idx, '{s['type']}' AS type, {sql} AS passed FROM rr r" for i, (s, sql) in enumerate(zip(_SPEC, _ASSERTED))) + ")\n"
+
+
+def _asserted(t):
+    specs = t.spark.createDataFrame([tuple((_NO | s | {"idx": i})[c.split()[0]] for c in ga.SPEC.split(", ")) for i, s in enumerate(_SPEC)], ga.SPEC)
+    of = t.tasks.select("task_id", "run_id", "name", "role")
+    made = t.produces.join(t.artifacts.select("artifact_id", "content"), "artifact_id")
+    last = made.join(of, "task_id").groupBy("run_id").agg(F.max_by("content", "op_id").alias("output"))
+    runs = t.runs.select("run_id").join(last, "run_id", "left").join(of.where("role = 'root'").select("run_id", F.col("name").alias("error")), "run_id", "left")
+    invoked = t.operations.select("task_id", F.when(F.col("skill_id") % 2 == 0, "even").otherwise("odd").alias("skill"), F.lit("1.0").alias("version"))
+    return ga.evaluate(specs, t.tasks, t.operations, made.select("task_id", "content"), g.consumption(t.tasks, t.produces, t.consumes), invoked, t.messages.where("role = 'system'").select("run_id"), runs)
+
+
+@query("udf_04_assertion_table", _ASSERTIONS + "SELECT run_id, idx, type, passed FROM asserted")
+def _(t):
+    """Assertions as rows, of all types, each evaluated for every run in one pass."""
+    return _asserted(t)
+
+
+_GRADES = _ASSERTIONS + _USED + """, retried AS (SELECT t.run_id, count(*) AS ops, count(*) FILTER (o.status = 'succeeded') AS ok FROM tasks t JOIN operations o USING (task_id) GROUP BY t.run_id, t.task_id),
+grades AS (SELECT run_id, 'graph_assertion' AS aspect, CASE WHEN passed THEN 'pass' ELSE 'fail' END AS severity FROM asserted
+  UNION ALL SELECT run_id, 'skill_decomposition', CASE WHEN len(list_filter(required, lambda x: NOT list_contains(u, x))) + len(list_filter(forbidden, lambda x: list_contains(u, x))) > 0 THEN 'fail' ELSE 'pass' END FROM want
+  UNION ALL SELECT run_id, 'retry_recovery', CASE WHEN ops <= 1 THEN 'pass' WHEN ok = 0 THEN 'fail' WHEN ops > 2 * ok THEN 'warn' ELSE 'pass' END FROM retried)
 """
 
 
 def _grades(t):
-    severity = F.when(F.col("passed"), "pass").otherwise("fail").alias("severity")
-    one = ga.task_count(t.tasks, ga.task_is(role="hitl", status="completed"), least=1).select("run_id", F.lit("approval").alias("aspect"), severity)
-    two = ga.task_count(t.tasks, ga.task_is(role="tool"), least=2, most=4).select("run_id", F.lit("tools").alias("aspect"), severity)
-    return one.unionByName(two)
+    """All grades of a run: of its assertions, its skills and each task's retries."""
+    one = _asserted(t).select("run_id", F.lit("graph_assertion").alias("aspect"), F.when(F.col("passed"), "pass").otherwise("fail").alias("severity"))
+    two = _used(t).select("run_id", F.lit("skill_decomposition").alias("aspect"), gr.skill_grade(F.array_sort("u"), F.col("required"), F.col("forbidden"))["severity"].alias("severity"))
+    x = t.tasks.select("run_id", "task_id").join(t.operations.groupBy("task_id").agg(F.count("*").alias("ops"), F.count_if(F.col("status") == "succeeded").alias("ok")), "task_id")
+    retry = F.when(F.col("ops") <= 1, "pass").when(F.col("ok") == 0, "fail").when(F.col("ops") > 2 * F.col("ok"), "warn").otherwise("pass")
+    return one.union(two).union(x.select("run_id", F.lit("retry_recovery"), retry))
+
+
+@query("gr_04_assertion_grades", _GRADES + "SELECT run_id, aspect, severity, count(*) AS n FROM grades GROUP BY ALL")
+def _(t):
+    return _grades(t).groupBy("run_id", "aspect", "severity").agg(F.count("*").alias("n"))
 
 
-@query("gr_04_assertion_grades", _GRADES + "SELECT * FROM g")
+@query("agg_18_severity_totals", _GRADES + "SELECT run_id, count(*) FILTER (severity = 'pass') AS pass, count(*) FILTER (severity = 'warn') AS warn, count(*) FILTER (severity = 'fail') AS fail FROM grades GROUP BY run_id")
 def _(t):
-    return _grades(t)
+    n = lambda s: F.count_if(F.col("severity") == s).alias(s)
+    return _grades(t).groupBy("run_id").agg(n("pass"), n("warn"), n("fail"))
 
 
 @query("fn_21_open_ranges", GRAPH + _HAS.format("count(*) >= 5"))

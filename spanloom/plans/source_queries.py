@@ -147,15 +147,3 @@ def _(t):
 def _(t):
     g.artifacts_of_runs(t.tasks, t.produces, t.artifacts, "name").createOrReplaceTempView("artifacts_for_run")
     return t.spark.sql("SELECT run_id, count(*) AS n, count(DISTINCT name) AS names FROM artifacts_for_run GROUP BY run_id")
-
-
-@query("udf_04_assertion_table", GRAPH + """, spec(idx, role, status, least, most) AS (VALUES (0, 'hitl', 'completed', 1, 99), (1, 'tool', 'failed', 0, 0), (2, 'subagent', 'running', 1, 3)),
-n AS (SELECT r.run_id, s.idx, s.least, s.most, count(t.task_id) AS n FROM (SELECT DISTINCT run_id FROM tasks) r CROSS JOIN spec s LEFT JOIN tasks t ON t.run_id = r.run_id AND t.role = s.role AND t.status = s.status GROUP BY ALL)
-SELECT run_id, idx, n BETWEEN least AND most AS passed FROM n""")
-def _(t):
-    """Assertions as rows, each evaluated for every run in one pass over the tasks."""
-    spec = [(0, "hitl", "completed", 1, 99), (1, "tool", "failed", 0, 0), (2, "subagent", "running", 1, 3)]
-    fits = lambda role, status: (F.col("role") == role) & (F.col("status") == status)
-    counts = t.tasks.groupBy("run_id").agg(*[F.count_if(fits(role, status)).alias(f"n{i}") for i, role, status, _, _ in spec])
-    rows = F.array(*[F.struct(F.lit(i).alias("idx"), F.col(f"n{i}").between(a, b).alias("passed")) for i, _, _, a, b in spec])
-    return counts.select("run_id", F.inline(rows))
