@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Two-sided 95 % critical values of Student's t for 1 to 29 degrees of freedom.
@@ -13,7 +13,8 @@ T_95 = [
     2.12, 2.11, 2.101, 2.093, 2.086, 2.08, 2.074, 2.069, 2.064, 2.06, 2.056, 2.052, 2.048, 2.045,
 ]
 Z_95 = 1.96
-MAX_DF = 10_000
+#: Terms of the continued fraction, each of two steps: it is settled to 1e-11 by then.
+TERMS = 60
 
 
 def mean(x: Column) -> Column:
@@ -44,27 +45,44 @@ def summary(x: Column, name: str) -> list[Column]:
     ]
 
 
+def _fraction(a: Column, b: Column, x: Column) -> Column:
+    """The continued fraction of the incomplete beta function, by Lentz's method."""
+    first = 1 / (1 - (a + b) * x / (a + 1))
+    start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h"))
+
+    def step(acc: Column, term: Column) -> Column:
+        d, c = 1 / (1 + term * acc["d"]), 1 + term / acc["c"]
+        return F.struct(c.alias("c"), d.alias("d"), (acc["h"] * c * d).alias("h"))
+
+    def both(acc: Column, m: Column) -> Column:
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        return step(step(acc, even), odd)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, both)["h"]
+
+
+def _gamma_ratio(a: Column) -> Column:
+    """Gamma(a + 1/2) / Gamma(a): by its recurrence from a + 16, where the asymptotic series is exact to 1e-12."""
+    z = a + 16
+    # The series in 1 / z.
+    series = F.lit(1.0)
+    for k, c in enumerate((-1 / 8, 1 / 128, 5 / 1024, -21 / 32768, -399 / 262144, 869 / 4194304), 1):
+        series = series + F.lit(c) / F.pow(z, F.lit(k))
+    down = F.aggregate(F.sequence(F.lit(0), F.lit(15)), F.lit(1.0), lambda acc, k: acc * (a + k) / (a + k + 0.5))
+    return down * F.sqrt(z) * series
+
+
 def t_p_value(t: Column, df: Column) -> Column:
-    """Exact two-tailed p of Student's t for whole degrees of freedom, from the finite series in
-    sine and cosine of atan(t / sqrt(df)); degrees beyond ``MAX_DF`` count as that many."""
-    df = F.least(df, F.lit(MAX_DF)).cast("int")
-    angle = F.atan(F.abs(t) / F.sqrt(df))
-    sin, cos2 = F.sin(angle), F.pow(F.cos(angle), 2)
-    odd = df % 2 == 1
-    first = F.when(odd, F.cos(angle)).otherwise(F.lit(1.0))
-    # Terms: the one before times cos**2 * (k - 1) / k, for k = 2, 4, ... (even) or 3, 5, ... (odd).
-    last = F.floor((df - F.when(odd, 3).otherwise(2)) / 2).cast("int")
-    start = F.struct(first.alias("term"), first.alias("sum"))
-
-    def add(acc: Column, i: Column) -> Column:
-        k = 2 * i + F.when(odd, 1).otherwise(0)
-        term = acc["term"] * cos2 * (k - 1) / k
-        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
-
-    steps = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    series = F.aggregate(steps, start, add)["sum"]
-    inside = F.when(df == 1, 2 * angle / math.pi).when(odd, 2 / math.pi * (angle + sin * series)).otherwise(sin * series)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - inside))
+    """Two-tailed p of Student's t for any number of degrees of freedom: the regularised incomplete beta function
+    of df / (df + t^2), by its continued fraction on the side where that converges fast."""
+    a, t2 = df / 2, t * t
+    x, y = df / (df + t2), t2 / (df + t2)
+    front = F.exp(-a * F.log1p(t2 / df)) * F.sqrt(y) * _gamma_ratio(a) / math.sqrt(math.pi)
+    tail = front * _fraction(a, F.lit(0.5), x) / a
+    inside = front * _fraction(F.lit(0.5), a, y) / 0.5
+    p = F.when(x < (a + 1) / (a + 2.5), tail).otherwise(1 - inside)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))
 
 
 def paired_test(a: Column, b: Column, name: str = "") -> list[Column]:
@@ -78,3 +96,24 @@ def paired_test(a: Column, b: Column, name: str = "") -> list[Column]:
         n.alias(f"{name}n"), F.round(m, 4).alias(f"{name}mean_diff"), F.round(s, 4).alias(f"{name}sd_diff"),
         F.round(t, 4).alias(f"{name}t"), F.round(p, 6).alias(f"{name}p"), (p < 0.05).alias(f"{name}significant"),
     ]
+
+
+def p_label(p: Column) -> Column:
+    """How a p-value is written: three decimals, below a thousandth as such."""
+    return F.when(p < 0.001, "<0.001").otherwise(F.format_string("%.3f", F.floor(p * 1000 + 0.5) / 1000))
+
+
+def fleiss_kappa(counts: DataFrame, item: list[str]) -> DataFrame:
+    """``raters, items, kappa, majority`` from ``counts`` (columns ``item``, ``label, n``: how many raters gave the
+    item that label): agreement beyond chance of any number of raters and labels, and the share of items on which more
+    than half agree. Items with the most common number of raters count, as the measure asks for equally many;
+    kappa is 1 if all ratings are the same label, null without items of two raters or more."""
+    of_item = counts.groupBy(*item).agg(F.sum("n").alias("r"), F.sum(F.col("n") * (F.col("n") - 1)).alias("same"), F.max("n").alias("most"))
+    sized = of_item.groupBy("r").agg(F.count("*").alias("items"), F.sum("same").alias("same"), F.count_if(2 * F.col("most") > F.col("r")).alias("major"))
+    sized = sized.where("r > 1").groupBy().agg(F.max_by(F.struct("r", "items", "same", "major"), F.struct("items", "r")).alias("x")).select("x.*")
+    labels = counts.join(of_item.select(*item, "r"), item).groupBy("r", "label").agg(F.sum("n").alias("n")).groupBy("r").agg(F.sum(F.col("n") * F.col("n")).cast("double").alias("squares"))
+    x = sized.join(labels, "r")
+    total = F.col("items") * F.col("r")
+    chance, seen = F.col("squares") / (total * total), F.col("same") / (total * (F.col("r") - 1))
+    kappa = F.when(chance == 1, 1.0).otherwise((seen - chance) / (1 - chance))
+    return x.select(F.col("r").alias("raters"), "items", kappa.alias("kappa"), (F.col("major") / F.col("items")).alias("majority"))

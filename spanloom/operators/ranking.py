@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .windows import walk
+
 # Default weights, worth of artifact types and kinds of skill, tier thresholds and budget.
 WEIGHTS = {"recency": 0.3, "downstream": 0.35, "artifact_type": 0.15, "retry": 0.1, "skill_type": 0.1}
 TYPE_WORTH = {
@@ -88,22 +90,17 @@ def assign_tiers(rows: DataFrame, budget: Column) -> DataFrame:
     else ``summary`` from 0.3 on, else ``metadata``. What doesn't fit is passed over, and a later, smaller one
     may still fit, so the high scores of a run are folded in order; all others need no look at the run."""
     high = ~F.col("hitl") & (F.col("score") >= FULL_SCORE)
-    entry = F.when(high, F.struct((-F.col("score")).alias("rank"), "seq", "task_id", "tokens"))
-    runs = rows.groupBy("run_id").agg(
-        F.array_sort(F.collect_list(entry)).alias("high"),
-        F.coalesce(F.sum(F.when(F.col("hitl"), F.col("tokens"))), F.lit(0)).cast("bigint").alias("used"),
-        (F.first(budget) * FULL_SHARE).alias("room"),
-    )
-    zero = F.struct(F.col("used").alias("used"), F.array().cast("array<bigint>").alias("full"))
+    # What a human answered is full whatever its size: it comes first and takes its room.
+    kept = rows.withColumn("room", budget * FULL_SHARE).where(F.col("hitl") | high).withColumn("asks", ~F.col("hitl"))
+    kept = kept.select("run_id", "task_id", "asks", F.when(F.col("asks"), -F.col("score")).alias("rank"), "seq", F.col("tokens").cast("long").alias("tokens"), F.col("room").cast("double").alias("room"))
 
-    def step(acc: Column, x: Column) -> Column:
-        fits = acc["used"] + x["tokens"] <= F.col("room")
-        return F.struct(
-            F.when(fits, acc["used"] + x["tokens"]).otherwise(acc["used"]).alias("used"),
-            F.when(fits, F.array_append(acc["full"], x["task_id"])).otherwise(acc["full"]).alias("full"),
-        )
+    def step(state: dict, row: dict) -> list[tuple]:
+        if row["asks"] and state["used"] + row["tokens"] > row["room"]:
+            return []
+        state["used"] += row["tokens"]
+        return [(row["task_id"],)] if row["asks"] else []
 
-    full = runs.select(F.explode(F.aggregate("high", zero, step)["full"]).alias("task_id"), F.lit(True).alias("fits"))
+    full = walk(kept, ["asks", "rank", "seq", "task_id"], "run_id long, task_id long", lambda: {"used": 0}, step).select("task_id", F.lit(True).alias("fits"))
     tier = F.when(F.col("hitl") | F.col("fits"), "full").when(F.col("score") >= SUMMARY_SCORE, "summary").otherwise("metadata")
     return rows.join(full, "task_id", "left").withColumn("tier", tier).drop("fits")
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,24 +45,50 @@ def calls_over_limit(tasks: DataFrame, limit: int) -> DataFrame:
     return tasks.withColumn("before", done).where(F.col("before") >= limit)
 
 
-def compaction_triggers(pairs: DataFrame, budget: Column) -> DataFrame:
-    """``run_id, pair`` for each pair of messages after which a run's recent messages exceed ``budget`` tokens.
+def walk(rows: DataFrame, order: list[str], output: str, start: Callable[[], object], step: Callable) -> DataFrame:
+    """Rows made by ``step(state, row)`` over each run's rows in ``order``, where ``state`` is what ``start`` makes for
+    each run. Spark deals the rows out by run and sorts them; a task passes over them once and holds one row and
+    one state, so a run costs its length however long it is, and no run is gathered."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in output.split(", ")]
+        run, state = object(), None
+        for batch in batches:
+            out = []
+            columns = batch.schema.names
+            for values in zip(*batch.to_pydict().values()):
+                row = dict(zip(columns, values))
+                if row["run_id"] != run:
+                    run, state = row["run_id"], start()
+                out += [(run, *x) for x in step(state, row)]
+            cols = zip(*out) if out else [[] for _ in names]
+            yield pa.RecordBatch.from_pydict({n: pa.array(list(c), pa.int64()) for n, c in zip(names, cols)})
+
+    return rows.repartition("run_id").sortWithinPartitions("run_id", *order).mapInArrow(of, output)
 
-    ``pairs`` has ``run_id, pair, tokens``. A compaction takes the older half of what is recent, one pair at
-    least, out; what is left counts on. So each run is a fold over its ordered pairs, by numbers only.
+
+def compaction_triggers(pairs: DataFrame, budget: int) -> DataFrame:
+    """``run_id, pair, compacted`` for each pair of messages after which a run's recent messages exceed ``budget``
+    tokens, and how many pairs are compacted then.
+
+    ``pairs`` has ``run_id, pair, tokens`` and ``protected``. A compaction takes the older half of what is recent, one
+    pair at least, but leaves protected pairs, unless that would leave nothing to compact: then they go too. What
+    is left counts on, in its order.
     """
-    runs = pairs.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("pair", "tokens"))).alias("pairs"))
-    none = F.array().cast("array<bigint>")
-    zero = F.struct(none.alias("recent"), none.alias("hits"))
-
-    def step(acc: Column, x: Column) -> Column:
-        recent = F.array_append(acc["recent"], x["tokens"].cast("bigint"))
-        held = F.aggregate(recent, F.lit(0).cast("bigint"), lambda a, y: a + y)
-        gone = F.greatest(F.lit(1), F.floor(F.size(recent) / 2).cast("int"))
-        hit = held > budget
-        return F.struct(
-            F.when(hit, F.slice(recent, gone + 1, F.greatest(F.size(recent) - gone, F.lit(0)))).otherwise(recent).alias("recent"),
-            F.when(hit, F.array_append(acc["hits"], x["pair"].cast("bigint"))).otherwise(acc["hits"]).alias("hits"),
-        )
-
-    return runs.select("run_id", F.explode(F.aggregate("pairs", zero, step)["hits"]).alias("pair"))
+
+    def step(state: dict, row: dict) -> list[tuple]:
+        recent = state["recent"]
+        recent.append((row["tokens"], row["protected"]))
+        state["held"] += row["tokens"]
+        if state["held"] <= budget:
+            return []
+        half = [recent.popleft() for _ in range(max(1, len(recent) // 2))]
+        stay = [x for x in half if x[1]]
+        if len(stay) == len(half):
+            stay = []
+        recent.extendleft(reversed(stay))
+        state["held"] -= sum(x[0] for x in half) - sum(x[0] for x in stay)
+        return [(row["pair"], len(half) - len(stay))]
+
+    rows = pairs.select("run_id", "pair", F.col("tokens").cast("long").alias("tokens"), "protected")
+    return walk(rows, ["pair"], "run_id long, pair long, compacted long", lambda: {"recent": deque(), "held": 0}, step)

@@ -387,26 +387,27 @@ def _(t):
 _PAIR_TOKENS = r"""CASE WHEN length(text) = 0 THEN 0 ELSE ceil((length(text) + len(regexp_extract_all(text, '[\x{10000}-\x{10FFFF}]'))) / CASE WHEN length(regexp_replace(substr(text, 1, 512), '[A-Za-z0-9 ]', '', 'g')) >= 0.3 * length(substr(text, 1, 512)) THEN 3 ELSE 4 END) END"""
 #: Half of a budget of 300 tokens is for recent turns.
 _RECENT = 150
-_TRIGGERS = "WITH RECURSIVE " + MESSAGES[5:] + f""", mp AS (SELECT run_id, (row_number() OVER (PARTITION BY run_id ORDER BY turn) - 1) // 2 AS pair, {_PAIR_TOKENS} AS k FROM messages),
-pt AS (SELECT run_id, CAST(pair AS BIGINT) AS pair, CAST(sum(k) AS BIGINT) AS k FROM mp GROUP BY run_id, pair),
-fd AS (SELECT DISTINCT run_id, CAST(-1 AS BIGINT) AS pair, CAST([] AS BIGINT[]) AS recent, false AS hit FROM pt
-UNION ALL SELECT fd.run_id, pt.pair, CASE WHEN list_sum(list_append(recent, k)) > {_RECENT} THEN list_append(recent, k)[greatest(1, (len(recent) + 1) // 2) + 1:] ELSE list_append(recent, k) END, list_sum(list_append(recent, k)) > {_RECENT}
-  FROM fd JOIN pt ON pt.run_id = fd.run_id AND pt.pair = fd.pair + 1)
+_TRIGGERS = _SPLIT.replace("WITH ", "WITH RECURSIVE ", 1) + f""", mp AS (SELECT run_id, pair, kept, {_PAIR_TOKENS} AS k FROM pp),
+pt AS (SELECT run_id, pair, {{'k': CAST(sum(k) AS BIGINT), 'p': bool_or(kept)}} AS x FROM mp GROUP BY run_id, pair),
+fd AS (SELECT DISTINCT run_id, CAST(-1 AS BIGINT) AS pair, CAST([] AS STRUCT(k BIGINT, p BOOLEAN)[]) AS recent, CAST(NULL AS BIGINT) AS gone FROM pt
+UNION ALL SELECT run_id, pair, CASE WHEN NOT hit THEN al WHEN len(stay) = half THEN al[half + 1:] ELSE stay || al[half + 1:] END, CASE WHEN hit THEN half - len(stay) * CAST(len(stay) < half AS INTEGER) END FROM (
+  SELECT *, al[:half] AS older, list_filter(al[:half], lambda y: y.p) AS stay FROM (
+    SELECT fd.run_id, pt.pair, list_append(recent, x) AS al, greatest(1, (len(recent) + 1) // 2) AS half, list_sum(list_transform(list_append(recent, x), lambda y: y.k)) > {_RECENT} AS hit
+    FROM fd JOIN pt ON pt.run_id = fd.run_id AND pt.pair = fd.pair + 1)))
 """
 
 
 def _triggers(t):
-    order = F.row_number().over(Window.partitionBy("run_id").orderBy("turn")) - 1
-    m = t.messages.select("run_id", F.floor(order / 2).alias("pair"), sc.estimate_tokens(F.col("text")).alias("tokens"))
-    return w.compaction_triggers(m.groupBy("run_id", "pair").agg(F.sum("tokens").alias("tokens")), F.lit(_RECENT))
+    m = _split(t).select("run_id", "pair", (F.col("protected") & (F.col("i") % 2 == 1)).alias("protected"), sc.estimate_tokens(F.col("text")).alias("tokens"))
+    return w.compaction_triggers(m.groupBy("run_id", "pair").agg(F.sum("tokens").alias("tokens"), F.bool_or("protected").alias("protected")), _RECENT)
 
 
-@query("win_14_compaction_trigger", _TRIGGERS + "SELECT run_id, pair FROM fd WHERE hit")
+@query("win_14_compaction_trigger", _TRIGGERS + "SELECT run_id, pair, gone AS compacted FROM fd WHERE gone IS NOT NULL")
 def _(t):
-    return _triggers(t).select("run_id", "pair")
+    return _triggers(t).select("run_id", "pair", "compacted")
 
 
-@query("ga_10_compaction_count", _TRIGGERS + "SELECT run_id, count(*) FILTER (hit) AS n, count(*) FILTER (hit) BETWEEN 1 AND 3 AS passed FROM fd GROUP BY run_id")
+@query("ga_10_compaction_count", _TRIGGERS + "SELECT run_id, count(gone) AS n, count(gone) BETWEEN 1 AND 3 AS passed FROM fd GROUP BY run_id")
 def _(t):
     done = _triggers(t).groupBy("run_id").agg(F.count("*").alias("k"))
     n = F.coalesce("k", F.lit(0))

@@ -1,6 +1,7 @@
 """Scores, tiers, demotion, compaction and conversation splits on hand-written runs."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -77,19 +78,38 @@ def test_demotion_frees_the_lowest(spark):
     assert all(r.tier == "full" for r in rk.demote(df, F.lit(0)).where("task_id < 5").collect())
 
 
+def plain_compactions(pairs, budget):
+    want = []
+    for run in sorted({p[0] for p in pairs}):
+        recent = []
+        for _, k, n, kept in sorted(p for p in pairs if p[0] == run):
+            recent.append((n, kept))
+            if sum(x[0] for x in recent) > budget:
+                half = max(1, len(recent) // 2)
+                stay = [x for x in recent[:half] if x[1]]
+                stay = [] if len(stay) == half else stay
+                want.append((run, k, half - len(stay)))
+                recent = stay + recent[half:]
+    return want
+
+
 def test_compactions_count_on_from_what_is_left(spark):
     r = random.Random(6)
-    pairs = [(run, k, r.randrange(0, 90)) for run in range(20) for k in range(r.randrange(1, 25))]
-    want = set()
-    for run in range(20):
-        recent = []
-        for _, k, n in sorted(p for p in pairs if p[0] == run):
-            recent.append(n)
-            if sum(recent) > 150:
-                want.add((run, k))
-                recent = recent[max(1, len(recent) // 2) :]
-    df = spark.createDataFrame(pairs, "run_id long, pair long, tokens long")
-    assert set(map(tuple, w.compaction_triggers(df, F.lit(150)).collect())) == want and len(want) > 20
+    pairs = [(run, k, r.randrange(0, 90), r.random() < 0.3) for run in range(30) for k in range(r.randrange(1, 25))]
+    df = spark.createDataFrame(pairs, "run_id long, pair long, tokens long, protected boolean")
+    want = plain_compactions(pairs, 150)
+    assert sorted(map(tuple, w.compaction_triggers(df, 150).collect())) == want and len(want) > 20
+    plain = {(a, b) for a, b, _ in plain_compactions([(a, b, c, False) for a, b, c, _ in pairs], 150)}
+    assert plain != {(a, b) for a, b, _ in want}
+
+
+def test_long_runs_cost_their_length(spark):
+    pairs = spark.range(100_000).selectExpr("1 AS run_id", "id AS pair", "id % 90 AS tokens", "id % 3 = 0 AS protected")
+    began = time.time()
+    n = w.compaction_triggers(pairs, 150).count()
+    rows = spark.range(100_000).selectExpr("1 AS run_id", "id AS task_id", "CAST(id AS INT) AS seq", "false AS hitl", "0.7 + id % 7 / 100 AS score", "id % 11 AS tokens").withColumn("score", F.col("score").cast("double"))
+    full = rk.assign_tiers(rows, F.lit(500_000)).where("tier = 'full'").count()
+    assert n > 10_000 and 0 < full < 100_000 and time.time() - began < 60
 
 
 def test_split_keeps_protected_pairs(spark):

@@ -36,3 +36,35 @@ def test_streaks_reset_on_success(spark):
     df = spark.createDataFrame(rows, "run_id long, at int, kind string")
     got = w.streaks(df, ["run_id"], F.col("kind") == "e", ["at"], 3).collect()
     assert [(r.run_id, r.island, r.length) for r in got] == [(1, 0, 3)]
+
+
+def test_p_values_of_any_degrees(spark):
+    """Against the closed forms for few degrees, and values of the distribution for many."""
+    from math import atan, cos, pi, sin, sqrt
+
+    def closed(t, df):
+        """The finite series in sine and cosine of the angle, term by term."""
+        a = atan(abs(t) / sqrt(df))
+        term, total = (cos(a), cos(a)) if df % 2 else (1.0, 1.0)
+        for k in range(3 if df % 2 else 2, df - 1, 2):
+            term *= cos(a) ** 2 * (k - 1) / k
+            total += term
+        inside = 2 * a / pi if df == 1 else 2 / pi * (a + sin(a) * total) if df % 2 else sin(a) * total
+        return 1 - inside
+
+    cases = [(t, d) for d in (1, 2, 3, 4, 9, 10, 29, 30, 1001, 10_001, 1_000_000) for t in (0.0, 0.01, 0.5, 1.2, 1.7, 1.74, 1.9, 2.5, 4.0, 12.0)]
+    df = spark.createDataFrame(cases, "t double, df long").select("t", "df", st.t_p_value(F.col("t"), F.col("df")).alias("p"))
+    for r in df.collect():
+        assert abs(r.p - closed(r.t, r.df)) < 1e-9, r
+    labels = spark.createDataFrame([(0.0004,), (0.001,), (0.0495,), (0.5,)], "p double").select(st.p_label(F.col("p")).alias("x"))
+    assert [r.x for r in labels.collect()] == ["<0.001", "0.001", "0.050", "0.500"]
+
+
+def test_kappa_of_many_raters(spark):
+    """The textbook case of ten items, fourteen raters and five labels."""
+    table = [[0, 0, 0, 0, 14], [0, 2, 6, 4, 2], [0, 0, 3, 5, 6], [0, 3, 9, 2, 0], [2, 2, 8, 1, 1], [7, 7, 0, 0, 0], [3, 2, 6, 3, 0], [2, 5, 3, 2, 2], [6, 5, 2, 1, 0], [0, 2, 2, 3, 7]]
+    rows = [(i, label, n) for i, row in enumerate(table) for label, n in enumerate(row) if n]
+    got = st.fleiss_kappa(spark.createDataFrame(rows, "item int, label int, n long"), ["item"]).first()
+    assert (got.raters, got.items, round(got.kappa, 3), got.majority) == (14, 10, 0.21, 0.3)
+    same = st.fleiss_kappa(spark.createDataFrame([(1, 0, 3), (2, 0, 3)], "item int, label int, n long"), ["item"]).first()
+    assert same.kappa == 1.0 and same.majority == 1.0
