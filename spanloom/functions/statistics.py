@@ -85,13 +85,20 @@ def t_p_value(t: Column, df: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))
 
 
+def paired_p(a: Column, b: Column) -> Column:
+    """The p-value of the paired t-test, as an aggregate."""
+    d = a - b
+    n, m, s = F.count(d), F.avg(d), F.stddev_samp(d)
+    t = m / F.when(s > 0, s / F.sqrt(n))
+    return F.when(n < 2, 1.0).when(s == 0, F.when(m == 0, 1.0).otherwise(0.0)).otherwise(t_p_value(t, n - 1))
+
+
 def paired_test(a: Column, b: Column, name: str = "") -> list[Column]:
     """Mean and sd of the differences, t, p and whether p < 0.05. Fewer than two pairs give p 1; no
     spread gives p 1 for no difference and 0 otherwise."""
     d = a - b
     n, m, s = F.count(d), F.avg(d), F.stddev_samp(d)
-    t = m / F.when(s > 0, s / F.sqrt(n))
-    p = F.when(n < 2, 1.0).when(s == 0, F.when(m == 0, 1.0).otherwise(0.0)).otherwise(t_p_value(t, n - 1))
+    t, p = m / F.when(s > 0, s / F.sqrt(n)), paired_p(a, b)
     return [
         n.alias(f"{name}n"), F.round(m, 4).alias(f"{name}mean_diff"), F.round(s, 4).alias(f"{name}sd_diff"),
         F.round(t, 4).alias(f"{name}t"), F.round(p, 6).alias(f"{name}p"), (p < 0.05).alias(f"{name}significant"),
@@ -99,8 +106,30 @@ def paired_test(a: Column, b: Column, name: str = "") -> list[Column]:
 
 
 def p_label(p: Column) -> Column:
-    """How a p-value is written: three decimals, below a thousandth as such."""
-    return F.when(p < 0.001, "<0.001").otherwise(F.format_string("%.3f", F.floor(p * 1000 + 0.5) / 1000))
+    """How a p-value is written: small ones by their bound, others with three decimals."""
+    return F.when(p < 0.001, "< .001").when(p < 0.01, "< .01").otherwise(F.format_string("%.3f", F.floor(p * 1000 + 0.5) / 1000))
+
+
+def significance(p: Column) -> Column:
+    return F.when(p < 0.01, "**").when(p < 0.05, "*").otherwise("")
+
+
+def delta_badge(d: Column) -> Column:
+    """A difference in percentage points, signed, behind an arrow: up or down beyond five points, else level."""
+    arrow = F.when(d > 0.05, "\u25b2").when(d < -0.05, "\u25bc").otherwise("\u2192")
+    size = F.format_string("%.1f", F.floor(F.abs(d) * 1000 + 0.5) / 10)
+    return F.when(d.isNull(), "N/A").otherwise(F.concat(arrow, F.lit(" "), F.when(d >= 0, "+").otherwise("-"), size, F.lit("pp")))
+
+
+def pressure(ratio: Column) -> Column:
+    """Whether tokens used against the baseline's are worth a note."""
+    return F.when(ratio > 1.5, "high").when(ratio < 0.8, "low")
+
+
+def interval(x: Column) -> list[Column]:
+    """Lower and upper end of the 95 % interval of the mean."""
+    half = F.coalesce(half_width(x), F.lit(0.0))
+    return [(mean(x) - half).alias("lower"), (mean(x) + half).alias("upper")]
 
 
 def fleiss_kappa(counts: DataFrame, item: list[str]) -> DataFrame:

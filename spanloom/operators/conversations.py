@@ -41,3 +41,12 @@ def preserved_ids(history: DataFrame, compacted: DataFrame) -> DataFrame:
     rows = rows.select("run_id", "part", "turn", output_ids(F.col("text")).alias("ids")).where(F.size("ids") > 0)
     ordered = F.array_sort(F.collect_list(F.struct("part", "turn", "ids")))
     return rows.groupBy("run_id").agg(F.array_distinct(F.flatten(F.transform(ordered, lambda x: x["ids"]))).alias("ids"))
+
+
+def flatten(messages: DataFrame) -> DataFrame:
+    """``run_id, flat``: the texts of a run's ``messages(run_id, turn, content, blocks)`` in order, line by line. A message
+    is its plain ``content``, or of its ``blocks`` those with a text and, of the others, those with plain content."""
+    said = F.transform("blocks", lambda b: F.coalesce(b["text"], b["content"]))
+    parts = F.when(F.col("content").isNotNull(), F.array("content")).otherwise(F.array_compact(said))
+    ordered = F.array_sort(F.collect_list(F.struct("turn", parts.alias("parts"))))
+    return messages.groupBy("run_id").agg(F.array_join(F.flatten(F.transform(ordered, lambda m: F.coalesce(m["parts"], F.array().cast("array<string>")))), "\n").alias("flat"))

@@ -9,7 +9,7 @@ looked for, a judge's composite or null, and the grades of its steps, an array o
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LABELS = ("purpose", "realism", "gate", "mode")
@@ -129,3 +129,32 @@ def skill_grade(used: Column, required: Column, forbidden: Column) -> Column:
         F.when(failed, "fail").otherwise("pass").alias("severity"),
         F.when(failed, bad).when(none, "No skill assertions defined for this task.").otherwise(good).alias("finding"),
     )
+
+
+def root_cause(tests: DataFrame, by: list[str]) -> DataFrame:
+    """``by, tests, cause`` from ``tests`` (``by, intensity, location, positive, passed``): what the pattern of passes over
+    intensity (light, moderate, heavy, over), location (body, skill, tool) and polarity points at.
+
+    The first pattern that fits decides. A pattern needs a test in each of the cells that it speaks of; with none of
+    them, or where passes and failures don't line up, the cause is ``unclear``.
+    """
+    passed, level, place, positive = F.col("passed"), F.col("intensity"), F.col("location"), F.col("positive")
+    described = place.isin("skill", "tool")
+
+    def all_(cell: Column, want: bool) -> Column:
+        """There are tests in the cell and all of them pass, or all fail."""
+        return F.coalesce(F.bool_and(F.when(cell, passed if want else ~passed)), F.lit(False))
+
+    strong = level.isin("moderate", "heavy")
+    rules = [
+        (all_(positive, True) & all_(~positive, True), "healthy"),
+        (all_(F.lit(True), False), "not propagating"),
+        (all_(strong & positive, True) & all_(strong & ~positive, False), "over-steering"),
+        (all_((level == "light") & positive, False) & all_((level == "moderate") & positive, False) & all_((level == "heavy") & positive, True), "diluted directives"),
+        (all_(place == "body", False) & all_(described, True), "body drowned out"),
+        (all_(described, False), "descriptions underweighted"),
+    ]
+    cause = F.lit("unclear")
+    for fits, name in reversed(rules):
+        cause = F.when(fits, name).otherwise(cause)
+    return tests.groupBy(*by).agg(F.count("*").alias("tests"), cause.alias("cause"))

@@ -116,12 +116,6 @@ def matches(tasks: DataFrame, operations: DataFrame, role=None, name=None, statu
     return found
 
 
-def append_edges(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges whose ends both exist, and those that are skipped."""
-    ok = edges.join(sources.select(F.col("id").alias("src")), "src", "left_semi").join(targets.select(F.col("id").alias("dst")), "dst", "left_semi")
-    return ok, edges.join(ok, ["src", "dst"], "left_anti")
-
-
 def lineage_metrics(tasks: DataFrame, operations: DataFrame) -> DataFrame:
     """Per run: distinct skills, operations, succeeded ones, whether a human was asked, input tokens of
     succeeded operations. Runs without operations count zero."""

@@ -216,11 +216,13 @@ class Tables:
 
     @cached_property
     def blocks(self) -> DataFrame:
-        """Messages with content blocks: a text, and a tool result with the id of its call."""
+        """Messages of the user with content blocks, a text and a tool result with the id of its call; those of others have
+        plain content besides."""
         call = F.concat_ws("-", F.col("run_id").cast("string"), F.col("turn").cast("string"))
         none = F.lit(None).cast("string")
-        block = lambda kind, text, ident: F.struct(F.lit(kind).alias("type"), text.alias("text"), ident.alias("tool_use_id"))
-        return self.messages.withColumn("blocks", F.array(block("text", F.col("text"), none), block("tool_result", F.col("text"), call)))
+        block = lambda kind, text, content, ident: F.struct(F.lit(kind).alias("type"), text.alias("text"), content.alias("content"), ident.alias("tool_use_id"))
+        blocks = F.array(block("text", F.col("text"), none, none), block("tool_result", none, F.concat(F.lit("result of "), call), call))
+        return self.messages.withColumn("blocks", blocks).withColumn("content", F.when(F.col("role") != "user", F.col("text")))
 
     @cached_property
     def events(self) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from ..operators import assertions as ga
 from ..operators import graph as g
 from ..operators import grading as gr
+from ..sources import documents as d
 from .bindings import GRAPH, shared_folder
 from .registry import query
 
@@ -59,18 +60,25 @@ def _(t):
     return t.runs.select("run_id", "definition_id").join(t.definitions.where("definition_id % 2 = 1"), "definition_id").select("run_id", "definition_id", "name")
 
 
-@query("snk_01_append_edges", GRAPH + "SELECT op_id AS src, artifact_id AS dst FROM produces WHERE artifact_id % 7 <> 0")
+@query("snk_01_append_edges", GRAPH + "SELECT op_id AS src, o.artifact_id AS dst, CAST(year(o.at) AS INTEGER) AS batch FROM operations o WHERE flow = 'O' AND artifact_id % 7 <> 0")
 def _(t):
-    edges = t.produces.select(F.col("op_id").alias("src"), F.col("artifact_id").alias("dst"))
+    """Edges appended year by year, one of the years twice: each is there once."""
+    return _appended(t).where("kept").select("src", "dst", "batch")
+
+
+def _appended(t):
+    edges = t.operations.where("flow = 'O'").select(F.col("op_id").alias("src"), F.col("artifact_id").alias("dst"), F.year("at").alias("batch"))
     ends = t.artifacts.where("artifact_id % 7 <> 0").select(F.col("artifact_id").alias("id"))
-    return g.append_edges(edges, t.operations.select(F.col("op_id").alias("id")), ends)[0]
+    folder, ops = shared_folder(t), t.operations.select(F.col("op_id").alias("id"))
+    d.append_edges(edges, ops, ends, folder, ["batch"])
+    d.append_edges(edges.where("batch = 1995"), ops, ends, folder, ["batch"])
+    return t.spark.read.schema("src long, dst long, kept boolean, batch int").parquet(folder)
 
 
-@query("snk_08_skipped_edges", GRAPH + "SELECT op_id AS src, artifact_id AS dst FROM produces WHERE artifact_id % 7 = 0")
+@query("snk_08_skipped_edges", GRAPH + "SELECT op_id AS src, o.artifact_id AS dst, CAST(year(o.at) AS INTEGER) AS batch FROM operations o WHERE flow = 'O' AND artifact_id % 7 = 0")
 def _(t):
-    edges = t.produces.select(F.col("op_id").alias("src"), F.col("artifact_id").alias("dst"))
-    ends = t.artifacts.where("artifact_id % 7 <> 0").select(F.col("artifact_id").alias("id"))
-    return g.append_edges(edges, t.operations.select(F.col("op_id").alias("id")), ends)[1]
+    """The side table of the same appends: edges one end of which is missing."""
+    return _appended(t).where("not kept").select("src", "dst", "batch")
 
 
 @query("prj_01_node_and_edge", GRAPH + "SELECT o.op_id, o.op_no, o.status, t.run_id, t.seq FROM operations o JOIN tasks t USING (task_id)")
@@ -333,14 +341,6 @@ def _(t):
     return g.lineage_metrics(t.tasks, t.operations)
 
 
-@query("agg_34_reliability", GRAPH + """, d AS (SELECT run_id, max(seq) AS depth, bool_and(status = 'completed') AS whole, bool_or(status = 'completed') AS any_done FROM tasks GROUP BY run_id)
-SELECT depth, count(*) AS runs, count(*) FILTER (any_done) AS structural, count(*) FILTER (whole) AS end_to_end FROM d GROUP BY depth""")
-def _(t):
-    done = F.col("status") == "completed"
-    d = t.tasks.groupBy("run_id").agg(F.max("seq").alias("depth"), F.bool_and(done).alias("whole"), F.bool_or(done).alias("some"))
-    return d.groupBy("depth").agg(F.count("*").alias("runs"), F.count_if("some").alias("structural"), F.count_if("whole").alias("end_to_end"))
-
-
 @query("agg_36_tree_rollup", GRAPH + """SELECT t.task_id, count(o.op_id) AS operations, count(o.op_id) FILTER (flow = 'O') AS artifacts FROM tasks t LEFT JOIN operations o USING (task_id) GROUP BY t.task_id""")
 def _(t):
     j = t.tasks.select("task_id").join(t.operations.select("task_id", "op_id", "flow"), "task_id", "left")

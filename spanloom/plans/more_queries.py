@@ -8,7 +8,7 @@ from ..functions import scalars as sc
 from ..operators import assertions as ga
 from ..operators import graph as g
 from ..operators import grading as gr
-from .bindings import EVENTS, GRAPH, MESSAGES, RESULTS
+from .bindings import EVENTS, GRAPH, JUDGED, MESSAGES, RESULTS
 from .graph_queries import _FLOW, _HAS, _USED, _used
 from .registry import query
 
@@ -62,10 +62,13 @@ def _(t):
     return names.select("run_id", "name").distinct().join(latest, "name").select("run_id", "name", "prompt")
 
 
-@query("jn_21_judge_orderings", RESULTS + "SELECT run, category, max(a) FILTER (lines % 2 = 0) AS first_order, max(a) FILTER (lines % 2 = 1) AS second_order FROM results GROUP BY run, category")
+@query("jn_21_judge_orderings", JUDGED + "SELECT case_id, a1 AS first_a, b1 AS first_b, a2 AS second_a, b2 AS second_b FROM judged")
 def _(t):
-    by = lambda r: F.max(F.when(F.col("lines") % 2 == r, F.col("a")))
-    return t.results.groupBy("run", "category").agg(by(0).alias("first_order"), by(1).alias("second_order"))
+    """A row for each ordering in which a judge saw the two arms, joined to the other of the same case."""
+    row = lambda o: F.struct(F.lit(o).alias("ordering"), F.col(f"a{o}").alias("a"), F.col(f"b{o}").alias("b"))
+    seen = t.judged.select("case_id", F.inline(F.array(row(1), row(2))))
+    side = lambda o, name: seen.where(F.col("ordering") == o).select("case_id", F.col("a").alias(f"{name}_a"), F.col("b").alias(f"{name}_b"))
+    return side(1, "first").join(side(2, "second"), "case_id")
 
 
 # A specification of all thirteen types. A run's output is what its last operation made, its error the name of its root,
@@ -164,6 +167,20 @@ def _(t):
     return _grades(t).groupBy("run_id").agg(n("pass"), n("warn"), n("fail"))
 
 
+@query("agg_34_reliability", _ASSERTIONS + """, ok AS (SELECT run_id, bool_and(passed) FILTER (idx IN (2, 3)) AS structural, bool_and(passed) FILTER (idx IN (2, 3, 5)) AS whole FROM asserted GROUP BY run_id),
+dp AS (SELECT run_id, max(seq) AS depth FROM tasks GROUP BY run_id)
+SELECT depth, count(*) AS runs, round(count(*) FILTER (structural) / count(*), 4) AS structural, round(count(*) FILTER (whole) / count(*), 4) AS end_to_end FROM dp JOIN ok USING (run_id) GROUP BY depth""")
+def _(t):
+    """Of the runs of each depth, the share that passes the assertions on counts and order of tasks, and the share that passes
+    those on what they made as well."""
+    all_ = lambda *types: F.bool_and(F.when(F.col("type").isin(*types), F.col("passed")))
+    # One assertion of each of these types is in the specification.
+    ok = _asserted(t).groupBy("run_id").agg(all_("task_count", "task_order").alias("structural"), all_("task_count", "task_order", "artifact_content").alias("whole"))
+    depth = t.tasks.groupBy("run_id").agg(F.max("seq").alias("depth")).join(ok, "run_id")
+    share = lambda c: F.round(F.count_if(c) / F.count("*"), 4)
+    return depth.groupBy("depth").agg(F.count("*").alias("runs"), share("structural").alias("structural"), share("whole").alias("end_to_end"))
+
+
 @query("fn_21_open_ranges", GRAPH + _HAS.format("count(*) >= 5"))
 def _(t):
     return t.tasks.groupBy("run_id").agg(ga.in_range(F.count("*"), 5, None).alias("passed"))

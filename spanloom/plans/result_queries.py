@@ -216,12 +216,29 @@ def _(t):
     return x.select("dose", F.round("q", 4).alias("quality"), F.round(slope, 4).alias("slope"))
 
 
-@query("agg_42_root_cause", RESULTS + """, x AS (SELECT category, purpose, avg(a) >= 45 AS hi, avg(b) >= 38 AS lo FROM results GROUP BY category, purpose)
-SELECT category, CASE WHEN hi AND lo THEN 'healthy' WHEN hi THEN 'baseline' WHEN lo THEN 'treatment' ELSE 'both' END AS cause FROM x""")
+# Each case is a steering test: its priority says how strongly it is steered, its harness where, its judge's agreement the polarity.
+_STEERED = """, tests AS (SELECT category, run, CASE WHEN lines <= 2 THEN 'light' WHEN lines <= 4 THEN 'moderate' ELSE 'heavy' END AS intensity,
+  CASE WHEN outcome = 'F' THEN 'body' WHEN outcome = 'O' THEN 'skill' ELSE 'tool' END AS location, NOT inconclusive AS positive, a >= 45 AS passed FROM results)
+"""
+_CELL = "coalesce(bool_and({1}passed) FILTER ({0}), false)"
+
+
+def _cell(cell, want):
+    return _CELL.format(cell, "" if want else "NOT ")
+
+
+@query("agg_42_root_cause", RESULTS + _STEERED + f"""SELECT category, run, intensity AS level, count(*) AS tests, CASE WHEN {_cell('positive', True)} AND {_cell('NOT positive', True)} THEN 'healthy' WHEN {_cell('true', False)} THEN 'not propagating'
+WHEN {_cell("intensity IN ('moderate', 'heavy') AND positive", True)} AND {_cell("intensity IN ('moderate', 'heavy') AND NOT positive", False)} THEN 'over-steering'
+WHEN {_cell("intensity = 'light' AND positive", False)} AND {_cell("intensity = 'moderate' AND positive", False)} AND {_cell("intensity = 'heavy' AND positive", True)} THEN 'diluted directives'
+WHEN {_cell("location = 'body'", False)} AND {_cell("location <> 'body'", True)} THEN 'body drowned out' WHEN {_cell("location <> 'body'", False)} THEN 'descriptions underweighted' ELSE 'unclear' END AS cause
+FROM tests GROUP BY GROUPING SETS ((category, run), (category, run, intensity))""")
 def _(t):
-    x = t.results.groupBy("category", "purpose").agg((F.avg("a") >= 45).alias("hi"), (F.avg("b") >= 38).alias("lo"))
-    cause = F.when(F.col("hi") & F.col("lo"), "healthy").when(F.col("hi"), "baseline").when(F.col("lo"), "treatment").otherwise("both")
-    return x.select("category", cause.alias("cause"))
+    """The cause that each category's pattern of passes points at in a run, over all intensities and for each of them."""
+    level = F.when(F.col("lines") <= 2, "light").when(F.col("lines") <= 4, "moderate").otherwise("heavy")
+    place = F.when(F.col("outcome") == "F", "body").when(F.col("outcome") == "O", "skill").otherwise("tool")
+    tests = t.results.select("category", "run", level.alias("intensity"), place.alias("location"), (~F.col("inconclusive")).alias("positive"), (F.col("a") >= 45).alias("passed"))
+    views = F.array(F.lit(None).cast("string"), F.col("intensity"))
+    return gr.root_cause(tests.withColumn("level", F.explode(views)), ["category", "run", "level"])
 
 
 @query("agg_05_rubric_composite", RESULTS + "SELECT case_id, floor((least(a, 90) / 90 * 0.25 + least(b, 90) / 90 * 0.25 + least(lines, 3) / 3 * 0.25 + 0.25) * 1000 + 0.5) / 1000 AS composite FROM results")
@@ -274,12 +291,18 @@ def _(t):
     return t.judged.select("case_id", mean("a").alias("a"), mean("b").alias("b"), bias.alias("inconclusive"), merged("a").alias("a_mode"), merged("b").alias("b_mode"))
 
 
-@query("set_05_identical_task_sets", RESULTS + ", x AS (SELECT run, list_sort(list(DISTINCT category)) AS s FROM results GROUP BY run) SELECT run, s = (SELECT arg_min(s, run) FROM x) AS same FROM x")
+@query("set_05_identical_task_sets", RESULTS + """, ids AS (SELECT DISTINCT run, category || '/' || lines AS task FROM results), first AS (SELECT task FROM ids WHERE run = (SELECT min(run) FROM ids))
+SELECT *, missing = 0 AND extra = 0 AS same FROM (SELECT r.run, (SELECT count(*) FROM first WHERE task NOT IN (SELECT task FROM ids i WHERE i.run = r.run)) AS missing,
+  (SELECT count(*) FROM ids i WHERE i.run = r.run AND task NOT IN (SELECT task FROM first)) AS extra FROM (SELECT DISTINCT run FROM ids) r)""")
 def _(t):
-    """Each run's set against the first run's."""
-    x = t.results.groupBy("run").agg(F.array_sort(F.collect_set("category")).alias("s"))
-    first = x.agg(F.min_by("s", "run").alias("first"))
-    return x.crossJoin(F.broadcast(first)).select("run", (F.col("s") == F.col("first")).alias("same"))
+    """Each run's task ids against the first run's: how many it lacks, how many it has besides."""
+    ids = t.results.select("run", F.concat_ws("/", "category", F.col("lines").cast("string")).alias("task")).distinct()
+    first = t.results.agg(F.min("run").alias("run"))
+    first = ids.join(F.broadcast(first), "run", "left_semi").select("task", F.lit(True).alias("known"))
+    own = ids.join(first, "task", "left").groupBy("run").agg(F.count_if("known").alias("shared"), F.count_if(F.col("known").isNull()).alias("extra"))
+    x = own.join(F.broadcast(first.agg(F.count("*").alias("all"))), F.lit(True))
+    missing = F.col("all") - F.col("shared")
+    return x.select("run", missing.alias("missing"), "extra", ((missing == 0) & (F.col("extra") == 0)).alias("same"))
 
 
 @query("snk_06_report_tables", RESULTS + "SELECT run, case_id, category, a, b, a - b AS delta FROM results")
@@ -298,9 +321,15 @@ def _(t):
     return t.results.select("case_id", F.coalesce(F.nullif(mode("a"), F.lit("none")), mode("b")).alias("mode"))
 
 
-@query("fn_24_badges", RESULTS + "SELECT case_id, CASE WHEN a - b > 5 THEN 'up' WHEN b - a > 5 THEN 'down' ELSE 'level' END AS delta, CASE WHEN b = 0 THEN 'n/a' WHEN a / b > 1.5 THEN 'high' WHEN a / b < 0.8 THEN 'low' ELSE 'even' END AS pressure FROM results")
+@query("fn_24_badges", _VECTORS + """, d AS (SELECT category, count(*) AS n, avg(a - b) AS m, stddev_samp(a - b) AS s, avg(a) / avg(b) AS ratio FROM v GROUP BY category),
+w AS (SELECT *, atan(abs(m / (s / sqrt(n))) / sqrt(n - 1)) AS th FROM d),
+y AS (SELECT *, m / 100 AS x, 1 - CASE n - 1 WHEN 2 THEN sin(th) WHEN 4 THEN sin(th) * (1 + cos(th) ** 2 / 2) WHEN 6 THEN sin(th) * (1 + cos(th) ** 2 / 2 + 3 * cos(th) ** 4 / 8)
+  WHEN 5 THEN 2 / pi() * (th + sin(th) * (cos(th) + 2 * cos(th) ** 3 / 3)) WHEN 3 THEN 2 / pi() * (th + sin(th) * cos(th)) END AS p FROM w)
+SELECT category, CASE WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS marker, CASE WHEN p < 0.001 THEN '< .001' WHEN p < 0.01 THEN '< .01' ELSE format('{:.3f}', floor(p * 1000 + 0.5) / 1000) END AS p,
+CASE WHEN x > 0.05 THEN '\u25b2' WHEN x < -0.05 THEN '\u25bc' ELSE '\u2192' END || CASE WHEN x >= 0 THEN ' +' ELSE ' -' END || format('{:.1f}', floor(abs(x) * 1000 + 0.5) / 10) || 'pp' AS delta,
+CASE WHEN ratio > 1.5 THEN 'high' WHEN ratio < 0.8 THEN 'low' END AS pressure FROM y""")
 def _(t):
-    a, b = F.col("a"), F.col("b")
-    delta = F.when(a - b > 5, "up").when(b - a > 5, "down").otherwise("level")
-    pressure = F.when(b == 0, "n/a").when(F.try_divide(a, b) > 1.5, "high").when(F.try_divide(a, b) < 0.8, "low").otherwise("even")
-    return t.results.select("case_id", delta.alias("delta"), pressure.alias("pressure"))
+    """How a category's difference is shown: its significance, its p-value, its size, and a note on the ratio of both arms."""
+    x = _vectors(t).groupBy("category").agg(st.paired_p(F.col("a"), F.col("b")).alias("p"), (F.avg(F.col("a") - F.col("b")) / 100).alias("d"), (F.avg("a") / F.avg("b")).alias("ratio"))
+    p = F.col("p")
+    return x.select("category", st.significance(p).alias("marker"), st.p_label(p).alias("p"), st.delta_badge(F.col("d")).alias("delta"), st.pressure(F.col("ratio")).alias("pressure"))
\ No newline at end of file

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..functions import statistics as st
+from ..operators import facts as fx
 from ..operators import graph as g
+from ..operators import table_functions as tf
 from ..sources import documents as d
 from ..streaming import flows
 from .bindings import EVENTS, GRAPH, MESSAGES, RESULTS
@@ -14,6 +16,8 @@ from .bindings import shared_folder as _folder
 from .flow_queries import _replay
 from .registry import query
 from .result_queries import _SUM
+from .text_queries import _FACTS, _matches
+from .window_queries import _SWEPT, sweep_summary
 
 
 @query("src_04_definition_documents", GRAPH + "SELECT definition_id, name, 1 AS version, CAST(len(skills) AS BIGINT) AS skills FROM (SELECT definition_id, name, [definition_id + 1, definition_id + 2] AS skills FROM definitions)")
@@ -60,14 +64,25 @@ def _(t):
     return d.read_reports(t.spark, d.write_json(t.results.select("case_id", "run", "category", "a", "b"), _folder(t)))
 
 
-@query("snk_05_summary_write", RESULTS + f"""SELECT 'multi-run' AS kind, category AS label, {_SUM.format(x='a')} FROM results GROUP BY category
-UNION ALL SELECT 'sweep', CAST(run AS VARCHAR), {_SUM.format(x='a')} FROM results GROUP BY run UNION ALL SELECT 'rescore', gate, {_SUM.format(x='a')} FROM results GROUP BY gate""")
+_SWEPT_ALL = _SWEPT[_SWEPT.index("WITH ") + 5:]
+
+
+@query("snk_05_summary_write", f"""SELECT * FROM (WITH RECURSIVE {_SWEPT_ALL} SELECT 'sweep' AS kind, config AS label, n, round(mean, 2) AS mean, round(coalesce(sd, 0), 2) AS sd, round(mean - half, 2) AS lower, round(mean + half, 2) AS upper, round(completed, 4) AS completed,
+  round(tokens, 2) AS tokens, round(latency, 2) AS latency, CAST(NULL AS DOUBLE) AS factual, CAST(NULL AS DOUBLE) AS per_fact FROM sv)
+UNION ALL SELECT * FROM ({RESULTS}, g AS (SELECT category, {_SUM.format(x='a')} FROM results GROUP BY category) SELECT 'multi-run', category, a_n, a_mean, a_sd, round(a_mean - a_ci, 4), round(a_mean + a_ci, 4), NULL, NULL, NULL, NULL, NULL FROM g)
+UNION ALL SELECT * FROM ({_FACTS} SELECT 'rescore', CAST(doc_id AS VARCHAR), count(*), NULL, NULL, NULL, NULL, NULL, NULL, NULL, round(any_value(coalesce(hit / nullif(wt, 0), 0)), 4), round(any_value(coalesce(hita / nullif(wa, 0), 0)), 4) FROM s JOIN m USING (doc_id) GROUP BY doc_id)""")
 def _(t):
-    """Three kinds of summaries, each written to a folder of its own and all read back."""
-    parts = [("multi-run", F.col("category")), ("sweep", F.col("run").cast("string")), ("rescore", F.col("gate"))]
-    s = [t.results.groupBy(label.alias("label")).agg(*st.summary(F.col("a"), "a")).select(F.lit(kind).alias("kind"), "*") for kind, label in parts]
-    out = [d.write_json(x, _folder(t)) for x in s]
-    return t.spark.read.schema(s[0].schema).json(out)
+    """Summaries of runs, of a sweep and of a rescoring, each with its own fields, written as JSON to a folder of its own and
+    read back into one table."""
+    r = lambda c, n, to=None: F.round(c, n).alias(to or c)
+    sweep = sweep_summary(t).select(F.lit("sweep").alias("kind"), F.col("config").alias("label"), "n", r("mean", 2), r("sd", 2), r("lower", 2), r("upper", 2), r("completed", 4), r("tokens", 2), r("latency", 2))
+    a = t.results.groupBy(F.col("category").alias("label")).agg(*st.summary(F.col("a"), "a"))
+    runs = a.select(F.lit("multi-run").alias("kind"), "label", F.col("a_n").alias("n"), F.col("a_mean").alias("mean"), F.col("a_sd").alias("sd"), r(F.col("a_mean") - F.col("a_ci"), 4, "lower"), r(F.col("a_mean") + F.col("a_ci"), 4, "upper"))
+    facts = _matches(t).groupBy(F.col("doc_id").cast("string").alias("label")).agg(F.count("*").alias("n"), *[r(x, 4, k) for k, x in fx.both_scores().items()])
+    rescored = facts.select(F.lit("rescore").alias("kind"), "label", "n", "factual", "per_fact")
+    out = [d.write_json(x, _folder(t)) for x in (sweep, runs, rescored)]
+    fields = "mean double, sd double, lower double, upper double, completed double, tokens double, latency double, factual double, per_fact double"
+    return t.spark.read.schema(f"kind string, label string, n long, {fields}").json(out)
 
 
 _NAME = "source || CASE lang WHEN 'en' THEN '.md' WHEN 'de' THEN '.html' WHEN 'fr' THEN '.sql' ELSE '.log' END"
@@ -84,10 +99,10 @@ def _(t):
     return d.capture_files(t.spark, out, ["*.md", "*.html", "*.sql", "*.m*"], ["src1.md", "src2.html"])
 
 
-@query("top_05_report_selection", RESULTS + "SELECT prefix, category, run, case_id FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY run DESC, case_id) AS k FROM results JOIN (VALUES ('1-'), ('3-MED'), ('')) p(prefix) ON starts_with(category, prefix)) WHERE k = 1")
+@query("top_05_report_selection", RESULTS + "SELECT prefix, category, run, case_id FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY run DESC, case_id) AS k FROM results JOIN (VALUES ('syn'), ('dec'), ('')) p(prefix) ON starts_with(category, prefix)) WHERE k = 1")
 def _(t):
     """For each prefix the newest report."""
-    prefixes = ["1-", "3-MED", ""]
+    prefixes = ["syn", "dec", ""]
     got = d.select_reports(t.results.select("category", "run", "case_id"), "category", [-F.col("run"), F.col("case_id")], prefixes=prefixes)
     return got.select(F.get(F.array(*[F.lit(p) for p in prefixes]), F.col("rank") - 1).alias("prefix"), "category", "run", "case_id")
 
@@ -143,7 +158,13 @@ def _(t):
     return t.events.groupBy("kind").agg(*st.summary(F.col("tokens"), "tokens"))
 
 
-@query("udf_03_table_functions", GRAPH + "SELECT t.run_id, count(*) AS n, count(DISTINCT a.name) AS names FROM tasks t JOIN produces p USING (task_id) JOIN artifacts a USING (artifact_id) GROUP BY t.run_id")
+@query("udf_03_table_functions", GRAPH + """, arts AS (SELECT t.run_id, count(*) AS n, count(DISTINCT a.name) AS names FROM tasks t JOIN produces p USING (task_id) JOIN artifacts a USING (artifact_id) GROUP BY t.run_id),
+prov AS (SELECT t.run_id, count(*) AS n, count(DISTINCT p.artifact_id) AS names FROM produces p JOIN tasks t USING (task_id) GROUP BY t.run_id),
+lin AS (SELECT t.run_id, count(DISTINCT t.task_id) AS n, count(o.op_id) AS names FROM tasks t LEFT JOIN operations o USING (task_id) GROUP BY t.run_id)
+SELECT 'artifacts' AS looked, r.run_id, n, names FROM runs r JOIN arts USING (run_id) UNION ALL SELECT 'provenance', r.run_id, n, names FROM runs r JOIN prov USING (run_id) UNION ALL SELECT 'lineage', r.run_id, n, names FROM runs r JOIN lin USING (run_id)""")
 def _(t):
-    g.artifacts_of_runs(t.tasks, t.produces, t.artifacts, "name").createOrReplaceTempView("artifacts_for_run")
-    return t.spark.sql("SELECT run_id, count(*) AS n, count(DISTINCT name) AS names FROM artifacts_for_run GROUP BY run_id")
+    """The three look-ups as table functions of SQL, each joined laterally to all runs."""
+    tf.register(t.spark, t.runs, t.tasks, t.operations, t.produces, t.consumes, t.artifacts)
+    return t.spark.sql("""SELECT 'artifacts' AS looked, r.run_id, count(*) AS n, count(DISTINCT a.name) AS names FROM trace_runs r, LATERAL artifacts_for_run(r.run_id) a GROUP BY r.run_id
+    UNION ALL SELECT 'provenance', r.run_id, count(*), count(DISTINCT p.artifact_id) FROM trace_runs r, LATERAL provenance(r.run_id) p GROUP BY r.run_id
+    UNION ALL SELECT 'lineage', r.run_id, count(DISTINCT l.task_id), count(l.op_id) FROM trace_runs r, LATERAL lineage(r.run_id) l GROUP BY r.run_id""")
\ No newline at end of file

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as sc
+from ..functions import statistics as st
 from ..operators import conversations as cv
 from ..operators import facts as fx
 from ..operators import ranking as rk
@@ -315,10 +316,38 @@ def _(t):
     return docs.select(F.col("output_id").alias("doc_id")).join(good, "doc_id", "left").select("doc_id", F.coalesce("found", F.lit(False)).alias("passed"))
 
 
-@query("jn_18_human_and_judge", "SELECT l.doc_id, l.quality, CASE WHEN length(d.text) > 1000 THEN 1 ELSE 0 END AS judge FROM labels l JOIN documents d USING (doc_id)")
+# Labels stand for what humans said of an output, four dimensions from their two marks; a judge goes by plain signs of
+# the text. The agent is the language of the output.
+_DIMENSIONS = ("faithfulness", "completeness", "coherence", "actionability")
+_CAL = """WITH hl AS (SELECT doc_id, lang AS agent, 1 + 4 * quality AS h_faithfulness, 2 + 2 * quality + toxic AS h_completeness, 5 - 3 * toxic AS h_coherence, 3 + quality - toxic AS h_actionability,
+  quality = 1 AND toxic = 0 AS h_pass, CASE WHEN toxic = 1 THEN 'tone' WHEN quality = 0 THEN 'omission' ELSE 'none' END AS h_mode FROM labels JOIN documents USING (doc_id)),
+jl AS (SELECT doc_id, lang AS agent, CASE WHEN length(text) > 1000 THEN 5 ELSE 2 END AS j_faithfulness, CASE WHEN length(text) > 300 THEN 4 ELSE 2 END AS j_completeness,
+  CASE WHEN contains(text, '  ') THEN 2 ELSE 5 END AS j_coherence, CASE WHEN contains(text, chr(10)) THEN 4 ELSE 2 END AS j_actionability, length(text) > 300 AS j_pass,
+  CASE WHEN contains(text, '  ') THEN 'tone' WHEN length(text) <= 300 THEN 'omission' ELSE 'none' END AS j_mode FROM documents),
+x AS (SELECT * FROM hl JOIN jl USING (doc_id, agent))
+"""
+
+
+def _cal(t):
+    q, x, text = F.col("quality"), F.col("toxic"), F.col("text")
+    docs = t.table("documents").select("doc_id", F.col("lang").alias("agent"), "text")
+    human = t.table("labels").join(docs.select("doc_id", "agent"), "doc_id").select(
+        "doc_id", "agent", (1 + 4 * q).alias("h_faithfulness"), (2 + 2 * q + x).alias("h_completeness"), (5 - 3 * x).alias("h_coherence"), (3 + q - x).alias("h_actionability"),
+        ((q == 1) & (x == 0)).alias("h_pass"), F.when(x == 1, "tone").when(q == 0, "omission").otherwise("none").alias("h_mode"),
+    )
+    gaps, length = F.contains(text, F.lit("  ")), F.length(text)
+    judge = docs.select(
+        "doc_id", "agent", F.when(length > 1000, 5).otherwise(2).alias("j_faithfulness"), F.when(length > 300, 4).otherwise(2).alias("j_completeness"),
+        F.when(gaps, 2).otherwise(5).alias("j_coherence"), F.when(F.contains(text, F.lit("\n")), 4).otherwise(2).alias("j_actionability"), (length > 300).alias("j_pass"),
+        F.when(gaps, "tone").when(length <= 300, "omission").otherwise("none").alias("j_mode"),
+    )
+    return human.join(judge, ["doc_id", "agent"])
+
+
+@query("jn_18_human_and_judge", _CAL + "SELECT doc_id, agent, " + ", ".join(f"h_{x}, j_{x}" for x in _DIMENSIONS) + ", h_pass, j_pass, h_mode, j_mode FROM x")
 def _(t):
-    j = t.table("labels").join(t.table("documents").select("doc_id", (F.length("text") > 1000).cast("int").alias("judge")), "doc_id")
-    return j.select("doc_id", "quality", "judge")
+    """A label by a human and the judge's scores of the same output, by task and agent."""
+    return _cal(t).select("doc_id", "agent", *[f"{who}_{x}" for x in _DIMENSIONS for who in "hj"], "h_pass", "j_pass", "h_mode", "j_mode")
 
 
 @query("src_08_label_scan", "SELECT doc_id, quality, toxic FROM labels WHERE quality = 1")
@@ -334,25 +363,31 @@ def _(t):
     )
 
 
-_CAL = """WITH x AS (SELECT quality AS h, CASE WHEN length(d.text) > 1000 THEN 1 ELSE 0 END AS j FROM labels JOIN documents d USING (doc_id))
-"""
-
-
-def _cal(t):
-    d = t.table("documents").select("doc_id", (F.length("text") > 1000).cast("int").alias("j"))
-    return t.table("labels").select("doc_id", F.col("quality").alias("h")).join(d, "doc_id")
-
-
-@query("agg_28_calibration", _CAL + "SELECT count(*) AS n, round(avg(CASE WHEN h = j THEN 1 ELSE 0 END), 4) AS agreement, round(avg(abs(h - j)), 4) AS mean_delta FROM x")
+@query("agg_28_calibration", _CAL + "SELECT count(*) AS total, round(avg(CASE WHEN h_pass = j_pass THEN 1 ELSE 0 END), 3) AS pass_agreement, " + ", ".join(f"round(avg(abs(h_{x} - j_{x})), 2) AS {x}" for x in _DIMENSIONS)
+  + f", round(avg(({' + '.join(f'abs(h_{x} - j_{x})' for x in _DIMENSIONS)}) / 4), 2) AS mean_delta, round(coalesce(avg(CASE WHEN h_mode = j_mode THEN 1 ELSE 0 END) FILTER (h_mode <> 'none'), 1), 3) AS mode_agreement FROM x")
 def _(t):
-    return _cal(t).agg(F.count("*").alias("n"), F.round(F.avg((F.col("h") == F.col("j")).cast("int")), 4).alias("agreement"), F.round(F.avg(F.abs(F.col("h") - F.col("j"))), 4).alias("mean_delta"))
+    """How a judge agrees with humans: pass or fail, each dimension, and the mode of what humans call a failure (1 if they call
+    nothing one)."""
+    delta = {x: F.abs(F.col(f"h_{x}") - F.col(f"j_{x}")) for x in _DIMENSIONS}
+    share = lambda c: F.avg(c.cast("int"))
+    same = F.when(F.col("h_mode") != "none", F.col("h_mode") == F.col("j_mode"))
+    return _cal(t).agg(
+        F.count("*").alias("total"), F.round(share(F.col("h_pass") == F.col("j_pass")), 3).alias("pass_agreement"), *[F.round(F.avg(x), 2).alias(k) for k, x in delta.items()],
+        F.round(F.avg(sum(delta.values(), F.lit(0)) / 4), 2).alias("mean_delta"), F.round(F.coalesce(share(same), F.lit(1.0)), 3).alias("mode_agreement"),
+    )
 
 
-@query("agg_35_kappa", _CAL + ", p AS (SELECT avg(CASE WHEN h = j THEN 1 ELSE 0 END) AS po, avg(h) AS ph, avg(j) AS pj FROM x) SELECT round((po - (ph * pj + (1 - ph) * (1 - pj))) / (1 - (ph * pj + (1 - ph) * (1 - pj))), 4) AS kappa FROM p")
+@query("agg_35_kappa", _CAL + """, rt AS (SELECT doc_id, CASE WHEN v THEN 'pass' ELSE 'fail' END AS label, count(*) AS n FROM (SELECT doc_id, unnest([h_pass, j_pass, h_faithfulness >= 4, j_coherence >= 4]) AS v FROM x) GROUP BY ALL),
+it AS (SELECT doc_id, sum(n) AS r, sum(n * (n - 1)) AS same, max(n) AS most FROM rt GROUP BY doc_id),
+ag AS (SELECT CAST(max(r) AS BIGINT) AS raters, count(*) AS items, sum(same) / (count(*) * max(r) * (max(r) - 1)) AS seen, count(*) FILTER (2 * most > r) / count(*) AS majority FROM it),
+ch AS (SELECT sum(s * s) / (SELECT CAST(items * raters AS DOUBLE) ** 2 FROM ag) AS chance FROM (SELECT sum(n) AS s FROM rt GROUP BY label))
+SELECT raters, items, round((seen - chance) / (1 - chance), 4) AS kappa, round(majority, 4) AS majority FROM ag, ch""")
 def _(t):
-    p = _cal(t).agg(F.avg((F.col("h") == F.col("j")).cast("int")).alias("po"), F.avg("h").alias("ph"), F.avg("j").alias("pj"))
-    pe = F.col("ph") * F.col("pj") + (1 - F.col("ph")) * (1 - F.col("pj"))
-    return p.select(F.round((F.col("po") - pe) / (1 - pe), 4).alias("kappa"))
+    """Four raters' verdicts on each output: their agreement beyond chance, and how often most of them agree."""
+    verdicts = F.array("h_pass", "j_pass", F.col("h_faithfulness") >= 4, F.col("j_coherence") >= 4)
+    rated = _cal(t).select("doc_id", F.explode(verdicts).alias("v")).groupBy("doc_id", F.when(F.col("v"), "pass").otherwise("fail").alias("label")).agg(F.count("*").alias("n"))
+    k = st.fleiss_kappa(rated, ["doc_id"])
+    return k.select("raters", "items", F.round("kappa", 4).alias("kappa"), F.round("majority", 4).alias("majority"))
 
 
 # Conversations.
@@ -442,11 +477,9 @@ def _(t):
     return _tagged(t).groupBy("run_id").agg(F.count_if(old).alias("older"), F.count_if(F.col("side") == "newer").alias("newer"), chars.alias("older_chars"), F.array_join(ids, ",").alias("ids"))
 
 
-@query("fn_23_flatten_messages", MESSAGES + "SELECT run_id, sha256(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS flat FROM messages GROUP BY run_id")
+@query("fn_23_flatten_messages", MESSAGES + "SELECT run_id, sha256(string_agg(CASE WHEN role = 'user' THEN text || chr(10) || 'result of ' || run_id || '-' || turn ELSE text END, chr(10) ORDER BY turn)) AS flat FROM messages GROUP BY run_id")
 def _(t):
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    flat = F.array_join(F.transform(ordered, lambda m: F.concat(m["role"], F.lit(": "), m["text"])), "\n")
-    return t.messages.groupBy("run_id").agg(F.sha2(flat, 256).alias("flat"))
+    return cv.flatten(t.blocks).select("run_id", F.sha2("flat", 256).alias("flat"))
 
 
 @query("jn_22_message_to_task", GRAPH + ", messages AS (SELECT conv_id AS run_id, turn FROM conversations) SELECT m.run_id, m.turn, t.task_id FROM messages m JOIN tasks t ON t.run_id || '-' || t.seq = m.run_id || '-' || m.turn")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import statistics as st
 from ..operators import graph as g
 from ..operators import ranking as rk
 from ..operators import windows as w
@@ -331,32 +332,42 @@ def _(t):
     return _sweep(t).select("config", "task_id", "score")
 
 
-_PER_RUN = _SWEEP + """, rn AS (SELECT run_id, count(*) FILTER (status <> 'completed') = 0 AS done, CAST(coalesce(sum(k), 0) AS BIGINT) AS tokens FROM tasks
-  LEFT JOIN (SELECT task_id, sum(tokens) AS k FROM operations GROUP BY task_id) USING (task_id) GROUP BY run_id),
+_PER_RUN = _SWEEP + """, rn AS (SELECT run_id, count(*) FILTER (status <> 'completed') = 0 AS done, CAST(coalesce(sum(k), 0) AS BIGINT) AS tokens, coalesce(date_diff('day', min(a), max(z)), 0) AS latency FROM tasks
+  LEFT JOIN (SELECT task_id, sum(tokens) AS k, min(o.at) AS a, max(o.at) AS z FROM operations o GROUP BY task_id) USING (task_id) GROUP BY run_id),
 pr AS (SELECT config, run_id, CAST(floor(sum(score) / count(*)) AS BIGINT) AS q FROM sw GROUP BY config, run_id),
-sm AS (SELECT config, count(*) AS n, sum(q) AS sq, avg(q) AS mean, stddev_samp(q) AS sd, avg(CASE WHEN done THEN 1 ELSE 0 END) AS completed, avg(tokens) AS tokens FROM pr JOIN rn USING (run_id) GROUP BY config)
+sm AS (SELECT config, count(*) AS n, sum(q) AS sq, avg(q) AS mean, stddev_samp(q) AS sd, avg(CASE WHEN done THEN 1 ELSE 0 END) AS completed, avg(tokens) AS tokens, avg(latency) AS latency FROM pr JOIN rn USING (run_id) GROUP BY config)
 """
 
 
 def _per_run(t):
     """Quality of each run under each configuration, with what the run did."""
-    used = t.operations.groupBy("task_id").agg(F.sum("tokens").alias("k"))
+    used = t.operations.groupBy("task_id").agg(F.sum("tokens").alias("k"), F.min("at").alias("a"), F.max("at").alias("z"))
     runs = t.tasks.select("run_id", "task_id", "status").join(used, "task_id", "left").groupBy("run_id")
-    runs = runs.agg((F.count_if(F.col("status") != "completed") == 0).alias("done"), F.coalesce(F.sum("k"), F.lit(0)).alias("tokens"))
+    runs = runs.agg((F.count_if(F.col("status") != "completed") == 0).alias("done"), F.coalesce(F.sum("k"), F.lit(0)).alias("tokens"), F.coalesce(F.datediff(F.max("z"), F.min("a")), F.lit(0)).alias("latency"))
     q = _sweep(t).groupBy("config", "run_id").agg(F.floor(F.sum("score") / F.count("*")).alias("q"))
     return q.join(runs, "run_id")
 
 
-@query("agg_24_sweep_summary", _PER_RUN + """SELECT config, n, round(mean, 2) AS mean, round(sd, 2) AS sd, round(CASE WHEN n > 30 THEN 1.96::DOUBLE * sd / sqrt(n) END, 2) AS half, round(completed, 4) AS completed, round(tokens, 2) AS tokens FROM sm""")
-def _(t):
-    n, sd = F.count("*"), F.stddev_samp("q")
-    half = F.when(n > 30, F.lit(1.96) * sd / F.sqrt(n))
+_T = ", ".join(str(x) for x in st.T_95)
+_SWEPT = _PER_RUN + f""", sv AS (SELECT *, coalesce(CASE WHEN n > 1 THEN (CASE WHEN n <= 30 THEN [{_T}][n - 1]::DOUBLE ELSE 1.96::DOUBLE END) * sd / sqrt(n) END, 0) AS half FROM sm)
+"""
+
+
+def sweep_summary(t):
+    """Quality, its interval, completion, tokens and latency of the runs under each configuration."""
+    q = F.col("q")
     return _per_run(t).groupBy("config").agg(
-        n.alias("n"), F.round(F.avg("q"), 2).alias("mean"), F.round(sd, 2).alias("sd"), F.round(half, 2).alias("half"),
-        F.round(F.avg(F.col("done").cast("int")), 4).alias("completed"), F.round(F.avg("tokens"), 2).alias("tokens"),
+        F.count("*").alias("n"), st.mean(q).alias("mean"), st.sd(q).alias("sd"), *st.interval(q), F.avg(F.col("done").cast("int")).alias("completed"), F.avg("tokens").alias("tokens"),
+        F.avg("latency").alias("latency"),
     )
 
 
+@query("agg_24_sweep_summary", _SWEPT + "SELECT config, n, round(mean, 2) AS mean, round(coalesce(sd, 0), 2) AS sd, round(mean - half, 2) AS lower, round(mean + half, 2) AS upper, round(completed, 4) AS completed, round(tokens, 2) AS tokens, round(latency, 2) AS latency FROM sv")
+def _(t):
+    digits = {"mean": 2, "sd": 2, "lower": 2, "upper": 2, "completed": 4, "tokens": 2, "latency": 2}
+    return sweep_summary(t).select("config", "n", *[F.round(k, n).alias(k) for k, n in digits.items()])
+
+
 @query("agg_25_score_matrix", _SWEEP + "SELECT task_id, " + ", ".join(f"max(score) FILTER (config = '{k}') AS \"{k}\"" for k in rk.SWEEP) + " FROM sw GROUP BY task_id")
 def _(t):
     return _sweep(t).groupBy("task_id").pivot("config", list(rk.SWEEP)).agg(F.max("score"))

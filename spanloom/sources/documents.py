@@ -81,3 +81,19 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: list[str], backfill: l
     j = existing.alias("e").join(incoming.alias("i"), key, "full_outer")
     keep = [F.coalesce(F.nullif(F.col(f"e.{c}"), F.lit("")), F.col(f"i.{c}")).alias(c) for c in backfill]
     return j.select(*key, *keep, *[F.coalesce(F.col(f"i.{c}"), F.col(f"e.{c}")).alias(c) for c in refresh])
+
+
+def append_batches(rows: DataFrame, folder: str, by: list[str]) -> None:
+    """Append ``rows`` below ``folder``, partitioned by the columns ``by``, which name a batch among them: a batch that is
+    written again replaces itself, and others stay. A job that fails leaves no partition half written, as Spark moves
+    finished files in at its end."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(folder)
+
+
+def append_edges(edges: DataFrame, sources: DataFrame, targets: DataFrame, folder: str, by: list[str]) -> None:
+    """Append ``edges(src, dst, ...)`` both ends of which exist to ``folder/kept=true``, and the skipped ones, in the same
+    job, to the side table ``folder/kept=false``. ``sources`` and ``targets`` have an ``id``."""
+    here = lambda nodes, c: nodes.select(F.col("id").alias(c), F.lit(True).alias(f"has_{c}")).dropDuplicates([c])
+    found = edges.join(here(sources, "src"), "src", "left").join(here(targets, "dst"), "dst", "left")
+    kept = F.coalesce(F.col("has_src") & F.col("has_dst"), F.lit(False))
+    append_batches(found.withColumn("kept", kept).drop("has_src", "has_dst"), folder, ["kept", *by])

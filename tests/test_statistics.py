@@ -57,7 +57,7 @@ def test_p_values_of_any_degrees(spark):
     for r in df.collect():
         assert abs(r.p - closed(r.t, r.df)) < 1e-9, r
     labels = spark.createDataFrame([(0.0004,), (0.001,), (0.0495,), (0.5,)], "p double").select(st.p_label(F.col("p")).alias("x"))
-    assert [r.x for r in labels.collect()] == ["<0.001", "0.001", "0.050", "0.500"]
+    assert [r.x for r in labels.collect()] == ["< .001", "< .01", "0.050", "0.500"]
 
 
 def test_kappa_of_many_raters(spark):
