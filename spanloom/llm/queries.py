@@ -214,6 +214,58 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
 """
 
 
+#: CRC-32 of an ASCII text column, byte by byte, with a table made by its rule.
+_CRC = "xor(list_reduce([4294967295::BIGINT] || list_transform(string_split({0}, ''), lambda x: ascii(x)::BIGINT), lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
+_CRC_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce([i::BIGINT] || range(8), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS tbl"
+
+
+def _best(*options: str) -> str:
+    """The least of some survivors, by cost, then audit; null if there is none."""
+    return f"list_sort(list_filter([{', '.join(options)}], lambda x: x IS NOT NULL))[1]"
+
+
+def _edit(state: str, cost: str, letter: str, row: str | None, when: str = "true") -> str:
+    text = f"{state}.t" if row is None else f"CASE WHEN {state}.t = '' AND NOT contains({state}.a, 'K') AND NOT contains({state}.a, 'R') AND NOT contains({state}.a, 'I') THEN {row} ELSE {state}.t || chr(10) || {row} END"
+    return f"CASE WHEN {state} IS NOT NULL AND {when} THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {text}}} END"
+
+
+_STAY = "fault IN ('', 'truncated')"
+_PAY = "CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END"
+_NONE = "CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, t VARCHAR))"
+_STEP = f"""SELECT conv_id, k, d0, {_best("ds", _edit("s0", _PAY, "K", "whole", f"{_STAY} AND ini = 's'"))} AS d1,
+  {_best("du", *[_edit(s, _PAY, "K", "whole", f"{_STAY} AND ini = 'u'") for s in ("s0", "ss", "sa")], *[_edit(s, f"3 + {_PAY}", "R", "'user:' || text", _STAY) for s in ("s0", "ss", "sa")])} AS d2,
+  {_best("da", _edit("su", _PAY, "K", "whole", f"{_STAY} AND ini = 'a'"), _edit("su", f"3 + {_PAY}", "R", "'assistant:' || text", _STAY))} AS d3
+  FROM (SELECT f.*, r.fault, r.ini, r.text, r.role || ':' || r.text AS whole, r.k, {', '.join(f"{_edit(s, '4', 'D', None)} AS {d}" for s, d in (("s0", "d0"), ("ss", "ds"), ("su", "du"), ("sa", "da")))}
+    FROM (SELECT conv_id, k AS was, s0, ss, su, sa FROM fold) f JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM f.conv_id AND r.k = f.was + 1)"""
+_FILLED = f"""SELECT conv_id, k, s0, ss, su, {_best("d3", _edit("su", "3", "I", "'assistant:'"))} AS sa
+  FROM (SELECT conv_id, k, d0 AS s0, d1 AS ss, {_best("d2", _edit("d0", "3", "I", "'user:'"), _edit("d1", "3", "I", "'user:'"), _edit("d3", "3", "I", "'user:'"))} AS su, d3 FROM ({{0}}))"""
+OP11_SQL = rf"""
+WITH RECURSIVE tb AS ({_CRC_TABLE}),
+c0 AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC.format("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS x FROM conversations, tb),
+c1 AS (SELECT conv_id, turn, CASE WHEN x = 4 THEN 'user' ELSE role END AS role, CASE x WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN x = 3 THEN 2 ELSE 1 END)) AS copy FROM c0 WHERE x <> 0),
+c2 AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS k, regexp_extract(text, '(?s)([^ 	-])[ 	-]*$', 1) AS fin, substr(role, 1, 1) AS ini FROM c1),
+rows_ AS (SELECT *, CASE WHEN fin = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate' WHEN fin NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(ini) OVER (PARTITION BY conv_id ORDER BY k) AS pre FROM c2),
+fold AS (SELECT * FROM ({_FILLED.replace("{0}", f"SELECT DISTINCT conv_id, 0::BIGINT AS k, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS d0, {_NONE} AS d1, {_NONE} AS d2, {_NONE} AS d3 FROM rows_")})
+  UNION ALL SELECT * FROM ({_FILLED.replace("{0}", _STEP)})),
+fin AS (SELECT conv_id, {_best("s0", "sa")} AS b FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY k DESC) AS z FROM fold) WHERE z = 1),
+st AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (k > 1 AND pre || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM rows_ GROUP BY conv_id)
+SELECT i.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(b.c, 0) AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(b.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN st ON st.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN fin ON fin.conv_id IS NOT DISTINCT FROM i.conv_id
+"""
+
+OP12_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex({_LOW.format("coalesce(text, '')")}, '[ 	-]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM d),
+x AS (SELECT doc_id, len(g) AS n, unnest(g) AS h FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m, any_value(a.n + b.n) AS both_n FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p WHERE 100 * m >= 85 * (both_n - m)), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept FROM s JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = s.doc_id
+"""
+
+
 #: The base columns of op9; labels and score of the method are not for SQL.
 OP9_BASE_SQL = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -250,4 +302,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_exact_dedup": OP4_SQL,
         "op5_url_filter": OP5_SQL,
         "op7_line_dedup": OP7_SQL,
+        "op11_conversation_repair": OP11_SQL,
+        "op12_minmax_dedup": OP12_SQL,
     }
