@@ -138,7 +138,7 @@ def test_appends_can_be_repeated(spark, tmp_path):
     d.append_edges(edges([(1, 2, 1), (1, 9, 1), (8, 2, 1)]), nodes, nodes, folder, ["batch"])
     d.append_edges(edges([(2, 1, 2)]), nodes, nodes, folder, ["batch"])
     d.append_edges(edges([(1, 2, 1), (1, 9, 1), (8, 2, 1)]), nodes, nodes, folder, ["batch"])  # once more
-    got = spark.read.parquet(folder).select("src", "dst", "batch", "kept").collect()
+    got = spark.read.schema("src long, dst long, kept boolean, batch int").parquet(folder).select("src", "dst", "batch", "kept").collect()
     assert sorted(map(tuple, got)) == [(1, 2, 1, True), (1, 9, 1, False), (2, 1, 2, True), (8, 2, 1, False)]
 
 
