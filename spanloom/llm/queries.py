@@ -243,7 +243,9 @@ OP11_SQL = rf"""
 WITH RECURSIVE tb AS ({_CRC_TABLE}),
 c0 AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC.format("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS x FROM conversations, tb),
 c1 AS (SELECT conv_id, turn, CASE WHEN x = 4 THEN 'user' ELSE role END AS role, CASE x WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN x = 3 THEN 2 ELSE 1 END)) AS copy FROM c0 WHERE x <> 0),
-c2 AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS k, regexp_extract(text, '(?s)([^ 	-])[ 	-]*$', 1) AS fin, substr(role, 1, 1) AS ini FROM c1),
+c2 AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS k, regexp_extract(text, '(?s)([^ 	-
+])[ 	-
+]*$', 1) AS fin, substr(role, 1, 1) AS ini FROM c1),
 rows_ AS (SELECT *, CASE WHEN fin = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate' WHEN fin NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(ini) OVER (PARTITION BY conv_id ORDER BY k) AS pre FROM c2),
 fold AS (SELECT * FROM ({_FILLED.replace("{0}", f"SELECT DISTINCT conv_id, 0::BIGINT AS k, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS d0, {_NONE} AS d1, {_NONE} AS d2, {_NONE} AS d3 FROM rows_")})
   UNION ALL SELECT * FROM ({_FILLED.replace("{0}", _STEP)})),
@@ -256,7 +258,8 @@ FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN st ON st.conv_id I
 """
 
 OP12_SQL = rf"""
-WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex({_LOW.format("coalesce(text, '')")}, '[ 	-]+'), lambda x: x <> '') AS w FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex({_LOW.format("coalesce(text, '')")}, '[ 	-
+]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM d),
 x AS (SELECT doc_id, len(g) AS n, unnest(g) AS h FROM s),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m, any_value(a.n + b.n) AS both_n FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
@@ -266,6 +269,27 @@ SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, c.component_id, s.doc_id
 """
 
 
+OP13_SQL = rf"""
+WITH tb AS ({_CRC_TABLE}),
+d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, w, len(w) AS n, {_CRC.format("CAST(doc_id AS VARCHAR)")} AS h FROM d, tb),
+a AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a FROM g), p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a),
+e AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) END AS w FROM p),
+wd AS (SELECT doc_id, n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS x FROM e),
+gr AS (SELECT doc_id, n, i, array_to_string(w[i + 1:i + 16], ' ') AS gm FROM (SELECT doc_id, n, w, unnest(range(n - 15)) AS i FROM e WHERE n >= 24)),
+lags AS (SELECT DISTINCT u.doc_id, v.i - u.i AS q FROM gr u JOIN gr v ON u.doc_id = v.doc_id AND u.gm = v.gm AND v.i > u.i AND 3 * (v.i - u.i) <= u.n),
+same AS (SELECT l.doc_id, q, u.x FROM lags l JOIN wd u ON u.doc_id = l.doc_id JOIN wd v ON v.doc_id = l.doc_id AND v.x = u.x + q AND v.word = u.word),
+st AS (SELECT doc_id, q, min(x) AS s, max(x) + 1 + q AS z FROM (SELECT *, x - row_number() OVER (PARTITION BY doc_id, q ORDER BY x) AS k FROM same) GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(24, 3 * q)),
+runs AS (SELECT doc_id, s, z - s AS len, min(q) AS q FROM st GROUP BY doc_id, s, z),
+ag AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS listed, list({{'s': s, 'len': len, 'q': q}} ORDER BY len / q DESC, s, q)[1] AS top FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS x FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY x) AS left_ FROM wd ANTI JOIN gone USING (doc_id, x) GROUP BY doc_id)
+SELECT e.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(top.s AS BIGINT) AS start, CAST(top.len AS BIGINT) AS length, CAST(top.q AS BIGINT) AS period, CAST(1000 * top.len // top.q AS BIGINT) AS exponent_milli,
+  sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(left_, '')) AS collapsed_sha256
+FROM e LEFT JOIN ag USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 #: The base columns of op9; labels and score of the method are not for SQL.
 OP9_BASE_SQL = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -304,4 +328,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_line_dedup": OP7_SQL,
         "op11_conversation_repair": OP11_SQL,
         "op12_minmax_dedup": OP12_SQL,
+        "op13_periodic_runs": OP13_SQL,
     }
