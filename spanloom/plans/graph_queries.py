@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators import assertions as ga
 from ..operators import graph as g

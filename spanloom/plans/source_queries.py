@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import scalars as sc
 from ..functions import statistics as st
 from ..operators import facts as fx
-from ..operators import graph as g
 from ..operators import table_functions as tf
 from ..sources import documents as d
 from ..streaming import flows

@@ -10,7 +10,6 @@ from ..operators import graph as g
 from ..operators import ranking as rk
 from ..operators import windows as w
 from .bindings import EVENTS, GRAPH
-from .graph_queries import _FLOW
 from .registry import query
 
 _MADE = """, made AS (SELECT t.run_id, p.op_id, a.artifact_id, a.name, a.content_hash FROM produces p JOIN tasks t USING (task_id) JOIN artifacts a USING (artifact_id))
@@ -155,6 +154,9 @@ _MILLIONTHS = "CAST(floor({} * 1000000 + 0.5) AS BIGINT)"
 
 
 def _dims(t):
+    """Operations are numbered by a sort over all lines; what is used here and beside it reads them from a table."""
+    if "stored" not in vars(t):
+        t.operations = t.stored = t.write(t.operations)
     return rk.dimensions(t.tasks.withColumn("described", F.col("role") == "subagent"), t.operations, t.produces, t.artifacts, t.consumes)
 
 
