@@ -16,6 +16,15 @@ MIME = {
     "log": "text/plain", "txt": "text/plain",
 }
 
+#: Those of them beyond Latin, and a pattern of the others, which Java looks up in a table.
+WIDE_BLANKS = "\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+NARROW_BLANK = r"[\t-\r \xa0]"
+
+
+def narrow_blanks(text: Column) -> Column:
+    """The text with wide blanks as spaces. Few texts have any, and a look for one is much cheaper than a pattern of all."""
+    return F.when(F.rlike(text, F.lit(r"[\x{1680}-\x{feff}]")), F.translate(text, WIDE_BLANKS, " " * len(WIDE_BLANKS))).otherwise(text)
+
 
 def estimate_tokens(text: Column) -> Column:
     """UTF-16 units by 3 if at least 30 % of the first 512 characters are other than ASCII letters,

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import BLANK
+from ..functions.scalars import NARROW_BLANK, narrow_blanks
 
 #: A list of hashes and numbers of up to so many bytes is broadcast.
 BROADCAST_BYTES = 10_000_000
@@ -21,7 +21,7 @@ BLOCK = 64
 
 def tokens(text: Column) -> Column:
     """Lower-cased words of a text, between blanks."""
-    return F.array_remove(F.split(F.lower(text), BLANK + "+"), "")
+    return F.array_remove(F.split(narrow_blanks(F.lower(text)), NARROW_BLANK + "+"), "")
 
 
 def quoting(outputs: DataFrame, phrases: DataFrame, k: int = 5, write: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> DataFrame:
@@ -52,7 +52,8 @@ def quoting(outputs: DataFrame, phrases: DataFrame, k: int = 5, write: Callable[
         hits = met if hits is None else hits.unionByName(met)
     if hits is None:
         return outputs.select("output_id").limit(0).join(phrases.select("phrase_id").limit(0), F.lit(True))
-    met = hits.join(w, "output_id").join(phrases.select("phrase_id", "words"), "phrase_id")
+    # The output's words, the long side, are joined last: they are shuffled once for each output.
+    met = hits.join(phrases.select("phrase_id", "words"), "phrase_id").join(w, "output_id")
     return met.where(F.slice("w", F.col("begin") + 1, F.size("words")) == F.col("words")).select("output_id", "phrase_id").distinct()
 
 

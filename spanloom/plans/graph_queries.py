@@ -255,6 +255,8 @@ SELECT 'down' AS search, run_id, node_kind, node, CAST(min(hops) AS INTEGER) AS
 def _(t):
     """What each run leads to over all kinds of edges within five hops, and what lies within four hops, both ways, of
     each run's first artifact, over what made it."""
+    # Most kinds of edges read tasks or operations, which are numbered by a sort.
+    t.tasks, t.operations = t.write(t.tasks), t.write(t.operations)
     folder, edges = shared_folder(t), _edges(t)
     name = "edges_" + folder.rpartition("-")[2]
     forward = g.write_adjacency(edges, folder, name)
