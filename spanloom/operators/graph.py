@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -46,45 +46,62 @@ EDGE = ("kind", "src_kind", "src", "dst_kind", "dst")
 _NODE = ["node_kind", "node"]
 
 
-def write_adjacency(edges: DataFrame, folder: str, name: str, both: bool = False, buckets: int | None = None) -> DataFrame:
-    """Write ``edges`` as a table bucketed and sorted by the node they lead from, so that a search shuffles
-    what it looks up and never the edges. With ``both`` each edge is there in both directions."""
+def write_adjacency(edges: DataFrame, folder: str, name: str, turned: bool = False, buckets: int | None = None) -> str:
+    """Write ``edges`` as table ``name``, parted by the kinds of edges and nodes and bucketed by the number of the node they
+    lead from, so that a search reads the kinds it has come to, shuffles what it looks up and never the edges. ``turned``
+    edges lead from what they led to."""
     spark = edges.sparkSession
     e = edges.select(*EDGE)
-    if both:
-        turned = e.select("kind", F.col("dst_kind").alias("src_kind"), F.col("dst").alias("src"), F.col("src_kind").alias("dst_kind"), F.col("src").alias("dst"))
-        e = e.union(turned)
+    if turned:
+        e = e.select("kind", F.col("dst_kind").alias("src_kind"), F.col("dst").alias("src"), F.col("src_kind").alias("dst_kind"), F.col("src").alias("dst"))
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # One file for each bucket, not one for each bucket and task.
-    e.repartition(n, "src_kind", "src").write.bucketBy(n, "src_kind", "src").sortBy("src_kind", "src").option("path", f"{folder}/{name}").saveAsTable(name)
-    return spark.table(name)
+    # One file for each kind and bucket, not one for each of them and each task.
+    e = e.repartition(n, "src")
+    e.write.partitionBy("src_kind", "dst_kind", "kind").bucketBy(n, "src").sortBy("src").option("path", f"{folder}/{name}").saveAsTable(name)
+    return name
 
 
-def reachable(adjacency: DataFrame, roots: DataFrame, depth: int, folder: str, kinds: list[str] | tuple[str, ...] | None = None, both: bool = False) -> DataFrame:
+def reachable(adjacency: list[str], roots: DataFrame, depth: int, folder: str, kinds: list[str] | tuple[str, ...] | None = None) -> DataFrame:
     """``run_id, node_kind, node, hops``: nodes within ``depth`` hops of ``roots(run_id, node_kind, node)`` over the
-    edges of ``write_adjacency``, with the least number of hops. ``kinds`` follows edges of these kinds only.
+    edges of the tables of ``write_adjacency``, with the least number of hops. ``kinds`` follows edges of these kinds
+    only; a table of edges and one of the same turned give both directions.
 
     Each level looks its frontier up in the edges, takes nodes once, drops those of earlier levels, so cycles end, and is
-    written below ``folder``, which cuts the lineage. Over edges in ``both`` directions a step leads back to the
-    level itself or the one before it, so only these are looked at.
+    written below ``folder``, which cuts the lineage. The catalog tells which kinds of nodes lead to which, and the job
+    that writes a level which kinds it holds: so the next one reads the edges that start there, joins by number alone, and
+    compares with earlier levels that hold a kind it may reach. The search ends where no kind leads on.
     """
     spark = roots.sparkSession
-    e = adjacency if kinds is None else adjacency.where(F.col("kind").isin(list(kinds)))
-    e = e.select("src_kind", "src", "dst_kind", "dst")
-    levels: list[DataFrame] = []
+    follow = []
+    for name in adjacency:
+        parts = [dict(x.split("=") for x in row[0].split("/")) for row in spark.sql(f"SHOW PARTITIONS {name}").collect()]
+        pairs = {(int(x["src_kind"]), int(x["dst_kind"])) for x in parts if kinds is None or x["kind"] in kinds}
+        e = spark.table(name)
+        follow.append((e if kinds is None else e.where(F.col("kind").isin(list(kinds))), pairs))
+    levels: list[tuple[DataFrame, set[int]]] = []
+    key = ["run_id", *_NODE]
 
     def put(frontier: DataFrame) -> None:
-        path = f"{folder}/level-{len(levels)}"
-        frontier.write.parquet(path)
-        levels.append(spark.read.schema(frontier.schema).parquet(path))
+        path, seen = f"{folder}/level-{len(levels)}", Observation()
+        frontier.select(*key).observe(seen, F.collect_set("node_kind").alias("held")).write.partitionBy("node_kind").parquet(path)
+        levels.append((spark.read.schema(frontier.schema).parquet(path).select(*key), set(seen.get["held"])))
 
-    put(roots.select("run_id", *_NODE).distinct())
+    put(roots.select(*key).distinct())
     for _ in range(depth):
-        last = levels[-1]
-        step = last.join(e, (last["node_kind"] == e["src_kind"]) & (last["node"] == e["src"])).select("run_id", F.col("dst_kind").alias("node_kind"), F.col("dst").alias("node"))
-        before = reduce(DataFrame.union, levels[-2:] if both else levels)
-        put(step.distinct().join(before, ["run_id", *_NODE], "left_anti"))
-    return reduce(DataFrame.union, [x.withColumn("hops", F.lit(k)) for k, x in enumerate(levels)])
+        last, held = levels[-1]
+        steps, reached = [], set()
+        for e, pairs in follow:
+            for k in sorted(held & {a for a, _ in pairs}):
+                at, to = last.where(F.col("node_kind") == k).select("run_id", "node"), e.where(F.col("src_kind") == k)
+                step = at.join(to.select("src", "dst_kind", "dst"), F.col("node") == F.col("src"))
+                steps.append(step.select("run_id", F.col("dst_kind").alias("node_kind"), F.col("dst").alias("node"), F.lit(True).alias("fresh")))
+                reached |= {b for a, b in pairs if a == k}
+        if not steps:
+            break
+        met = [x.where(F.col("node_kind").isin(sorted(had & reached))).select(*key, F.lit(False).alias("fresh")) for x, had in levels if had & reached]
+        # A node is new if no earlier level has it: one aggregate instead of a distinct and a join.
+        put(reduce(DataFrame.union, steps + met).groupBy(*key).agg(F.bool_and("fresh").alias("fresh")).where("fresh").select(*key))
+    return reduce(DataFrame.union, [x.withColumn("hops", F.lit(k)) for k, (x, _) in enumerate(levels)])
 
 
 def nested_lineage(runs: DataFrame, tasks: DataFrame, operations: DataFrame, produces: DataFrame) -> DataFrame:

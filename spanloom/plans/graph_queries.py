@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import assertions as ga
 from ..operators import graph as g
@@ -228,23 +229,27 @@ up AS (SELECT * FROM edges WHERE kind IN ('produces', 'has_operation', 'contains
 
 def _edges(t):
     edge = lambda df, kind, a, src, b, dst: df.select(F.lit(kind).alias("kind"), F.lit(a).alias("src_kind"), F.col(src).cast("long").alias("src"), F.lit(b).alias("dst_kind"), dst.cast("long").alias("dst"))
-    of = t.tasks.select("task_id", "run_id")
-    made, used = t.produces.select("op_id", "task_id", "artifact_id").join(of, "task_id"), t.consumes.join(of, "task_id")
-    came = used.select("run_id", "artifact_id").distinct().join(made, ["run_id", "artifact_id"], "left_anti")
-    parent = t.tasks.select("run_id", (F.col("seq") + 1).alias("seq"), F.col("task_id").alias("parent"))
-    spawned = t.tasks.where("role = 'tool'").select("run_id", "seq", "task_id").join(parent, ["run_id", "seq"])
+    # Most kinds of edges read tasks or operations, which are numbered by a sort: written once, tasks with the one before
+    # each and operations with their run. What is consumed twice by a task is an edge twice, which changes no search.
+    parent = F.lag("task_id").over(Window.partitionBy("run_id").orderBy("seq")).alias("parent")
+    tasks = t.write(t.tasks.select("run_id", "task_id", "role", parent))
+    columns = ["task_id", "op_id", "op_no", "skill_id", "artifact_id", "flow"]
+    ops = t.write(t.operations.select(*columns).join(tasks.select("task_id", "run_id"), "task_id"))
+    made, used = ops.where("flow = 'O'"), ops.where("flow = 'F'")
+    flows = ops.where("flow in ('O', 'F')").groupBy("run_id", "artifact_id").agg(F.bool_or(F.col("flow") == "O").alias("own"))
+    came, spawned = flows.where("not own"), tasks.where("role = 'tool' and parent is not null")
     artifact, task = F.expr(_ART), F.col("task_id")
     parts = [
         edge(t.runs, "instantiates", RUN, "run_id", DEFINITION, F.col("definition_id")),
         edge(t.table("supplier"), "uses", DEFINITION, "s_nationkey", SKILL, F.col("s_suppkey")),
-        edge(t.tasks, "contains", RUN, "run_id", TASK, task), edge(spawned, "spawns", TASK, "parent", TASK, task),
-        edge(t.operations.where("op_no = 1"), "invokes", TASK, "task_id", SKILL, F.col("skill_id")),
-        edge(t.operations, "has_operation", TASK, "task_id", OPERATION, F.col("op_id")),
+        edge(tasks, "contains", RUN, "run_id", TASK, task), edge(spawned, "spawns", TASK, "parent", TASK, task),
+        edge(ops.where("op_no = 1"), "invokes", TASK, "task_id", SKILL, F.col("skill_id")),
+        edge(ops, "has_operation", TASK, "task_id", OPERATION, F.col("op_id")),
         edge(made, "produces", OPERATION, "op_id", ARTIFACT, artifact), edge(used, "consumes", TASK, "task_id", ARTIFACT, artifact),
         edge(came, "has_input", RUN, "run_id", ARTIFACT, artifact),
         edge(t.messages.where("role = 'system'"), "has_compaction", RUN, "run_id", COMPACTION, F.expr("run_id * 1000000 + turn")),
     ]
-    return reduce(lambda a, b: a.union(b), parts)
+    return reduce(lambda a, b: a.union(b), parts), made
 
 
 @query("jn_06_bounded_subgraph", "WITH RECURSIVE " + GRAPH[5:] + _EDGES + f""", down AS (SELECT run_id, {RUN} AS node_kind, run_id AS node, 0 AS hops FROM runs
@@ -255,19 +260,17 @@ SELECT 'down' AS search, run_id, node_kind, node, CAST(min(hops) AS INTEGER) AS
 def _(t):
     """What each run leads to over all kinds of edges within five hops, and what lies within four hops, both ways, of
     each run's first artifact, over what made it."""
-    # Most kinds of edges read tasks or operations, which are numbered by a sort.
-    t.tasks, t.operations = t.write(t.tasks), t.write(t.operations)
-    folder, edges = shared_folder(t), _edges(t)
+    folder, (edges, made) = shared_folder(t), _edges(t)
     name = "edges_" + folder.rpartition("-")[2]
     forward = g.write_adjacency(edges, folder, name)
     roots = t.runs.select("run_id", F.lit(RUN).alias("node_kind"), F.col("run_id").cast("long").alias("node"))
-    down = g.reachable(forward, roots, 5, f"{folder}/down", g.RUN_EDGES)
+    down = g.reachable([forward], roots, 5, f"{folder}/down", g.RUN_EDGES)
     up = ["produces", "has_operation", "contains"]
-    either = g.write_adjacency(forward.where(F.col("kind").isin(up)), folder, f"{name}_both", both=True)
-    first = t.produces.join(t.tasks.select("task_id", "run_id"), "task_id").groupBy("run_id").agg(F.min("artifact_id").alias("artifact_id"))
+    back = g.write_adjacency(t.spark.table(forward).where(F.col("kind").isin(up)), folder, f"{name}_back", turned=True)
+    first = made.groupBy("run_id").agg(F.min("artifact_id").alias("artifact_id"))
     first = first.select("run_id", F.lit(ARTIFACT).alias("node_kind"), F.expr(_ART).alias("node"))
-    around = g.reachable(either, first, 4, f"{folder}/around", both=True)
-    for table in (name, f"{name}_both"):
+    around = g.reachable([forward, back], first, 4, f"{folder}/around", up)
+    for table in (name, f"{name}_back"):
         t.spark.sql(f"DROP TABLE {table}")
     columns = ["run_id", "node_kind", "node", "hops"]
     return down.select(F.lit("down").alias("search"), *columns).union(around.select(F.lit("around").alias("search"), *columns))

@@ -81,20 +81,32 @@ def adjacency(spark, folder, edges, **how):
 def test_search_by_kind_and_both_ways(spark, tmp_path):
     edges = [("a", 1, 2), ("b", 2, 3), ("a", 4, 2), ("c", 4, 5)]
     roots = spark.createDataFrame([(7, 0, 1)], "run_id long, node_kind int, node long")
-    one_way, either = adjacency(spark, tmp_path, edges), adjacency(spark, tmp_path, edges, both=True)
+    there, back = adjacency(spark, tmp_path, edges), adjacency(spark, tmp_path, edges, turned=True)
 
-    def find(e, **how):
-        return {r.node: r.hops for r in g.reachable(e, roots, 3, str(tmp_path / uuid.uuid4().hex), **how).collect()}
+    def find(*e, **how):
+        return {r.node: r.hops for r in g.reachable(list(e), roots, 3, str(tmp_path / uuid.uuid4().hex), **how).collect()}
 
-    assert find(one_way) == {1: 0, 2: 1, 3: 2} and find(one_way, kinds=["a"]) == {1: 0, 2: 1}
-    assert find(either, kinds=["a", "b"], both=True) == {1: 0, 2: 1, 3: 2, 4: 2} and find(either, both=True) == {1: 0, 2: 1, 3: 2, 4: 2, 5: 3}
+    assert find(there) == {1: 0, 2: 1, 3: 2} and find(there, kinds=["a"]) == {1: 0, 2: 1}
+    assert find(there, back, kinds=["a", "b"]) == {1: 0, 2: 1, 3: 2, 4: 2} and find(there, back) == {1: 0, 2: 1, 3: 2, 4: 2, 5: 3}
+
+
+def test_search_reads_the_kinds_it_has_come_to(spark, tmp_path):
+    """A number is a node of its own in each kind; the search ends where no kind leads on; roots may be missing."""
+    rows = [("owns", 0, 1, 1, 1), ("owns", 0, 1, 1, 2), ("makes", 1, 2, 2, 1), ("makes", 1, 2, 0, 1), ("stray", 3, 1, 3, 9)]
+    e = g.write_adjacency(spark.createDataFrame(rows, "kind string, src_kind int, src long, dst_kind int, dst long"), str(tmp_path), f"edges_{uuid.uuid4().hex}", buckets=3)
+    roots = spark.createDataFrame([(7, 0, 1), (8, 1, 2), (9, 2, 5)], "run_id long, node_kind int, node long")
+    got = sorted(tuple(r) for r in g.reachable([e], roots, 9, str(tmp_path / "levels")).collect())
+    of_7 = [(7, 0, 1, 0), (7, 1, 1, 1), (7, 1, 2, 1), (7, 2, 1, 2)]
+    assert got == of_7 + [(8, 0, 1, 1), (8, 1, 1, 2), (8, 1, 2, 0), (8, 2, 1, 1), (9, 2, 5, 0)]
+    assert not (tmp_path / "levels/level-4").exists()
+    assert g.reachable([e], roots.limit(0), 9, str(tmp_path / "none")).count() == 0
 
 
 def test_levels_do_not_shuffle_the_edges(spark, tmp_path):
     """The side of the edges comes from its buckets; only the frontier is dealt out."""
-    e = adjacency(spark, tmp_path, [("a", k, k + 1) for k in range(50)])
+    e = spark.table(adjacency(spark, tmp_path, [("a", k, k + 1) for k in range(50)]))
     roots = spark.range(40).selectExpr("id AS run_id", "CAST(id % 1 AS INT) AS node_kind", "id AS node")
-    step = roots.join(e.hint("merge"), (roots.node_kind == e.src_kind) & (roots.node == e.src))
+    step = roots.join(e.where("src_kind = 0").hint("merge"), roots.node == e.src)
     plan = step._jdf.queryExecution().toString().split("Physical Plan")[1]
     scan = plan.index("FileScan")
     assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") <= 1 and "Exchange" not in plan[plan.rindex("Sort", 0, scan) : scan]
@@ -113,7 +125,7 @@ def test_facts_by_pattern_and_by_several(spark):
 def test_search_ends_on_cycles(spark, tmp_path):
     e = adjacency(spark, tmp_path, [("a", 1, 2), ("a", 2, 3), ("a", 3, 1), ("a", 3, 4)])
     roots = spark.createDataFrame([(7, 0, 1)], "run_id long, node_kind int, node long")
-    assert {r.node: r.hops for r in g.reachable(e, roots, 9, str(tmp_path / "levels")).collect()} == {1: 0, 2: 1, 3: 2, 4: 3}
+    assert {r.node: r.hops for r in g.reachable([e], roots, 9, str(tmp_path / "levels")).collect()} == {1: 0, 2: 1, 3: 2, 4: 3}
 
 
 @pytest.mark.parametrize(
