@@ -24,6 +24,8 @@ ROUNDS = 20
 PASSES = 4
 #: Shards whose draws are summed in one window.
 SHARD_GROUP = 4096
+#: Sources in a range whose sums one task runs through.
+RANGE_ROWS = 100_000
 #: A word: a run of non-blanks.
 RUN = "[^" + BLANK[1:] + "+"
 #: More sources than this are joined by shuffling instead of broadcasting.
@@ -50,31 +52,43 @@ def swap_or_not(i: Column, back: bool = False) -> Column:
     return F.aggregate(rounds, i, step)
 
 
+def running(df: DataFrame, rows: int, order: list, name: str, **sums: Column) -> DataFrame:
+    """``df``, of ``rows`` rows, with a column for each of ``sums``: its sum over all rows before in ``order``, which
+    leaves no ties. Ranges of rows are summed each in its own task, what comes before a range from one row for each."""
+    own, base = {k: f"{k}__own" for k in sums}, {k: f"{k}__base" for k in sums}
+    ranges = df.withColumns({own[k]: c for k, c in sums.items()}).repartitionByRange(max(1, -(-rows // RANGE_ROWS)), *order)
+    ranges = materialize(ranges.withColumn("range", F.spark_partition_id()), name)
+    inside = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = ranges.groupBy("range").agg(*[F.sum(c).alias(c) for c in own.values()])
+    bases = bases.select("range", *[F.coalesce(F.sum(own[k]).over(across), F.lit(0)).alias(base[k]) for k in sums])
+    out = ranges.join(F.broadcast(bases), "range")
+    out = out.withColumns({k: F.coalesce(F.sum(own[k]).over(inside), F.lit(0)) + F.col(base[k]) for k in sums})
+    return out.drop("range", *own.values(), *base.values())
+
+
 def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weights=WEIGHTS) -> DataFrame:
-    """``source, source_size, target`` for each source of ``sizes(source, size)``.
+    """``source, source_size, target, sid`` for each source of ``sizes(source, size)``; ``sid`` numbers them.
 
     Sources by code point, null last, weigh ``weights``, repeating, and share ``share`` times all
     words; a target stops at ``cap`` times its source's size and the excess goes to the others by
     weight until none is above. That levels at one number L with target = min(cap * size,
     L * weight): sources are capped in the order of cap * size / weight.
     """
-    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1
-    s = s.withColumn("w", F.get(F.array(*[F.lit(float(x)) for x in weights]), (rank % len(weights)).cast("int")))
-    most = F.col("source_size") * cap
-    everything = Window.orderBy("ratio", F.col("source").isNull(), "source")
-    all_rows = Window.partitionBy()
-    s = s.withColumn("most", most).withColumn("ratio", most / F.col("w"))
-    s = s.withColumn("total", F.sum("source_size").over(all_rows) * share)
-    upto = everything.rowsBetween(Window.unboundedPreceding, -1)
-    after = everything.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    s = materialize(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "op10-sizes")
+    rows, words = s.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0))).first()
+    by_name = [F.col("source").isNull(), F.col("source")]
+    s = running(s, rows, by_name, "op10-named", sid=F.lit(1).cast("long"))
+    s = s.withColumn("w", F.get(F.array(*[F.lit(float(x)) for x in weights]), (F.col("sid") % len(weights)).cast("int")))
+    s = s.withColumn("most", F.col("source_size") * cap).withColumn("ratio", F.col("most") / F.col("w"))
+    s = running(s, rows, ["ratio", *by_name], "op10-levels", most_before=F.col("most"), w_before=F.col("w"))
     # L if exactly the sources before this one are capped. The first at or below its ratio is right;
     # from there on levels fall, so it is the largest.
-    level = (F.col("total") - F.coalesce(F.sum("most").over(upto), F.lit(0.0))) / F.sum("w").over(after)
-    s = s.withColumn("level", level)
-    s = s.withColumn("L", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(all_rows))
-    target = F.least("most", F.coalesce(F.col("L") * F.col("w"), F.col("most")))
-    return s.select("source", "source_size", target.alias("target"))
+    all_w = s.agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+    level = (F.lit(words * share) - F.col("most_before")) / (F.lit(all_w) - F.col("w_before"))
+    top = s.agg(F.max(F.when(level <= F.col("ratio"), level))).first()[0]
+    target = F.least("most", F.coalesce(F.lit(top).cast("double") * F.col("w"), F.col("most")))
+    return s.select("source", "source_size", target.alias("target"), "sid")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
@@ -125,11 +139,11 @@ def mix_shards(
     src = materialize(
         targets.withColumn("seed", F.xxhash64("source", F.col("source").isNull(), F.lit(seed)))
         .withColumn("want", F.floor("target").cast("long"))
-        .withColumn("n_blocks", F.ceil(F.col("source_size") / block).cast("long"))
-        .withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1),
+        .withColumn("n_blocks", F.ceil(F.col("source_size") / block).cast("long")),
         "op10-sources",
     )
-    small = F.broadcast if src.count() <= BROADCAST_SOURCES else (lambda df: df)
+    n_sources = src.count()
+    small = F.broadcast if n_sources <= BROADCAST_SOURCES else (lambda df: df)
     before = Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = placed.groupBy("key", "chunk").agg(F.sum("size").alias("s"))
     bases = bases.select("key", "chunk", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
@@ -151,7 +165,7 @@ def mix_shards(
     blocks = pieces.groupBy("sid", "b").agg(F.array_sort(F.collect_list("x")).alias("x"))
     span = lambda x: F.struct(x["off"].alias("off"), x["doc_id"].alias("doc_id"), x["n"].alias("n"))
     blocks = blocks.select("sid", "b", F.array_join(F.col("x.piece"), "\n").alias("text"), F.transform("x", span).alias("spans"))
-    slots, used = _slots(src, block, cap, shard_slots, seed, small)
+    slots, used = _slots(src, n_sources, block, cap, shard_slots, seed, small)
     slots = slots.groupBy("sid", "b").agg(F.max("length").alias("length"), F.collect_list(F.struct("shard", "place", "use")).alias("slots"))
     # A block's slots come to where the block is made, so that its text is not dealt out again for the join.
     blocks = materialize(blocks.join(slots.hint("shuffle_hash"), ["sid", "b"]), "op10-blocks")
@@ -181,7 +195,7 @@ def _cut(rows: DataFrame, block: int) -> DataFrame:
     return rows.select("shard", "place", "source", "sid", "b", "use", "text", "spans")
 
 
-def _slots(src: DataFrame, block: int, cap: int, shard_slots: int, seed: int, small) -> tuple[DataFrame, list[DataFrame]]:
+def _slots(src: DataFrame, n_sources: int, block: int, cap: int, shard_slots: int, seed: int, small) -> tuple[DataFrame, list[DataFrame]]:
     """The tables that it reads, and ``(shard, place, sid, b, length, use)``: every slot that takes words, the block that comes there, its
     number of words, and how many of its first words are used (all, but in a source's last slot)."""
     # All blocks of a source are full but the last, whose turn in each round of the permutation is
@@ -189,8 +203,8 @@ def _slots(src: DataFrame, block: int, cap: int, shard_slots: int, seed: int, sm
     quota = F.ceil((F.col("want") + cap * F.col("short")) / block).cast("long")
     plan = src.where("want > 0").withColumn("short", F.col("n_blocks") * block - F.col("source_size"))
     plan = plan.select("sid", "seed", "n_blocks", "want", "short", quota.alias("quota"))
-    upto = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)
-    plan = plan.withColumn("end", F.sum("quota").over(upto)).withColumn("begin", F.col("end") - F.col("quota"))
+    plan = running(plan, n_sources, ["sid"], "op10-quotas", begin=F.col("quota"))
+    plan = plan.withColumn("end", F.col("begin") + F.col("quota"))
     shift = lambda r: F.pmod(F.xxhash64("seed", r, F.lit("shift")), F.col("n_blocks"))
     plan = plan.withColumn("shifts", F.transform(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), shift))
     plan = materialize(plan.withColumn("short_at", swap_or_not(F.col("n_blocks") - 1, back=True)), "op10-plan")
@@ -230,10 +244,8 @@ def _slots(src: DataFrame, block: int, cap: int, shard_slots: int, seed: int, sm
     firsts = per_shard
     drawn_n = per_shard.groupBy("sid").agg(F.sum("n").alias("drawn"))
     lack = plan.join(drawn_n, "sid", "left").select("sid", "quota", F.coalesce("drawn", F.lit(0)).alias("drawn"))
-    past = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
     over, short = F.greatest(F.col("drawn") - F.col("quota"), F.lit(0)), F.greatest(F.col("quota") - F.col("drawn"), F.lit(0))
-    lack = lack.withColumn("over_base", F.coalesce(F.sum(over).over(past), F.lit(0))).withColumn("short_base", F.coalesce(F.sum(short).over(past), F.lit(0)))
-    lack = materialize(lack, "op10-lack")
+    lack = running(lack, n_sources, ["sid"], "op10-lack", over_base=over, short_base=short)
     numbers = materialize(numbers.join(small(lack), "sid"), "op10-numbers")
     spare = numbers.where("k >= quota").select("shard", "place", (F.col("over_base") + F.col("k") - F.col("quota")).alias("j"))
     extra = lack.where("drawn < quota").select("sid", "drawn", "short_base", F.explode(F.sequence(F.col("drawn"), F.col("quota") - 1)).alias("k"))

@@ -683,6 +683,22 @@ def test_mixing(spark, docs, empty, sf_dir):
     assert mixing.mix(empty).count() == 0
 
 
+def test_targets_of_many_sources_are_summed_in_ranges(spark, monkeypatch):
+    """Ranges of few sources give what one range gives, whatever ends a range: ties in size, no words, null."""
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 7)
+    rows = [(None if k == 40 else f"s{k % 60:02d}", (k * 37) % 11 * (100 if k % 9 == 0 else 1)) for k in range(150)]
+    got = mixing.source_targets(spark.createDataFrame(rows, "source string, size long"), cap=2).collect()
+    size, want = targets(rows)
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    assert {r.source: r.sid for r in got} == {s: k for k, s in enumerate(order)}
+    assert all(r.source_size == size[r.source] and abs(r.target - want[r.source]) < 1e-6 for r in got) and len(got) == len(size)
+    docs = spark.createDataFrame([(k, s, "w " * n) for k, (s, n) in enumerate(rows)], "doc_id long, source string, text string")
+    taken = Counter()
+    for r in mixing.mix(docs, shard_slots=16).collect():
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - want[s]) <= 1 for s in size)
+
+
 def test_mix_is_written_in_shards(spark, docs, empty, sf_dir):
     word = r"[^\x20\x09-\x0D]+"
     for df in (docs, spark.read.parquet(f"{sf_dir}/documents.parquet")):
