@@ -3,12 +3,22 @@ is keyed by run."""
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Callable
 from functools import reduce
+from itertools import count
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .tables import buckets as table_buckets
+from .tables import write_table
+
+#: Edges of up to so many bytes are broadcast.
+BROADCAST_BYTES = 10_000_000
+
 
 def artifacts_of_runs(tasks: DataFrame, produces: DataFrame, artifacts: DataFrame, *columns: str) -> DataFrame:
     """run -> task -> operation -> artifact, ids first and the artifacts' columns last."""
@@ -54,54 +64,135 @@ def write_adjacency(edges: DataFrame, folder: str, name: str, turned: bool = Fal
     e = edges.select(*EDGE)
     if turned:
         e = e.select("kind", F.col("dst_kind").alias("src_kind"), F.col("dst").alias("src"), F.col("src_kind").alias("dst_kind"), F.col("src").alias("dst"))
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or table_buckets(edges)
     # One file for each kind and bucket, not one for each of them and each task.
     e = e.repartition(n, "src")
     e.write.partitionBy("src_kind", "dst_kind", "kind").bucketBy(n, "src").sortBy("src").option("path", f"{folder}/{name}").saveAsTable(name)
     return name
 
 
+class Edges(NamedTuple):
+    """Edges of one kind between two kinds of nodes, ``edges(src, dst)``. Where nodes of ``src_kind`` have a place other than
+    their number, ``edges(place, src, dst)``. ``near``: the nodes that these edges lead to have the place of those they lead from."""
+
+    kind: str
+    src_kind: int
+    dst_kind: int
+    edges: DataFrame
+    near: bool = False
+
+
+def turned(e: Edges, places: dict[int, Callable[[Column], Column]]) -> Edges:
+    """The edges from what they led to. Those that are near stay where they are."""
+    beside = F.col("place" if "place" in e.edges.columns else "src") if e.near else places[e.dst_kind](F.col("dst")) if e.dst_kind in places else None
+    place = [] if beside is None or e.dst_kind not in places else [beside.alias("place")]
+    return Edges(e.kind, e.dst_kind, e.src_kind, e.edges.select(*place, F.col("dst").alias("src"), F.col("src").alias("dst")), e.near)
+
+
 def reachable(adjacency: list[str], roots: DataFrame, depth: int, folder: str, kinds: list[str] | tuple[str, ...] | None = None) -> DataFrame:
     """``run_id, node_kind, node, hops``: nodes within ``depth`` hops of ``roots(run_id, node_kind, node)`` over the
     edges of the tables of ``write_adjacency``, with the least number of hops. ``kinds`` follows edges of these kinds
-    only; a table of edges and one of the same turned give both directions.
-
-    Each level looks its frontier up in the edges, takes nodes once, drops those of earlier levels, so cycles end, and is
-    written below ``folder``, which cuts the lineage. The catalog tells which kinds of nodes lead to which, and the job
-    that writes a level which kinds it holds: so the next one reads the edges that start there, joins by number alone, and
-    compares with earlier levels that hold a kind it may reach. The search ends where no kind leads on.
-    """
-    spark = roots.sparkSession
-    follow = []
+    only; a table of edges and one of the same turned give both directions. Its levels are written below ``folder``."""
+    spark, parts = roots.sparkSession, []
     for name in adjacency:
-        parts = [dict(x.split("=") for x in row[0].split("/")) for row in spark.sql(f"SHOW PARTITIONS {name}").collect()]
-        pairs = {(int(x["src_kind"]), int(x["dst_kind"])) for x in parts if kinds is None or x["kind"] in kinds}
         e = spark.table(name)
-        follow.append((e if kinds is None else e.where(F.col("kind").isin(list(kinds))), pairs))
-    levels: list[tuple[DataFrame, set[int]]] = []
-    key = ["run_id", *_NODE]
-
-    def put(frontier: DataFrame) -> None:
-        path, seen = f"{folder}/level-{len(levels)}", Observation()
-        frontier.select(*key).observe(seen, F.collect_set("node_kind").alias("held")).write.partitionBy("node_kind").parquet(path)
-        levels.append((spark.read.schema(frontier.schema).parquet(path).select(*key), set(seen.get["held"])))
-
-    put(roots.select(*key).distinct())
-    for _ in range(depth):
-        last, held = levels[-1]
-        steps, reached = [], set()
-        for e, pairs in follow:
-            for k in sorted(held & {a for a, _ in pairs}):
-                at, to = last.where(F.col("node_kind") == k).select("run_id", "node"), e.where(F.col("src_kind") == k)
-                step = at.join(to.select("src", "dst_kind", "dst"), F.col("node") == F.col("src"))
-                steps.append(step.select("run_id", F.col("dst_kind").alias("node_kind"), F.col("dst").alias("node"), F.lit(True).alias("fresh")))
-                reached |= {b for a, b in pairs if a == k}
-        if not steps:
+        for row in spark.sql(f"SHOW PARTITIONS {name}").collect():
+            x = dict(p.split("=") for p in row[0].split("/"))
+            a, b = int(x["src_kind"]), int(x["dst_kind"])
+            if kinds is None or x["kind"] in kinds:
+                parts.append(Edges(x["kind"], a, b, e.where((F.col("kind") == x["kind"]) & (F.col("src_kind") == a) & (F.col("dst_kind") == b)).select("src", "dst")))
+    numbers = count()
+    return search(parts, roots, depth, lambda df, by=None: write_table(df, f"{folder}/nodes-{next(numbers)}", by))
+
+
+def search(
+    parts: list[Edges], roots: DataFrame, depth: int, write: Callable[..., DataFrame], places: dict[int, Callable[[Column], Column]] | None = None, shared: tuple[int, ...] = ()
+) -> DataFrame:
+    """``run_id, node_kind, node, hops``: nodes within ``depth`` hops of ``roots(run_id, node_kind, node)``, with the least
+    number of hops.
+
+    Each level looks its nodes up in the edges of their kind, takes those it comes to once, drops those of earlier levels, so
+    cycles end, and is written by ``write(rows, by)``. Edges are best bucketed by place, as the levels are: then none is
+    dealt out again. ``places`` has the place of a node by its number for kinds that lie beside others: a step to such a kind
+    over edges that are ``near`` deals nothing out at all. Kinds that lead nowhere are no levels: what comes to them is
+    gathered and taken once at the end. The search ends where no kind leads on.
+
+    ``shared`` are kinds whose nodes many runs have in common. What such a node leads to, if it leads no further, is the
+    same for each of these runs: it is neither written nor dealt out for each, but looked up when the result is read.
+    """
+    at = lambda kind, node: places[kind](node) if places and kind in places else node
+    leads = {p.src_kind for p in parts}
+    start = write(roots.select("run_id", *_NODE).distinct())
+    levels: list[tuple[int, int, DataFrame]] = []  # hops, kind, rows
+    ends: dict[int, list[DataFrame]] = defaultdict(list)
+    spread: dict[int, list[tuple[DataFrame, DataFrame]]] = defaultdict(list)
+    frontier = {}
+    for kind in sorted(r.node_kind for r in start.select("node_kind").distinct().collect()):
+        rows = start.where(F.col("node_kind") == kind).select("run_id", "node", at(kind, F.col("node")).alias("place"))
+        if kind in leads:
+            frontier[kind] = rows
+            levels.append((0, kind, rows))
+        else:
+            ends[kind].append(rows.select("run_id", "node", F.lit(0).alias("hops")))
+    for hops in range(1, depth + 1):
+        steps: dict[int, list[tuple[DataFrame, bool]]] = defaultdict(list)
+        for p in parts:
+            if p.src_kind not in frontier:
+                continue
+            own = "place" in p.edges.columns
+            if p.src_kind in shared and p.dst_kind not in leads and not own:
+                spread[p.dst_kind].append((frontier[p.src_kind].select("run_id", F.col("node").alias("hub"), F.lit(hops).alias("far")), p.edges))
+                continue
+            a = frontier[p.src_kind].select("run_id", F.col("node").alias("_node"), F.col("place").alias("_place"))
+            e = p.edges.select(F.col("place" if own else "src").alias("_at"), "src", "dst")
+            met = a.join(e, (F.col("_place") == F.col("_at")) & (F.col("_node") == F.col("src")) if own else F.col("_place") == F.col("_at"))
+            place = F.col("_at") if p.near else at(p.dst_kind, F.col("dst"))
+            steps[p.dst_kind].append((met.select("run_id", F.col("dst").alias("node"), place.alias("place")), p.near))
+        frontier = {}
+        for kind, each in sorted(steps.items()):
+            if kind not in leads:
+                ends[kind] += [x.select("run_id", "node", F.lit(hops).alias("hops")) for x, _ in each]
+                continue
+            deal = lambda x: x if kind in shared else x.repartition(table_buckets(x), "place")  # noqa: B023, E731
+            rows = [(x if near else deal(x)).withColumn("fresh", F.lit(True)) for x, near in each] + [x.withColumn("fresh", F.lit(False)) for _, k, x in levels if k == kind]
+            rows = reduce(DataFrame.union, rows)
+            # A node is new if no earlier level has it: one aggregate instead of a distinct and a join.
+            rows = rows.groupBy("place", "run_id", "node").agg(F.bool_and("fresh").alias("fresh")).where("fresh")
+            rows = write(rows.select("run_id", "node", "place"), None if kind in shared else "place")
+            if not rows.isEmpty():
+                frontier[kind] = rows
+                levels.append((hops, kind, rows))
+        if not frontier:
             break
-        met = [x.where(F.col("node_kind").isin(sorted(had & reached))).select(*key, F.lit(False).alias("fresh")) for x, had in levels if had & reached]
-        # A node is new if no earlier level has it: one aggregate instead of a distinct and a join.
-        put(reduce(DataFrame.union, steps + met).groupBy(*key).agg(F.bool_and("fresh").alias("fresh")).where("fresh").select(*key))
-    return reduce(DataFrame.union, [x.withColumn("hops", F.lit(k)) for k, (x, _) in enumerate(levels)])
+    found = [x.select("run_id", F.lit(kind).alias("node_kind"), "node", F.lit(hops).alias("hops")) for hops, kind, x in levels]
+    for kind in sorted({*ends, *spread}):
+        found += [x.select("run_id", F.lit(kind).alias("node_kind"), "node", "hops") for x in _ends(ends[kind], spread[kind], write)]
+    return reduce(DataFrame.union, found) if found else start.select("run_id", *_NODE, F.lit(0).alias("hops"))
+
+
+def _ends(own: list[DataFrame], spread: list[tuple[DataFrame, DataFrame]], write: Callable[..., DataFrame]) -> list[DataFrame]:
+    """``run_id, node, hops``, each node of a run once, for a kind that leads nowhere: of ``own``, and of what the shared nodes
+    of ``spread``, ``(run_id, hub, far)`` and their edges, lead to. A run with one such node gets what that leads to less what it
+    has of its own; the few with several are taken with ``own``, as are nodes without a number."""
+    once = lambda x: reduce(DataFrame.union, x).groupBy("run_id", "node").agg(F.min("hops").alias("hops"))
+    if not spread:
+        return [write(once(own))]
+    hubs = reduce(DataFrame.union, [x.withColumn("k", F.lit(k)) for k, (x, _) in enumerate(spread)])
+    hubs = write(hubs.withColumn("n", F.count("*").over(Window.partitionBy("run_id"))))
+    lone = (F.col("n") == 1) & F.col("run_id").isNotNull()
+    to = [write(e.select(F.col("src").alias("hub"), F.col("dst").alias("node")).distinct()) for _, e in spread]
+    # Few edges go to the runs; of many, both sides are dealt out.
+    to = [F.broadcast(x) if 32 * x.count() <= BROADCAST_BYTES else x for x in to]
+    apart = own + [hubs.where(F.col("k") == k).join(x, "hub").where(~lone | F.col("node").isNull()).select("run_id", "node", F.col("far").alias("hops")) for k, x in enumerate(to)]
+    again = reduce(DataFrame.union, [x.withColumn("k", F.lit(k)) for k, x in enumerate(to)]).withColumn("both", F.lit(True))
+    mine = once(apart).join(hubs.where(lone).select("run_id", "k", "hub", "far"), "run_id", "left").join(again, ["k", "hub", "node"], "left")
+    mine = write(mine.select("run_id", "node", F.least("hops", F.when(F.col("both"), F.col("far"))).alias("hops"), F.coalesce("both", F.lit(False)).alias("both")))
+    has = mine.where("both").groupBy("run_id").agg(F.collect_list("node").alias("has"))
+    # Few rows, of which many come: dealt out one by one, as adaptive execution would take them together.
+    hubs = hubs.where(lone).join(has, "run_id", "left").repartition(table_buckets(hubs))
+    new = F.col("has").isNull() | ~F.array_contains("has", F.col("node"))
+    given = [hubs.where(F.col("k") == k).join(x.where("node is not null"), "hub").where(new).select("run_id", "node", F.col("far").alias("hops")) for k, x in enumerate(to)]
+    return [mine.select("run_id", "node", "hops"), *given]
 
 
 def nested_lineage(runs: DataFrame, tasks: DataFrame, operations: DataFrame, produces: DataFrame) -> DataFrame:

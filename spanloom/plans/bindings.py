@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import grading as gr
+from ..operators.tables import write_table
 
 LINE = [
     "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount",
@@ -60,11 +61,9 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, by: str | None = None) -> DataFrame:
         """``df`` as a table in the shared folder: made once, used often, and there still when an executor is lost."""
-        path = shared_folder(self)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return write_table(df, shared_folder(self), by)
 
     @cached_property
     def definitions(self) -> DataFrame:
